@@ -6,11 +6,6 @@ batch function; plain ones stay in the JVM.
 
 from __future__ import annotations
 
-import base64
-import binascii
-import gzip
-import zlib
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,35 +17,49 @@ ZLIB_PREFIX = "eJ"
 PLAIN_PREFIX = "ey"
 
 
-def _unpacked(text: str | None) -> str | None:
-    if text is None:
-        return None
-    try:
-        packed = base64.b64decode(text)
-        # 32 lets zlib recognise either header.
-        return zlib.decompress(packed, zlib.MAX_WBITS | 32).decode("utf-8", "replace")
-    except (binascii.Error, ValueError, zlib.error):
-        return None
+# The batch functions are local to a maker, so they travel to executors with
+# the plan and need no installed package there.
+
+
+def _unpacker():
+    @F.pandas_udf(T.StringType())
+    def unpack(texts: pd.Series) -> pd.Series:
+        import base64
+        import zlib
+
+        def one(text):
+            if text is None:
+                return None
+            try:
+                # 32 lets zlib recognise either header.
+                return zlib.decompress(base64.b64decode(text), zlib.MAX_WBITS | 32).decode("utf-8", "replace")
+            except (ValueError, zlib.error):
+                return None
+
+        return texts.map(one)
 
+    return unpack
 
-@F.pandas_udf(T.StringType())
-def unpack(texts: pd.Series) -> pd.Series:
-    return texts.map(_unpacked)
 
+def _packer(window: int, level: int):
+    @F.pandas_udf(T.StringType())
+    def pack(texts: pd.Series) -> pd.Series:
+        import base64
+        import zlib
 
-@F.pandas_udf(T.StringType())
-def pack_gzip(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode())
+        def one(text):
+            packer = zlib.compressobj(level, zlib.DEFLATED, window)
+            return base64.b64encode(packer.compress(text.encode()) + packer.flush()).decode()
 
+        return texts.map(one)
 
-@F.pandas_udf(T.StringType())
-def pack_zlib(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: base64.b64encode(zlib.compress(t.encode())).decode())
+    return pack
 
 
-@F.pandas_udf(T.StringType())
-def pack_zlib_best(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: base64.b64encode(zlib.compress(t.encode(), 9)).decode())
+unpack = _unpacker()
+pack_zlib = _packer(15, 6)
+pack_zlib_best = _packer(15, 9)
+pack_gzip = _packer(31, 6)
 
 
 def pack_plain(text: Column) -> Column:

@@ -71,10 +71,13 @@ def tag(c: Column, target: T.DataType) -> Column:
     return F.when(c.isNotNull(), F.struct(c.cast("string").alias(name)))
 
 
-def parse_image(text: Column, target: T.StructType) -> Column:
-    """Record image: an object of tagged attributes, without an outer tag."""
-    attributes = T.StructType([T.StructField(f.name, tagged_type(f.dataType)) for f in target])
-    parsed = F.from_json(text, attributes)
+def parsed_image(text: Column, target: T.StructType) -> Column:
+    """Tagged attributes of a record image: an object without an outer tag."""
+    return F.from_json(text, T.StructType([T.StructField(f.name, tagged_type(f.dataType)) for f in target]))
+
+
+def plain_image(parsed: Column, target: T.StructType) -> Column:
+    """Plain document of :func:`parsed_image`. Parse in a step of its own, so each text is parsed once."""
     fields = [untag(parsed[f.name], f.dataType).alias(f.name) for f in target]
     return F.when(parsed.isNotNull(), F.struct(*fields))
 

@@ -23,8 +23,11 @@ def last_per_key(rows: DataFrame, keys: list[str], order: Column, values: list[s
     )
 
 
-def upsert(state: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Set the supplied columns of each key; null means "not supplied"."""
+def upsert(state: DataFrame, changes: DataFrame, keys: list[str], highest: tuple[str, ...] = ()) -> DataFrame:
+    """Set the supplied columns of each key; null means "not supplied".
+
+    Columns named ``highest`` only ever grow.
+    """
     old, new = state.alias("old"), changes.alias("new")
     columns = [c for c in state.columns if c not in keys]
     columns += [c for c in changes.columns if c not in keys and c not in columns]
@@ -32,7 +35,8 @@ def upsert(state: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     def merged(c: str) -> Column:
         sides = [F.col(f"new.`{c}`")] if c in changes.columns else []
         sides += [F.col(f"old.`{c}`")] if c in state.columns else []
-        return F.coalesce(*sides).alias(c)
+        grows = c in highest and len(sides) == 2
+        return (F.greatest(*sides) if grows else F.coalesce(*sides)).alias(c)
 
     return old.join(new, keys, "full_outer").select(*keys, *[merged(c) for c in columns])
 

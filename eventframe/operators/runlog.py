@@ -86,7 +86,12 @@ def error_line(marker: str = MARKER) -> str:
 
 
 def system_rows(
-    runs: DataFrame, kind: str, now_ms: int, marker: str = MARKER, namespace: str = NAMESPACE
+    runs: DataFrame,
+    kind: str,
+    now_ms: int,
+    marker: str = MARKER,
+    namespace: str = NAMESPACE,
+    keep: tuple[str, ...] | list[str] = (),
 ) -> DataFrame:
     """Packed line per system read or write; times default to ``now_ms``.
 
@@ -107,4 +112,4 @@ def system_rows(
     ]
     packed = _packed([*[c.cast("string") for c in cells], _quoted(name)])
     line = F.concat(F.lit(f'{marker}:v2:{{"p":'), packed, F.lit(',"e":{"key":'), _quoted(F.col("id")), F.lit("}}"))
-    return runs.select("id", "event", line.alias("line"))
+    return runs.select(*keep, "id", "event", line.alias("line"))

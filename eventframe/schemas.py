@@ -131,6 +131,8 @@ CLOCK_STATE = T.StructType([
     T.StructField("shard", T.StringType()),
     T.StructField("clock", T.LongType()),
     T.StructField("sequence", T.StringType()),
+    # Clock the last batch began at; null for a shard that batch had nothing of.
+    T.StructField("start", T.LongType()),
 ])
 
 WRITE_CHECKPOINT = T.StructType([

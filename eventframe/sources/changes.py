@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.typed import parse_image
+from ..functions.typed import parsed_image, plain_image
 from ..operators.running import with_previous
 from ..schemas import CHANGE
 
@@ -22,12 +22,16 @@ def stream_changes(spark: SparkSession, path: str, max_files: int = 100) -> Data
 def typed_changes(rows: DataFrame, image: T.StructType) -> DataFrame:
     """(seq, kind, changed_ms, new, old) of change records; images get the types of ``image``."""
     record = F.col("dynamodb")
-    return rows.select(
+    parsed = rows.select(
         record["SequenceNumber"].alias("seq"),
         F.col("eventName").alias("kind"),
         (record["ApproximateCreationDateTime"] * 1000).alias("changed_ms"),
-        parse_image(record["NewImage"], image).alias("new"),
-        parse_image(record["OldImage"], image).alias("old"),
+        parsed_image(record["NewImage"], image).alias("_new"),
+        parsed_image(record["OldImage"], image).alias("_old"),
+    )
+    return parsed.select(
+        "seq", "kind", "changed_ms",
+        plain_image(F.col("_new"), image).alias("new"), plain_image(F.col("_old"), image).alias("old"),
     )
 
 

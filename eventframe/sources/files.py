@@ -31,6 +31,11 @@ def next_files(files: DataFrame, cursor: str, prefix: str = PREFIX, limit: int =
     return files.filter(F.col("key").startswith(prefix) & (F.col("key") > cursor)).orderBy("key").limit(limit)
 
 
+def cursor_after(page: DataFrame, cursor: str) -> DataFrame:
+    """The cursor once a page is done, and how many files it had; an empty page moves nothing."""
+    return page.agg(F.coalesce(F.max("key"), F.lit(cursor)).alias("cursor"), F.count("*").alias("files"))
+
+
 def load_command(page: DataFrame, bucket: str) -> DataFrame:
     """One command row for a page of files, and the cursor after it; no row for no files."""
     listed = page.agg(F.array_sort(F.collect_list("key")).alias("keys")).filter(F.size("keys") > 0)

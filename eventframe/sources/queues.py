@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names, positions
 from ..operators.running import rows_to_here, with_running_total
@@ -46,12 +47,13 @@ class QueueStore:
 
     def stream(self, queue: str, max_files: int = 1000) -> DataFrame:
         """New events of one queue; only that queue's folder is listed."""
-        return (
-            self.spark.readStream.schema(STORED)
-            .option("basePath", self.events_path)
+        columns = T.StructType([f for f in STORED if f.name != "queue"])
+        rows = (
+            self.spark.readStream.schema(columns)
             .option("maxFilesPerTrigger", max_files)
             .parquet(f"{self.events_path}/queue={partition_name(queue)}")
         )
+        return rows.withColumn("queue", F.lit(queue))
 
     def append(self, rows: DataFrame, batch: str, max_records_per_file: int = 0) -> None:
         """Write events of one batch; the same batch written again replaces itself.

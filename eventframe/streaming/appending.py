@@ -15,7 +15,7 @@ from ..functions import names, positions
 from ..functions.times import div
 from ..operators import merges, stats
 from ..operators.normalize import TTL_SECONDS, expiry
-from ..operators.numbering import ROW_VERSION, batch_clock
+from ..operators.numbering import ROW_VERSION
 from ..operators.running import with_running_total
 from ..schemas import BOT_STATE, CLOCK_STATE, POSITION_STATE, QUEUE_STATE
 from ..sources import folders
@@ -86,24 +86,19 @@ class Appender:
 
     def _clocks(self, firsts: DataFrame, counts: DataFrame, version: int) -> DataFrame:
         """Clock per shard, staged with the last millisecond the batch will use."""
-        previous = self.clock.load()
-        rows = firsts.select("shard", F.col("sequence").alias("first"), F.lit(0).cast("bigint").alias("sequence"), "value")
-        now = batch_clock(rows, previous.select("shard", "clock"))
-        used = now.join(counts, "shard", "left").select(
+        previous = self.clock.load().select("shard", F.col("clock").alias("_old"), F.col("sequence").alias("_seq"))
+        rows = firsts.join(counts, "shard", "left").join(previous, "shard", "full_outer")
+        # One batch per shard: its first arrival, or one past the last clock.
+        rows = rows.withColumn("start", F.when(F.col("value").isNotNull(), F.greatest("value", F.col("_old") + 1)))
+        # Counters past seven digits move on to the next millisecond.
+        extra = div(F.greatest(F.coalesce("_events", F.lit(1)) - 1, F.lit(0)), positions.COUNTER_SIZE)
+        state = rows.select(
             "shard",
-            # Counters past seven digits move on to the next millisecond.
-            (F.col("clock") + div(F.greatest(F.coalesce("_events", F.lit(0)) - 1, F.lit(0)), positions.COUNTER_SIZE)).alias("last"),
-            F.col("clock").alias("start"),
-            F.col("first").alias("sequence"),
+            F.coalesce(F.col("start") + extra, F.col("_old")).alias("clock"),
+            F.coalesce("sequence", "_seq").alias("sequence"),
+            "start",
         )
-        merged = previous.select("shard", F.col("clock").alias("_old"), F.col("sequence").alias("_seq")).join(
-            used, "shard", "full_outer"
-        )
-        state = merged.select(
-            "shard", F.coalesce("last", "_old").alias("clock"), F.coalesce("sequence", "_seq").alias("sequence"),
-        )
-        self.clock.stage(state, version)
-        return used.select("shard", "start")
+        return self.clock.stage(state, version).filter(F.col("start").isNotNull()).select("shard", "start")
 
     def _numbered(self, events: DataFrame, clocks: DataFrame, bucket: list[str], order: list[str]) -> DataFrame:
         rows = with_running_total(events, ["shard"], ["queue", *bucket], order, F.lit(1).cast("bigint"), "_n")
@@ -132,7 +127,8 @@ class Appender:
         )
         changed = marks.unionByName(archived).withColumn("v", F.lit(ROW_VERSION))
         ends = archived.select(names.parent_of(F.col("queue")).alias("queue"), F.col("max_eid").alias("archive_end"))
-        state = merges.upsert(merges.upsert(self.queues.load(), changed, ["queue"]), ends, ["queue"])
+        state = merges.upsert(self.queues.load(), changed, ["queue"], highest=("max_eid", "timestamp"))
+        state = merges.upsert(state, ends, ["queue"], highest=("archive_end",))
         if markers is not None:
             state = merges.upsert(state, markers, ["queue"])
         self.queues.commit(state, version)
