@@ -48,6 +48,8 @@ def _packer(window: int, level: int):
         import zlib
 
         def one(text):
+            if text is None:
+                return None
             packer = zlib.compressobj(level, zlib.DEFLATED, window)
             return base64.b64encode(packer.compress(text.encode()) + packer.flush()).decode()
 
@@ -56,7 +58,9 @@ def _packer(window: int, level: int):
     return pack
 
 
-unpack = _unpacker()
+# Non-deterministic only for the optimizer: a filter on the result must not
+# move below it and unpack every record a second time.
+unpack = _unpacker().asNondeterministic()
 pack_zlib = _packer(15, 6)
 pack_zlib_best = _packer(15, 9)
 pack_gzip = _packer(31, 6)

@@ -11,14 +11,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Type names of the schema language that queues use.
-SIMPLE_TYPES = {
-    "string": r"^STRING$",
-    "boolean": r"^BOOLEAN$",
-    "object": r"^OBJECT<",
-    "array": r"^ARRAY<",
-    "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\()",
+# How the types of the schema language show in a parsed value's shape.
+SHAPES = {
+    "string": ("STRING",),
+    "boolean": ("BOOLEAN",),
+    "object": ("OBJECT",),
+    "array": ("ARRAY",),
+    "integer": ("BIGINT",),
+    "number": ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"),
 }
+FRACTIONS = ("DOUBLE", "FLOAT", "DECIMAL")
+NULL_SHAPE = "VOID"
 SEMVER = (
     r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)"
     r"(?:-(?:0|[1-9]\d*|\d*[a-zA-Z-][0-9a-zA-Z-]*)(?:\.(?:0|[1-9]\d*|\d*[a-zA-Z-][0-9a-zA-Z-]*))*)?"
@@ -71,25 +74,39 @@ def field_checks(schema: dict, definitions: dict | None = None, parent: str = "$
     return checks
 
 
-def _matches(kind: str, value: Column, shape: Column) -> Column:
+def shape_of(document: Column, path: str) -> Column:
+    """Shape of the value at a path; null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+
+
+def _starts(shape: Column, prefixes: tuple[str, ...]) -> Column:
+    found = shape.startswith(prefixes[0])
+    for prefix in prefixes[1:]:
+        found = found | shape.startswith(prefix)
+    return found
+
+
+def _is(kind: str, document: Column, path: str, shape: Column) -> Column:
+    fits = _starts(shape, SHAPES[kind])
     if kind == "integer":
-        number = F.try_variant_get(value, "$", "double")
-        return shape.rlike(SIMPLE_TYPES["number"]) & (number == F.floor(number))
-    return shape.rlike(SIMPLE_TYPES[kind])
+        # A whole number may be written with a fraction of zero.
+        number = F.try_variant_get(document, path, "double")
+        fits = F.when(fits, True).when(_starts(shape, FRACTIONS), number == F.floor(number)).otherwise(False)
+    return fits
+
 
+def violation(document: Column, check: FieldCheck, shape: Column, parent: Column) -> Column:
+    """Struct (path, problem) when a document fails a check, else null.
 
-def violation(document: Column, check: FieldCheck) -> Column:
-    """Struct (path, problem) when a parsed document fails a check, else null."""
-    value = F.try_variant_get(document, check.path, "variant")
-    shape = F.schema_of_variant(value)
-    problem = F.when(F.is_variant_null(value), F.lit(None if check.nullable else NULL_VALUE))
+    ``shape`` and ``parent`` are the shapes of the field and of the object that
+    should hold it; a field is missing only where that object exists.
+    """
+    problem = F.when(shape == NULL_SHAPE, F.lit(None if check.nullable else NULL_VALUE))
     if check.types:
         fits = F.lit(False)
         for kind in check.types:
-            fits = fits | _matches(kind, value, shape)
-        problem = problem.when(value.isNotNull() & ~fits, WRONG_TYPE)
+            fits = fits | _is(kind, document, check.path, shape)
+        problem = problem.when(shape.isNotNull() & ~fits, WRONG_TYPE)
     if check.required:
-        # A field is missing only where the object that should hold it exists.
-        holder = F.schema_of_variant(F.try_variant_get(document, check.parent, "variant"))
-        problem = problem.when(value.isNull() & holder.startswith("OBJECT"), MISSING)
+        problem = problem.when(shape.isNull() & parent.startswith(SHAPES["object"][0]), MISSING)
     return F.when(problem.isNotNull(), F.struct(F.lit(check.path).alias("path"), problem.alias("problem")))

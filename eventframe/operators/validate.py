@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonschema import NOT_JSON, SEMVER, WRONG_TYPE, field_checks, violation
+from ..functions.jsonschema import NOT_JSON, SEMVER, WRONG_TYPE, field_checks, shape_of, violation
+from ..functions.once import with_computed
 
 
 class SchemaError(ValueError):
@@ -28,18 +29,27 @@ def require_valid(registry: DataFrame) -> DataFrame:
 
 
 def with_violations(events: DataFrame, schema: dict, definitions: dict | None = None) -> DataFrame:
-    """Add ``violations``, an array of (path, problem); empty for a good payload."""
-    document = F.try_parse_json("payload")
-    rows = events.withColumn("_document", document)
-    found = [violation(F.col("_document"), c) for c in field_checks(schema, definitions)]
-    whole = F.when(
-        F.col("_document").isNull(),
-        F.struct(F.lit("$").alias("path"), F.lit(NOT_JSON).alias("problem")),
-    ).when(
-        ~F.schema_of_variant("_document").startswith("OBJECT"),
-        F.struct(F.lit("$").alias("path"), F.lit(WRONG_TYPE).alias("problem")),
+    """Add ``violations``, an array of (path, problem); empty for a good payload.
+
+    Three steps, each once per row: parse, take the shape of every named field,
+    compare the shapes.
+    """
+    checks = field_checks(schema, definitions)
+    shapes = {c.path: f"_shape{i}" for i, c in enumerate(checks)}
+    document = F.col("_document")
+    rows = with_computed(events, _document=F.try_parse_json("payload"))
+    rows = with_computed(
+        rows, _shape=F.schema_of_variant(document), **{n: shape_of(document, p) for p, n in shapes.items()}
     )
-    return rows.withColumn("violations", F.array_compact(F.array(whole, *found))).drop("_document")
+    whole = F.when(F.col("_shape").isNull(), NOT_JSON).when(~F.col("_shape").startswith("OBJECT"), WRONG_TYPE)
+    found = [
+        F.when(whole.isNotNull(), F.struct(F.lit("$").alias("path"), whole.alias("problem"))),
+        *[
+            violation(document, c, F.col(shapes[c.path]), F.col(shapes.get(c.parent, "_shape"))) for c in checks
+        ],
+    ]
+    rows = with_computed(rows, violations=F.array_compact(F.array(*found)))
+    return rows.select(*events.columns, "violations")
 
 
 def good_events(validated: DataFrame) -> DataFrame:

@@ -200,8 +200,7 @@ _DECODED = """
 @query("decode_records", f"{_DECODED} WHERE (seq // 2) % 7 <> 0 AND (seq // 2) % 11 <> 0", ("base",))
 def decode_records(spark, sf_dir):
     """Encoded records, decoded on the bus path: unknown encodings are dropped."""
-    lines = rec.event_lines(rec.decoded_texts(views.encoded(spark, sf_dir)))
-    rows = rec.envelopes(rec.parsed_lines(lines))
+    rows = rec.envelopes(rec.parsed_lines(rec.decoded_texts(views.encoded(spark, sf_dir))))
     return rows.select(
         "pair", "line", "id", "event", "payload", "write_ms", "source_ms", "cmd", "archive", "snapshot"
     )
@@ -213,7 +212,7 @@ def decode_records(spark, sf_dir):
     FROM base GROUP BY 1, 2""", ("base",))
 def decode_raw_lines(spark, sf_dir):
     """The file path keeps unknown texts as they are; they end up among the bad lines."""
-    parsed = rec.parsed_lines(rec.event_lines(rec.decoded_texts(views.encoded(spark, sf_dir), raw=True)))
+    parsed = rec.parsed_lines(rec.decoded_texts(views.encoded(spark, sf_dir), raw=True))
     good = rec.envelopes(parsed).select("pair", F.lit(None).cast("string").alias("problem"))
     return good.unionByName(rec.bad_lines(parsed).select("pair", "problem")).groupBy("pair", "problem").agg(
         F.count("*").alias("lines")
@@ -227,7 +226,7 @@ def broken_lines(spark, sf_dir):
     rows = views.json_rows(spark, sf_dir)
     cut = F.when(F.col("seq") % 3 == 0, F.substring("json", F.lit(1), F.length("json") - 1)).otherwise(F.col("json"))
     texts = rows.select("seq", F.concat(F.lit("\n  \n"), cut, F.lit("\n")).alias("text"))
-    return rec.bad_lines(rec.parsed_lines(rec.event_lines(texts))).select("seq", "problem")
+    return rec.bad_lines(rec.parsed_lines(texts)).select("seq", "problem")
 
 
 _DOCUMENT = T.StructType([

@@ -202,11 +202,12 @@ def encoded(spark: SparkSession, sf_dir: str, foreign: bool = True) -> DataFrame
     )
     kind = F.col("pair") % 3
     data = (
-        F.when(kind == 0, pack_gzip("text")).when(kind == 1, pack_zlib("text")).otherwise(pack_plain(F.col("text")))
+        F.when(kind == 0, pack_gzip(F.when(kind == 0, F.col("text"))))
+        .when(kind == 1, pack_zlib(F.when(kind == 1, F.col("text")))).otherwise(pack_plain(F.col("text")))
     )
     if foreign:
         data = (
-            F.when(F.col("pair") % 7 == 0, pack_zlib_best("text"))
+            F.when(F.col("pair") % 7 == 0, pack_zlib_best(F.when(F.col("pair") % 7 == 0, F.col("text"))))
             .when(F.col("pair") % 11 == 0, F.concat(F.lit("#"), F.col("pair").cast("string")))
             .otherwise(data)
         )

@@ -12,7 +12,7 @@ from ..schemas import STORED
 from ..session import hint_small
 from . import folders
 from .files import lines_of
-from .records import envelopes, event_lines, parsed_lines
+from .records import envelopes, parsed_lines
 from .state import StateTable
 
 # Fixed value: bytes of one read unless the caller says otherwise.
@@ -127,23 +127,22 @@ def event_bytes() -> Column:
 def capped(rows: DataFrame, size: int = READ_BYTES) -> DataFrame:
     """The longest run of first events, in position order, whose payloads fit ``size`` bytes.
 
-    Minutes are totalled first. Whole minutes before the limit need no order;
-    only the minute that crosses it is numbered, and that in batch steps.
+    Minutes are totalled first, which tells the minute that crosses the limit.
+    It bounds the positions to read, and only rows up to it are numbered.
     """
     sized = rows.withColumn("_minute", F.substring("eid", 1, 19)).withColumn("_bytes", event_bytes())
     # One row per minute of the queue's life: a few million in ten years.
     in_order = Window.partitionBy(F.lit(0)).orderBy("_minute").rowsBetween(*rows_to_here())
     minutes = sized.groupBy("_minute").agg(F.sum("_bytes").alias("_sum"))
-    minutes = minutes.withColumn("_through", F.sum("_sum").over(in_order))
-    near = minutes.filter(F.col("_through") - F.col("_sum") < size)
-    joined = sized.join(hint_small(near.select("_minute", "_sum", "_through")), "_minute")
-    whole = joined.filter(F.col("_through") <= size)
-    crossing = joined.filter(F.col("_through") > size).withColumn(
-        "_batch", F.regexp_replace("eid", r"-\d+$", "")
-    )
-    part = with_running_total(crossing, ["_minute"], ["_batch"], ["eid"], F.col("_bytes"), "_here")
-    part = part.filter(F.col("_through") - F.col("_sum") + F.col("_here") <= size)
-    return whole.select(*rows.columns).unionByName(part.select(*rows.columns))
+    minutes = minutes.withColumn("_before", F.sum("_sum").over(in_order) - F.col("_sum"))
+    last = minutes.filter(F.col("_before") < size).agg(F.max("_minute")).first()[0]
+    if last is None:
+        return rows.limit(0)
+    # The character after "/" closes the range of positions of that minute.
+    near = sized.filter(F.col("eid") < last[:-1] + "0").withColumn("_all", F.lit(0))
+    near = near.withColumn("_batch", F.regexp_replace("eid", r"-\d+$", ""))
+    counted = with_running_total(near, ["_all"], ["_minute", "_batch"], ["eid"], F.col("_bytes"), "_through")
+    return counted.filter(F.col("_through") <= size).select(*rows.columns)
 
 
 def for_subscribers(events: DataFrame, subscribers: DataFrame) -> DataFrame:
@@ -191,5 +190,5 @@ def expand_pointers(spark: SparkSession, rows: DataFrame, root: str) -> DataFram
     inline = rows.filter(F.col("s3").isNull()).select(*columns)
     pointers = rows.filter(F.col("s3").isNotNull()).select("queue", F.col("s3.key").alias("key"))
     lines = lines_of(spark, pointers, root).select("queue", "text")
-    chunk = envelopes(parsed_lines(event_lines(lines))).withColumn("source_ms", F.col("source_ms").try_cast("bigint"))
+    chunk = envelopes(parsed_lines(lines)).withColumn("source_ms", F.col("source_ms").try_cast("bigint"))
     return inline.unionByName(chunk.select(*columns))

@@ -65,18 +65,22 @@ def decoded_texts(records: DataFrame, raw: bool = False) -> DataFrame:
     return rows.filter(F.col("text").isNotNull() | is_packed(F.col("data"))).drop("data")
 
 
-def event_lines(texts: DataFrame) -> DataFrame:
-    """One row per non-blank line of a text, numbered within it."""
-    columns = [c for c in texts.columns if c != "text"]
-    lines = texts.select(*columns, F.posexplode_outer(F.split("text", "\n")).alias("line", "json"))
-    return lines.filter(F.col("json").isNull() | (F.trim("json") != ""))
-
+def parsed_lines(texts: DataFrame) -> DataFrame:
+    """One row per non-blank line of a text: its number, ``json``, and the parsed ``_e``.
 
-def parsed_lines(lines: DataFrame) -> DataFrame:
-    """Parse the JSON of each line into ``event`` fields; bad text goes to ``_corrupt``."""
+    Lines are parsed inside the array that is exploded, so later filters on the
+    result see a column and not the parser again. Bad text goes to ``_corrupt``;
+    a text that could not be decoded gives one row without ``json``.
+    """
     schema = T.StructType([*EVENT.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return lines.withColumn("_e", F.from_json("json", schema, options))
+    columns = [c for c in texts.columns if c != "text"]
+    lines = F.transform(
+        F.split("text", "\n"), lambda line: F.struct(line.alias("json"), F.from_json(line, schema, options).alias("_e"))
+    )
+    rows = texts.select(*columns, F.posexplode_outer(lines).alias("line", "_l"))
+    rows = rows.select(*columns, "line", "_l.json", "_l._e")
+    return rows.filter(F.col("json").isNull() | (F.trim("json") != ""))
 
 
 def good_lines(parsed: DataFrame) -> DataFrame:

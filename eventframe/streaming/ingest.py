@@ -43,8 +43,7 @@ class Ingest:
         if appender.done(version):
             return
         once = records.dropDuplicates(["shard", "sequence"])
-        lines = rec.event_lines(rec.decoded_texts(once))
-        parsed = rec.parsed_lines(lines).persist(StorageLevel.MEMORY_AND_DISK)
+        parsed = rec.parsed_lines(rec.decoded_texts(once)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             rec.bad_lines(parsed).write.mode("overwrite").parquet(
                 f"{self.store.root}/quarantine/{self.job}/batch={version}"

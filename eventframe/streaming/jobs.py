@@ -69,7 +69,7 @@ def backfill(
         if appender.done(version):
             return
         placed = batch.withColumn("row", F.monotonically_increasing_id())
-        parsed = rec.parsed_lines(rec.event_lines(rec.decoded_texts(placed, raw=True)))
+        parsed = rec.parsed_lines(rec.decoded_texts(placed, raw=True))
         parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             rows = normalize.valid_file_events(rec.envelopes(parsed))
