@@ -122,20 +122,18 @@ def merged_map(old: Column, new: Column) -> Column:
 
 
 def merge_requested(state: DataFrame, requests: DataFrame, now_ms: int) -> DataFrame:
-    """Merge requested versions into the bots' maps and stamp the trigger time.
+    """Merge requested versions into the stored ones; a new version is stamped with the time.
 
-    ``state``: id, requested, trigger; ``requests``: id, requested.
+    ``state``: id, queue, version, requested_ms; ``requests``: id, queue, version.
+    One row per bot and queue instead of a map per bot, so no bot has to fit a task.
     """
-    old, new = F.col("old.requested"), F.col("new.requested")
-    return (
-        state.alias("old")
-        .join(requests.alias("new"), "id", "full_outer")
-        .select(
-            "id",
-            merged_map(old, new).alias("requested"),
-            F.when(new.isNotNull(), F.lit(now_ms).cast("bigint")).otherwise(F.col("old.trigger")).alias("trigger"),
-        )
-    )
+    asked = requests.withColumn("requested_ms", F.lit(now_ms).cast("bigint"))
+    return upsert(state, asked, ["id", "queue"])
+
+
+def trigger_times(state: DataFrame) -> DataFrame:
+    """When each bot was last asked to run."""
+    return state.groupBy("id").agg(F.max("requested_ms").alias("trigger"))
 
 
 def merge_documents(state: DataFrame, documents: DataFrame) -> DataFrame:
@@ -150,21 +148,6 @@ def merge_documents(state: DataFrame, documents: DataFrame) -> DataFrame:
     return state.alias("old").join(documents.alias("new"), "id", "full_outer").select("id", *[merged(c) for c in columns])
 
 
-def checkpoint_maps(rows: DataFrame) -> DataFrame:
-    """One map(queue -> checkpoint) per bot from last-per-queue checkpoint rows.
-
-    A bot's map has one entry per queue it writes.
-    """
-    value = F.struct("checkpoint", "source_timestamp", "started_timestamp", "ended_timestamp", "records")
-    return rows.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("queue"), value))).alias("write")
-    )
-
-
-def merge_write_checkpoints(state: DataFrame, maps: DataFrame) -> DataFrame:
-    """Merge per-bot write maps into the stored ones (id, write)."""
-    return (
-        state.alias("old")
-        .join(maps.alias("new"), "id", "full_outer")
-        .select("id", merged_map(F.col("old.write"), F.col("new.write")).alias("write"))
-    )
+def merge_write_checkpoints(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """Replace the write checkpoints of the bots and queues in ``rows``; one row per bot and queue."""
+    return upsert(state, rows, ["id", "queue"])

@@ -44,41 +44,38 @@ def is_json_array(mapping: Column) -> Column:
     return F.when(parsed.isNotNull(), F.schema_of_variant(parsed).startswith("ARRAY"))
 
 
-def routes(mappings: DataFrame, defaults: DataFrame) -> DataFrame:
+def routes(mappings: DataFrame, account: str, stack: str) -> DataFrame:
     """Resolved routes of mapping texts.
 
     An entry is a queue name or an object whose first key is the queue; missing
-    parts come from ``defaults`` (one row: account, stack). ``mappings``: pos, mapping.
+    parts come from the default ``account`` and ``stack``. ``mappings``: pos, mapping.
     """
     entries = mappings.select(
         "pos", F.posexplode(F.from_json("mapping", T.ArrayType(T.StringType()))).alias("entry_pos", "_entry")
     )
-    entries = entries.withColumn(
-        "_first",
-        F.when(
-            F.col("_entry").startswith("{"),
-            F.get(F.map_entries(F.from_json("_entry", T.MapType(T.StringType(), ROUTE))), F.lit(0)),
-        ),
-    )
-    only = defaults.select(F.col("account").alias("_account"), F.col("stack").alias("_stack"))
+    first = F.get(F.map_entries(F.from_json("_entry", T.MapType(T.StringType(), ROUTE))), F.lit(0))
+    entries = entries.withColumn("_first", F.when(F.col("_entry").startswith("{"), first))
     source = F.coalesce(F.col("_first.key"), F.col("_entry"))
 
     def part(name: str, default: Column) -> Column:
         return F.coalesce(F.nullif(F.col(f"_first.value.{name}"), F.lit("")), default)
 
-    # One row of settings joins every entry.
-    return entries.join(F.broadcast(only.limit(1)), F.lit(True), "left").select(
+    return entries.select(
         "pos",
         "entry_pos",
         source.alias("source"),
-        part("account", F.col("_account")).alias("account"),
-        part("stack", F.col("_stack")).alias("stack"),
+        part("account", F.lit(account)).alias("account"),
+        part("stack", F.lit(stack)).alias("stack"),
         part("destination", source).alias("destination"),
     )
 
 
-def default_destination(found: DataFrame) -> DataFrame:
-    return found.orderBy("pos").limit(1).select("account", "stack")
+def default_destination(found: DataFrame) -> tuple[str, str]:
+    """Account and stack of the first destination."""
+    row = found.orderBy("pos").select("account", "stack").first()
+    if row is None:
+        raise RouteError("Malformed destination addresses. Should be role addresses.")
+    return row["account"], row["stack"]
 
 
 def unmatched(route_rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -94,14 +91,13 @@ def unmatched(route_rows: DataFrame, found: DataFrame) -> DataFrame:
 def checked_routes(mappings: DataFrame, addresses: DataFrame, role: str) -> DataFrame:
     """Routes with their destination address, or an error naming the bad setting."""
     found = destinations(addresses, role)
-    if found.isEmpty():
-        raise RouteError("Malformed destination addresses. Should be role addresses.")
+    account, stack = default_destination(found)
     shape = is_json_array(F.col("mapping"))
     if not mappings.filter(shape.isNull()).isEmpty():
         raise RouteError("Malformed replication mapping. Must be valid JSON.")
     if not mappings.filter(~shape).isEmpty():
         raise RouteError("Malformed replication mapping. Must be JSON Array.")
-    resolved = routes(mappings, default_destination(found))
+    resolved = routes(mappings, account, stack)
     if not unmatched(resolved, found).isEmpty():
         raise RouteError("Replication settings do not match per account and stack")
     return resolved.join(found.select("account", "stack", "address"), ["account", "stack"])

@@ -46,10 +46,3 @@ def subscriptions(bots: DataFrame) -> DataFrame:
 def trigger_rows(changes: DataFrame, bots: DataFrame) -> DataFrame:
     """(id, queue, version) to request of each bot; one row per moved queue joins in."""
     return subscriptions(bots).join(moved_queues(changes), "queue").select("id", "queue", "version")
-
-
-def trigger_requests(rows: DataFrame) -> DataFrame:
-    """Requested versions per bot as a map; a bot has one entry per trigger."""
-    return rows.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("queue", "version"))).alias("requested")
-    )

@@ -255,7 +255,7 @@ _ROUTES = f"""
 
 def _routes(spark, sf_dir):
     found = routing.destinations(address_texts(spark, sf_dir), "BusRole")
-    return routing.routes(mapping_texts(spark, sf_dir), routing.default_destination(found)), found
+    return routing.routes(mapping_texts(spark, sf_dir), *routing.default_destination(found)), found
 
 
 @query("destination_dedupe", _DESTINATIONS)
@@ -405,15 +405,33 @@ def _maps(part, value: str = "seq"):
     )
 
 
+def _requested(spark, sf_dir):
+    old, new = _halves(spark, sf_dir)
+    version = F.col("seq").cast("string").alias("version")
+    state = old.select("id", "queue", version, F.lit(1).cast("bigint").alias("requested_ms"))
+    return merges.merge_requested(state, new.select("id", "queue", version), NOW_MS)
+
+
 @query("requested_positions", f"""
     SELECT id, queue, CAST(coalesce(n.seq, o.seq) AS VARCHAR) AS version,
-           CASE WHEN id IN (SELECT id FROM ({_NEW})) THEN CAST({NOW_MS} AS BIGINT) ELSE CAST(1 AS BIGINT) END AS trigger
+           CAST(CASE WHEN n.seq IS NOT NULL THEN {NOW_MS} ELSE 1 END AS BIGINT) AS requested_ms
     FROM ({_OLD}) o FULL JOIN ({_NEW}) n USING (id, queue)""", ("base",))
 def requested_positions(spark, sf_dir):
-    old, new = _halves(spark, sf_dir)
-    state = _maps(old).withColumn("trigger", F.lit(1).cast("bigint"))
-    merged = merges.merge_requested(state, _maps(new), NOW_MS)
-    return merged.select("id", F.explode("requested").alias("queue", "version"), "trigger")
+    return _requested(spark, sf_dir)
+
+
+@query("trigger_times", f"""
+    SELECT id, CAST(CASE WHEN max(ms) >= {HALF_MS} THEN {NOW_MS} ELSE 1 END AS BIGINT) AS trigger
+    FROM (SELECT 'user-' || user_id AS id, ms FROM base) GROUP BY id""", ("base",))
+def trigger_times(spark, sf_dir):
+    return merges.trigger_times(_requested(spark, sf_dir))
+
+
+def _maps(part):
+    """A map per user; there is one entry per event type."""
+    return part.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("queue", F.col("seq").cast("string")))).alias("requested")
+    )
 
 
 @query("document_merge", f"""
@@ -439,15 +457,10 @@ def document_merge(spark, sf_dir):
           SELECT *, eid FROM stored))
     GROUP BY id, queue""", ("stored",))
 def merge_write_checkpoints(spark, sf_dir):
-    """Write checkpoints of two halves of the batches, merged into the bots' maps."""
+    """Write checkpoints of two halves of the batches, the later ones merged into the earlier."""
     rows = stats.producer_stats(views.numbered(spark, sf_dir))
-
-    def maps(part):
-        return merges.checkpoint_maps(stats.last_write_checkpoints(part))
-
     early, late = rows.filter(F.col("batch_ms") < HALF_MS), rows.filter(F.col("batch_ms") >= HALF_MS)
-    merged = merges.merge_write_checkpoints(maps(early), maps(late))
-    return merged.select("id", F.explode("write").alias("queue", "c")).select("id", "queue", "c.*")
+    return merges.merge_write_checkpoints(stats.last_write_checkpoints(early), stats.last_write_checkpoints(late))
 
 
 @query("semver_check", """

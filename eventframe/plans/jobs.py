@@ -80,7 +80,7 @@ def stream_ingest_state(spark, sf_dir):
 def stream_ingest_bots(spark, sf_dir):
     """Write checkpoints a streamed ingest leaves: one per bot and queue."""
     bots = ingested(spark, sf_dir).state("ingest/bots", BOT_STATE).load()
-    return bots.select("id", F.explode("write").alias("queue", "c")).filter("c.checkpoint is not null").select("id", "queue")
+    return bots.filter(F.col("checkpoint").isNotNull()).select("id", "queue")
 
 
 @query("file_backfill", f"""
@@ -165,7 +165,7 @@ def monitor_job(spark, sf_dir):
 
 
 @query("trigger_job", f"""
-    SELECT id, queue, version, CAST({NOW_MS} AS BIGINT) AS trigger FROM ({_FANOUT})""", ("base", "bots"))
+    SELECT id, queue, version, CAST({NOW_MS} AS BIGINT) AS requested_ms FROM ({_FANOUT})""", ("base", "bots"))
 def trigger_job(spark, sf_dir):
     """Queue changes streamed into the requested positions of the bots they trigger."""
     store = QueueStore(spark, work_dir(spark, "triggers"))
@@ -175,7 +175,7 @@ def trigger_job(spark, sf_dir):
     stream = feed.stream_changes(spark, arrivals, max_files=100)
     finish(jobs.trigger_bots(store, stream, lambda: views.bots(spark, sf_dir), clock=clock))
     requests = store.state("triggers/requests", REQUEST_STATE).load()
-    return requests.select("id", F.explode("requested").alias("queue", "version"), "trigger")
+    return requests.select("id", "queue", "version", "requested_ms")
 
 
 @query("archive_job", """
@@ -203,13 +203,17 @@ def archive_state(spark, sf_dir):
     return queue_states(store).select("queue", "max_eid", "archive_end")
 
 
-@query("stored_retention", "SELECT count(*) AS kept, 0 AS gone FROM orders")
+@query("stored_retention", """
+    SELECT 'a second before' AS moment, count(*) AS kept FROM orders UNION ALL SELECT 'at expiry', 0""")
 def stored_retention(spark, sf_dir):
     """Stored events a second before and at their expiry."""
     store = ordered(spark, sf_dir)
     end = NOW_MS // 1000 + 604_800
-    kept = jobs.expire(store, end - 1).agg(F.count("*").alias("kept"))
-    return kept.crossJoin(F.broadcast(jobs.expire(store, end).agg(F.count("*").cast("int").alias("gone"))))
+    moments = {"a second before": end - 1, "at expiry": end}
+    early, late = (
+        jobs.expire(store, s).agg(F.count("*").alias("kept")).withColumn("moment", F.lit(m)) for m, s in moments.items()
+    )
+    return early.unionByName(late)
 
 
 @query("independent_subscribers", """

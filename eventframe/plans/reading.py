@@ -160,19 +160,18 @@ def snapshot_tail(spark, sf_dir):
     return queues.snapshot_then_tail(both, _marks(rows)).select("queue", "eid", "id", "part")
 
 
-@query("subscriber_reads", f"""
-    SELECT bot, s.queue, eid FROM stored s
-    JOIN (SELECT 'bot-' || s_suppkey AS bot, unnest([t1, t2]) AS queue, s_suppkey
-          FROM (SELECT *, CAST(substr(id, 5) AS BIGINT) AS s_suppkey FROM bots WHERE NOT archived AND paused)) b
-      ON b.queue = s.queue AND eid > {sql_position('(1706572800000 - s_suppkey % 50 * 3600000)', '0')}""", ("stored", "bots"))
-def subscriber_reads(spark, sf_dir):
-    """What every paused bot has missed: each has its own position on its queues."""
-    bots = views.bots(spark, sf_dir).filter("NOT archived AND paused")
+@query("subscriber_backlog", f"""
+    SELECT b.id, b.queue, position, count(s.eid) AS unread
+    FROM (SELECT DISTINCT id, queue, {sql_position('(1706572800000 - k % 700 * 3600000)', '0')} AS position
+          FROM (SELECT id, unnest([t1, t2]) AS queue, CAST(substr(id, 5) AS BIGINT) AS k FROM bots WHERE NOT archived)) b
+    LEFT JOIN stored s ON s.queue = b.queue AND s.eid > position GROUP BY 1, 2, 3""", ("stored", "bots"))
+def subscriber_backlog(spark, sf_dir):
+    """How far every bot is behind on the queues it listens to; each has its own position."""
+    bots = views.bots(spark, sf_dir).filter("NOT archived")
     number = F.substring_index("id", "-", -1).cast("bigint")
-    position = positions.position(F.lit(1_706_572_800_000) - number % 50 * 3_600_000, F.lit(0))
-    subscribers = bots.select("id", F.explode("triggers").alias("queue"), position.alias("checkpoint"))
-    rows = views.numbered(spark, sf_dir).select("queue", "eid")
-    return queues.for_subscribers(rows, subscribers).select("bot", "queue", "eid")
+    position = positions.position(F.lit(1_706_572_800_000) - number % 700 * 3_600_000, F.lit(0))
+    subscribers = bots.select("id", F.explode(F.array_distinct("triggers")).alias("queue"), position.alias("checkpoint"))
+    return queues.unread(views.numbered(spark, sf_dir), subscribers)
 
 
 @query("subscriber_catalog", f"""

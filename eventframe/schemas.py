@@ -135,7 +135,9 @@ CLOCK_STATE = T.StructType([
     T.StructField("start", T.LongType()),
 ])
 
-WRITE_CHECKPOINT = T.StructType([
+BOT_STATE = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("queue", T.StringType()),
     T.StructField("checkpoint", T.StringType()),
     T.StructField("source_timestamp", T.LongType()),
     T.StructField("started_timestamp", T.LongType()),
@@ -143,15 +145,11 @@ WRITE_CHECKPOINT = T.StructType([
     T.StructField("records", T.LongType()),
 ])
 
-BOT_STATE = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("write", T.MapType(T.StringType(), WRITE_CHECKPOINT)),
-])
-
 REQUEST_STATE = T.StructType([
     T.StructField("id", T.StringType()),
-    T.StructField("requested", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("trigger", T.LongType()),
+    T.StructField("queue", T.StringType()),
+    T.StructField("version", T.StringType()),
+    T.StructField("requested_ms", T.LongType()),
 ])
 
 POSITION_STATE = T.StructType([

@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 SIZE_LINE = r"shardId-(\d+) (\d+) (\{.*\})"
 
 
+def write_lines(lines: DataFrame, path: str, failed_line: str | None = None) -> None:
+    """Append text lines to a log folder, closed by the marker line of a failed run."""
+    rows = lines.select("line")
+    if failed_line is not None:
+        rows = rows.unionByName(lines.sparkSession.range(1).select(F.lit(failed_line).alias("line")))
+    rows.write.mode("append").text(path)
+
+
 def size_lines(sizes: DataFrame) -> DataFrame:
     """Lines of per-queue sizes: (date, shard, name, chars) to (date, line)."""
     entries = F.array_sort(F.collect_list(F.concat("name", F.lit(": "), F.col("chars").cast("string"))))

@@ -145,11 +145,30 @@ def capped(rows: DataFrame, size: int = READ_BYTES) -> DataFrame:
     return counted.filter(F.col("_through") <= size).select(*rows.columns)
 
 
-def for_subscribers(events: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """What each subscriber has yet to read: (bot, queue, checkpoint) against all events."""
-    side = subscribers.select(F.col("id").alias("bot"), "queue", "checkpoint")
-    return events.join(hint_small(side), "queue").filter(
-        F.col("eid") > F.coalesce("checkpoint", F.lit(positions.START))
+def unread(events: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """How many events each subscriber has yet to read.
+
+    Positions of subscribers are laid between those of events, and one running
+    count serves them all; no event is paired with a subscriber.
+    ``subscribers``: id, queue, checkpoint (null: has read nothing).
+    """
+    marks = subscribers.select(
+        "queue", F.coalesce("checkpoint", F.lit(positions.START)).alias("eid"), F.col("id").alias("_bot"),
+        F.lit(0).cast("bigint").alias("_event"),
+    )
+    rows = events.select("queue", "eid", F.lit(None).cast("string").alias("_bot"), F.lit(1).cast("bigint").alias("_event"))
+    both = rows.unionByName(marks).withColumn("_minute", F.substring("eid", 1, 19))
+    # An event at the very position of a checkpoint has been read.
+    both = both.withColumn("_after", F.col("_bot").isNotNull())
+    counted = with_running_total(both, ["queue"], ["_minute"], ["eid", "_after", "_bot"], F.col("_event"), "_read")
+    totals = events.groupBy("queue").agg(F.count("*").alias("_all"))
+    return (
+        counted.filter(F.col("_bot").isNotNull())
+        .join(totals, "queue", "left")
+        .select(
+            F.col("_bot").alias("id"), "queue", F.col("eid").alias("position"),
+            (F.coalesce("_all", F.lit(0)) - F.col("_read")).alias("unread"),
+        )
     )
 
 

@@ -136,7 +136,7 @@ class Appender:
     def _publish_bots(self, numbered: DataFrame, version: int) -> None:
         produced = numbered.filter(F.col("id").isNotNull()).withColumn("arrival_ms", F.col("batch_ms"))
         last = stats.last_write_checkpoints(stats.producer_stats(produced, ("shard",)))
-        self.bots.commit(merges.merge_write_checkpoints(self.bots.load(), merges.checkpoint_maps(last)), version)
+        self.bots.commit(merges.merge_write_checkpoints(self.bots.load(), last), version)
 
 
 def queue_states(store: QueueStore) -> DataFrame:

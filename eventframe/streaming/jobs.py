@@ -181,8 +181,7 @@ def trigger_bots(
         if current is not None and current >= version:
             return
         rows = triggers.trigger_rows(feed.typed_changes(batch, QUEUE_IMAGE), bots())
-        requests = triggers.trigger_requests(rows)
-        table.commit(merges.merge_requested(table.load(), requests, clock()), version)
+        table.commit(merges.merge_requested(table.load(), rows, clock()), version)
 
     return start_batches(store, change_rows, job, work, **trigger)
 
