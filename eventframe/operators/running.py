@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import div
+from ..session import hint_small
 
 BUCKET_ROWS = 1 << 20
 
@@ -29,20 +30,28 @@ def sequence_bucket(sequence: Column, rows: int = BUCKET_ROWS) -> Column:
 
 
 def with_running_total(
-    df: DataFrame, group: list[str], bucket: list[str], order: list[str], value: Column, name: str
+    df: DataFrame,
+    group: list[str],
+    bucket: list[str],
+    order: list[str],
+    value: Column,
+    name: str,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Add the inclusive running total of ``value`` per ``group`` in ``bucket + order``.
 
     ``group`` and ``bucket`` columns must not be null. ``order`` has to be total
-    inside a bucket.
+    inside a bucket. ``only`` (distinct ``group + bucket``) names the buckets
+    whose rows are wanted; rows of the others are counted but not moved.
     """
     keys = [*group, *bucket]
     totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
     across = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(*rows_before())
     before = totals.select(*keys, F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*rows_to_here())
+    rows = df if only is None else df.join(hint_small(only), keys, "left_semi")
     return (
-        df.join(before, keys)
+        rows.join(before, keys)
         .withColumn(name, F.col("_before") + F.sum(value).over(inside))
         .drop("_before")
     )

@@ -39,14 +39,14 @@ def store_of(spark, sf_dir) -> QueueStore:
     SELECT eid, id, payload FROM stored WHERE queue = 'click' AND eid > '{_START}'""", ("stored",))
 def read_after(spark, sf_dir):
     """A stored queue from a position on; the days before are not listed."""
-    return queues.after(store_of(spark, sf_dir).events(), "queue:click", _START).select("eid", "id", "payload")
+    return queues.after(store_of(spark, sf_dir).queue("queue:click"), "queue:click", _START).select("eid", "id", "payload")
 
 
 @query("read_between", f"""
     SELECT eid, id, payload FROM stored
     WHERE queue = 'view' AND eid > '{_START}' AND eid <= 'z/2024/01/20/12/'""", ("stored",))
 def read_between(spark, sf_dir):
-    rows = queues.after(store_of(spark, sf_dir).events(), "view", _START, "z/2024/01/20/12/")
+    rows = queues.after(store_of(spark, sf_dir).queue("view"), "view", _START, "z/2024/01/20/12/")
     return rows.select("eid", "id", "payload")
 
 

@@ -18,6 +18,9 @@ from .state import StateTable
 # Fixed value: bytes of one read unless the caller says otherwise.
 READ_BYTES = 1024 * 1024
 
+# Columns of the files below one queue's folder.
+_FOLDER = T.StructType([f for f in STORED if f.name != "queue"])
+
 # Characters that partition folder names hold in escaped form.
 _ESCAPED = set("\"#%'*/:=?\\{}[]^\x7f") | {chr(i) for i in range(1, 32)}
 
@@ -45,15 +48,23 @@ class QueueStore:
             return self.spark.createDataFrame([], STORED)
         return self.spark.read.schema(STORED).parquet(self.events_path)
 
+    def queue(self, name: str) -> DataFrame:
+        """Stored events of one queue; no other queue's folder is listed."""
+        path = f"{self.events_path}/queue={partition_name(names.canonical_text(name))}"
+        if not folders.exists(self.spark, path):
+            return self.spark.createDataFrame([], STORED)
+        rows = self.spark.read.schema(_FOLDER).parquet(path)
+        return rows.withColumn("queue", F.lit(names.canonical_text(name)))
+
     def stream(self, queue: str, max_files: int = 1000) -> DataFrame:
         """New events of one queue; only that queue's folder is listed."""
-        columns = T.StructType([f for f in STORED if f.name != "queue"])
+        name = names.canonical_text(queue)
         rows = (
-            self.spark.readStream.schema(columns)
+            self.spark.readStream.schema(_FOLDER)
             .option("maxFilesPerTrigger", max_files)
-            .parquet(f"{self.events_path}/queue={partition_name(queue)}")
+            .parquet(f"{self.events_path}/queue={partition_name(name)}")
         )
-        return rows.withColumn("queue", F.lit(queue))
+        return rows.withColumn("queue", F.lit(name))
 
     def append(self, rows: DataFrame, batch: str, max_records_per_file: int = 0) -> None:
         """Write events of one batch; the same batch written again replaces itself.
@@ -120,6 +131,11 @@ def read(events: DataFrame, queue: str, start: str | None = None, limit: int | N
     return rows if limit is None else rows.limit(limit)
 
 
+def second_of(eid: Column) -> Column:
+    """The part of a position that names its second: the bucket and ten digits of the time."""
+    return F.substring(eid, 1, 29)
+
+
 def event_bytes() -> Column:
     return F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint")
 
@@ -149,18 +165,23 @@ def unread(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     """How many events each subscriber has yet to read.
 
     Positions of subscribers are laid between those of events, and one running
-    count serves them all; no event is paired with a subscriber.
-    ``subscribers``: id, queue, checkpoint (null: has read nothing).
+    count serves them all; no event is paired with a subscriber. Events are
+    counted per second, and only the seconds that hold a checkpoint are looked
+    at row by row. ``subscribers``: id, queue, checkpoint (null: has read nothing).
     """
     marks = subscribers.select(
         "queue", F.coalesce("checkpoint", F.lit(positions.START)).alias("eid"), F.col("id").alias("_bot"),
         F.lit(0).cast("bigint").alias("_event"),
     )
     rows = events.select("queue", "eid", F.lit(None).cast("string").alias("_bot"), F.lit(1).cast("bigint").alias("_event"))
-    both = rows.unionByName(marks).withColumn("_minute", F.substring("eid", 1, 19))
+    marks = marks.withColumn("_second", second_of(F.col("eid")))
+    both = rows.withColumn("_second", second_of(F.col("eid"))).unionByName(marks)
     # An event at the very position of a checkpoint has been read.
     both = both.withColumn("_after", F.col("_bot").isNotNull())
-    counted = with_running_total(both, ["queue"], ["_minute"], ["eid", "_after", "_bot"], F.col("_event"), "_read")
+    counted = with_running_total(
+        both, ["queue"], ["_second"], ["eid", "_after", "_bot"], F.col("_event"), "_read",
+        only=marks.select("queue", "_second").distinct(),
+    )
     totals = events.groupBy("queue").agg(F.count("*").alias("_all"))
     return (
         counted.filter(F.col("_bot").isNotNull())

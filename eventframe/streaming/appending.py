@@ -184,7 +184,4 @@ def write_events(store: QueueStore, bot: str, queue: str, events: DataFrame, ord
     rows = bot_rows(events, bot, queue, now_ms)
     version = appender.next_version()
     appender.append(rows, bot_clock(store.spark, bot, now_ms), version, [], order)
-    written = store.events().filter(
-        (F.col("queue") == names.canonical_text(queue)) & (F.col("batch") == f"{appender.job}-{version}")
-    )
-    return written.count()
+    return store.queue(queue).filter(F.col("batch") == f"{appender.job}-{version}").count()

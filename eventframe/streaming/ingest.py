@@ -32,10 +32,11 @@ class Ingest:
         skip_bots: Iterable[str] = (),
         clock: Callable[[], int] = now_ms,
         bulk_records_per_file: int = 5_000_000,
+        log_sizes: bool = False,
     ):
         self.store, self.job, self.clock = store, job, clock
         self.skip_queues, self.skip_bots = list(skip_queues), list(skip_bots)
-        self.bulk_records_per_file = bulk_records_per_file
+        self.bulk_records_per_file, self.log_sizes = bulk_records_per_file, log_sizes
 
     def run_batch(self, records: DataFrame, version: int) -> None:
         """One micro-batch. Records arrive per shard; a shard's records form one batch."""
@@ -52,12 +53,13 @@ class Ingest:
             markers = self._markers(rows)
             valid = normalize.valid_bus_events(normalize.data_rows(rows))
             valid = normalize.without_listed(valid, self.skip_queues, self.skip_bots)
-            # Sizes are those of events as they came, before defaults.
-            sizes = stats.size_by_bot(valid, rec.event_json(valid))
-            sizes.write.mode("overwrite").parquet(f"{self.store.root}/sizes/{self.job}/batch={version}")
+            if self.log_sizes:
+                # Sizes are those of events as they came, before defaults.
+                sizes = stats.size_by_bot(valid, rec.event_json(valid))
+                sizes.write.mode("overwrite").parquet(f"{self.store.root}/sizes/{self.job}/batch={version}")
             events = normalize.with_times(normalize.with_queue(valid), self.clock())
             events = (
-                events.withColumn("minute", div(F.col("arrival_ms"), 60_000))
+                events.withColumn("second", div(F.col("arrival_ms"), 1000))
                 .withColumnRenamed("start", "archive_start").withColumnRenamed("end", "archive_end")
             )
             firsts = once.groupBy("shard").agg(
@@ -65,7 +67,7 @@ class Ingest:
                 F.min("arrival_ms").alias("value"),
             )
             appender.append(
-                events, firsts, version, ["minute"], ["arrival_ms", "sequence", "line"], markers=markers
+                events, firsts, version, ["second"], ["arrival_ms", "sequence", "line"], markers=markers
             )
         finally:
             parsed.unpersist()

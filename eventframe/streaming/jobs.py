@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,10 @@ from ..operators import archive, merges, monitor, normalize, triggers
 from ..operators.stats import ROW_VERSION
 from ..schemas import BOT_IMAGE, POSITION_STATE, QUEUE_IMAGE, QUEUE_STATE, REQUEST_STATE
 from ..sources import changes as feed
+from ..sources import folders
 from ..sources import records as rec
 from ..sources.files import PAGE, plain_path
-from ..sources.queues import QueueStore, archive_then_live
+from ..sources.queues import QueueStore, archive_then_live, partition_name, second_of
 from .appending import Appender, bot_clock, bot_rows, queue_states
 from .ingest import now_ms
 
@@ -120,11 +122,11 @@ def copy_queue(
         rows = batch.select("eid", "payload", "source_ms", "s3")
         rows = change(rows) if change else rows
         events = bot_rows(rows, bot, destination, now).withColumn("from_eid", F.col("eid"))
-        events = events.withColumn("minute", F.substring("from_eid", 1, 19)).drop("eid")
+        events = events.withColumn("second", second_of(F.col("from_eid"))).drop("eid")
         read = read_position(batch, bot, source, now)
-        appender.append(events, bot_clock(store.spark, bot, now), version, ["minute"], ["from_eid"], read=read)
+        appender.append(events, bot_clock(store.spark, bot, now), version, ["second"], ["from_eid"], read=read)
 
-    return start_batches(into, store.stream(names.canonical_text(source), max_files), bot, work, **trigger)
+    return start_batches(into, store.stream(source, max_files), bot, work, **trigger)
 
 
 def read_position(batch: DataFrame, bot: str, queue: str, now: int) -> DataFrame:
@@ -213,6 +215,25 @@ def expire(store: QueueStore, now_s: int) -> DataFrame:
     return normalize.retained(store.events(), now_s)
 
 
+def drop_expired_days(store: QueueStore, now_s: int, ttl_seconds: int = normalize.TTL_SECONDS) -> list[str]:
+    """Delete the day folders whose every event has expired; returns what was deleted.
+
+    Only folder names are read. Archives stay, and so do snapshots, whose days
+    are not the days of their expiry.
+    """
+    end = datetime.fromtimestamp(now_s - ttl_seconds, UTC).strftime("%Y-%m-%d")
+    kept = (partition_name(names.ARCHIVE_SUFFIX), partition_name(names.SNAPSHOT_SUFFIX))
+    dropped = []
+    for queue in folders.children(store.spark, store.events_path):
+        if not queue.startswith("queue=") or queue.endswith(kept):
+            continue
+        for day in folders.children(store.spark, f"{store.events_path}/{queue}"):
+            if day.startswith("date=") and day.removeprefix("date=") < end:
+                folders.delete(store.spark, f"{store.events_path}/{queue}/{day}")
+                dropped.append(f"{queue}/{day}")
+    return dropped
+
+
 def whole_history(store: QueueStore) -> DataFrame:
     """Archived and live events of every queue, each once."""
     return archive_then_live(store.events(), queue_states(store))

@@ -190,6 +190,15 @@ def test_archive_rolls_up_only_what_is_new(spark, store):
     assert parts == {("archive", 7), ("live", 1)}
 
 
+def test_expired_days_are_dropped_but_archives_stay(spark, store):
+    order_store(spark, store, 3)
+    jobs.roll_up(store, "z/2024/02/02")
+    second = NOW // 1000
+    assert jobs.drop_expired_days(store, second + 604_800 + 86_399) == []
+    assert jobs.drop_expired_days(store, second + 604_800 + 86_400) == ["queue=source/date=2024-02-01"]
+    assert {r["queue"] for r in store.events().collect()} == {"source/_archive"}
+
+
 def test_state_table_shows_whole_versions_only(spark):
     table = StateTable(spark, work_dir(spark, "state"), QUEUE_STATE, keep=2)
     empty = table.load()
