@@ -8,7 +8,7 @@ from ..functions import names, positions
 from ..functions.times import DAY_MS, div, utc_day
 from ..operators import archive, normalize, numbering, stats
 from ..schemas import POSITION_STATE
-from ..session import work_dir
+from ..session import work_dir, work_table
 from ..sources import files, queues
 from ..sources.queues import QueueStore
 from ..sources.records import event_json
@@ -62,7 +62,7 @@ def read_limit(spark, sf_dir):
       FROM stored WHERE queue = 'signup' AND eid > '{_START}')
     WHERE size <= 4000""", ("stored",))
 def read_bytes(spark, sf_dir):
-    rows = queues.after(views.numbered(spark, sf_dir), "signup", _START)
+    rows = queues.after(work_table(views.numbered(spark, sf_dir), "numbered"), "signup", _START)
     return queues.capped(rows, 4000).select("eid", "payload")
 
 
@@ -141,6 +141,7 @@ def _marks(rows):
 def archive_live_read(spark, sf_dir):
     """Events archived up to a position and all live ones, each read once."""
     rows = views.numbered(spark, sf_dir).select("queue", "eid", "id", "arrival_ms", "counter")
+    rows = work_table(rows, "numbered")
     both = rows.unionByName(archive.as_archive_rows(rows.filter(F.col("arrival_ms") < HALF_MS)))
     return queues.archive_then_live(both, _marks(rows)).select("queue", "eid", "id", "part")
 
@@ -152,7 +153,7 @@ def archive_live_read(spark, sf_dir):
     SELECT queue, eid, id, 'live' FROM stored WHERE eid >= {sql_bucket(str(HALF_MS + 5 * DAY_MS))}""", ("stored",))
 def snapshot_tail(spark, sf_dir):
     """A snapshot of everything before a point, then the live events from there."""
-    rows = views.numbered(spark, sf_dir)
+    rows = work_table(views.numbered(spark, sf_dir).drop("payload"), "numbered")
     half = F.lit(HALF_MS).cast("bigint")
     taken = rows.filter(F.col("arrival_ms") < HALF_MS + 5 * DAY_MS).withColumn("queue", names.snapshot_of(F.col("queue")))
     taken = numbering.with_positions(taken, bucket_ms=half)
@@ -171,7 +172,7 @@ def subscriber_backlog(spark, sf_dir):
     number = F.substring_index("id", "-", -1).cast("bigint")
     position = positions.position(F.lit(1_706_572_800_000) - number % 700 * 3_600_000, F.lit(0))
     subscribers = bots.select("id", F.explode(F.array_distinct("triggers")).alias("queue"), position.alias("checkpoint"))
-    return queues.unread(views.numbered(spark, sf_dir), subscribers)
+    return queues.unread(work_table(views.numbered(spark, sf_dir).select("queue", "eid"), "numbered"), subscribers)
 
 
 @query("subscriber_catalog", f"""

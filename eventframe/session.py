@@ -47,6 +47,16 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def work_table(df: DataFrame, label: str) -> DataFrame:
+    """Write rows that are read several times to the shared folder and read them back.
+
+    It cuts the lineage, and lost executors cost a read instead of the work.
+    """
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
     """Measure at most ``max_rows + 1`` rows of ``df`` against both bounds."""
     probe = df.limit(max_rows + 1).select(F.length(F.to_json(F.struct("*"))).alias("n"))
