@@ -115,8 +115,8 @@ def replication_bots(route_rows: DataFrame) -> DataFrame:
 
 
 def route_events(events: DataFrame, route_rows: DataFrame) -> DataFrame:
-    """Each event once per route of its queue."""
-    table = route_rows.select(canonical(F.col("source")).alias("queue"), "account", "stack", "destination")
+    """Each event once per distinct route of its queue."""
+    table = route_rows.select(canonical(F.col("source")).alias("queue"), "account", "stack", "destination").distinct()
     return events.join(hint_small(table), "queue")
 
 

@@ -208,19 +208,19 @@ def trigger_fanout(spark, sf_dir):
 
 
 def mapping_texts(spark, sf_dir):
-    """A mapping text per region: a plain queue and one with parts given."""
+    """A mapping text per supplier: a plain queue, and one with some parts given."""
     kinds = F.array(*[F.lit(k) for k in EVENT_TYPES])
-    key = F.col("r_regionkey")
-    plain = F.element_at(kinds, key + 1)
-    given = F.element_at(kinds, (key + 1) % 5 + 1)
+    key, side = F.col("s_suppkey"), F.col("s_nationkey") % 2
+    plain = F.element_at(kinds, (key % 5 + 1).cast("int"))
+    given = F.element_at(kinds, ((key + 1) % 5 + 1).cast("int"))
     parts = F.concat_ws(
         ",",
-        F.when(key % 2 == 0, F.concat(F.lit('"account":"'), (key + 10_000).cast("string"), F.lit('"'))),
-        F.when(key % 3 == 0, F.concat(F.lit('"stack":"bus-'), key.cast("string"), F.lit('"'))),
-        F.when(key != 2, F.concat(F.lit('"destination":"'), given, F.lit('-copy"'))),
+        F.when(key % 2 == 0, F.concat(F.lit('"account":"'), (side + 10_000).cast("string"), F.lit('"'))),
+        F.when(key % 3 == 0, F.concat(F.lit('"stack":"bus-'), side.cast("string"), F.lit('"'))),
+        F.when(side == 1, F.concat(F.lit('"destination":"'), given, F.lit('-copy"'))),
     )
     mapping = F.concat(F.lit('["queue:'), plain, F.lit('", {"'), given, F.lit('":{'), parts, F.lit("}}]"))
-    return table(spark, sf_dir, "region").select(key.cast("bigint").alias("pos"), mapping.alias("mapping"))
+    return table(spark, sf_dir, "supplier").select(key.alias("pos"), mapping.alias("mapping"))
 
 
 def address_texts(spark, sf_dir):
@@ -242,14 +242,13 @@ _DESTINATIONS = """
 _KINDS = "[" + ", ".join(f"'{k}'" for k in EVENT_TYPES) + "]"
 _ROUTES = f"""
     SELECT pos, entry_pos, source, coalesce(a, account) AS account, coalesce(s, stack) AS stack, destination
-    FROM (SELECT CAST(r_regionkey AS BIGINT) AS pos, CAST(0 AS INTEGER) AS entry_pos,
-                 'queue:' || {_KINDS}[r_regionkey + 1] AS source,
-                 NULL AS a, NULL AS s, 'queue:' || {_KINDS}[r_regionkey + 1] AS destination FROM region
+    FROM (SELECT s_suppkey AS pos, CAST(0 AS INTEGER) AS entry_pos, 'queue:' || {_KINDS}[s_suppkey % 5 + 1] AS source,
+                 NULL AS a, NULL AS s, 'queue:' || {_KINDS}[s_suppkey % 5 + 1] AS destination FROM supplier
           UNION ALL
-          SELECT r_regionkey, 1, {_KINDS}[(r_regionkey + 1) % 5 + 1],
-                 CASE WHEN r_regionkey % 2 = 0 THEN CAST(r_regionkey + 10000 AS VARCHAR) END,
-                 CASE WHEN r_regionkey % 3 = 0 THEN 'bus-' || r_regionkey END,
-                 {_KINDS}[(r_regionkey + 1) % 5 + 1] || CASE WHEN r_regionkey <> 2 THEN '-copy' ELSE '' END FROM region),
+          SELECT s_suppkey, 1, {_KINDS}[(s_suppkey + 1) % 5 + 1],
+                 CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey % 2 + 10000 AS VARCHAR) END,
+                 CASE WHEN s_suppkey % 3 = 0 THEN 'bus-' || (s_nationkey % 2) END,
+                 {_KINDS}[(s_suppkey + 1) % 5 + 1] || CASE WHEN s_nationkey % 2 = 1 THEN '-copy' ELSE '' END FROM supplier),
          (SELECT account, stack FROM ({_DESTINATIONS}) ORDER BY pos LIMIT 1)"""
 
 
@@ -270,7 +269,8 @@ def route_table(spark, sf_dir):
 
 @query("route_events", f"""
     SELECT seq, s.queue, account, stack, destination
-    FROM stored s JOIN (SELECT * EXCLUDE (source), regexp_replace(source, '^queue:', '') AS queue FROM ({_ROUTES})) r
+    FROM stored s JOIN (SELECT DISTINCT account, stack, destination, regexp_replace(source, '^queue:', '') AS queue
+                        FROM ({_ROUTES})) r
       ON r.queue = s.queue""", ("stored",))
 def route_events(spark, sf_dir):
     routes, _ = _routes(spark, sf_dir)
