@@ -70,23 +70,6 @@ def from_key(k: Column) -> Column:
     return position(batch_ms, counter, minute * _MINUTE_MS)
 
 
-def key_of(eid: Column) -> Column:
-    """Key of a stored position."""
-    digits = F.regexp_replace(F.substring(eid, 3, 16), "/", "")
-    minute = F.timestamp_diff(
-        "MINUTE", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.try_to_timestamp(digits, F.lit("yyyyMMddHHmm")).cast("timestamp_ntz")
-    )
-    return key(batch_ms_of(eid), counter_of(eid), minute * _MINUTE_MS)
-
-
-def batch_ms_of(eid: Column) -> Column:
-    return F.regexp_extract(eid, r"/(\d+)-\d+$", 1).try_cast("bigint")
-
-
-def counter_of(eid: Column) -> Column:
-    return F.regexp_extract(eid, r"-(\d+)$", 1).try_cast("bigint")
-
-
 def day_of(eid: Column) -> Column:
     """``yyyy-MM-dd`` partition of a position."""
     return F.replace(F.substring(eid, 3, 10), F.lit("/"), F.lit("-"))

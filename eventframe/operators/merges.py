@@ -1,7 +1,6 @@
 """Keyed state tables: each merge is state full-outer-joined with its changes.
 
-Changes hold one row per key; the ``last_*`` helpers get them there with a
-map-side aggregate.
+Changes hold one row per key.
 """
 
 from __future__ import annotations
@@ -13,16 +12,6 @@ from pyspark.sql import functions as F
 FUNCTION_ADDRESS = r"^arn:aws:lambda:.*?:\d+:function:(.*)$"
 
 
-def last_per_key(rows: DataFrame, keys: list[str], order: Column, values: list[str]) -> DataFrame:
-    """Last value of each column per key, each column on its own.
-
-    A null does not overwrite, so a row sets only the columns it carries.
-    """
-    return rows.groupBy(*keys).agg(
-        *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), order)).alias(v) for v in values]
-    )
-
-
 def upsert(state: DataFrame, changes: DataFrame, keys: list[str], highest: tuple[str, ...] = ()) -> DataFrame:
     """Set the supplied columns of each key; null means "not supplied".
 

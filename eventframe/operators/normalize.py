@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..functions.positions import day_of
 from ..functions.times import div, parse_ms
 
 # Retention and backlog limits.
@@ -135,7 +134,3 @@ def batch_backlog(df: DataFrame, now_ms: int, batch: list[str]) -> DataFrame:
         "bulk",
         (F.lit(now_ms) - F.col("first_ms") > BACKLOG_SECONDS * 1000) | (F.col("records") > BACKLOG_RECORDS),
     )
-
-
-def with_day(df: DataFrame) -> DataFrame:
-    return df.withColumn("date", day_of(F.col("eid")))

@@ -99,6 +99,27 @@ def file_backfill(spark, sf_dir):
     )
 
 
+@query("command_backfill", f"""
+    SELECT regexp_replace(event, '^queue:', '') AS queue, count(*) AS records,
+           CAST(sum(coalesce(write_ms, {NOW_MS})) AS BIGINT) AS write_sum,
+           (SELECT CAST(ceil(count(DISTINCT seq // 2 % 120) / 100) AS BIGINT) FROM base) AS commands
+    FROM base GROUP BY 1""", ("base",))
+def command_backfill(spark, sf_dir):
+    """Files found page by page, named in load commands, and loaded from them in order."""
+    store = QueueStore(spark, work_dir(spark, "commands"))
+    inbox = f"{store.root}/inbox"
+    lines = views.encoded(spark, sf_dir, foreign=False).select((F.col("pair") % 120).alias("part"), "data")
+    lines.repartition(4, "part").write.partitionBy("part").text(f"{inbox}/firehose")
+    found = 0
+    while jobs.discover_files(store, inbox, clock=clock):
+        found += 1
+    finish(jobs.run_load_commands(store, inbox, "loader", clock=clock))
+    loaded = store.events().filter(F.col("creator") == jobs.BACKFILL_CREATOR)
+    return loaded.groupBy("queue").agg(
+        F.count("*").alias("records"), F.sum("write_ms").alias("write_sum")
+    ).withColumn("commands", F.lit(found).cast("bigint"))
+
+
 def ordered(spark: SparkSession, sf_dir: str) -> QueueStore:
     """A queue of all orders, written by one bot."""
     store = QueueStore(spark, work_dir(spark, "orders"))

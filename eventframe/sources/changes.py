@@ -10,9 +10,6 @@ from ..functions.typed import parsed_image, plain_image
 from ..operators.running import with_previous
 from ..schemas import CHANGE
 
-# Fixed value: rows per batch of a change consumer.
-BATCH_ROWS = 500
-
 
 def stream_changes(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """Change records from JSON files, oldest first."""

@@ -60,6 +60,8 @@ def plain_path(uri: Column) -> Column:
 def lines_of(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     """Text lines of the files in ``files`` (column ``key`` below ``root``), with its columns.
 
+    ``block`` and ``row`` order the lines of a file.
+
     Up to ``MAX_PATHS`` names go to the reader, so it opens nothing else. More
     names stay in the cluster: the folder is read and joined by path.
     """
@@ -67,12 +69,18 @@ def lines_of(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     wanted = files.withColumn("_path", F.concat(F.lit(base), "key"))
     named = [r[0] for r in wanted.select("_path").distinct().limit(MAX_PATHS + 1).collect()]
     if not named:
-        schema = T.StructType([*files.schema.fields, T.StructField("text", T.StringType())])
+        place = [T.StructField("text", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("block", "row")]]
+        schema = T.StructType([*files.schema.fields, *place])
         return spark.createDataFrame([], schema)
     reader = spark.read
     if len(named) <= MAX_PATHS:
         texts = reader.text(sorted(named))
     else:
         texts = reader.option("recursiveFileLookup", "true").text(root)
-    texts = texts.select(F.col("value").alias("text"), plain_path(F.col("_metadata.file_path")).alias("_path"))
+    texts = texts.select(
+        F.col("value").alias("text"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        plain_path(F.col("_metadata.file_path")).alias("_path"),
+    )
     return texts.join(wanted, "_path").drop("_path")

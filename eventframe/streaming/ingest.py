@@ -40,7 +40,7 @@ class Ingest:
 
     def run_batch(self, records: DataFrame, version: int) -> None:
         """One micro-batch. Records arrive per shard; a shard's records form one batch."""
-        appender = Appender(self.store, self.job, max_records_per_file=self.bulk_records_per_file)
+        appender = Appender(self.store, self.job)
         if appender.done(version):
             return
         once = records.dropDuplicates(["shard", "sequence"])
@@ -49,6 +49,7 @@ class Ingest:
             rec.bad_lines(parsed).write.mode("overwrite").parquet(
                 f"{self.store.root}/quarantine/{self.job}/batch={version}"
             )
+            self._choose_file_size(appender, parsed)
             rows = rec.envelopes(parsed)
             markers = self._markers(rows)
             valid = normalize.valid_bus_events(normalize.data_rows(rows))
@@ -72,6 +73,13 @@ class Ingest:
         finally:
             parsed.unpersist()
 
+    def _choose_file_size(self, appender: Appender, parsed: DataFrame) -> None:
+        """A late or large batch is cut into files of bounded size."""
+        records = parsed.select("shard", "sequence", "arrival_ms").distinct()
+        backlog = normalize.batch_backlog(records, self.clock(), ["shard"])
+        bulk = backlog.agg(F.bool_or("bulk")).first()[0]
+        appender.max_records_per_file = self.bulk_records_per_file if bulk else 0
+
     @staticmethod
     def _markers(rows: DataFrame) -> DataFrame:
         commands = normalize.snapshot_commands(rows).select(

@@ -15,11 +15,11 @@ from ..operators import archive, merges, monitor, normalize, triggers
 from ..operators.stats import ROW_VERSION
 from ..schemas import BOT_IMAGE, POSITION_STATE, QUEUE_IMAGE, QUEUE_STATE, REQUEST_STATE
 from ..sources import changes as feed
-from ..sources import folders
+from ..sources import files, folders
 from ..sources import records as rec
 from ..sources.files import PAGE, plain_path
 from ..sources.queues import QueueStore, archive_then_live, partition_name, second_of
-from .appending import Appender, bot_clock, bot_rows, queue_states
+from .appending import Appender, bot_clock, bot_rows, queue_states, write_events
 from .ingest import now_ms
 
 # Who marks backfilled events, and the queue of monitoring facts.
@@ -64,38 +64,88 @@ def stream_file_lines(spark: SparkSession, folder: str, max_files: int = PAGE) -
 def backfill(
     store: QueueStore, lines: DataFrame, bot: str, clock: Callable[[], int] = now_ms, **trigger
 ) -> StreamingQuery:
-    """Load files of event lines into their queues."""
+    """Load files of event lines into their queues as they arrive."""
 
     def work(batch: DataFrame, version: int) -> None:
         appender = Appender(store, bot)
         if appender.done(version):
             return
-        placed = batch.withColumn("row", F.monotonically_increasing_id())
-        parsed = rec.parsed_lines(rec.decoded_texts(placed, raw=True))
-        parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            rows = normalize.valid_file_events(rec.envelopes(parsed))
-            nameless = rows.filter(~normalize.has_text(F.col("event"))).select("file", "id", "payload")
-            rec.bad_lines(parsed).select("file", "json", "problem").unionByName(
-                nameless.withColumn("problem", F.lit("no queue")), allowMissingColumns=True
-            ).write.mode("overwrite").parquet(f"{store.root}/quarantine/{bot}/batch={version}")
-            now = clock()
-            events = rows.filter(normalize.has_text(F.col("event"))).withColumn("queue", names.canonical(F.col("event")))
-            events = normalize.with_creator(normalize.with_times(events, now), BACKFILL_CREATOR)
-            events = events.withColumn("shard", F.lit(bot)).drop("start", "end")
-            read = batch.agg(F.max("file").alias("eid"), F.count_distinct("file").alias("units")).select(
-                F.lit(bot).alias("id"), F.lit("files").alias("queue"), F.lit("read").alias("type"), "eid", "units",
-                *[F.lit(now).cast("bigint").alias(f"{c}_timestamp") for c in ("source", "started", "ended")],
-            )
-            appender.append(
-                events, bot_clock(store.spark, bot, now), version, ["file", "block"], ["row", "line"], read=read
-            )
-        finally:
-            parsed.unpersist()
+        now = clock()
+        read = batch.agg(F.max("file").alias("eid"), F.count_distinct("file").alias("units"))
+        rows = batch.withColumn("row", F.monotonically_increasing_id())
+        load_lines(appender, rows, version, now, ["file", "block"], position_row(read, bot, "files", now))
 
     return start_batches(store, lines, bot, work, **trigger)
 
 
+def load_lines(
+    appender: Appender, lines: DataFrame, version: int, now: int, bucket: list[str], read: DataFrame
+) -> None:
+    """Decode, check and store lines of event files (``data`` and the columns of ``bucket``, ``row``)."""
+    store, bot = appender.store, appender.job
+    parsed = rec.parsed_lines(rec.decoded_texts(lines, raw=True)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = normalize.valid_file_events(rec.envelopes(parsed))
+        nameless = rows.filter(~normalize.has_text(F.col("event"))).select("file", "id", "payload")
+        rec.bad_lines(parsed).select("file", "json", "problem").unionByName(
+            nameless.withColumn("problem", F.lit("no queue")), allowMissingColumns=True
+        ).write.mode("overwrite").parquet(f"{store.root}/quarantine/{bot}/batch={version}")
+        events = rows.filter(normalize.has_text(F.col("event"))).withColumn("queue", names.canonical(F.col("event")))
+        events = normalize.with_creator(normalize.with_times(events, now), BACKFILL_CREATOR)
+        events = events.withColumn("shard", F.lit(bot)).drop("start", "end", "eid")
+        appender.append(events, bot_clock(store.spark, bot, now), version, bucket, ["row", "line"], read=read)
+    finally:
+        parsed.unpersist()
+
+
+def discover_files(store: QueueStore, folder: str, bot: str = "file-finder", clock: Callable[[], int] = now_ms) -> int:
+    """Write one load command for the next page of files below a folder; returns how many it names.
+
+    The cursor moves after the command is written, so a crash between the two
+    repeats a command and loses none.
+    """
+    table = store.state(f"{bot}/positions", POSITION_STATE)
+    saved = table.load().select("eid").first()
+    cursor = saved["eid"] if saved else ""
+    page = files.next_files(files.listing(store.spark, folder), cursor)
+    done = files.cursor_after(page, cursor)
+    named = done.first()["files"]
+    if named:
+        now = clock()
+        command = files.load_command(page, folder).withColumn("part", F.lit(0))
+        write_events(store, bot, files.COMMAND_QUEUE, command.select("payload", "part"), ["part"], now)
+        version = 0 if table.version() is None else table.version() + 1
+        after = done.select(F.col("cursor").alias("eid"), F.col("files").alias("units"))
+        table.commit(position_row(after, bot, folder, now), version)
+    return named
+
+
+def run_load_commands(
+    store: QueueStore, folder: str, bot: str, clock: Callable[[], int] = now_ms, max_files: int = 1, **trigger
+) -> StreamingQuery:
+    """Load the files named by load commands, in command and list order."""
+
+    def work(batch: DataFrame, version: int) -> None:
+        appender = Appender(store, bot)
+        if appender.done(version):
+            return
+        now = clock()
+        wanted = files.command_files(batch.select(F.col("eid").alias("command"), "payload"))
+        lines = files.lines_of(store.spark, wanted, folder).withColumnsRenamed({"text": "data", "key": "file"})
+        read = read_position(batch, bot, files.COMMAND_QUEUE, now)
+        load_lines(appender, lines, version, now, ["command", "pos", "block"], read)
+
+    return start_batches(store, store.stream(files.COMMAND_QUEUE, max_files), bot, work, **trigger)
+
+
+def position_row(read: DataFrame, bot: str, queue: str, now: int) -> DataFrame:
+    """Checkpoint row of a bot from ``eid`` and ``units``."""
+    return read.select(
+        F.lit(bot).alias("id"), F.lit(queue).alias("queue"), F.lit("read").alias("type"), "eid", "units",
+        *[F.lit(now).cast("bigint").alias(f"{c}_timestamp") for c in ("source", "started", "ended")],
+    )
+
+
 def copy_queue(
     store: QueueStore,
     bot: str,

@@ -19,6 +19,7 @@ from eventframe.operators import archive, merges, monitor, normalize, numbering,
 from eventframe.operators import triggers, validate
 from eventframe.plans.changing import CUSTOMER_DEFINITIONS, CUSTOMER_SCHEMA
 from eventframe.schemas import BOT_IMAGE, CHANGE
+from eventframe.session import work_dir
 from eventframe.sources import changes as feed
 from eventframe.sources import files, logs, queues
 from eventframe.sources import records as rec
@@ -346,6 +347,14 @@ def test_run_lines_round_halves_up(spark):
     assert plain == "[M]:v1:2:5:2:7:21:10:11:2:1:a"
 
 
+def test_log_lines_are_written(spark):
+    path = work_dir(spark, "log")
+    lines = spark.createDataFrame([("a",), ("b",)], "line string")
+    logs.write_lines(lines, path)
+    logs.write_lines(lines.limit(0), path, runlog.error_line("[M]"))
+    assert sorted(r["value"] for r in spark.read.text(path).collect()) == ["[M]:ERROR", "a", "b"]
+
+
 def test_system_rows(spark):
     runs = spark.createDataFrame([("bot", "q", 4, 10, 20, 50), ("bot", "a.q", 1, None, None, None)],
                                  "id string, event string, units long, source_ms long, exec_start long, exec_end long")

@@ -177,6 +177,18 @@ def test_backfill_reads_files_in_order(spark, store):
     assert (read["queue"], read["units"]) == ("files", 1)
 
 
+def test_load_commands_follow_the_cursor(spark, store):
+    inbox = f"{store.root}/inbox"
+    for day, numbers in (("01", (0, 1)), ("02", (2,))):
+        lines = [(json.dumps(event(n, timestamp=n + 1)),) for n in numbers]
+        spark.createDataFrame(lines, "value string").coalesce(1).write.text(f"{inbox}/firehose/2024/01/{day}")
+        assert jobs.discover_files(store, inbox, clock=lambda: NOW) == 1
+        assert jobs.discover_files(store, inbox, clock=lambda: NOW) == 0
+        assert jobs.drain(jobs.run_load_commands(store, inbox, "loader", clock=lambda: NOW), 300)
+    assert [n for _, n in sorted(stored(store, "a").items())] == [0, 1, 2]
+    assert jobs.positions_of(store, "loader").first()["queue"] == "commands.s3_bus_load"
+
+
 def test_archive_rolls_up_only_what_is_new(spark, store):
     order_store(spark, store, 5)
     assert jobs.roll_up(store, "z/2024/02/02").count() == 1
