@@ -30,9 +30,29 @@ def archive_candidates(queues: DataFrame, today: str) -> DataFrame:
 
 
 def to_archive(events: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Events past the archive end of their queue, for all candidates at once."""
+    """Events past the archive end of their queue, for all candidates at once.
+
+    On stored events the days between a queue's archive end and its last
+    position join by folder, so days archived before are not read.
+    """
     ends = candidates.select("queue", "archive_end")
-    return events.join(hint_small(ends), "queue").filter(F.col("eid") > F.col("archive_end")).drop("archive_end")
+    if "date" not in events.columns:
+        return _past_end(events.join(hint_small(ends), "queue"))
+    days = F.sequence(
+        F.try_to_date(positions.day_of(F.col("archive_end"))), F.try_to_date(positions.day_of(F.col("max_eid")))
+    )
+    known = F.try_to_date(positions.day_of(F.col("archive_end"))).isNotNull() & F.try_to_date(
+        positions.day_of(F.col("max_eid"))
+    ).isNotNull()
+    dated = candidates.filter(known).select("queue", "archive_end", F.explode(days.cast("array<string>")).alias("date"))
+    fresh = candidates.filter(~known).select("queue", "archive_end")
+    some = _past_end(events.join(hint_small(dated), ["queue", "date"])).select(*events.columns)
+    rest = _past_end(events.join(hint_small(fresh), "queue")).select(*events.columns)
+    return some.unionByName(rest)
+
+
+def _past_end(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("eid") > F.col("archive_end")).drop("archive_end")
 
 
 def chunk_start(ms: Column, minutes: int = CHUNK_MINUTES) -> Column:

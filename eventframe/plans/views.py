@@ -19,6 +19,8 @@ from ..sources.records import event_json
 NOW_MS = 1_706_745_600_000
 # Middle of the events' month: 2024-01-16 UTC.
 HALF_MS = 1_705_363_200_000
+# Archives and snapshots of the record stream are taken every ten days.
+SPAN_MS = 10 * DAY_MS
 BATCH_SPAN = 400
 SHARDS = 4
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -180,14 +182,15 @@ def rough(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON lines."""
     rows = base_events(spark, sf_dir)
+    span = div(F.col("ms"), SPAN_MS) * SPAN_MS
     rows = rows.withColumns({
-        "snapshot_ms": F.when(F.col("snapshot"), div(F.col("ms"), DAY_MS) * DAY_MS),
+        "snapshot_ms": F.when(F.col("snapshot"), span),
         "start": F.when(
             F.col("cmd").isNotNull() | F.col("archive"),
-            F.when(F.col("archive"), positions.position(F.col("ms"), F.lit(0))).otherwise(F.col("ms").cast("string")),
+            F.when(F.col("archive"), positions.position(span, F.lit(0))).otherwise(F.col("ms").cast("string")),
         ),
         "next": F.when(F.col("cmd").isNotNull(), (F.col("ms") + 3_600_000).cast("string")),
-        "end": F.when(F.col("archive"), positions.position(F.col("ms"), F.col("seq") % 1000)),
+        "end": F.when(F.col("archive"), positions.position(span, F.col("seq") % 1000)),
         "archive": F.when(F.col("archive"), F.lit(True)),
     })
     return rows.withColumn("json", event_json(rows))
@@ -220,6 +223,7 @@ def encoded(spark: SparkSession, sf_dir: str, foreign: bool = True) -> DataFrame
     )
 
 
+_SPAN = f"(ms // {SPAN_MS} * {SPAN_MS})"
 _QUEUE = "regexp_replace(event, '^queue:', '')"
 
 SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -285,11 +289,11 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                || coalesce(',"payload":' || payload, '') || coalesce(',"timestamp":' || write_ms, '')
                || coalesce(',"event_source_timestamp":' || source_ms, '')
                || coalesce(',"_cmd":"' || cmd || '"', '')
-               || CASE WHEN archive THEN ',"start":"' || {sql_position('ms', '0')} || '"'
+               || CASE WHEN archive THEN ',"start":"' || {sql_position(_SPAN, '0')} || '"'
                        WHEN cmd IS NOT NULL THEN ',"start":"' || ms || '"' ELSE '' END
                || CASE WHEN cmd IS NOT NULL THEN ',"next":"' || (ms + 3600000) || '"' ELSE '' END
-               || CASE WHEN archive THEN ',"end":"' || {sql_position('ms', 'seq % 1000')} || '","archive":true' ELSE '' END
-               || CASE WHEN snapshot THEN ',"snapshot":' || (ms // {DAY_MS} * {DAY_MS}) ELSE '' END || '}}' AS json
+               || CASE WHEN archive THEN ',"end":"' || {sql_position(_SPAN, 'seq % 1000')} || '","archive":true' ELSE '' END
+               || CASE WHEN snapshot THEN ',"snapshot":' || {_SPAN} ELSE '' END || '}}' AS json
         FROM base"""),
 }
 

@@ -43,8 +43,7 @@ class Ingest:
         appender = Appender(self.store, self.job)
         if appender.done(version):
             return
-        once = records.dropDuplicates(["shard", "sequence"])
-        parsed = rec.parsed_lines(rec.decoded_texts(once)).persist(StorageLevel.MEMORY_AND_DISK)
+        parsed = rec.parsed_lines(rec.decoded_texts(records)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             rec.bad_lines(parsed).write.mode("overwrite").parquet(
                 f"{self.store.root}/quarantine/{self.job}/batch={version}"
@@ -63,7 +62,7 @@ class Ingest:
                 events.withColumn("second", div(F.col("arrival_ms"), 1000))
                 .withColumnRenamed("start", "archive_start").withColumnRenamed("end", "archive_end")
             )
-            firsts = once.groupBy("shard").agg(
+            firsts = records.groupBy("shard").agg(
                 F.min_by("sequence", F.struct("arrival_ms", "sequence")).alias("sequence"),
                 F.min("arrival_ms").alias("value"),
             )

@@ -131,9 +131,9 @@ def test_stream_restarts_where_it_stopped_and_drops_redelivered_records(spark, s
     assert [n for _, n in sorted(held.items())] == list(range(8))
 
 
-def order_store(spark, store, count):
+def order_store(spark, store, count, now=NOW):
     rows = spark.range(count).select(F.to_json(F.struct(F.col("id").alias("n"))).alias("payload"), F.col("id").alias("k"))
-    assert write_events(store, "writer", "queue:source", rows, ["k"], NOW) == count
+    assert write_events(store, "writer", "queue:source", rows, ["k"], now) == count
 
 
 def test_written_events_are_read_by_position(spark, store):
@@ -193,11 +193,11 @@ def test_archive_rolls_up_only_what_is_new(spark, store):
     order_store(spark, store, 5)
     assert jobs.roll_up(store, "z/2024/02/02").count() == 1
     assert jobs.roll_up(store, "z/2024/02/02").count() == 0
-    order_store(spark, store, 2)
-    jobs.roll_up(store, "z/2024/02/02")
+    order_store(spark, store, 2, NOW + 86_400_000)
+    assert jobs.roll_up(store, "z/2024/02/03").count() == 1
     history = jobs.whole_history(store)
     assert {(r["part"], r["count"]) for r in history.groupBy("part").count().collect()} == {("archive", 7)}
-    order_store(spark, store, 1)
+    order_store(spark, store, 1, NOW + 2 * 86_400_000)
     parts = {(r["part"], r["count"]) for r in jobs.whole_history(store).groupBy("part").count().collect()}
     assert parts == {("archive", 7), ("live", 1)}
 
