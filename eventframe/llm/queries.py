@@ -7,12 +7,52 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventframe.llm import bpe_codec, token_counts
+from eventframe.llm import bpe_codec, line_dedup, sharding, simhash, token_counts
 from eventframe.llm.texts import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten or more sources carry."""
+    return line_dedup.without_boilerplate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "text", "n_lines", "n_removed"
+    )
+
+
+OP4_SQL = f"""
+WITH lines AS (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) AS place
+    FROM documents
+), boilerplate AS (
+    SELECT trim(line, ' ') AS kept FROM lines WHERE length(trim(line, ' ')) >= {line_dedup.MIN_CHARS}
+    GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
+), marked AS (
+    SELECT doc_id, line, place, trim(line, ' ') IN (SELECT kept FROM boilerplate) AS bad FROM lines
+), cleaned AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad,
+           coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT bad), '') AS clean
+    FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, d.source,
+       CASE WHEN n_bad > 0 AND length(clean) >= {1 - line_dedup.MAX_SHARE} * length(text) THEN clean ELSE text END AS text,
+       CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines,
+       CAST(CASE WHEN n_bad > 0 AND length(clean) >= {1 - line_dedup.MAX_SHARE} * length(text) THEN n_bad ELSE 0 END AS INTEGER) AS n_removed
+FROM documents d LEFT JOIN cleaned USING (doc_id)
+"""
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of three-word shingles, linked within two bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, bits=2)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
@@ -24,7 +64,10 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op4_line_dedup": op4_line_dedup,
+    "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL}
