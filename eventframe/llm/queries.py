@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventframe.llm import bpe_codec, line_dedup, sharding, simhash, token_counts
+from eventframe.llm import bpe_codec, language_id, line_dedup, sharding, simhash, token_counts, toxicity
 from eventframe.llm.texts import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -18,6 +18,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expected toxicity grade of every document, and whether it is rejected."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(language_id.training_rows(docs, ~language_id.held_out()))
+    predicted = language_id.predict(docs, model)
+    return predicted.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten or more sources carry."""
     return line_dedup.without_boilerplate(table(spark, sf_dir, "documents")).select(
@@ -65,6 +79,8 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
