@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventframe.llm import bpe_codec, language_id, line_dedup, sharding, simhash, token_counts, toxicity
+from eventframe.llm import bpe_codec, decontamination, language_id, line_dedup, sharding, simhash, token_counts, toxicity
 from eventframe.llm.texts import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -62,6 +62,11 @@ FROM documents d LEFT JOIN cleaned USING (doc_id)
 """
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item of which it holds a passage, edits allowed."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of three-word shingles, linked within two bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, bits=2)
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_codec": op9_bpe_codec,

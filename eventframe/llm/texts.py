@@ -46,6 +46,18 @@ def map_texts(df: DataFrame, added: str, make: Callable[[], Callable[[list], lis
     return df.select("id", "text").mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows, all columns as they are, whose text is kept; ``make`` gives a batch's decisions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(of(batch.column(text_col).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it; set by this library only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
