@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventframe.llm import bpe_codec, decontamination, language_id, line_dedup, sharding, simhash, token_counts, toxicity
+from eventframe.llm import bpe_codec, decontamination, language_id, line_dedup, neighbours, sharding, simhash, token_counts, toxicity
 from eventframe.llm.texts import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -82,6 +82,11 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), count=5, every=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -91,5 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_neighbours": op10_neighbours,
 }
 ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL}
