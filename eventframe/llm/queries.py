@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventframe.llm import bpe_codec, decontamination, language_id, line_dedup, neighbours, sharding, simhash, token_counts, toxicity
+from eventframe.llm import bpe_codec, decontamination, language_id, line_dedup, neighbours, sharding, simhash, token_counts, token_files, toxicity
 from eventframe.llm.texts import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -62,6 +62,12 @@ FROM documents d LEFT JOIN cleaned USING (doc_id)
 """
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in training order: every sequence's slot, and its record as written."""
+    output = token_files.materialise(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return token_files.digests(output)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item of which it holds a passage, edits allowed."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
+    "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,

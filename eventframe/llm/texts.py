@@ -69,11 +69,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def work_table(df: DataFrame, label: str) -> DataFrame:
+def work_table(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Rows that are read more than once, written to the shared folder and read back.
 
     It cuts the lineage, and a lost executor costs a read instead of the work.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
