@@ -85,7 +85,8 @@ def without_boilerplate(
     affected = affected.join(_hint(spread), "line_hash", "left_semi")
     # equal texts have equal lines, so the list is kept once for each text
     lists = work_table(affected.groupBy("__text").agg(F.collect_set("line_hash").alias("__drop")), "boilerplate-lists")
-    joined = docs.withColumn("__text", F.xxhash64(text)).join(lists, "__text", "left")
+    # joined by sorting at every size: the lists grow with the documents, and skewed texts are split
+    joined = docs.withColumn("__text", F.xxhash64(text)).join(lists.hint("merge"), "__text", "left")
 
     lines = F.split(text, "\n", -1)
     stays = F.filter(lines, lambda x: ~((F.length(_trimmed(x)) >= min_chars) & F.array_contains(F.col("__drop"), _hash(x))))
