@@ -21,6 +21,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from eventframe.llm.components import components
 from eventframe.llm.texts import keyed, map_texts, work_table
@@ -150,6 +151,16 @@ def links(nodes: DataFrame, bits: int = 2, pivots: int = PIVOTS, paired: int = P
     return pairs.unionByName(stars)
 
 
+def _grouped(docs: DataFrame, size: int, bits: int, pivots: int, paired: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, fp, root, component_id`` of each row; ``root`` is a fingerprint that names the component."""
+    marked = work_table(fingerprints(docs, size, id_col, text_col), "fingerprints")
+    nodes = work_table(marked.groupBy("fp").agg(F.min("id").alias("low")), "fingerprint-classes")
+    roots = components(links(nodes, bits, pivots, paired))
+    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return marked.join(rooted.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 3, bits: int = 2, pivots: int = PIVOTS, paired: int = PAIRED_ROWS,
     id_col: str = "doc_id", text_col: str = "text",
@@ -164,13 +175,39 @@ def near_duplicates(
     read, an empty table gives no rows.
     """
     kind = docs.select(id_col).schema[0].dataType
-    marked = work_table(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    nodes = work_table(marked.groupBy("fp").agg(F.min("id").alias("low")), "fingerprint-classes")
-    roots = components(links(nodes, bits, pivots, paired))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(named, "fp").select(
+    return _grouped(docs, size, bits, pivots, paired, id_col, text_col).select(
         F.col("id").cast(kind).alias(id_col), digits.alias("fingerprint"), F.col("component_id").cast(kind).alias("component_id")
     )
+
+
+def one_of_each(
+    docs: DataFrame, size: int = 3, bits: int = 2, pivots: int = PIVOTS, paired: int = PAIRED_ROWS,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which each component keeps one.
+
+    It keeps the row of its smallest id (see ``near_duplicates``), any one of them where rows
+    repeat an id; a component of null ids alone keeps one row as well.
+    """
+    rows = work_table(_grouped(docs, size, bits, pivots, paired, id_col, text_col), "near-duplicates")
+    is_first = F.col("id").eqNullSafe(F.col("component_id"))
+    ids = rows.groupBy("id").agg(F.count("*").alias("rows"), F.max(is_first).alias("first")).where("first")
+    ids = work_table(ids.select(F.col("id").alias("__id"), "rows"), "kept-ids")
+    mine = F.col(id_col).eqNullSafe(F.col("__id"))
+    once = docs.join(ids.where("rows = 1").hint("merge"), mine, "left_semi")
+
+    # Rows that repeat an id are told apart by their fingerprints, and one is kept for each component.
+    often = docs.join(ids.where("rows > 1"), mine, "left_semi")
+    marked_schema = StructType([*often.schema.fields, StructField("__fp", LongType())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([fingerprint(t or "", size) for t in batch.column(text_col).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))], marked_schema.names)
+
+    first = rows.where(is_first).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+    told = often.mapInArrow(mark, marked_schema)
+    told = told.join(first, mine & (told["__fp"] == first["__fp"])).drop(first["__fp"])
+    kept = told.dropDuplicates([id_col, "__root"]).select(*docs.columns)
+    return once.unionByName(kept)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventframe.llm.letters import code_points, mixed, slabs, word_hashes
-from eventframe.llm.texts import keyed, map_texts, work_table
+from eventframe.llm.texts import keep_rows, keyed, map_texts, work_table
 
 BEGINNINGS = (4, 5, 6)
 # Bounds of what is fitted: rows of each kind of label, features.
@@ -225,3 +225,17 @@ def grade(docs: DataFrame, model: Model, reject_from: float = 0.5, id_col: str =
 
     added = "severity double, toxic_share double, grade int, rejected boolean"
     return map_texts(keyed(docs, id_col, text_col), added, make).withColumnRenamed("id", id_col)
+
+
+def without_rejected(docs: DataFrame, model: Model, reject_from: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are not rejected (see ``grade``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        def of(texts):
+            above = shared.value.above(texts)
+            return (above[:, 0] < reject_from).tolist() if above.shape[1] else [True] * len(texts)
+
+        return of
+
+    return keep_rows(docs, text_col, make)
