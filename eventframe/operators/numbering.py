@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names, positions
 from ..functions.times import div
-from .running import BUCKET_ROWS, rows_before, rows_to_here, sequence_bucket, with_running_total
+from .running import (
+    BUCKET_ROWS, digits_bucket, digits_order, rows_before, rows_to_here, sequence_bucket, with_running_total,
+)
 
 ROW_VERSION = 2
 
@@ -26,8 +28,13 @@ def batch_clock(batches: DataFrame, previous: DataFrame | None = None, bucket_ro
     so buckets combine by a prefix maximum. ``previous`` (shard, clock) carries
     the clock over from an earlier run.
     """
-    rows = batches.withColumn("_bucket", sequence_bucket(F.col("sequence"), bucket_rows))
-    inside = Window.partitionBy("shard", "_bucket").orderBy("sequence")
+    if dict(batches.dtypes)["sequence"] == "string":
+        # A provider's numbers have dozens of digits, more than any number type holds.
+        bucket, order = digits_bucket(F.col("sequence")), digits_order(F.col("sequence"))
+    else:
+        bucket, order = sequence_bucket(F.col("sequence"), bucket_rows), [F.col("sequence")]
+    rows = batches.withColumn("_bucket", bucket)
+    inside = Window.partitionBy("shard", "_bucket").orderBy(*order)
     to_here = inside.rowsBetween(*rows_to_here())
     rows = rows.withColumn("_i", F.row_number().over(inside).cast("bigint"))
     rows = rows.withColumn("_lead", F.max(F.col("value") - F.col("_i")).over(to_here))

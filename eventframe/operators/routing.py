@@ -74,7 +74,7 @@ def default_destination(found: DataFrame) -> tuple[str, str]:
     """Account and stack of the first destination."""
     row = found.orderBy("pos").select("account", "stack").first()
     if row is None:
-        raise RouteError("Malformed destination addresses. Should be role addresses.")
+        raise RouteError("no destination is the address of a role")
     return row["account"], row["stack"]
 
 
@@ -94,12 +94,12 @@ def checked_routes(mappings: DataFrame, addresses: DataFrame, role: str) -> Data
     account, stack = default_destination(found)
     shape = is_json_array(F.col("mapping"))
     if not mappings.filter(shape.isNull()).isEmpty():
-        raise RouteError("Malformed replication mapping. Must be valid JSON.")
+        raise RouteError("the replication mapping cannot be read as JSON")
     if not mappings.filter(~shape).isEmpty():
-        raise RouteError("Malformed replication mapping. Must be JSON Array.")
+        raise RouteError("the replication mapping is not a list")
     resolved = routes(mappings, account, stack)
     if not unmatched(resolved, found).isEmpty():
-        raise RouteError("Replication settings do not match per account and stack")
+        raise RouteError("routes and destinations name different accounts or stacks")
     return resolved.join(found.select("account", "stack", "address"), ["account", "stack"])
 
 

@@ -29,6 +29,22 @@ def sequence_bucket(sequence: Column, rows: int = BUCKET_ROWS) -> Column:
     return div(sequence, rows)
 
 
+def digits_bucket(sequence: Column, dropped: int = 6) -> Column:
+    """Bucket of a sequence number given as text of any length: its length and its leading digits.
+
+    Buckets order as the numbers do, and hold a million of them at most.
+    """
+    digits = F.ltrim(sequence.cast("string"), F.lit("0"))
+    size = F.length(digits)
+    return F.concat(F.lpad(size.cast("string"), 4, "0"), F.lit(":"), F.substr(digits, F.lit(1), F.greatest(size - dropped, F.lit(0))))
+
+
+def digits_order(sequence: Column) -> list[Column]:
+    """Columns that order sequence numbers given as text as the numbers do."""
+    digits = F.ltrim(sequence.cast("string"), F.lit("0"))
+    return [F.length(digits), digits]
+
+
 def with_running_total(
     df: DataFrame,
     group: list[str],

@@ -226,7 +226,7 @@ def mapping_texts(spark, sf_dir):
 def address_texts(spark, sf_dir):
     """A role address per supplier; some are malformed."""
     key = F.col("s_nationkey")
-    service = F.when(F.col("s_suppkey") % 6 == 5, "arn:aws:iadm::").otherwise("arn:aws:iam::")
+    service = F.when(F.col("s_suppkey") % 6 == 5, "arn:aws:rolez::").otherwise("arn:aws:iam::")
     address = F.concat(
         service, (key + 10_000).cast("string"), F.lit(":role/bus-"), (key % 3).cast("string"), F.lit("-BusRole-"),
         F.col("s_suppkey").cast("string"),
@@ -399,12 +399,6 @@ def insert_once(spark, sf_dir):
     return merges.register_bots(state, given)
 
 
-def _maps(part, value: str = "seq"):
-    return part.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("queue", F.col(value).cast("string")))).alias("requested")
-    )
-
-
 def _requested(spark, sf_dir):
     old, new = _halves(spark, sf_dir)
     version = F.col("seq").cast("string").alias("version")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -23,6 +22,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "eve
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", f"{tempfile.gettempdir()}/eventframe-work")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -34,12 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    # Nothing is named in tests on one machine; a cluster has to name it.
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    local = os.path.join(tempfile.gettempdir(), "eventframe-work")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
 def work_dir(spark: SparkSession, label: str) -> str:

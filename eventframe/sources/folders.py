@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -40,6 +43,26 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def create(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it is there already, whoever made it."""
+    fs, p = _path(spark, path)
+    try:
+        fs.create(p, False).close()
+    except Py4JJavaError as failed:
+        if exists(spark, path):
+            return False
+        raise failed
+    return True
+
+
+def age_seconds(spark: SparkSession, path: str) -> float:
+    """How long ago a file was written; zero if it is gone."""
+    if not exists(spark, path):
+        return 0.0
+    fs, p = _path(spark, path)
+    return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
+
 def replace_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file so that readers see the old or the new content."""
     fs, target = _path(spark, path)

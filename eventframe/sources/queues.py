@@ -137,22 +137,24 @@ def event_bytes() -> Column:
 def capped(rows: DataFrame, size: int = READ_BYTES) -> DataFrame:
     """The longest run of first events, in position order, whose payloads fit ``size`` bytes.
 
+    The first event is always among them, so that one larger than ``size`` stops no reader.
     Minutes are totalled first, which tells the minute that crosses the limit.
     It bounds the positions to read, and only rows up to it are numbered.
     """
     sized = rows.withColumn("_minute", F.substring("eid", 1, 19)).withColumn("_bytes", event_bytes())
     # One row per minute of the queue's life: a few million in ten years.
     in_order = Window.partitionBy(F.lit(0)).orderBy("_minute").rowsBetween(*rows_to_here())
-    minutes = sized.groupBy("_minute").agg(F.sum("_bytes").alias("_sum"))
+    minutes = sized.groupBy("_minute").agg(F.sum("_bytes").alias("_sum"), F.min("eid").alias("_first"))
     minutes = minutes.withColumn("_before", F.sum("_sum").over(in_order) - F.col("_sum"))
-    last = minutes.filter(F.col("_before") < size).agg(F.max("_minute")).first()[0]
+    reached = minutes.filter((F.col("_before") < size) | (F.col("_before") == 0))
+    last, first = reached.agg(F.max("_minute"), F.min("_first")).first()
     if last is None:
         return rows.limit(0)
     # The character after "/" closes the range of positions of that minute.
     near = sized.filter(F.col("eid") < last[:-1] + "0").withColumn("_all", F.lit(0))
     near = near.withColumn("_batch", F.regexp_replace("eid", r"-\d+$", ""))
     counted = with_running_total(near, ["_all"], ["_minute", "_batch"], ["eid"], F.col("_bytes"), "_through")
-    return counted.filter(F.col("_through") <= size).select(*rows.columns)
+    return counted.filter((F.col("_through") <= size) | (F.col("eid") == first)).select(*rows.columns)
 
 
 def unread(events: DataFrame, subscribers: DataFrame) -> DataFrame:

@@ -19,12 +19,6 @@ def stream_records(spark: SparkSession, path: str, max_files: int = 100) -> Data
     return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", max_files).json(path)
 
 
-def without_redelivered(records: DataFrame, within: str = "1 hour") -> DataFrame:
-    """Drop records of a stream that arrive again under their shard and sequence."""
-    timed = records.withColumn("_arrived", F.timestamp_millis("arrival_ms")).withWatermark("_arrived", within)
-    return timed.dropDuplicatesWithinWatermark(["shard", "sequence"]).drop("_arrived")
-
-
 def delivered_records(rows: DataFrame) -> DataFrame:
     """Records of the stream service's shape (``eventID`` is ``shard:sequence``)."""
     return rows.select(

@@ -10,6 +10,14 @@ from pyspark.sql import types as T
 from . import folders
 
 
+# A claim older than this belongs to a writer that has died.
+LEASE_SECONDS = 900.0
+
+
+class StaleVersion(RuntimeError):
+    """Another writer has replaced the table since it was read."""
+
+
 class StateTable:
     """A small keyed table that is replaced as a whole.
 
@@ -29,8 +37,9 @@ class StateTable:
         versions = self._pointer()
         return versions[-1] if versions else None
 
-    def load(self) -> DataFrame:
-        version = self.version()
+    def load(self, version: int | None = None) -> DataFrame:
+        """The current snapshot, or one of the versions that are kept."""
+        version = self.version() if version is None else version
         if version is None:
             return self.spark.createDataFrame([], self.schema)
         return self._read(version)
@@ -46,15 +55,41 @@ class StateTable:
 
     def publish(self, version: int) -> None:
         """Make a staged version current and drop versions no reader needs."""
-        versions = [v for v in self._pointer() if v < version] + [version]
+        known = self._pointer()
+        if known and known[-1] > version:
+            raise StaleVersion(f"{self.path}: version {known[-1]} is current, {version} comes too late")
+        versions = [v for v in known if v < version] + [version]
         for old in versions[: -self.keep]:
             folders.delete(self.spark, f"{self.path}/v{old}")
         folders.replace_text(self.spark, f"{self.path}/current.json", json.dumps({"versions": versions[-self.keep :]}))
 
     def commit(self, snapshot: DataFrame, version: int) -> None:
-        """Replace the table; a version already published is left alone."""
+        """Replace the table by its only writer; the current version committed again is left alone."""
         current = self.version()
-        if current is not None and current >= version:
+        if current == version:
             return
+        if current is not None and current > version:
+            raise StaleVersion(f"{self.path}: version {current} is current, {version} comes too late")
+        self.stage(snapshot, version)
+        self.publish(version)
+
+    def claim(self, version: int) -> bool:
+        """Reserve a version for one writer. The claim of a writer that has died is taken away."""
+        path = f"{self.path}/claims/v{version}"
+        if folders.create(self.spark, path):
+            return True
+        if folders.age_seconds(self.spark, path) > LEASE_SECONDS:
+            folders.delete(self.spark, path)
+        return False
+
+    def swap(self, snapshot: DataFrame, expected: int | None) -> int:
+        """Replace the snapshot that was read as version ``expected``; returns the new version.
+
+        Raises ``StaleVersion`` if any other writer came first; nothing is changed then.
+        """
+        version = 0 if expected is None else expected + 1
+        if self.version() != expected or not self.claim(version):
+            raise StaleVersion(f"{self.path}: version {expected} is no longer current")
         self.stage(snapshot, version)
         self.publish(version)
+        return version

@@ -7,6 +7,8 @@ crash gets the same positions and replaces its own files.
 
 from __future__ import annotations
 
+import time
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,12 @@ from ..operators.normalize import TTL_SECONDS, expiry
 from ..operators.numbering import ROW_VERSION
 from ..operators.running import with_running_total
 from ..schemas import BOT_STATE, CLOCK_STATE, POSITION_STATE, QUEUE_STATE
+from ..session import work_table
 from ..sources import folders
 from ..sources.queues import QueueStore
 
+RANGE = "_range"
+
 EVENT_COLUMNS = {
     "s3": "struct<bucket:string,key:string>", "snapshot_ms": "bigint", "archive_start": "string",
     "archive_end": "string", "creator": "string",
@@ -153,10 +158,17 @@ def queue_states(store: QueueStore) -> DataFrame:
     rows = tables[0]
     for table in tables[1:]:
         rows = rows.unionByName(table)
-    return rows.groupBy("queue").agg(
+    # Both marks of a snapshot come from the job whose snapshot began last.
+    snapshot = F.max(F.when(F.col("snapshot_start").isNotNull(), F.struct("snapshot_start", "snapshot_next")))
+    merged = rows.groupBy("queue").agg(
         F.max("max_eid").alias("max_eid"), F.max("timestamp").alias("timestamp"), F.max("v").alias("v"),
-        F.max("archive_end").alias("archive_end"), F.max("snapshot_start").alias("snapshot_start"),
-        F.max("snapshot_next").alias("snapshot_next"), F.bool_or("skip_archive").alias("skip_archive"),
+        F.max("archive_end").alias("archive_end"), snapshot.alias("_snapshot"),
+        # The setting of the job that has written last.
+        F.max(F.when(F.col("skip_archive").isNotNull(), F.struct("timestamp", "skip_archive"))).alias("_skip"),
+    )
+    return merged.select(
+        "queue", "max_eid", "timestamp", "v", "archive_end", F.col("_snapshot.snapshot_start").alias("snapshot_start"),
+        F.col("_snapshot.snapshot_next").alias("snapshot_next"), F.col("_skip.skip_archive").alias("skip_archive"),
     )
 
 
@@ -179,9 +191,24 @@ def bot_clock(spark: SparkSession, bot: str, now_ms: int) -> DataFrame:
 
 
 def write_events(store: QueueStore, bot: str, queue: str, events: DataFrame, order: list[str], now_ms: int) -> int:
-    """Write events (payload, and ``order`` columns) to a queue; returns how many were written."""
+    """Write events (payload, and ``order`` columns) to a queue; returns how many were written.
+
+    The rows are cut into ranges of their order, so that they are numbered in many
+    tasks. Writers of one name take turns: each reserves the next version, and waits
+    while another one holds it.
+    """
     appender = Appender(store, f"write-{bot}")
-    rows = bot_rows(events, bot, queue, now_ms)
-    version = appender.next_version()
-    appender.append(rows, bot_clock(store.spark, bot, now_ms), version, [], order)
+    rows = in_ranges(bot_rows(events, bot, queue, now_ms), order)
+    while not appender.clock.claim(version := appender.next_version()):
+        time.sleep(0.2)
+    appender.append(rows, bot_clock(store.spark, bot, now_ms), version, [RANGE], order)
     return store.queue(queue).filter(F.col("batch") == f"{appender.job}-{version}").count()
+
+
+def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with the number of the range of ``order`` they lie in, written once so that it stays.
+
+    Rows that are equal in ``order`` share a range, and ranges follow each other.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return work_table(rows.repartitionByRange(parts, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")

@@ -8,15 +8,25 @@ from collections.abc import Callable, Iterable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.times import div, parse_ms
 from ..operators import normalize, stats
+from ..sources import folders
 from ..sources import records as rec
 from ..sources.queues import QueueStore
 from .appending import Appender
 
 
+DELIVERY = T.StructType([
+    T.StructField("shard", T.StringType()),
+    T.StructField("sequence", T.StringType()),
+    T.StructField("arrival_ms", T.LongType()),
+    T.StructField("batch", T.LongType()),
+])
+
+
 def now_ms() -> int:
     return int(time.time() * 1000)
 
@@ -43,12 +53,15 @@ class Ingest:
         appender = Appender(self.store, self.job)
         if appender.done(version):
             return
+        records = self._first_deliveries(records, version).persist(StorageLevel.MEMORY_AND_DISK)
         parsed = rec.parsed_lines(rec.decoded_texts(records)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            keys = records.select("shard", "sequence", "arrival_ms")
+            keys.write.mode("overwrite").parquet(f"{self._deliveries()}/batch={version}")
             rec.bad_lines(parsed).write.mode("overwrite").parquet(
                 f"{self.store.root}/quarantine/{self.job}/batch={version}"
             )
-            self._choose_file_size(appender, parsed)
+            self._choose_file_size(appender, keys)
             rows = rec.envelopes(parsed)
             markers = self._markers(rows)
             valid = normalize.valid_bus_events(normalize.data_rows(rows))
@@ -60,21 +73,39 @@ class Ingest:
             events = normalize.with_times(normalize.with_queue(valid), self.clock())
             events = (
                 events.withColumn("second", div(F.col("arrival_ms"), 1000))
+                .withColumn("digits", F.length("sequence"))
                 .withColumnRenamed("start", "archive_start").withColumnRenamed("end", "archive_end")
             )
             firsts = records.groupBy("shard").agg(
-                F.min_by("sequence", F.struct("arrival_ms", "sequence")).alias("sequence"),
+                F.min_by("sequence", F.struct("arrival_ms", F.length("sequence"), "sequence")).alias("sequence"),
                 F.min("arrival_ms").alias("value"),
             )
             appender.append(
-                events, firsts, version, ["second"], ["arrival_ms", "sequence", "line"], markers=markers
+                events, firsts, version, ["second"], ["arrival_ms", "digits", "sequence", "line"], markers=markers
             )
         finally:
             parsed.unpersist()
+            records.unpersist()
+
+    def _deliveries(self) -> str:
+        return f"{self.store.root}/deliveries/{self.job}"
+
+    def _first_deliveries(self, records: DataFrame, version: int) -> DataFrame:
+        """The records that no earlier batch has stored, each once.
+
+        A record that is delivered again keeps its shard, sequence and arrival, so only
+        what arrived in this batch's span is compared, however late the batch is.
+        """
+        fresh = records.dropDuplicates(["shard", "sequence"])
+        if not folders.exists(self.store.spark, self._deliveries()):
+            return fresh
+        first, last = records.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
+        known = self.store.spark.read.schema(DELIVERY).parquet(self._deliveries())
+        known = known.filter((F.col("batch") < version) & F.col("arrival_ms").between(first, last))
+        return fresh.join(known.select("shard", "sequence"), ["shard", "sequence"], "left_anti").select(*records.columns)
 
-    def _choose_file_size(self, appender: Appender, parsed: DataFrame) -> None:
+    def _choose_file_size(self, appender: Appender, records: DataFrame) -> None:
         """A late or large batch is cut into files of bounded size."""
-        records = parsed.select("shard", "sequence", "arrival_ms").distinct()
         backlog = normalize.batch_backlog(records, self.clock(), ["shard"])
         bulk = backlog.agg(F.bool_or("bulk")).first()[0]
         appender.max_records_per_file = self.bulk_records_per_file if bulk else 0

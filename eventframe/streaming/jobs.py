@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import names
 from ..operators import archive, merges, monitor, normalize, triggers
+from ..operators.running import sequence_bucket
 from ..operators.stats import ROW_VERSION
 from ..schemas import BOT_IMAGE, POSITION_STATE, QUEUE_IMAGE, QUEUE_STATE, REQUEST_STATE
 from ..sources import changes as feed
@@ -43,7 +44,7 @@ def drain(query: StreamingQuery, seconds: float) -> bool:
 
     Work cut off by the limit is not committed and runs first next time.
     """
-    finished = bool(query.awaitTermination(int(seconds)))
+    finished = bool(query.awaitTermination(seconds))
     if not finished:
         query.stop()
     return finished
@@ -172,9 +173,14 @@ def copy_queue(
         rows = batch.select("eid", "payload", "source_ms", "s3")
         rows = change(rows) if change else rows
         events = bot_rows(rows, bot, destination, now).withColumn("from_eid", F.col("eid"))
-        events = events.withColumn("second", second_of(F.col("from_eid"))).drop("eid")
+        # One source batch may hold all its events in one second: ranges of its counters cut it.
+        counter = F.regexp_extract("from_eid", r"-(\d+)$", 1).try_cast("bigint")
+        events = events.withColumns({
+            "second": second_of(F.col("from_eid")), "source_ms_text": F.substring_index("from_eid", "-", 1),
+            "span": F.coalesce(sequence_bucket(counter), F.lit(0)),
+        }).drop("eid")
         read = read_position(batch, bot, source, now)
-        appender.append(events, bot_clock(store.spark, bot, now), version, ["second"], ["from_eid"], read=read)
+        appender.append(events, bot_clock(store.spark, bot, now), version, ["second", "source_ms_text", "span"], ["from_eid"], read=read)
 
     return start_batches(into, store.stream(source, max_files), bot, work, **trigger)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +13,7 @@ from ..operators import merges
 from ..schemas import POSITION_STATE
 from ..sources import queues
 from ..sources.queues import READ_BYTES, QueueStore
-from ..sources.state import StateTable
+from ..sources.state import StaleVersion, StateTable
 from .ingest import now_ms
 
 REQUEST = T.StructType([
@@ -64,10 +66,15 @@ class Subscriber:
         values = {"id": self.bot, "queue": canonical_text(queue), "seq": 0, **request}
         asked = self.store.spark.createDataFrame([tuple(values.get(f.name) for f in REQUEST)], REQUEST)
         requests = merges.checkpoint_requests(asked, now_ms() if now is None else now)
-        current = self.table.version()
-        version = 0 if current is None else current + 1
-        outcome = merges.compare_and_set(self.table.load(), requests)
-        accepted = outcome.filter(F.col("accepted").isNotNull()).select("accepted").first()["accepted"]
-        if accepted:
-            self.table.commit(outcome.filter(F.col("eid").isNotNull()), version)
-        return accepted
+        while True:
+            current = self.table.version()
+            outcome = merges.compare_and_set(self.table.load(current), requests)
+            accepted = outcome.filter(F.col("accepted").isNotNull()).select("accepted").first()["accepted"]
+            if not accepted:
+                return False
+            try:
+                self.table.swap(outcome.filter(F.col("eid").isNotNull()), current)
+                return True
+            except StaleVersion:
+                # Another holder was faster: compare with what it has stored.
+                time.sleep(0.1)

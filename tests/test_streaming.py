@@ -119,8 +119,7 @@ def test_stream_restarts_where_it_stopped_and_drops_redelivered_records(spark, s
     ingest = Ingest(store, clock=lambda: NOW)
 
     def run():
-        stream = rec.without_redelivered(rec.stream_records(spark, arrivals))
-        assert jobs.drain(ingest.start(stream), 300)
+        assert jobs.drain(ingest.start(rec.stream_records(spark, arrivals)), 300)
 
     records(spark, *[record("s", i, NOW + i, event(i)) for i in range(5)]).coalesce(1).write.mode("append").json(arrivals)
     run()
