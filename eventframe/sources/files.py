@@ -62,11 +62,15 @@ def lines_of(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
 
     ``block`` and ``row`` order the lines of a file.
 
-    Up to ``MAX_PATHS`` names go to the reader, so it opens nothing else. More
-    names stay in the cluster: the folder is read and joined by path.
+    A file whose ``bucket`` is a path or address lies below it instead. Files that are
+    not there raise an error, however many are named: up to ``MAX_PATHS`` names go to the
+    reader, so it opens nothing else; more names stay in the cluster, where their folders
+    are listed, compared and read by join.
     """
-    base = root.rstrip("/") + "/"
-    wanted = files.withColumn("_path", F.concat(F.lit(base), "key"))
+    base = F.lit(root.rstrip("/"))
+    if "bucket" in files.columns:
+        base = F.when(F.col("bucket").contains("/"), plain_path(F.rtrim("bucket", F.lit("/")))).otherwise(base)
+    wanted = files.withColumn("_base", base).withColumn("_path", F.concat("_base", F.lit("/"), "key"))
     named = [r[0] for r in wanted.select("_path").distinct().limit(MAX_PATHS + 1).collect()]
     if not named:
         place = [T.StructField("text", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("block", "row")]]
@@ -76,11 +80,16 @@ def lines_of(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     if len(named) <= MAX_PATHS:
         texts = reader.text(sorted(named))
     else:
-        texts = reader.option("recursiveFileLookup", "true").text(root)
+        folders = [r[0] for r in wanted.select("_base").distinct().collect()]
+        listed = reader.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+        missing = wanted.join(listed.select(plain_path(F.col("path")).alias("_path")), "_path", "left_anti").first()
+        if missing is not None:
+            raise FileNotFoundError(missing["_path"])
+        texts = reader.option("recursiveFileLookup", "true").text(folders)
     texts = texts.select(
         F.col("value").alias("text"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
         plain_path(F.col("_metadata.file_path")).alias("_path"),
     )
-    return texts.join(wanted, "_path").drop("_path")
+    return texts.join(wanted, "_path").drop("_path", "_base")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from eventframe.operators import numbering
 from eventframe.schemas import POSITION_STATE, QUEUE_STATE
 from eventframe.session import work_dir
-from eventframe.sources import state
+from eventframe.sources import files, state
 from eventframe.sources.queues import QueueStore
 from eventframe.sources.state import StaleVersion, StateTable
 from eventframe.streaming import appending, jobs
@@ -143,6 +144,21 @@ def test_clock_of_provider_sequence_numbers(spark):
     assert got == wanted
 
 
+@pytest.mark.parametrize("bound", [10_000, 1])
+def test_a_missing_file_is_an_error_and_buckets_count(spark, monkeypatch, bound):
+    monkeypatch.setattr(files, "MAX_PATHS", bound)
+    here, there = work_dir(spark, "here"), work_dir(spark, "there")
+    for folder in (here, there):
+        spark.createDataFrame([(folder,)], "t string").coalesce(1).write.text(f"{folder}/in")
+    named = files.listing(spark, here).filter("key like '%.txt'").select("key")
+    away = files.listing(spark, there).filter("key like '%.txt'").select("key", F.lit(there).alias("bucket"))
+    wanted = named.withColumn("bucket", F.lit("plain-name")).unionByName(away)
+    assert sorted(r["text"] for r in files.lines_of(spark, wanted, here).collect()) == sorted([here, there])
+    gone = wanted.unionByName(spark.createDataFrame([("in/gone.txt", None)], "key string, bucket string"))
+    with pytest.raises((FileNotFoundError, AnalysisException)):
+        files.lines_of(spark, gone, here).collect()
+
+
 def test_snapshot_marks_stay_in_pairs(spark, store):
     pairs = [("z/2024/01/20/", "z/2024/01/20/01/"), ("z/2024/01/10/", "z/2024/01/21/01/")]
     for n, (start, after) in enumerate(pairs):
