@@ -19,13 +19,17 @@ def archive_candidates(queues: DataFrame, today: str) -> DataFrame:
     ``today`` is the day prefix ``z/yyyy/MM/dd``; a queue archived into today
     is done until tomorrow.
     """
+    return open_queues(queues, today).filter(F.col("archive_end") != F.col("max_eid")).orderBy("archive_end", "queue")
+
+
+def open_queues(queues: DataFrame, today: str) -> DataFrame:
+    """Live queues that may be archived today, whether or not their last position is past their archive."""
     end = F.coalesce("archive_end", F.lit(positions.START))
     side = names.is_archive(F.col("queue")) | names.is_snapshot(F.col("queue"))
     return (
         queues.filter(~F.coalesce("skip_archive", F.lit(False)) & ~side & F.col("max_eid").isNotNull())
         .withColumn("archive_end", end)
-        .filter((F.col("archive_end") != F.col("max_eid")) & (F.lit(today) > F.col("archive_end")))
-        .orderBy("archive_end", "queue")
+        .filter(F.lit(today) > F.col("archive_end"))
     )
 
 

@@ -189,11 +189,24 @@ def unread(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     )
 
 
-def archive_then_live(events: DataFrame, queues: DataFrame) -> DataFrame:
-    """Every queue from its beginning: archived events up to the archive end, then live ones."""
+def archive_then_live(events: DataFrame, queues: DataFrame, archived: DataFrame | None = None) -> DataFrame:
+    """Every queue from its beginning: archived events up to the archive end, then live ones.
+
+    ``archived`` (queue, batch) names the batches that are in the archive. Queues that it
+    knows keep the live events of all other batches, also those that were written behind the
+    archive end; of other queues the live events past the end are kept.
+    """
     ends = hint_small(queues.select("queue", F.coalesce("archive_end", F.lit(positions.START)).alias("_end")))
     live = events.filter(~names.is_archive(F.col("queue")) & ~names.is_snapshot(F.col("queue")))
-    live = live.join(ends, "queue", "left").filter(F.col("_end").isNull() | (F.col("eid") > F.col("_end")))
+    live = live.join(ends, "queue", "left")
+    keep = F.col("_end").isNull() | (F.col("eid") > F.col("_end"))
+    if archived is not None:
+        done = archived.select("queue", "batch").distinct()
+        known = done.select("queue").distinct().withColumn("_known", F.lit(True))
+        live = live.join(hint_small(known), "queue", "left")
+        live = live.join(hint_small(done.withColumn("_done", F.lit(True))), ["queue", "batch"], "left")
+        keep = F.when(F.col("_known"), F.col("_done").isNull()).otherwise(keep)
+    live = live.filter(keep).select(*events.columns, "_end")
     old = events.filter(names.is_archive(F.col("queue"))).withColumn("queue", names.parent_of(F.col("queue")))
     old = old.join(ends, "queue").filter(F.col("eid") <= F.col("_end"))
     return old.withColumn("part", F.lit("archive")).unionByName(live.withColumn("part", F.lit("live"))).drop("_end")

@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import names
@@ -15,6 +16,7 @@ from ..operators import archive, merges, monitor, normalize, triggers
 from ..operators.running import sequence_bucket
 from ..operators.stats import ROW_VERSION
 from ..schemas import BOT_IMAGE, POSITION_STATE, QUEUE_IMAGE, QUEUE_STATE, REQUEST_STATE
+from ..session import hint_small, work_table
 from ..sources import changes as feed
 from ..sources import files, folders
 from ..sources import records as rec
@@ -23,6 +25,8 @@ from ..sources.queues import QueueStore, archive_then_live, partition_name, seco
 from .appending import Appender, bot_clock, bot_rows, queue_states, write_events
 from .ingest import now_ms
 
+BATCH_STATE = T.StructType([T.StructField("queue", T.StringType()), T.StructField("batch", T.StringType())])
+
 # Who marks backfilled events, and the queue of monitoring facts.
 BACKFILL_CREATOR = "firehose"
 MONITOR_QUEUE = "monitor"
@@ -248,12 +252,23 @@ def roll_up(store: QueueStore, today: str, job: str = "archive") -> DataFrame:
     """Archive all candidate queues at once; returns the manifest of what was archived.
 
     Events past each queue's archive end are written, range-sorted, to its
-    archive queue; then the archive ends move.
+    archive queue; then the archive ends move. The batches that were archived are
+    remembered: what another writer later adds behind the end is archived next time.
     """
     table = store.state(f"{job}/queues", QUEUE_STATE)
     version = 0 if table.version() is None else table.version() + 1
-    candidates = archive.archive_candidates(queue_states(store), today)
-    chosen = archive.to_archive(store.events(), candidates)
+    states, memory = queue_states(store), store.state(f"{job}/batches", BATCH_STATE)
+    done = memory.load()
+    known = done.select("queue").distinct()
+    side = names.is_archive(F.col("queue")) | names.is_snapshot(F.col("queue"))
+    # Queue and batch are folders: no event is read to find the new batches.
+    batches = store.events().filter(~side).select("queue", "batch").distinct().join(done, ["queue", "batch"], "left_anti")
+    batches = work_table(batches, "batches")
+    first = archive.archive_candidates(states, today).join(known, "queue", "left_anti")
+    again = archive.open_queues(states, today).select("queue").join(known, "queue", "left_semi")
+    chosen = archive.to_archive(store.events(), first).join(batches, ["queue", "batch"], "left_semi")
+    late = store.events().filter(~side).join(hint_small(batches.join(again, "queue", "left_semi")), ["queue", "batch"], "left_semi")
+    chosen = chosen.select(*store.events().columns).unionByName(late.select(*store.events().columns))
     store.append_sorted(archive.as_archive_rows(chosen), f"{job}-{version}")
     written = store.events().filter(F.col("batch") == f"{job}-{version}").withColumn(
         "queue", names.parent_of(F.col("queue"))
@@ -262,7 +277,9 @@ def roll_up(store: QueueStore, today: str, job: str = "archive") -> DataFrame:
     ends = manifest.groupBy("queue").agg(F.max("end").alias("max_eid"))
     parents = ends.select(names.parent_of(F.col("queue")).alias("queue"), F.col("max_eid").alias("archive_end"))
     rows = ends.withColumn("v", F.lit(ROW_VERSION)).unionByName(parents, allowMissingColumns=True)
-    table.commit(merges.upsert(table.load(), rows, ["queue"]), version)
+    table.commit(merges.upsert(table.load(), rows, ["queue"], highest=("max_eid", "archive_end")), version)
+    taken = batches.join(first.select("queue").union(again), "queue", "left_semi")
+    memory.commit(done.unionByName(taken), version)
     return manifest
 
 
@@ -292,4 +309,4 @@ def drop_expired_days(store: QueueStore, now_s: int, ttl_seconds: int = normaliz
 
 def whole_history(store: QueueStore) -> DataFrame:
     """Archived and live events of every queue, each once."""
-    return archive_then_live(store.events(), queue_states(store))
+    return archive_then_live(store.events(), queue_states(store), store.state("archive/batches", BATCH_STATE).load())

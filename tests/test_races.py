@@ -159,6 +159,23 @@ def test_a_missing_file_is_an_error_and_buckets_count(spark, monkeypatch, bound)
         files.lines_of(spark, gone, here).collect()
 
 
+def test_events_behind_the_archive_end_stay_in_the_history(spark, store):
+    write_events(store, "bot", "q", numbers(spark, 3), ["k"], NOW)
+    jobs.roll_up(store, "z/2024/03/01")
+    write_events(store, "other", "q", numbers(spark, 3, 10), ["k"], NOW - 60_000)
+
+    def history():
+        rows = jobs.whole_history(store).select("part", F.get_json_object("payload", "$.n").cast("int").alias("n")).collect()
+        return sorted((r["n"], r["part"]) for r in rows)
+
+    assert history() == [(n, "archive") for n in range(3)] + [(n, "live") for n in (10, 11, 12)]
+    jobs.roll_up(store, "z/2024/03/01")
+    jobs.roll_up(store, "z/2024/03/01")
+    assert history() == [(n, "archive") for n in (0, 1, 2, 10, 11, 12)]
+    write_events(store, "bot", "q", numbers(spark, 1, 20), ["k"], NOW + 9)
+    assert history()[-1] == (20, "live") and len(history()) == 7
+
+
 def test_snapshot_marks_stay_in_pairs(spark, store):
     pairs = [("z/2024/01/20/", "z/2024/01/20/01/"), ("z/2024/01/10/", "z/2024/01/21/01/")]
     for n, (start, after) in enumerate(pairs):
