@@ -38,8 +38,8 @@ from tokenizers import Tokenizer
 # Fixed value: the pre-tokenizer's pattern, as the public byte-level BPE defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-SLICE_CHARS = 1 << 20
-STATE_BOUND = 500_000
+SLICE_CHARS = 1 << 19
+STATE_BOUND = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -89,6 +89,8 @@ class Merges:
         self._fits: dict[int, bool] = {}
         self.whole = [t for t in made if t not in self.parts or not self._crossed(*self.parts[t], top=False)]
         self.lookahead = self._lookahead()
+        self._right.clear()
+        self._left.clear()
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         memo = self._left if side == 0 else self._right
@@ -122,8 +124,11 @@ class Merges:
         key = a * self.size + b
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
+            if len(self._right) + len(self._left) > 50_000:
+                self._right.clear()
+                self._left.clear()
             known = self._fits[key] = not self._crossed(a, b)
         return known
 
@@ -249,10 +254,11 @@ class Transducer:
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """One transition: the target and the tokens emitted."""
         key = state << 8 | byte
-        if key not in self.cells.moves:
+        found = self.cells.get(key)
+        if found is None:
             self._compile(state, byte)
-        target, out = self.cells.moves[key]
-        return target, self.out_list[out]
+            found = self.cells.get(key)
+        return found[0], self.out_list[found[1]]
 
     def rest_of(self, state: int) -> tuple[int, ...]:
         """What a word that ends here still emits."""
@@ -316,10 +322,10 @@ class Transducer:
         for n in range(len(at)):
             here = int(state[n])
             for i, byte in enumerate(data[at[n] + j : at[n] + left[n]].tolist(), j):
-                move = self.cells.moves.get(here << 8 | byte)
+                move = self.cells.get(here << 8 | byte)
                 if move is None:
                     self._compile(here, byte)
-                    move = self.cells.moves[here << 8 | byte]
+                    move = self.cells.get(here << 8 | byte)
                 here, written[to[n] + i] = move
             state[n] = here
 
@@ -328,11 +334,10 @@ class Cells:
     """The transitions met so far: key (state and byte) to target and output, in open addressing."""
 
     def __init__(self, bits: int = 16):
-        self.moves: dict[int, tuple[int, int]] = {}
         self._make(bits)
 
     def _make(self, bits: int) -> None:
-        self.bits = bits
+        self.bits, self.count = bits, 0
         self.keys = np.full(1 << bits, -1, np.int64)
         self.target = np.zeros(1 << bits, np.int32)
         self.out = np.zeros(1 << bits, np.int32)
@@ -341,19 +346,29 @@ class Cells:
         return ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
 
     def add(self, key: int, target: int, out: int) -> None:
-        self.moves[key] = (target, out)
-        if 2 * len(self.moves) > len(self.keys):
-            self._make(self.bits + 2)
-            for known, move in self.moves.items():
-                self._put(known, *move)
-        else:
-            self._put(key, target, out)
+        if 2 * self.count >= len(self.keys):
+            used = np.flatnonzero(self.keys >= 0)
+            known = self.keys[used].tolist(), self.target[used].tolist(), self.out[used].tolist()
+            self._make(self.bits + 1)
+            for move in zip(*known):
+                self._put(*move)
+        self._put(key, target, out)
 
     def _put(self, key: int, target: int, out: int) -> None:
         at, last = self._home(key), len(self.keys) - 1
         while self.keys[at] >= 0:
             at = at + 1 & last
         self.keys[at], self.target[at], self.out[at] = key, target, out
+        self.count += 1
+
+    def get(self, key: int) -> tuple[int, int] | None:
+        """Target and output of one transition."""
+        at, last = self._home(key), len(self.keys) - 1
+        while (found := self.keys[at]) != key:
+            if found < 0:
+                return None
+            at = at + 1 & last
+        return int(self.target[at]), int(self.out[at])
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Where each key lies, -1 if it has not been met."""

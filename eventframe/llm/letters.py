@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
-SLAB_CHARS = 1 << 20
+SLAB_CHARS = 1 << 19
 
 
 @cache
@@ -57,7 +57,7 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
 
-@cache
+@lru_cache(maxsize=2)
 def _powers(base: int, count: int) -> np.ndarray:
     out = np.full(count, base, np.uint64)
     out[0] = 1
@@ -68,7 +68,7 @@ def word_hashes(points: np.ndarray, is_letter: np.ndarray) -> tuple[np.ndarray,
     """Start, length and 64-bit hash of every run of letters."""
     edges = np.diff(is_letter.astype(np.int8), prepend=0, append=0)
     begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    room = 1 << max(22, int(len(points)).bit_length())
+    room = 1 << max(20, int(len(points)).bit_length())
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * _powers(MULTIPLIER, room)[: len(points)], dtype=np.uint64)])
     return begins, ends - begins, mixed((sums[ends] - sums[begins]) * _powers(INVERSE, room)[begins])
 

@@ -27,6 +27,13 @@ def schema_of(df: DataFrame, added: str) -> StructType:
     return StructType([df.schema["id"], *StructType.fromDDL(added).fields])
 
 
+def cut(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows each, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def map_texts(df: DataFrame, added: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """Rows of ``id`` and the added columns from rows of ``id`` and ``text``.
 
@@ -38,10 +45,9 @@ def map_texts(df: DataFrame, added: str, make: Callable[[], Callable[[list], lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for batch in batches:
-            if batch.num_rows:
-                columns = of(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names)
+        for batch in cut(batches):
+            columns = of(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names)
 
     return df.select("id", "text").mapInArrow(run, schema)
 
@@ -51,9 +57,8 @@ def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(of(batch.column(text_col).to_pylist()), pa.bool_()))
+        for batch in cut(batches):
+            yield batch.filter(pa.array(of(batch.column(text_col).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
