@@ -122,7 +122,11 @@ def sample(docs: DataFrame, labels: DataFrame, rows_per_kind: int, id_col: str,
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
     marked = marked.groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
-    ranked = marked.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(3), "id"), "id")))
+    # only the lower end of the draw goes on to be ranked, so no kind fills a task
+    draw = F.xxhash64(F.lit(3), "id").bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    drawn = marked.join(F.broadcast(marked.groupBy("toxic").agg(F.count("*").alias("n"))), "toxic")
+    drawn = drawn.select("id", "toxic", draw.alias("draw")).where(draw * F.col("n") <= 4 * rows_per_kind)
+    ranked = drawn.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "id")))
     chosen = ranked.where(F.col("place") <= rows_per_kind).select("id", "toxic")
     return keyed(docs, id_col, text_col).where("text is not null").join(F.broadcast(chosen), "id")
 
