@@ -172,8 +172,9 @@ def training_rows(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")
     ).where("text is not null and label is not null")
     common = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels)
-    kept = rows.join(F.broadcast(common.select("label")), "label", "left_semi")
-    draw = F.xxhash64(F.lit(5), "id")
+    # only the lower end of the draw goes on to be ranked, so no label fills a task
+    draw = F.xxhash64(F.lit(5), "id").bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    kept = rows.join(F.broadcast(common), "label").where(draw * F.col("n") <= 4 * rows_per_label)
     begin = F.pmod(F.xxhash64(F.lit(6), "id"), F.greatest(F.length("text") - piece_chars, F.lit(0)) + 1).cast("int") + 1
     piece = F.substr(F.col("text"), begin, F.lit(piece_chars))
     ranked = kept.select("label", draw.alias("draw"), piece.alias("piece"))
