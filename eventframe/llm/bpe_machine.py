@@ -430,6 +430,7 @@ class Splitter:
     START, LETTERS, NUMBERS, OTHERS, QUOTED, QUOTED_R, QUOTED_V, QUOTED_L, DONE, SPACE1, WHITE1, SPACE2, WHITE2 = range(13)
     STATES = 13
     CHUNK = 256
+    TAIL = 16
 
     def __init__(self, path: str):
         self.classes = character_classes(path)
@@ -496,20 +497,21 @@ class Splitter:
         begins[:-1] |= (marks[1:n] & 2).astype(bool)
         return begins
 
+    def _maps(self, kinds: np.ndarray) -> np.ndarray:
+        """The state map of every column: one row for each entry state."""
+        step = self.step.ravel()
+        maps = np.repeat(np.arange(self.STATES, dtype=np.uint8)[:, None], kinds.shape[1], axis=1)
+        for row in kinds:
+            maps = step[maps * np.uint8(CLASSES) + row]
+        return maps
+
     def _entries(self, kinds: np.ndarray) -> np.ndarray:
         """The entry state of every chunk, from a parallel prefix scan over their state maps."""
         width, count = kinds.shape
-        step = self.step.ravel()
-        maps = np.repeat(np.arange(self.STATES, dtype=np.uint8)[:, None], count, axis=1)
-        for j in range(width):
-            maps = step[maps * np.uint8(CLASSES) + kinds[j]]
-            if j % 8 == 7 and (maps == maps[0]).all():
-                # every chunk's map is constant from here on, one state stands for all
-                state = maps[0]
-                for i in range(j + 1, width):
-                    state = step[state * np.uint8(CLASSES) + kinds[i]]
-                maps = np.repeat(state[None, :], self.STATES, axis=0)
-                break
+        # a chunk whose last characters lead all states to one has a constant map whatever comes before
+        maps = self._maps(kinds[width - self.TAIL :])
+        if not (maps == maps[0]).all():
+            maps = self._maps(kinds)
         reach = 1
         while reach < count:  # maps[:, i] leads from the entry of chunk i - reach + 1 to the exit of i
             maps[:, reach:] = np.take_along_axis(maps[:, reach:], maps[:, :-reach].astype(np.intp), axis=0)

@@ -15,21 +15,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from eventframe.llm.bpe_codec import encoded
 from eventframe.llm.bpe_machine import Encoder
-from eventframe.llm.texts import keyed, shared_dir, work_table
+from eventframe.llm.texts import cut, keyed, shared_dir, work_table
 
-LENGTH = 256
-RECORDS = 32_768
+LENGTH = 128
+RECORDS = 65_536
 KEY = 20_240_229
 ROUNDS = 6
 
@@ -86,7 +85,7 @@ def _tokens(docs: DataFrame, path: str, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, first = Encoder.of(path), 0
         task, kind = TaskContext.get().partitionId(), kind_of(encoder.merges.size)
-        for batch in batches:
+        for batch in cut(batches):
             firsts, counts, rows = [], [], []
             for arrays in encoded(encoder, batch.column("text").to_pylist()):
                 tokens = np.concatenate(list(arrays)).astype(kind)
@@ -137,25 +136,27 @@ def name_of(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def _written(folder: str, size: int, length: int, records: int, kind: str, filler: int):
-    """Writes one shard from its pieces and gives its row in the table of shards."""
+def _written(folder: str, size: int, length: int, records: int, kind: str, filler: int, names: list[str]):
+    """Writes one shard from its pieces and gives the rows of its sequences in the order of slots."""
 
     def of(pieces: pa.Table) -> pa.Table:
         shard = pieces.column("shard")[0].as_py()
         first, count = shard * records, min(records, size - shard * records)
         body = np.full((count, length), filler, kind)
         unpack = zstandard.ZstdDecompressor()
-        for slots, tokens in zip(pieces.column("slots").to_pylist(), pieces.column("tokens").to_pylist()):
-            at = np.frombuffer(slots, np.int64) - first
+        places = [np.frombuffer(slots, np.int64) - first for slots in pieces.column("slots").to_pylist()]
+        for at, tokens in zip(places, pieces.column("tokens").to_pylist()):
             body[at] = np.frombuffer(unpack.decompress(tokens), kind).reshape(-1, length)
-        data = body.tobytes()
         system, root = fs.FileSystem.from_uri(folder)
         # a repeated attempt writes the same bytes; only whole files get the final name
         part = f"{root}/.{name_of(shard)}.{TaskContext.get().taskAttemptId()}"
         with system.open_output_stream(part) as file:
-            file.write(data)
+            file.write(body.tobytes())
         system.move(part, f"{root}/{name_of(shard)}")
-        return pa.table({"shard": [shard], "first_slot": [first], "records": [count], "bytes": [len(data)], "crc32": [zlib.crc32(data)]})
+        order = pa.array(np.argsort(np.concatenate(places)))
+        flat = [pa.chunked_array([pieces.column(n).combine_chunks().flatten()]).take(order) for n in ("ids", "parts", "held")]
+        at = np.arange(count)
+        return pa.table([pa.array(first + at), pa.array(np.full(count, shard)), pa.array(at * body.strides[0]), *flat], names)
 
     return of
 
@@ -180,7 +181,7 @@ def materialise(
     merges = Encoder.of(path).merges
     kind, filler = kind_of(merges.size), min(merges.special.values(), default=0)
     tokens = _tokens(keyed(docs, id_col, text_col), path, length)
-    rows = work_table(tokens, "tokens", compression="zstd")
+    rows = work_table(tokens, "tokens", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "6"})
     sequences = F.ceil(F.col("count") / length)
     # one row a task
     ends = sorted((r.task, r.end) for r in rows.groupBy("task").agg(F.max(F.col("first") + sequences).alias("end")).collect())
@@ -202,7 +203,7 @@ def materialise(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            slots, row, _ = numbered(batch)
+            slots, row, part = numbered(batch)
             body = np.full((len(slots), length), filler, kind)
             at = 0
             for data in batch.column("tokens").to_pylist():
@@ -210,59 +211,53 @@ def materialise(
                 many = -(-len(ids) // length)
                 body[at : at + many].reshape(-1)[: len(ids)] = ids
                 at += many
+            held = np.minimum(batch.column("count").to_numpy()[row] - part * length, length).astype(np.int32)
             order = np.argsort(slots)
             shards, begins = np.unique(slots[order] // records, return_index=True)
             groups = np.split(order, begins[1:])
+            ends = pa.array([0, *np.cumsum([len(g) for g in groups]).tolist()], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, values.take(pa.array(order))) for values in (
+                batch.column("id").take(pa.array(row)), pa.array(part.astype(np.int32)), pa.array(held))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shards, pa.int64()), pa.array([slots[g].tobytes() for g in groups], pa.binary()),
-                 pa.array([pack.compress(body[g].tobytes()) for g in groups], pa.binary())],
-                ["shard", "slots", "tokens"],
+                 pa.array([pack.compress(body[g].tobytes()) for g in groups], pa.binary()), *lists],
+                ["shard", "slots", "tokens", "ids", "parts", "held"],
             )
 
-    kinds = rows.select(F.col("id").alias(id_col)).schema
-    listed_schema = StructType([*StructType.fromDDL("slot long").fields, StructField("id", kinds[0].dataType), *StructType.fromDDL("part int, n_tokens int").fields])
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                slots, row, part = numbered(batch)
-                held = np.minimum(batch.column("count").to_numpy()[row] - part * length, length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots), batch.column("id").take(pa.array(row)), pa.array(part.astype(np.int32)), pa.array(held.astype(np.int32))],
-                    listed_schema.names,
-                )
-
-    system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-    folder = folder if "://" in folder else f"file://{folder}"
+    id_type = rows.schema["id"].dataType
+    piece_schema = StructType([*StructType.fromDDL("shard long, slots binary, tokens binary").fields, StructField("ids", ArrayType(id_type)),
+                               *StructType.fromDDL("parts array<int>, held array<int>").fields])
+    row_schema = StructType([*StructType.fromDDL("slot long, shard long, offset long").fields, StructField(id_col, id_type),
+                             *StructType.fromDDL("part int, n_tokens int").fields])
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
-    dealt = rows.select("task", "first", "count", "tokens").mapInArrow(pieces, "shard long, slots binary, tokens binary")
-    write = _written(folder, size, length, records, kind, filler)
-    shards = dealt.groupBy("shard").applyInArrow(write, "shard long, first_slot long, records long, bytes long, crc32 long")
-    table = rows.select("task", "first", "id", "count").mapInArrow(listed, listed_schema)
-    stride = length * np.dtype(kind).itemsize
-    table = table.select(
-        "slot", F.floor(F.col("slot") / records).alias("shard"), (F.col("slot") % records * stride).alias("offset"), F.col("id").alias(id_col), "part", "n_tokens"
-    )
-    return Output(folder, size, length, records, kind, work_table(shards, "shards"), table)
-
-
-def record_hashes(output: Output) -> DataFrame:
-    """``slot, record_crc32`` of every record, read from the shards."""
-    folder, length, kind = output.folder, output.length, output.kind
-
-    def of(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stride = length * np.dtype(kind).itemsize
-        system, root = fs.FileSystem.from_uri(folder)
-        for batch in rows:
-            for shard, first, records in zip(batch["shard"], batch["first_slot"], batch["records"]):
-                with system.open_input_stream(f"{root}/{name_of(shard)}") as file:
-                    hashes = [zlib.crc32(file.read(stride)) for _ in range(records)]
-                yield pd.DataFrame({"slot": np.arange(first, first + records), "record_crc32": hashes})
-
-    rows = output.shards.select("shard", "first_slot", "records")
-    return rows.repartition(max(1, -(-output.size // output.records)), "shard").mapInPandas(of, "slot long, record_crc32 long")
+    dealt = rows.select("task", "first", "id", "count", "tokens").mapInArrow(pieces, piece_schema)
+    write = _written(folder, size, length, records, kind, filler, row_schema.names)
+    written = work_table(dealt.groupBy("shard").applyInArrow(write, row_schema), "token-sequences")
+    shards = written.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("records"))
+    return Output(folder, size, length, records, kind, shards, written)
 
 
 def digests(output: Output) -> DataFrame:
-    """Every sequence with its slot and the hash of its record as the shard holds it."""
-    return output.sequences.join(record_hashes(output), "slot")
+    """Every sequence with the hash of its record (``record_crc32``) as it is read back from the shard."""
+    folder, length, kind, records = output.folder, output.length, output.kind, output.records
+    schema = StructType([*output.sequences.schema.fields, StructField("record_crc32", LongType())])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stride = length * np.dtype(kind).itemsize
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            hashes: list[int] = []
+            slots = batch.column("slot").to_numpy()
+            # rows lie as their shard was written: runs of slots are read in one go
+            breaks = np.flatnonzero((np.diff(slots) != 1) | (slots[1:] % records == 0)) + 1
+            for run in np.split(slots, breaks) if len(slots) else ():
+                shard, at = divmod(int(run[0]), records)
+                with system.open_input_file(f"{root}/{name_of(shard)}") as file:
+                    file.seek(at * stride)
+                    data = memoryview(file.read(len(run) * stride))
+                hashes += [zlib.crc32(data[n * stride : (n + 1) * stride]) for n in range(len(run))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.int64())], schema.names)
+
+    return output.sequences.mapInArrow(of, schema)

@@ -52,7 +52,7 @@ def test_shards(spark, tmp_path):
     for first in (0, 63, 64, out.size - 5):
         assert (out.read(first, 70) == records[first : first + 70]).all()
     shards = sorted(out.shards.collect())
-    assert [s.first_slot for s in shards] == list(range(0, out.size, 64)) and sum(s.records for s in shards) == out.size
+    assert [s.first_slot for s in shards] == list(range(0, out.size, 64)) and sum(s["records"] for s in shards) == out.size
     # another key gives another order of the same sequences
     other = token_files.materialise(docs_of(spark, pairs), PATH, str(tmp_path / "other"), length=16, records=64, key=5)
     again = other.read(0, other.size)
