@@ -210,41 +210,54 @@ def _edited(row: np.ndarray, edits: int, rng: np.random.Generator, words: int) -
     return np.array(out, np.int32)
 
 
-def located(items: Items, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Item number, place and edits of every verified window of a row of words."""
+def located(items: Items, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Text number, item number, place and edits of every verified window of texts in one row of words.
+
+    Text n stands from ``begins[n]`` up to ``ends[n]``. No window starts in the filler
+    between texts, and none is verified beyond the text in which it starts.
+    """
     padded = np.concatenate([words, np.zeros(STEPS + 1, np.int32)])
-    for first in range(0, len(words), WINDOWS):
-        starts = np.arange(first, min(first + WINDOWS, len(words)))
-        tried: set[tuple[int, int]] = set()
+    inside = np.concatenate([np.arange(b, e) for b, e in zip(begins.tolist(), ends.tolist())]) if len(begins) else np.empty(0, np.int64)
+
+    def owners(at: np.ndarray) -> list[int]:
+        """The texts of places inside texts; an empty text ends before the place."""
+        return np.searchsorted(ends, at, side="right").tolist()
+
+    for first in range(0, len(inside), WINDOWS):
+        starts = inside[first : first + WINDOWS]
+        tried: set[tuple[int, int, int]] = set()
         for table in items.tables:
             at, keys = table.walk(padded, starts)
-            for begin, key in zip(at.tolist(), keys.tolist()):
+            for begin, key, text in zip(at.tolist(), keys.tolist(), owners(at)):
                 for number, offset in table.entries.get(key, ()):
                     allowed = max(items.allowed(number), 1)
                     low = (begin - offset) // allowed * allowed
-                    if (number, low) not in tried:
-                        tried.add((number, low))
-                        edits = items.verified(number, words[max(0, low - allowed) : low + len(items.items[number]) + 2 * allowed])
+                    if (text, number, low) not in tried:
+                        tried.add((text, number, low))
+                        window = words[max(int(begins[text]), low - allowed) : min(int(ends[text]), low + len(items.items[number]) + 2 * allowed)]
+                        edits = items.verified(number, window)
                         if edits is not None:
-                            yield number, begin, edits
+                            yield text, number, begin, edits
         if items.short:
-            for begin in starts[np.isin(words[starts], list(items.short))].tolist():
+            at = starts[np.isin(words[starts], list(items.short))]
+            for begin, text in zip(at.tolist(), owners(at)):
                 for number, row in items.short[int(words[begin])]:
                     if np.array_equal(words[begin : begin + len(row)], row):
-                        yield number, begin, 0
+                        yield text, number, begin, 0
 
 
 def best_of(items: Items, texts: Sequence[str | None]) -> list[dict[int, int]]:
     """For each text the items that it holds, by number, with their least edits."""
     out: list[dict[int, int]] = [{} for _ in texts]
-    # texts are searched in one row of words, with gaps that no match crosses
-    gap = np.zeros(2 * items.longest + STEPS, np.int32)
+    # texts are searched in one row of words, with gaps that no walk crosses
+    gap = np.zeros(STEPS + 1, np.int32)
     rows = list(items.rows_of(texts))
     if rows and items.items:
         joined = np.concatenate([x for row in rows for x in (row, gap)])
-        ends = np.cumsum([len(row) + len(gap) for row in rows])
-        for number, begin, edits in located(items, joined):
-            best = out[int(np.searchsorted(ends, begin, side="right"))]
+        sizes = np.array([len(row) for row in rows])
+        begins = np.cumsum(sizes + len(gap)) - sizes - len(gap)
+        for text, number, _, edits in located(items, joined, begins, begins + sizes):
+            best = out[text]
             best[number] = min(edits, best.get(number, edits))
     return out
 

@@ -86,6 +86,16 @@ def test_long_text_and_blocks(monkeypatch):
     assert best_of(Items(rows), [text, "", None, rows[3][1]]) == [{n: 0 for n in range(9)}, {}, {}, {3: 0}]
 
 
+def test_items_at_the_beginning_of_texts():
+    """A walk from the filler must not stand for the next text, nor report the one before."""
+    rnd = random.Random(6)
+    rows = [(n, " ".join(prose(rnd, rnd.randrange(40, 56)))) for n in range(100)]
+    items = Items(rows)
+    texts = [x for _, t in rows for x in (" ".join(["clean"] * rnd.randrange(5, 90)), t + " " + " ".join(prose(rnd, rnd.randrange(60))))]
+    texts += [x for _, t in rows for x in ("", t)]
+    assert best_of(items, texts) == [x for n in range(100) for x in ({}, {n: 0})] * 2
+
+
 def odd(spark, rows):
     return spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, item_id int, id string")
 
