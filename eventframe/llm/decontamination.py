@@ -8,7 +8,10 @@ samples a few places of one walk; rows whose sampled words agree are candidates.
 word of a document starts a window, and an item is entered at every fourth of its words,
 so that an edit near its beginning does not hide it. Tables are added until simulated
 copies of the items, edited as much as the threshold allows, are found with the target
-recall. A candidate window of the item's size is verified by the exact edit distance.
+recall on average. Items of a length that is still below the target, mostly short ones,
+are found by seeds instead: cut into one part more than the edits allowed, a copy has one
+part unchanged, so none is lost. A candidate window of the item's size is verified by the
+exact edit distance.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ STEPS = 20
 PLACES = 7
 STRIDE = 4
 MOST_TABLES = 64
+# Simulated copies of each length class, fewer of long items.
+COPIES = 400
 # Items of fewer words are looked up as they are, without edits.
 LEAST_WORDS = 8
 # Bound of what is broadcast at a time; more items go over the documents in several passes.
@@ -69,25 +74,25 @@ class Table:
             here = here + self.bits[step][word]
         return at[alive], key
 
-    def enter(self, items: list[np.ndarray]) -> None:
-        """Adds the entries of all items."""
+    def enter(self, entries: Sequence[tuple[int, int, np.ndarray]]) -> None:
+        """Makes these the table's entries: item, place in it, and the words from there on."""
         keys: list[list[int]] = [[] for _ in self.places]
         size = np.int64(self.bits.shape[1])
-        for number, item in enumerate(items):
-            for begin in range(0, len(item), STRIDE):
-                at, key, level, partial = begin, np.zeros(1, np.int64), 0, []
-                for step in range(self.places[-1] + 1):
-                    if at >= len(item):
-                        break
-                    if step == self.places[level]:
-                        key = _extended(key, item[at : at + 1], size)
-                        partial.append(int(key[0]))
-                        level += 1
-                    at += int(self.bits[step][item[at]])
-                if level == len(self.places):
-                    for n, k in enumerate(partial):
-                        keys[n].append(k)
-                    self.entries.setdefault(partial[-1], []).append((number, begin))
+        self.entries = {}
+        for number, begin, row in entries:
+            at, key, level, partial = 0, np.zeros(1, np.int64), 0, []
+            for step in range(self.places[-1] + 1):
+                if at >= len(row):
+                    break
+                if step == self.places[level]:
+                    key = _extended(key, row[at : at + 1], size)
+                    partial.append(int(key[0]))
+                    level += 1
+                at += int(self.bits[step][row[at]])
+            if level == len(self.places):
+                for n, k in enumerate(partial):
+                    keys[n].append(k)
+                self.entries.setdefault(partial[-1], []).append((number, begin))
         self.known = [np.unique(np.array(k, np.int64)) for k in keys]
 
 
@@ -97,6 +102,24 @@ def _extended(key: np.ndarray, word: np.ndarray, size: np.int64) -> np.ndarray:
         return key * (size | 1) + word
 
 
+def _length_class(words: int) -> int:
+    """Items are simulated by their length, those of 64 words and more by its power of two."""
+    return words if words < 64 else 1 << words.bit_length() - 1
+
+
+def _joined(rows: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in one row of words, with gaps that no walk crosses, and where each begins and ends."""
+    gap = np.zeros(STEPS + 1, np.int32)
+    sizes = np.array([len(row) for row in rows])
+    begins = np.cumsum(sizes + len(gap)) - sizes - len(gap)
+    return np.concatenate([x for row in rows for x in (row, gap)]), begins, begins + sizes
+
+
+def _places(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places from each beginning up to its end."""
+    return np.concatenate([np.arange(b, e) for b, e in zip(begins.tolist(), ends.tolist())])
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
@@ -118,32 +141,86 @@ class Items:
         self.masks = [self._masks(row) for row in self.items]
         self.longest = max(map(len, self.items), default=0)
         self.tables: list[Table] = []
-        rng = np.random.default_rng(seed)
+        self.recalls: dict[int, float] = {}
         long = [n for n, row in enumerate(self.items) if len(row) >= LEAST_WORDS]
-        # simulated copies, edited as much as the threshold allows, between other words
-        copies = [(n, _edited(self.items[n], self.allowed(n), rng, len(self.numbers))) for n in rng.choice(long, 300)] if long else []
-        missed = copies
-        entered = [row if len(row) >= LEAST_WORDS else row[:0] for row in self.items]
-        self.recall = 1.0
-        while missed and len(self.tables) < MOST_TABLES:
+        if long:
+            self._build(long, recall, np.random.default_rng(seed))
+
+    def _build(self, long: list[int], recall: float, rng: np.random.Generator) -> None:
+        """Draws tables until the recall is reached on average, then looks up by seeds the lengths that are below it."""
+        classes: dict[int, list[int]] = {}
+        for n in long:
+            classes.setdefault(_length_class(len(self.items[n])), []).append(n)
+        copies = {c: self._copies(members, rng) for c, members in classes.items()}
+        missed = {c: np.ones(len(rows), bool) for c, rows in copies.items()}
+        drawn: list[Table] = []
+        while len(drawn) < MOST_TABLES:
             bits = rng.integers(0, 2, (STEPS, len(self.numbers) + 1), dtype=np.int64)
             table = Table(bits, sorted(rng.choice(STEPS, PLACES, replace=False).tolist()))
-            table.enter(entered)
-            self.tables.append(table)
-            missed = [(n, row) for n, row in missed if not self._found(table, n, row)]
-            self.recall = 1 - len(missed) / len(copies)
-            if self.recall >= recall:
+            table.enter(self._entries(long))
+            drawn.append(table)
+            for c, rows in copies.items():
+                missed[c][missed[c]] = ~self._found(table, [x for x, m in zip(rows, missed[c]) if m])
+            self.recalls = {c: float(1 - m.mean()) for c, m in missed.items()}
+            if sum(self.recalls[c] * len(x) for c, x in classes.items()) >= recall * len(long):
                 break
+        # a class must reach the target by two standard errors of its simulation
+        below = {c for c, r in self.recalls.items() if r - 2 * (r * (1 - r) / len(copies[c])) ** 0.5 < recall}
+        walked = [n for c, members in classes.items() if c not in below for n in members]
+        if walked:
+            for table in drawn:
+                table.enter(self._entries(walked))
+            self.tables += drawn
+        self.tables += self._seeds([n for c in below for n in classes[c]])
+        self.recalls |= dict.fromkeys(below, 1.0)
+
+    @property
+    def recall(self) -> float:
+        """The least recall of any length class."""
+        return min(self.recalls.values(), default=1.0)
+
+    def _entries(self, members: Sequence[int]) -> list[tuple[int, int, np.ndarray]]:
+        """Item, place and words of what the tables enter."""
+        return [(n, begin, self.items[n][begin:]) for n in sorted(members) for begin in range(0, len(self.items[n]), STRIDE)]
+
+    def _seeds(self, members: Sequence[int]) -> list[Table]:
+        """Tables that find every copy: of an item cut into one part more than it is allowed edits, one part is unchanged.
+
+        A walk that moves at each step and samples every place reads a part as it is.
+        """
+        parts: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        for n in sorted(members):
+            row, count = self.items[n], self.allowed(n) + 1
+            cuts = [len(row) * k // count for k in range(count + 1)]
+            for begin, end in zip(cuts, cuts[1:]):
+                parts.setdefault(end - begin, []).append((n, begin, row[begin:end]))
+        out = []
+        for size, entries in sorted(parts.items()):
+            out.append(Table(np.ones((size, len(self.numbers) + 1), np.int64), list(range(size))))
+            out[-1].enter(entries)
+        return out
+
+    def _copies(self, members: Sequence[int], rng: np.random.Generator) -> list[tuple[int, np.ndarray]]:
+        """Simulated copies of items, edited as much as the threshold allows, between other words."""
+        mean = sum(len(self.items[n]) for n in members) / len(members)
+        count = int(min(COPIES, max(COPIES // 20, COPIES * 200 / mean)))
+        return [(n, _edited(self.items[n], self.allowed(n), rng, len(self.numbers))) for n in rng.choice(members, count)]
 
     def allowed(self, number: int) -> int:
         """Edits that the threshold allows an item."""
         row = self.items[number]
         return int((1 - self.similarity) * len(row) + 1e-9) if len(row) >= LEAST_WORDS else 0
 
-    def _found(self, table: Table, number: int, row: np.ndarray) -> bool:
-        padded = np.concatenate([row, np.zeros(STEPS + 1, np.int32)])
-        _, keys = table.walk(padded, np.arange(len(row)))
-        return any(number == n for k in keys.tolist() for n, _ in table.entries.get(k, ()))
+    def _found(self, table: Table, copies: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """Whether the table finds each copy, all of them walked in one row of words."""
+        found = np.zeros(len(copies), bool)
+        if copies:
+            joined, begins, ends = _joined([row for _, row in copies])
+            at, keys = table.walk(joined, _places(begins, ends))
+            for copy, key in zip(np.searchsorted(ends, at, side="right").tolist(), keys.tolist()):
+                if not found[copy]:
+                    found[copy] = any(copies[copy][0] == n for n, _ in table.entries.get(key, ()))
+        return found
 
     @staticmethod
     def _masks(row: np.ndarray) -> dict[int, int]:
@@ -213,11 +290,10 @@ def _edited(row: np.ndarray, edits: int, rng: np.random.Generator, words: int) -
 def located(items: Items, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """Text number, item number, place and edits of every verified window of texts in one row of words.
 
-    Text n stands from ``begins[n]`` up to ``ends[n]``. No window starts in the filler
+    Text n stands from ``begins[n]`` up to ``ends[n]``, with gaps behind (see ``_joined``). No window starts in the filler
     between texts, and none is verified beyond the text in which it starts.
     """
-    padded = np.concatenate([words, np.zeros(STEPS + 1, np.int32)])
-    inside = np.concatenate([np.arange(b, e) for b, e in zip(begins.tolist(), ends.tolist())]) if len(begins) else np.empty(0, np.int64)
+    inside = _places(begins, ends)
 
     def owners(at: np.ndarray) -> list[int]:
         """The texts of places inside texts; an empty text ends before the place."""
@@ -227,7 +303,7 @@ def located(items: Items, words: np.ndarray, begins: np.ndarray, ends: np.ndarra
         starts = inside[first : first + WINDOWS]
         tried: set[tuple[int, int, int]] = set()
         for table in items.tables:
-            at, keys = table.walk(padded, starts)
+            at, keys = table.walk(words, starts)
             for begin, key, text in zip(at.tolist(), keys.tolist(), owners(at)):
                 for number, offset in table.entries.get(key, ()):
                     allowed = max(items.allowed(number), 1)
@@ -249,14 +325,10 @@ def located(items: Items, words: np.ndarray, begins: np.ndarray, ends: np.ndarra
 def best_of(items: Items, texts: Sequence[str | None]) -> list[dict[int, int]]:
     """For each text the items that it holds, by number, with their least edits."""
     out: list[dict[int, int]] = [{} for _ in texts]
-    # texts are searched in one row of words, with gaps that no walk crosses
-    gap = np.zeros(STEPS + 1, np.int32)
     rows = list(items.rows_of(texts))
     if rows and items.items:
-        joined = np.concatenate([x for row in rows for x in (row, gap)])
-        sizes = np.array([len(row) for row in rows])
-        begins = np.cumsum(sizes + len(gap)) - sizes - len(gap)
-        for text, number, _, edits in located(items, joined, begins, begins + sizes):
+        joined, begins, ends = _joined(rows)
+        for text, number, _, edits in located(items, joined, begins, ends):
             best = out[text]
             best[number] = min(edits, best.get(number, edits))
     return out

@@ -96,6 +96,18 @@ def test_items_at_the_beginning_of_texts():
     assert best_of(items, texts) == [x for n in range(100) for x in ({}, {n: 0})] * 2
 
 
+def test_recall_of_short_items_among_long_ones():
+    rnd = random.Random(7)
+    lengths = [8, 9, 10, 12, 15, 16, 20] * 3 + [rnd.randrange(40, 70) for _ in range(200)]
+    rows = [(n, " ".join(prose(rnd, size))) for n, size in enumerate(lengths)]
+    items = Items(rows)
+    assert items.recall >= decontamination.RECALL and min(items.recalls) == 8
+    for number, (_, text) in enumerate(rows[:21]):
+        copies = [edited(rnd, words_of(text), items.allowed(number)) for _ in range(60)]
+        found = best_of(items, [" ".join(prose(rnd, 9) + c + prose(rnd, 9)) for c in copies])
+        assert sum(number in held for held in found) >= 0.95 * len(copies)
+
+
 def odd(spark, rows):
     return spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, item_id int, id string")
 
