@@ -43,11 +43,15 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def create(spark: SparkSession, path: str) -> bool:
-    """Create an empty file; False if it is there already, whoever made it."""
+def create(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Create a small file; False if it is there already, whoever made it."""
     fs, p = _path(spark, path)
     try:
-        fs.create(p, False).close()
+        stream = fs.create(p, False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
     except Py4JJavaError as failed:
         if exists(spark, path):
             return False

@@ -84,6 +84,12 @@ class QueueStore:
         gathered = _stored(rows, batch).withColumn("_hour", F.substring("eid", 1, 15)).hint("rebalance", "queue", "_hour")
         self._write(gathered.drop("_hour"))
 
+    def drop_batch(self, batch: str) -> None:
+        """Delete the events of one batch; only folder names are read."""
+        for queue in folders.children(self.spark, self.events_path):
+            for day in folders.children(self.spark, f"{self.events_path}/{queue}") if queue.startswith("queue=") else ():
+                folders.delete(self.spark, f"{self.events_path}/{queue}/{day}/batch={partition_name(batch)}")
+
     def _write(self, rows: DataFrame, max_records_per_file: int = 0) -> None:
         (
             # In the order of the folders, which the writer would sort by otherwise.

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import folders
 
 
-# A claim older than this belongs to a writer that has died.
+# A claim that was not renewed for so long belongs to a writer that has died.
 LEASE_SECONDS = 900.0
 
 
@@ -27,6 +32,7 @@ class StateTable:
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keep: int = 3):
         self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
+        self.tokens: dict[int, str] = {}
 
     def _pointer(self) -> list[int]:
         text = folders.read_text(self.spark, f"{self.path}/current.json")
@@ -53,10 +59,15 @@ class StateTable:
         snapshot.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{version}")
         return self._read(version)
 
-    def publish(self, version: int) -> None:
-        """Make a staged version current and drop versions no reader needs."""
+    def publish(self, version: int, claimed: bool = False) -> None:
+        """Make a staged version current and drop versions no reader needs.
+
+        A ``claimed`` version is refused if the claim was lost or the version is current already.
+        """
+        if claimed:
+            self.check(version)
         known = self._pointer()
-        if known and known[-1] > version:
+        if known and (known[-1] > version or claimed and known[-1] == version):
             raise StaleVersion(f"{self.path}: version {known[-1]} is current, {version} comes too late")
         versions = [v for v in known if v < version] + [version]
         for old in versions[: -self.keep]:
@@ -75,13 +86,53 @@ class StateTable:
 
     def claim(self, version: int) -> bool:
         """Reserve a version for one writer. The claim of a writer that has died is taken away."""
-        path = f"{self.path}/claims/v{version}"
-        if folders.create(self.spark, path):
+        path, token = f"{self.path}/claims/v{version}", uuid.uuid4().hex
+        if folders.create(self.spark, path, token):
+            self.tokens[version] = token
+            self._renew(version)
             return True
-        if folders.age_seconds(self.spark, path) > LEASE_SECONDS:
+        holder = folders.read_text(self.spark, path)
+        renewed = f"{path}.{holder}"
+        if folders.age_seconds(self.spark, renewed if holder and folders.exists(self.spark, renewed) else path) > LEASE_SECONDS:
             folders.delete(self.spark, path)
         return False
 
+    def _renew(self, version: int) -> None:
+        # A file of this holder alone: renewing can never write over the claim of another one.
+        folders.replace_text(self.spark, f"{self.path}/claims/v{version}.{self.tokens[version]}", "")
+
+    @contextmanager
+    def renewed(self, version: int) -> Iterator[None]:
+        """Keeps a claim alive while its holder works, however long that takes."""
+        ended = threading.Event()
+
+        def renew() -> None:
+            while not ended.wait(max(LEASE_SECONDS / 4, 0.05)):
+                try:
+                    self._renew(version)
+                except Py4JError:
+                    # Tried again next time; a claim that is lost meanwhile is noticed by ``check``.
+                    continue
+
+        worker = threading.Thread(target=renew, daemon=True)
+        worker.start()
+        try:
+            yield
+        finally:
+            ended.set()
+            worker.join()
+
+    def check(self, version: int) -> None:
+        """Raises ``StaleVersion`` if the claim of a version is no longer this writer's."""
+        if folders.read_text(self.spark, f"{self.path}/claims/v{version}") != self.tokens.get(version, ""):
+            raise StaleVersion(f"{self.path}: the claim of version {version} was taken away")
+
+    def former(self, version: int) -> list[str]:
+        """Tokens of writers that held the claim of a version before and lost it."""
+        head = f"v{version}."
+        names = [n.removeprefix(head) for n in folders.children(self.spark, f"{self.path}/claims") if n.startswith(head)]
+        return [n for n in names if n != self.tokens.get(version) and not n.endswith(".new")]
+
     def swap(self, snapshot: DataFrame, expected: int | None) -> int:
         """Replace the snapshot that was read as version ``expected``; returns the new version.
 
@@ -90,6 +141,7 @@ class StateTable:
         version = 0 if expected is None else expected + 1
         if self.version() != expected or not self.claim(version):
             raise StaleVersion(f"{self.path}: version {expected} is no longer current")
-        self.stage(snapshot, version)
-        self.publish(version)
+        with self.renewed(version):
+            self.stage(snapshot, version)
+            self.publish(version, claimed=True)
         return version

@@ -23,6 +23,7 @@ from ..schemas import BOT_STATE, CLOCK_STATE, POSITION_STATE, QUEUE_STATE
 from ..session import work_table
 from ..sources import folders
 from ..sources.queues import QueueStore
+from ..sources.state import StaleVersion
 
 RANGE = "_range"
 
@@ -53,6 +54,11 @@ class Appender:
         current = self.clock.version()
         return 0 if current is None else current + 1
 
+    def batch(self, version: int) -> str:
+        """The name of a version's events, apart for every holder of a claim."""
+        token = self.clock.tokens.get(version)
+        return f"{self.job}-{version}-{token}" if token else f"{self.job}-{version}"
+
     def append(
         self,
         events: DataFrame,
@@ -62,6 +68,7 @@ class Appender:
         order: list[str],
         markers: DataFrame | None = None,
         read: DataFrame | None = None,
+        claimed: bool = False,
     ) -> None:
         """Store a batch.
 
@@ -69,6 +76,8 @@ class Appender:
         columns of ``EVENT_COLUMNS``; ``bucket + order`` is their order within a
         shard and queue. ``firsts``: shard, sequence, value of the first record.
         ``markers``: snapshot marks. ``read``: positions the job has read up to.
+        ``claimed``: the version was claimed on the clock; the batch has the claim's
+        token in its name, and state changes only while the claim is held.
         """
         if self.done(version):
             return
@@ -79,13 +88,17 @@ class Appender:
         numbered = self._numbered(events, self._clocks(firsts, counts, version), bucket, order)
         numbered = numbered.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.store.append(numbered, f"{self.job}-{version}", self.max_records_per_file)
+            self.store.append(numbered, self.batch(version), self.max_records_per_file)
+            if claimed:
+                self.clock.check(version)
             self._publish_queues(numbered, markers, version)
+            if claimed:
+                self.clock.check(version)
             self._publish_bots(numbered, version)
             if read is not None:
                 current = self.positions.load()
                 self.positions.commit(merges.upsert(current, read, merges.CHECKPOINT_KEYS), version)
-            self.clock.publish(version)
+            self.clock.publish(version, claimed)
         finally:
             numbered.unpersist()
 
@@ -195,14 +208,23 @@ def write_events(store: QueueStore, bot: str, queue: str, events: DataFrame, ord
 
     The rows are cut into ranges of their order, so that they are numbered in many
     tasks. Writers of one name take turns: each reserves the next version, and waits
-    while another one holds it.
+    while another one holds it. A writer that loses its version all the same (it stood
+    still for longer than the lease) raises ``StaleVersion`` and leaves no events.
     """
     appender = Appender(store, f"write-{bot}")
     rows = in_ranges(bot_rows(events, bot, queue, now_ms), order)
-    while not appender.clock.claim(version := appender.next_version()):
+    while not appender.clock.claim(version := appender.next_version()) or appender.done(version):
         time.sleep(0.2)
-    appender.append(rows, bot_clock(store.spark, bot, now_ms), version, [RANGE], order)
-    return store.queue(queue).filter(F.col("batch") == f"{appender.job}-{version}").count()
+    with appender.clock.renewed(version):
+        # Events of a writer that died before its version was published.
+        for token in appender.clock.former(version):
+            store.drop_batch(f"{appender.job}-{version}-{token}")
+        try:
+            appender.append(rows, bot_clock(store.spark, bot, now_ms), version, [RANGE], order, claimed=True)
+        except StaleVersion:
+            store.drop_batch(appender.batch(version))
+            raise
+    return store.queue(queue).filter(F.col("batch") == appender.batch(version)).count()
 
 
 def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -92,6 +93,60 @@ def test_writers_of_one_name_take_turns(spark, store, monkeypatch):
     assert store.queue("q").select("eid").distinct().count() == 10
 
 
+def test_a_writer_that_lost_its_claim_stores_nothing(spark, store, monkeypatch):
+    """The lease runs out while a writer stands still, and another one of its name takes the version."""
+    append, taken = QueueStore.append, []
+
+    def slow(self, rows, batch, *rest):
+        if not taken:
+            taken.append(batch)
+            with monkeypatch.context() as patch:
+                patch.setattr(state, "LEASE_SECONDS", -1.0)
+                assert write_events(store, "bot", "q", numbers(spark, 4, 100), ["k"], NOW) == 4
+        append(self, rows, batch, *rest)
+
+    monkeypatch.setattr(QueueStore, "append", slow)
+    with pytest.raises(StaleVersion):
+        write_events(store, "bot", "q", numbers(spark, 6), ["k"], NOW)
+    assert held(store) == [100, 101, 102, 103]
+    assert write_events(store, "bot", "q", numbers(spark, 6), ["k"], NOW) == 6
+    assert held(store) == [0, 1, 2, 3, 4, 5, 100, 101, 102, 103]
+    assert store.queue("q").select("eid").distinct().count() == 10
+
+
+def test_a_claim_is_kept_while_its_holder_works(spark, monkeypatch):
+    path = work_dir(spark, "state")
+    table, other = StateTable(spark, path, POSITION_STATE), StateTable(spark, path, POSITION_STATE)
+    monkeypatch.setattr(state, "LEASE_SECONDS", 2.0)
+    assert table.claim(0)
+    with table.renewed(0):
+        time.sleep(3)
+        assert not other.claim(0) and not other.claim(0)
+    table.check(0)
+    time.sleep(3)
+    assert not other.claim(0) and other.claim(0)
+    with pytest.raises(StaleVersion):
+        table.publish(0, claimed=True)
+
+
+def test_events_of_a_dead_writer_are_dropped(spark, store, monkeypatch):
+    publish = StateTable.publish
+
+    def dies(self, version, *rest):
+        if rest:
+            raise RuntimeError("died")
+        publish(self, version, *rest)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(StateTable, "publish", dies)
+        with pytest.raises(RuntimeError):
+            write_events(store, "bot", "q", numbers(spark, 6), ["k"], NOW)
+    with monkeypatch.context() as patch:
+        patch.setattr(state, "LEASE_SECONDS", -1.0)
+        assert write_events(store, "bot", "other", numbers(spark, 4, 100), ["k"], NOW) == 4
+    assert held(store) == [] and held(store, "other") == [100, 101, 102, 103]
+
+
 def test_a_large_write_is_numbered_in_many_tasks_and_in_order(spark, store):
     ranged = appending.in_ranges(numbers(spark, 100_000).repartition(8), ["k"])
     assert ranged.select(appending.RANGE).distinct().count() > 1
