@@ -59,15 +59,17 @@ class StateTable:
         snapshot.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{version}")
         return self._read(version)
 
-    def publish(self, version: int, claimed: bool = False) -> None:
-        """Make a staged version current and drop versions no reader needs.
+    def publish_claimed(self, version: int) -> None:
+        """Publish a claimed version, unless the claim was lost or the version is current already."""
+        self.check(version)
+        if self.version() == version:
+            raise StaleVersion(f"{self.path}: version {version} is current already")
+        self.publish(version)
 
-        A ``claimed`` version is refused if the claim was lost or the version is current already.
-        """
-        if claimed:
-            self.check(version)
+    def publish(self, version: int) -> None:
+        """Make a staged version current and drop versions no reader needs."""
         known = self._pointer()
-        if known and (known[-1] > version or claimed and known[-1] == version):
+        if known and known[-1] > version:
             raise StaleVersion(f"{self.path}: version {known[-1]} is current, {version} comes too late")
         versions = [v for v in known if v < version] + [version]
         for old in versions[: -self.keep]:
@@ -143,5 +145,5 @@ class StateTable:
             raise StaleVersion(f"{self.path}: version {expected} is no longer current")
         with self.renewed(version):
             self.stage(snapshot, version)
-            self.publish(version, claimed=True)
+            self.publish_claimed(version)
         return version

@@ -98,7 +98,10 @@ class Appender:
             if read is not None:
                 current = self.positions.load()
                 self.positions.commit(merges.upsert(current, read, merges.CHECKPOINT_KEYS), version)
-            self.clock.publish(version, claimed)
+            if claimed:
+                self.clock.publish_claimed(version)
+            else:
+                self.clock.publish(version)
         finally:
             numbered.unpersist()
 

@@ -126,19 +126,15 @@ def test_a_claim_is_kept_while_its_holder_works(spark, monkeypatch):
     time.sleep(3)
     assert not other.claim(0) and other.claim(0)
     with pytest.raises(StaleVersion):
-        table.publish(0, claimed=True)
+        table.publish_claimed(0)
 
 
 def test_events_of_a_dead_writer_are_dropped(spark, store, monkeypatch):
-    publish = StateTable.publish
-
-    def dies(self, version, *rest):
-        if rest:
-            raise RuntimeError("died")
-        publish(self, version, *rest)
+    def dies(self, version):
+        raise RuntimeError("died")
 
     with monkeypatch.context() as patch:
-        patch.setattr(StateTable, "publish", dies)
+        patch.setattr(StateTable, "publish_claimed", dies)
         with pytest.raises(RuntimeError):
             write_events(store, "bot", "q", numbers(spark, 6), ["k"], NOW)
     with monkeypatch.context() as patch:
