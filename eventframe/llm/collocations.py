@@ -5,10 +5,10 @@ Tasks count equal windows, and one Spark ``ROLLUP`` over the five columns sums t
 shorter prefixes: the prefix of k words occurs as often as the windows that begin with it.
 So no n-gram of a shorter order is ever formed.
 
-A phrase is no more frequent than its rarest word. Words are counted first, and a word
-below the least frequency ends a window as the end of a piece does. Tasks know the frequent words by a
-bit filter of fixed size; a rare word that slips through is counted like any other, so the
-filter decides only how much is pruned.
+A phrase is no more frequent than its rarest word or pair of neighbouring words. These are
+counted first, and a word or pair below the least frequency ends a window as the end of a
+piece does. Tasks know the frequent ones by two bit filters of fixed size; what slips through
+is counted like any other, so the filters decide only how much is pruned.
 
 Word columns hold 64-bit hashes. Where two words of a language share one, which the word
 counts tell, everything is done again with another seed.
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventframe.llm.byte_words import BREAK, PIECES, Numbers, binaries, token_slabs
+from eventframe.llm.letters import mixed
 from eventframe.llm.texts import work_table
 
 LONGEST = 5
@@ -33,7 +34,8 @@ LEAST = 100
 SHARE = 100
 TOP = 2000
 NO_LANGUAGE = "und"
-FILTER_BITS = 1 << 25
+WORD_BITS = 1 << 25
+PAIR_BITS = 1 << 27
 # A task hands on its words or windows when it holds so many.
 FLUSH_WORDS = 500_000
 FLUSH_WINDOWS = 1_000_000
@@ -96,27 +98,101 @@ def vocabulary(texts: DataFrame, least: int) -> tuple[DataFrame, int]:
         salt += 1
 
 
-def _bit_filter(known: DataFrame, bits: int) -> np.ndarray:
-    """One bit per place that a frequent word's key names; at most ``bits`` / 64 numbers reach the driver."""
-    place = F.col("key").bitwiseAND(bits - 1)
-    found = known.where(F.col("word").isNotNull()).select(
-        F.shiftrightunsigned(place, 6).alias("number"), F.expr(f"shiftleft(1L, cast(key & 63 as int))").alias("bit")
+def _bits(places: DataFrame, bits: int) -> np.ndarray:
+    """One bit per row's ``place``; at most ``bits`` / 64 numbers reach the driver."""
+    found = places.select(
+        F.shiftrightunsigned("place", 6).alias("number"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")
     ).groupBy("number").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(max(bits // 64, 1), np.uint64)
     out[found.column("number").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
     return out
 
 
-def _windows(numbers: np.ndarray, size: int) -> np.ndarray:
-    """Rows of word numbers: a window per word, -1 from the first break on. ``numbers``: -1 for a break."""
+def _has(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _place(keys: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    return keys & np.uint64((bits if isinstance(bits, int) else len(bits) * 64) - 1)
+
+
+def _pair_keys(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """A hash of each word and its successor; of no meaning where either is a break."""
+    return mixed(keys[numbers[:-1]] * np.uint64(0x9E3779B97F4A7C15) + keys[numbers[1:]])
+
+
+def _groups(
+    batches: Iterator[pa.RecordBatch], words_with: np.ndarray, salt: int
+) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Words of a task's texts by language, in pieces of bounded size: ``lang, keys, numbers``.
+
+    ``numbers`` index the keys; -1 stands for the end of a piece and for a rare word.
+    """
+    words: dict[str, Numbers] = {}
+    numbers: dict[str, list[np.ndarray]] = defaultdict(list)
+    held: Counter = Counter()
+
+    def group(lang: str) -> tuple[str, np.ndarray, np.ndarray]:
+        known, seed = words.pop(lang), _seed(lang, salt)
+        keys = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in known), np.uint64, len(known))
+        frequent = _has(words_with, _place(keys, words_with))
+        frequent[known[BREAK]] = False
+        every = np.concatenate(numbers.pop(lang))
+        every[~frequent[every]] = -1
+        del held[lang]
+        return lang, keys, every
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), binaries(batch.column("text"))):
+            known = words.setdefault(lang, Numbers())
+            stop = np.array([known[BREAK]], np.int32)
+            for tokens in token_slabs(text, PIECES):
+                numbers[lang].append(np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)))
+                held[lang] += len(tokens)
+            numbers[lang].append(stop)
+            held[lang] += 1
+            if held[lang] > FLUSH_WINDOWS:
+                yield group(lang)
+            elif held.total() > 4 * FLUSH_WINDOWS:
+                for other in list(numbers):
+                    yield group(other)
+    for lang in list(numbers):
+        yield group(lang)
+
+
+def frequent_pairs(texts: DataFrame, words_with: np.ndarray, salt: int, least: int, bits: int) -> np.ndarray:
+    """Bits of the places at which pairs of neighbouring words occur ``least`` times together.
+
+    Every frequent pair's bit is set; a rare one's is if its place is shared by enough others.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(words_with)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, numbers in _groups(batches, shared.value, salt):
+            both = (numbers[:-1] >= 0) & (numbers[1:] >= 0)
+            places, counts = np.unique(_place(_pair_keys(keys, numbers)[both], bits), return_counts=True)
+            for first in range(0, len(places), 100_000):
+                part = slice(first, first + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(places[part].view(np.int64)), pa.array(counts[part])], ["place", "count"])
+
+    counted = texts.mapInArrow(run, "place bigint, count bigint").groupBy("place").agg(F.sum("count").alias("count"))
+    return _bits(counted.where(F.col("count") >= least), bits)
+
+
+def _windows(numbers: np.ndarray, joined: np.ndarray, size: int) -> np.ndarray:
+    """Rows of word numbers, a window per word, padded with -1.
+
+    ``numbers``: -1 for a break. ``joined``: whether a word and its successor may share a window.
+    """
     padded = np.concatenate([numbers, np.full(size, -1, numbers.dtype)])
+    goes_on = np.concatenate([joined, np.zeros(size + 1, bool)])
     begins = np.flatnonzero(numbers >= 0)
     rows = np.full((len(begins), size), -1, numbers.dtype)
-    open_rows = np.ones(len(begins), bool)
-    for i in range(size):
-        column = padded[begins + i]
-        open_rows &= column >= 0
-        rows[open_rows, i] = column[open_rows]
+    rows[:, 0] = numbers[begins]
+    left = np.arange(len(begins))
+    for i in range(1, size):
+        left = left[goes_on[begins[left] + i - 1]]
+        rows[left, i] = padded[begins[left] + i]
     return rows
 
 
@@ -130,54 +206,26 @@ def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[begins], np.diff(np.append(begins, len(rows)))
 
 
-def lead_windows(texts: DataFrame, bits: np.ndarray, salt: int, size: int = LONGEST) -> DataFrame:
+def lead_windows(
+    texts: DataFrame, words_with: np.ndarray, pairs_with: np.ndarray, salt: int, size: int = LONGEST
+) -> DataFrame:
     """``lang, w1 .. w5, count``: the padded longest windows, counted within tasks."""
-    mask = np.uint64(len(bits) * 64 - 1)
     columns = WORD_COLUMNS[:size]
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
-
-    def rows(lang: str, numbers: list[np.ndarray], words: Numbers) -> Iterator[pa.RecordBatch]:
-        seed = _seed(lang, salt)
-        keys = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-        place = keys & mask
-        frequent = (shared.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) != 0
-        frequent[words[BREAK]] = False
-        every = np.concatenate(numbers)
-        every[~frequent[every]] = -1
-        found, counts = _counted(_windows(every, size))
-        for first in range(0, len(found), 100_000):
-            part = found[first : first + 100_000]
-            arrays = [pa.array(keys.view(np.int64)[part[:, i]], pa.int64(), mask=part[:, i] < 0) for i in range(size)]
-            lead = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(part), np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [lead, *arrays, pa.array(counts[first : first + 100_000], pa.int64())], ["lang", *columns, "count"]
-            )
+    shared = texts.sparkSession.sparkContext.broadcast((words_with, pairs_with))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Numbers] = {}
-        numbers: dict[str, list[np.ndarray]] = defaultdict(list)
-        held: Counter = Counter()
-
-        def flush(lang: str) -> Iterator[pa.RecordBatch]:
-            yield from rows(lang, numbers.pop(lang), words.pop(lang))
-            del held[lang]
-
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), binaries(batch.column("text"))):
-                known = words.setdefault(lang, Numbers())
-                stop = np.array([known[BREAK]], np.int32)
-                for tokens in token_slabs(text, PIECES):
-                    numbers[lang].append(np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)))
-                    held[lang] += len(tokens)
-                numbers[lang].append(stop)
-                held[lang] += 1
-                if held[lang] > FLUSH_WINDOWS:
-                    yield from flush(lang)
-                elif held.total() > 4 * FLUSH_WINDOWS:
-                    for other in list(numbers):
-                        yield from flush(other)
-        for lang in list(numbers):
-            yield from flush(lang)
+        words_with, pairs_with = shared.value
+        for lang, keys, numbers in _groups(batches, words_with, salt):
+            joined = (numbers[:-1] >= 0) & (numbers[1:] >= 0)
+            joined &= _has(pairs_with, _place(_pair_keys(keys, numbers), pairs_with))
+            found, counts = _counted(_windows(numbers, joined, size))
+            for first in range(0, len(found), 100_000):
+                part = found[first : first + 100_000]
+                arrays = [pa.array(keys.view(np.int64)[part[:, i]], pa.int64(), mask=part[:, i] < 0) for i in range(size)]
+                lead = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(part), np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [lead, *arrays, pa.array(counts[first : first + 100_000], pa.int64())], ["lang", *columns, "count"]
+                )
 
     kinds = ", ".join(f"{c} bigint" for c in columns)
     return texts.mapInArrow(run, f"lang string, {kinds}, count bigint")
@@ -206,7 +254,7 @@ def _decimal(c: Column | str) -> Column:
 
 def collocations(
     docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int = TOP, lang_col: str = "lang", text_col: str = "text",
-    bits: int = FILTER_BITS,
+    word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS,
 ) -> DataFrame:
     """Each language's best phrases of two to five words: ``lang, rank, phrase, a, l, r, n, score``.
 
@@ -217,12 +265,14 @@ def collocations(
 
     Null texts count as empty, a null language is ``und``, repeated rows count as often as they occur,
     ties go to the phrase that is first in UTF-8, other columns are not read, an empty table gives
-    no rows. ``bits`` (a power of two, 64 at least) is the size of the filter of frequent words.
+    no rows. ``word_bits`` and ``pair_bits`` (powers of two, 64 at least) are the sizes of the filters.
     """
     texts = _texts(docs, lang_col, text_col)
     known, salt = vocabulary(texts, least)
-    windows = lead_windows(texts, _bit_filter(known, bits), salt)
-    found = work_table(phrases(windows, least), "collocation-phrases")
+    spelled_out = known.where(F.col("word").isNotNull())
+    words_with = _bits(spelled_out.select(F.col("key").bitwiseAND(word_bits - 1).alias("place")), word_bits)
+    pairs_with = frequent_pairs(texts, words_with, salt, least, pair_bits)
+    found = work_table(phrases(lead_windows(texts, words_with, pairs_with, salt), least), "collocation-phrases")
 
     longer = found.where(F.size("words") >= 2)
     cuts = longer.select("lang", "words", F.col("total").alias("a"), F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
@@ -250,7 +300,7 @@ def collocations(
     ).drop("_longer")
 
     spelled = kept.select("lang", "words", F.posexplode("words").alias("_at", "key")).join(
-        known.where(F.col("word").isNotNull()).select("lang", "key", "word"), ["lang", "key"]
+        spelled_out.select("lang", "key", "word"), ["lang", "key"]
     ).groupBy("lang", "words").agg(F.array_sort(F.collect_list(F.struct("_at", "word"))).alias("_spelled"))
     named = kept.join(spelled, ["lang", "words"]).withColumn("phrase", F.concat_ws(" ", "_spelled.word"))
     in_order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))

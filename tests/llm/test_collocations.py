@@ -54,11 +54,11 @@ def made(seed, rows=400):
     return [(rnd.choice(["en", "en", "fr", None, "und"]), text()) for _ in range(rows)] + [(None, None), ("en", ""), ("zz", None), ("en", "...")]
 
 
-@pytest.mark.parametrize("seed, least, share, top, bits", [(1, 20, 100, 2000, 1 << 25), (2, 5, 80, 7, 64), (3, 1, 100, 50, 256)])
+@pytest.mark.parametrize("seed, least, share, top, bits", [(1, 20, 100, 2000, (1 << 25, 1 << 27)), (2, 5, 80, 7, (64, 64)), (3, 1, 100, 50, (256, 1024)), (4, 30, 100, 2000, (64, 1 << 20))])
 def test_every_ngram(spark, seed, least, share, top, bits):
     docs = made(seed)
     df = spark.createDataFrame(docs, "lang string, text string").repartition(3)
-    got = collocations.collocations(df, least=least, share=share, top=top, bits=bits)
+    got = collocations.collocations(df, least=least, share=share, top=top, word_bits=bits[0], pair_bits=bits[1])
     assert {tuple(r) for r in got.collect()} == by_rule(docs, least, share, top)
 
 
