@@ -1,9 +1,10 @@
 """Collocations by top-order marginalisation: only the longest windows are counted.
 
 Every word of a piece leads one window of five word columns, padded where the piece ends.
-Tasks count equal windows, and one Spark ``ROLLUP`` over the five columns sums them to all
-shorter prefixes: the prefix of k words occurs as often as the windows that begin with it.
-So no n-gram of a shorter order is ever formed.
+One Spark ``ROLLUP`` over the five columns counts the windows, in the tasks before they are
+shuffled, and sums them to all shorter prefixes: the prefix of k words occurs as often as the
+windows that begin with it, and no prefix at all stands for all words of a language. So no
+n-gram of a shorter order is ever formed.
 
 A phrase is no more frequent than its rarest word or pair of neighbouring words. These are
 counted first, and a word or pair below the least frequency ends a window as the end of a
@@ -36,6 +37,8 @@ TOP = 2000
 NO_LANGUAGE = "und"
 WORD_BITS = 1 << 25
 PAIR_BITS = 1 << 27
+# What stands in place of a word's number.
+END, RARE = -1, -2
 # A task hands on its words or windows when it holds so many.
 FLUSH_WORDS = 500_000
 FLUSH_WINDOWS = 1_000_000
@@ -54,7 +57,7 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 
 def word_counts(texts: DataFrame, salt: int) -> DataFrame:
-    """``lang, key, word, count`` of each task's words; a null word has the number of all words."""
+    """``lang, key, word, count`` of each task's words."""
 
     def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, counter in counts.items():
@@ -62,10 +65,8 @@ def word_counts(texts: DataFrame, salt: int) -> DataFrame:
             seed, words = _seed(lang, salt), list(counter)
             keys = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * (len(words) + 1), pa.string()),
-                pa.concat_arrays([pa.array(keys, pa.int64()), pa.nulls(1, pa.int64())]),
-                pa.concat_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.nulls(1, pa.string())]),
-                pa.array([*counter.values(), counter.total()], pa.int64()),
+                pa.array([lang] * len(words), pa.string()), pa.array(keys, pa.int64()),
+                pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(counter.values()), pa.int64()),
             ], ["lang", "key", "word", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +84,7 @@ def word_counts(texts: DataFrame, salt: int) -> DataFrame:
 
 
 def vocabulary(texts: DataFrame, least: int) -> tuple[DataFrame, int]:
-    """Words of at least that frequency (``lang, key, word, total``), the number of all words per
-    language in a row without a word, and the seed under which no two words share a key."""
+    """Words of at least that frequency (``lang, key, word``), and the seed under which no two words share a key."""
     salt = 0
     while True:
         # One shuffle serves both groupings.
@@ -92,9 +92,9 @@ def vocabulary(texts: DataFrame, least: int) -> tuple[DataFrame, int]:
         keys = words.groupBy("lang", "key").agg(
             F.sum("total").alias("total"), F.count("*").alias("_words"), F.first("word").alias("word")
         )
-        known = work_table(keys.where((F.col("total") >= least) | F.col("word").isNull() | (F.col("_words") > 1)), "collocation-words")
+        known = work_table(keys.where((F.col("total") >= least) | (F.col("_words") > 1)), "collocation-words")
         if known.where("_words > 1").isEmpty():
-            return known.drop("_words"), salt
+            return known.select("lang", "key", "word"), salt
         salt += 1
 
 
@@ -126,7 +126,7 @@ def _groups(
 ) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """Words of a task's texts by language, in pieces of bounded size: ``lang, keys, numbers``.
 
-    ``numbers`` index the keys; -1 stands for the end of a piece and for a rare word.
+    ``numbers`` index the keys; ``END`` stands for the end of a piece, ``RARE`` for a rare word.
     """
     words: dict[str, Numbers] = {}
     numbers: dict[str, list[np.ndarray]] = defaultdict(list)
@@ -138,7 +138,7 @@ def _groups(
         frequent = _has(words_with, _place(keys, words_with))
         frequent[known[BREAK]] = False
         every = np.concatenate(numbers.pop(lang))
-        every[~frequent[every]] = -1
+        every = np.where(frequent[every], every, np.where(every == known[BREAK], END, RARE))
         del held[lang]
         return lang, keys, every
 
@@ -180,36 +180,25 @@ def frequent_pairs(texts: DataFrame, words_with: np.ndarray, salt: int, least: i
 
 
 def _windows(numbers: np.ndarray, joined: np.ndarray, size: int) -> np.ndarray:
-    """Rows of word numbers, a window per word, padded with -1.
+    """Rows of word numbers, a window per word, padded with -1; a rare word's window is all padding.
 
-    ``numbers``: -1 for a break. ``joined``: whether a word and its successor may share a window.
+    ``joined``: whether a word and its successor may share a window.
     """
-    padded = np.concatenate([numbers, np.full(size, -1, numbers.dtype)])
-    goes_on = np.concatenate([joined, np.zeros(size + 1, bool)])
-    begins = np.flatnonzero(numbers >= 0)
+    begins = np.flatnonzero(numbers != END)
     rows = np.full((len(begins), size), -1, numbers.dtype)
-    rows[:, 0] = numbers[begins]
-    left = np.arange(len(begins))
+    goes_on = np.concatenate([joined, np.zeros(1, bool)])
+    left = np.flatnonzero(numbers[begins] >= 0)
+    rows[left, 0] = numbers[begins[left]]
     for i in range(1, size):
         left = left[goes_on[begins[left] + i - 1]]
-        rows[left, i] = padded[begins[left] + i]
+        rows[left, i] = numbers[begins[left] + i]
     return rows
 
 
-def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and how often each occurs."""
-    order = np.lexsort(rows.T[::-1])
-    rows = rows[order]
-    first = np.ones(len(rows), bool)
-    first[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-    begins = np.flatnonzero(first)
-    return rows[begins], np.diff(np.append(begins, len(rows)))
-
-
 def lead_windows(
     texts: DataFrame, words_with: np.ndarray, pairs_with: np.ndarray, salt: int, size: int = LONGEST
 ) -> DataFrame:
-    """``lang, w1 .. w5, count``: the padded longest windows, counted within tasks."""
+    """``lang, w1 .. w5``: the padded longest window of every word."""
     columns = WORD_COLUMNS[:size]
     shared = texts.sparkSession.sparkContext.broadcast((words_with, pairs_with))
 
@@ -218,29 +207,30 @@ def lead_windows(
         for lang, keys, numbers in _groups(batches, words_with, salt):
             joined = (numbers[:-1] >= 0) & (numbers[1:] >= 0)
             joined &= _has(pairs_with, _place(_pair_keys(keys, numbers), pairs_with))
-            found, counts = _counted(_windows(numbers, joined, size))
+            found = _windows(numbers, joined, size)
             for first in range(0, len(found), 100_000):
                 part = found[first : first + 100_000]
                 arrays = [pa.array(keys.view(np.int64)[part[:, i]], pa.int64(), mask=part[:, i] < 0) for i in range(size)]
                 lead = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(part), np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [lead, *arrays, pa.array(counts[first : first + 100_000], pa.int64())], ["lang", *columns, "count"]
-                )
+                yield pa.RecordBatch.from_arrays([lead, *arrays], ["lang", *columns])
 
     kinds = ", ".join(f"{c} bigint" for c in columns)
-    return texts.mapInArrow(run, f"lang string, {kinds}, count bigint")
+    return texts.mapInArrow(run, f"lang string, {kinds}")
 
 
 def phrases(windows: DataFrame, least: int, size: int = LONGEST) -> DataFrame:
-    """``lang, words, total`` of every phrase of at least that frequency, summed up from the windows."""
+    """``lang, words, total`` of every phrase of at least that frequency, summed up from the windows.
+
+    The row without words has the number of all words of a language.
+    """
     columns = WORD_COLUMNS[:size]
-    summed = windows.rollup("lang", *columns).agg(F.sum("count").alias("total"), F.grouping_id().alias("_rolled"))
-    words = F.array_compact(F.array(*columns))
-    # A prefix that ends in padding is the shorter phrase, which has a row of its own.
-    order = size - F.bit_count("_rolled").cast("int")
-    return summed.where((F.col("total") >= least) & (order >= 1)).select("lang", words.alias("words"), "total", order.alias("_order")).where(
-        F.size("words") == F.col("_order")
-    ).drop("_order")
+    summed = windows.rollup("lang", *columns).agg(F.count("*").alias("total"), F.grouping_id().alias("_rolled"))
+    # Rolled up to k words; a prefix that ends in padding is the shorter phrase, which has a row of its own.
+    whole = F.col("_rolled") == 2**size - 1
+    for order, column in enumerate(columns, 1):
+        whole |= (F.col("_rolled") == 2 ** (size - order) - 1) & F.col(column).isNotNull()
+    words = F.array_compact(F.array(*columns)).alias("words")
+    return summed.where(whole).select("lang", words, "total").where((F.col("total") >= least) | (F.size("words") == 0))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -269,8 +259,7 @@ def collocations(
     """
     texts = _texts(docs, lang_col, text_col)
     known, salt = vocabulary(texts, least)
-    spelled_out = known.where(F.col("word").isNotNull())
-    words_with = _bits(spelled_out.select(F.col("key").bitwiseAND(word_bits - 1).alias("place")), word_bits)
+    words_with = _bits(known.select(F.col("key").bitwiseAND(word_bits - 1).alias("place")), word_bits)
     pairs_with = frequent_pairs(texts, words_with, salt, least, pair_bits)
     found = work_table(phrases(lead_windows(texts, words_with, pairs_with, salt), least), "collocation-phrases")
 
@@ -280,7 +269,7 @@ def collocations(
         "*", F.slice("words", F.lit(1), F.col("k")).alias("_first"),
         F.slice("words", F.col("k") + 1, F.size("words") - F.col("k")).alias("_rest"),
     )
-    totals = known.where(F.col("word").isNull()).select("lang", F.col("total").alias("n"))
+    totals = found.where(F.size("words") == 0).select("lang", F.col("total").alias("n"))
     left = found.select("lang", F.col("words").alias("_first"), F.col("total").alias("l"))
     right = found.select("lang", F.col("words").alias("_rest"), F.col("total").alias("r"))
     scored = cuts.join(left, ["lang", "_first"]).join(right, ["lang", "_rest"]).join(_small(totals), "lang")
@@ -300,7 +289,7 @@ def collocations(
     ).drop("_longer")
 
     spelled = kept.select("lang", "words", F.posexplode("words").alias("_at", "key")).join(
-        spelled_out.select("lang", "key", "word"), ["lang", "key"]
+        known.select("lang", "key", "word"), ["lang", "key"]
     ).groupBy("lang", "words").agg(F.array_sort(F.collect_list(F.struct("_at", "word"))).alias("_spelled"))
     named = kept.join(spelled, ["lang", "words"]).withColumn("phrase", F.concat_ws(" ", "_spelled.word"))
     in_order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
