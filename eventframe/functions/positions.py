@@ -1,5 +1,9 @@
 """Event positions: ``z/yyyy/MM/dd/HH/mm/<ms>-<7 digits>``, compared bytewise.
 
+Every producer and shard of a store has a lane. Positions of lane 0 have the form above, those
+of others end in ``-<6 digits of the lane>``: the order is time, counter, lane, and two
+producers never share a position.
+
 A position also has a numeric key with the same order. Aggregating the key
 keeps min/max in hash aggregates; min/max of strings would sort every row.
 """
@@ -20,7 +24,13 @@ START = "z/0"
 COUNTER_DIGITS = 7
 COUNTER_SIZE = 10**COUNTER_DIGITS
 
+LANE_DIGITS = 6
+LANES = 10**LANE_DIGITS
+# What follows the time in a position.
+COUNTER_AND_LANE = r"-(\d{7})(?:-\d{6})?$"
+
 _MS_SIZE = 10**13
+_COUNT_SIZE = 10 ** (COUNTER_DIGITS + LANE_DIGITS)
 _MINUTE_MS = 60_000
 
 
@@ -47,27 +57,37 @@ def batch_prefix(batch_ms: Column, bucket_ms: Column | None = None) -> Column:
     return F.concat(bucket(batch_ms if bucket_ms is None else bucket_ms), batch_ms.cast("string"))
 
 
-def position(batch_ms: Column, counter: Column, bucket_ms: Column | None = None) -> Column:
-    return F.concat(batch_prefix(batch_ms, bucket_ms), F.lit("-"), padded(counter))
+def position(batch_ms: Column, counter: Column, bucket_ms: Column | None = None, lane: Column | None = None) -> Column:
+    own = F.concat(batch_prefix(batch_ms, bucket_ms), F.lit("-"), padded(counter))
+    if lane is None:
+        return own
+    behind = F.concat(F.lit("-"), F.lpad(lane.cast("string"), LANE_DIGITS, "0"))
+    return F.concat(own, F.when(lane > 0, behind).otherwise(F.lit("")))
 
 
-def key(batch_ms: Column, counter: Column, bucket_ms: Column | None = None) -> Column:
-    """Number with the order of :func:`position`: minute, ms, counter."""
+def key(batch_ms: Column, counter: Column, bucket_ms: Column | None = None, lane: Column | None = None) -> Column:
+    """Number with the order of :func:`position`: minute, ms, counter, lane."""
     minute = div(batch_ms if bucket_ms is None else bucket_ms, _MINUTE_MS)
-    return (
-        minute.cast("decimal(12,0)") * F.lit(Decimal(_MS_SIZE * COUNTER_SIZE))
-        + batch_ms.cast("decimal(13,0)") * F.lit(Decimal(COUNTER_SIZE))
-        + (counter % COUNTER_SIZE).cast("decimal(7,0)")
-    ).cast("decimal(38,0)")
+    own = (
+        minute.cast("decimal(10,0)") * F.lit(Decimal(_MS_SIZE * _COUNT_SIZE))
+        + batch_ms.cast("decimal(13,0)") * F.lit(Decimal(_COUNT_SIZE))
+        + (counter % COUNTER_SIZE).cast("decimal(7,0)") * F.lit(Decimal(LANES))
+    )
+    return (own if lane is None else own + lane.cast("decimal(6,0)")).cast("decimal(38,0)")
 
 
 def from_key(k: Column) -> Column:
     """The position a key stands for."""
-    minute = F.call_function("div", k, F.lit(Decimal(_MS_SIZE * COUNTER_SIZE)))
-    rest = (k % F.lit(Decimal(_MS_SIZE * COUNTER_SIZE))).cast("decimal(20,0)")
-    batch_ms = F.call_function("div", rest, F.lit(Decimal(COUNTER_SIZE)))
-    counter = (rest % F.lit(Decimal(COUNTER_SIZE))).cast("bigint")
-    return position(batch_ms, counter, minute * _MINUTE_MS)
+    minute = F.call_function("div", k, F.lit(Decimal(_MS_SIZE * _COUNT_SIZE)))
+    rest = (k % F.lit(Decimal(_MS_SIZE * _COUNT_SIZE))).cast("decimal(26,0)")
+    batch_ms = F.call_function("div", rest, F.lit(Decimal(_COUNT_SIZE)))
+    last = (rest % F.lit(Decimal(_COUNT_SIZE))).cast("bigint")
+    return position(batch_ms, div(last, LANES), minute * _MINUTE_MS, last % LANES)
+
+
+def counter_of(eid: Column) -> Column:
+    """The counter of a position; null for other texts."""
+    return F.regexp_extract(eid, COUNTER_AND_LANE, 1).try_cast("bigint")
 
 
 def day_of(eid: Column) -> Column:

@@ -66,7 +66,8 @@ def chunk_start(ms: Column, minutes: int = CHUNK_MINUTES) -> Column:
 
 def archive_chunks(events: DataFrame, ms: str = "arrival_ms", minutes: int = CHUNK_MINUTES) -> DataFrame:
     """Manifest of the archive queue: one row per queue and chunk of time."""
-    rank = positions.key(F.col(ms), F.col("counter"))
+    lane = F.col("lane") if "lane" in events.columns else None
+    rank = positions.key(F.col(ms), F.col("counter"), lane=lane)
     chunks = events.groupBy("queue", chunk_start(F.col(ms), minutes).alias("chunk_ms")).agg(
         F.min(rank).alias("_first"),
         F.max(rank).alias("_last"),

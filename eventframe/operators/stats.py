@@ -58,6 +58,10 @@ def snapshot_markers(commands: DataFrame) -> DataFrame:
     )
 
 
+def _lane(rows: DataFrame) -> Column | None:
+    return F.col("lane") if "lane" in rows.columns else None
+
+
 def producer_stats(numbered: DataFrame, batch: tuple[str, ...] = ("shard", "batch")) -> DataFrame:
     """Per batch, bot and queue: events written and the last event's times and counter."""
     return numbered.groupBy(*batch, "id", "queue").agg(
@@ -76,7 +80,7 @@ def write_checkpoints(stats: DataFrame) -> DataFrame:
         *batch_columns,
         "id",
         "queue",
-        positions.position(F.col("batch_ms"), F.col("checkpoint")).alias("checkpoint"),
+        positions.position(F.col("batch_ms"), F.col("checkpoint"), lane=_lane(stats)).alias("checkpoint"),
         F.col("start").alias("source_timestamp"),
         F.col("end").alias("started_timestamp"),
         F.col("batch_ms").alias("ended_timestamp"),
@@ -89,7 +93,7 @@ def last_write_checkpoints(stats: DataFrame) -> DataFrame:
 
     Everything aggregated is a number; the position text is built per result row.
     """
-    rank = positions.key(F.col("batch_ms"), F.col("checkpoint"))
+    rank = positions.key(F.col("batch_ms"), F.col("checkpoint"), lane=_lane(stats))
     last = stats.groupBy("id", "queue").agg(
         F.max(rank).alias("_key"),
         F.max_by("start", rank).alias("source_timestamp"),

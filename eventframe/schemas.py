@@ -52,6 +52,11 @@ STORED = T.StructType([
     T.StructField("source_ms", T.LongType()),
     T.StructField("batch_ms", T.LongType()),
     T.StructField("counter", T.LongType()),
+    T.StructField("lane", T.IntegerType()),
+    # Bytes of the payload, so that pages can be measured without reading it.
+    T.StructField("size", T.LongType()),
+    # Where the span of an archive row begins; its position is where the span ends.
+    T.StructField("archive_start", T.StringType()),
     T.StructField("ttl", T.LongType()),
     T.StructField("creator", T.StringType()),
     T.StructField("v", T.IntegerType()),
@@ -133,6 +138,7 @@ CLOCK_STATE = T.StructType([
     T.StructField("sequence", T.StringType()),
     # Clock the last batch began at; null for a shard that batch had nothing of.
     T.StructField("start", T.LongType()),
+    T.StructField("lane", T.IntegerType()),
 ])
 
 BOT_STATE = T.StructType([

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import time
+import os
+import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+# Object stores that neither create a file for one writer alone nor move a folder as a whole.
+NOT_EXCLUSIVE = {"s3", "s3a", "s3n", "oss", "cosn", "swift"}
+
+
 def _path(spark: SparkSession, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
@@ -44,41 +49,60 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def create(spark: SparkSession, path: str, text: str = "") -> bool:
-    """Create a small file; False if it is there already, whoever made it."""
-    fs, p = _path(spark, path)
-    try:
-        stream = fs.create(p, False)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-    except Py4JJavaError as failed:
-        if exists(spark, path):
-            return False
-        raise failed
-    return True
-
-
-def age_seconds(spark: SparkSession, path: str) -> float:
-    """How long ago a file was written; zero if it is gone."""
-    if not exists(spark, path):
-        return 0.0
-    fs, p = _path(spark, path)
-    return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
-
-
-def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file so that readers see the old or the new content."""
+    """Create a small file with its whole content; False if it is there already, whoever made it."""
     fs, target = _path(spark, path)
-    _, fresh = _path(spark, path + ".new")
+    target = fs.makeQualified(target)
+    kind = fs.getUri().getScheme()
+    if kind in NOT_EXCLUSIVE:
+        raise ValueError(f"{kind}: no file can be created there for one writer alone; keep the store on HDFS, ABFS or a shared disk")
+    _, fresh = _path(spark, f"{path}.{uuid.uuid4().hex}.new")
     stream = fs.create(fresh, True)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
+    try:
+        if kind == "file":
+            # A plain rename would replace the file on a local or mounted disk; a link does not.
+            os.link(fresh.toUri().getPath(), target.toUri().getPath())
+            return True
+        return _rename(spark, fs, fs.makeQualified(fresh), target)
+    except FileExistsError:
+        return False
+    finally:
+        fs.delete(fresh, False)
+
+
+def _rename(spark: SparkSession, fs, source, target) -> bool:
+    """Move a file or folder to a name nobody has; False if the name is taken or the source is gone."""
     jvm = spark._jvm
     rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    options = spark._sc._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    context.rename(fs.makeQualified(fresh), fs.makeQualified(target), options)
+    try:
+        context.rename(source, target, spark._sc._gateway.new_array(rename, 0))
+    except Py4JJavaError as failed:
+        if fs.exists(target) or not fs.exists(source):
+            return False
+        raise failed
+    return True
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Move a file or folder, whole or not at all, to a name nobody has; False if the name is taken or the source is gone."""
+    fs, old = _path(spark, source)
+    _, new = _path(spark, target)
+    fs.mkdirs(new.getParent())
+    return _rename(spark, fs, fs.makeQualified(old), fs.makeQualified(new))
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the data files anywhere below a folder."""
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        return []
+    found, listed = [], fs.listFiles(p, True)
+    while listed.hasNext():
+        file = listed.next().getPath()
+        if not file.getName().startswith(("_", ".")):
+            found.append(file.toString())
+    return found

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +18,7 @@ from ..session import hint_small
 from . import folders
 from .files import lines_of
 from .records import envelopes, parsed_lines
-from .state import StateTable
+from .state import JobState, StateTable
 
 # Fixed value: bytes of one read unless the caller says otherwise.
 READ_BYTES = 1024 * 1024
@@ -29,8 +34,43 @@ def partition_name(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in value)
 
 
+@dataclass(frozen=True)
+class DataFile:
+    """A file of a queue and what its name tells: first and last position, events, payload bytes."""
+
+    path: str
+    first: str
+    last: str
+    records: int
+    size: int
+
+    @staticmethod
+    def name(first: str, last: str, records: int, size: int, number: int) -> str:
+        return f"{_coded(first)}~{_coded(last)}~{records}~{size}~{number}.parquet"
+
+    @staticmethod
+    def of(path: str) -> DataFile:
+        first, last, records, size, _ = path.rsplit("/", 1)[1].removesuffix(".parquet").split("~")
+        return DataFile(path, _decoded(first), _decoded(last), int(records), int(size))
+
+
+def _coded(eid: str) -> str:
+    """A position as part of a file name."""
+    return "".join("_" if c == "/" else c if c.isascii() and (c.isalnum() or c == "-") else f"+{ord(c):06x}" for c in eid)
+
+
+def _decoded(name: str) -> str:
+    return re.sub(r"\+([0-9a-f]{6})", lambda m: chr(int(m[1], 16)), name.replace("_", "/"))
+
+
 class QueueStore:
-    """A folder holding events, state tables and stream checkpoints."""
+    """A folder holding events, state tables and stream checkpoints.
+
+    Events of a batch are staged first. Once the batch is committed its folders are moved to
+    their queues, each queue's day at once, so no reader sees a part of a batch's day, or
+    events whose batch was never committed. A move that a crash has cut off is finished by
+    the next reader or writer.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -39,18 +79,44 @@ class QueueStore:
     def checkpoint_path(self, name: str) -> str:
         return f"{self.root}/checkpoints/{partition_name(name)}"
 
-    def state(self, name: str, schema) -> StateTable:
-        return StateTable(self.spark, f"{self.root}/state/{name}", schema)
+    def job(self, name: str) -> JobState:
+        return JobState(self.spark, f"{self.root}/state/{name}")
+
+    def state(self, name: str, schema: T.StructType) -> StateTable:
+        """A table of a job's state, named ``job/table``."""
+        job, _, table = name.rpartition("/")
+        return StateTable(self.spark, f"{self.root}/state/{job}", schema, table=table)
+
+    def lane(self, owner: str) -> int:
+        """The lane of a producer's shard: a number of the store that nobody else gets."""
+        known = f"{self.root}/lanes/owners/{partition_name(owner)}"
+        found = folders.read_text(self.spark, known)
+        if found is not None:
+            return int(found)
+        taken = [n for n in folders.children(self.spark, f"{self.root}/lanes") if n.isdigit()]
+        number = len(taken)
+        while not folders.create(self.spark, f"{self.root}/lanes/{number:06d}", owner):
+            number += 1
+        if number >= positions.LANES:
+            raise ValueError(f"{self.root}: no lane is left")
+        # Whoever asks for the same owner at the same time gets the lane that was noted first.
+        folders.create(self.spark, known, str(number))
+        return int(folders.read_text(self.spark, known))
+
+    def _queue_path(self, name: str) -> str:
+        return f"{self.events_path}/queue={partition_name(names.canonical_text(name))}"
 
     def events(self) -> DataFrame:
         """All stored events."""
+        self.recover()
         if not folders.exists(self.spark, self.events_path):
             return self.spark.createDataFrame([], STORED)
         return self.spark.read.schema(STORED).parquet(self.events_path)
 
     def queue(self, name: str) -> DataFrame:
         """Stored events of one queue; no other queue's folder is listed."""
-        path = f"{self.events_path}/queue={partition_name(names.canonical_text(name))}"
+        self.recover()
+        path = self._queue_path(name)
         if not folders.exists(self.spark, path):
             return self.spark.createDataFrame([], STORED)
         rows = self.spark.read.schema(_FOLDER).parquet(path)
@@ -58,54 +124,142 @@ class QueueStore:
 
     def stream(self, queue: str, max_files: int = 1000) -> DataFrame:
         """New events of one queue; only that queue's folder is listed."""
+        self.recover()
         name = names.canonical_text(queue)
-        rows = (
-            self.spark.readStream.schema(_FOLDER)
-            .option("maxFilesPerTrigger", max_files)
-            .parquet(f"{self.events_path}/queue={partition_name(name)}")
-        )
+        rows = self.spark.readStream.schema(_FOLDER).option("maxFilesPerTrigger", max_files).parquet(self._queue_path(name))
         return rows.withColumn("queue", F.lit(name))
 
+    def days(self, queue: str, start: str | None = None) -> list[str]:
+        """Folders of a queue's days that can hold positions after ``start``, oldest first."""
+        first = f"date={positions.first_day(start) or ''}"
+        return [d for d in folders.children(self.spark, self._queue_path(queue)) if d.startswith("date=") and d >= first]
+
+    def files(self, queue: str, start: str | None = None) -> Iterator[list[DataFile]]:
+        """A queue's files with positions after ``start``, day by day; only folders are listed."""
+        for day in self.days(queue, start):
+            found = map(DataFile.of, folders.files(self.spark, f"{self._queue_path(queue)}/{day}"))
+            yield [f for f in found if start is None or f.last > start]
+
+    def page_files(self, queue: str, start: str | None = None, limit: int | None = None, size: int | None = None) -> list[DataFile]:
+        """The files that hold the next ``limit`` events, or ``size`` bytes and an event, after ``start``.
+
+        Files that lie wholly after ``start`` count with all their events. Once those that end
+        by some position are enough, the page ends there, and later days are not listed.
+        """
+        seen: list[DataFile] = []
+        for files in self.files(queue, start):
+            seen.extend(files)
+            records = total = 0
+            for file in sorted(seen, key=lambda f: f.last):
+                if start is None or file.first > start:
+                    records, total = records + file.records, total + file.size
+                if (limit is not None and records >= limit) or (size is not None and total > size and records):
+                    return [f for f in seen if f.first <= file.last]
+        return seen
+
+    def read_files(self, queue: str, files: list[DataFile]) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], STORED)
+        path = self._queue_path(queue)
+        rows = self.spark.read.schema(_FOLDER).option("basePath", path).parquet(*sorted(f.path for f in files))
+        return rows.withColumn("queue", F.lit(names.canonical_text(queue)))
+
+    def page(self, queue: str, start: str | None = None, limit: int | None = None, size: int | None = None) -> DataFrame:
+        """The next events of a queue after ``start``, at most ``limit`` and ``size`` bytes of them, in order.
+
+        The plan names the files of the page and no others.
+        """
+        self.recover()
+        rows = after(self.read_files(queue, self.page_files(queue, start, limit, size)), queue, start)
+        if limit is not None:
+            rows = rows.orderBy("eid").limit(limit)
+        return (rows if size is None else capped(rows, size)).orderBy("eid")
+
     def append(self, rows: DataFrame, batch: str, max_records_per_file: int = 0) -> None:
-        """Write events of one batch; the same batch written again replaces itself.
+        """Write events of one batch that belongs to no job; the same batch written again replaces itself."""
+        self.publish("", self.stage(rows, "", batch, max_records_per_file), replace=True)
+
+    def append_sorted(self, rows: DataFrame, batch: str) -> None:
+        """As ``append``, for data that is read often: an hour of a queue lies together and in order."""
+        self.publish("", self.stage_sorted(rows, "", batch), replace=True)
+
+    def _staged(self, job: str, batch: str) -> str:
+        # A name for events without a job that no job has.
+        return f"{self.root}/staged/{partition_name(job) or '-'}/{partition_name(batch)}"
+
+    def stage(self, rows: DataFrame, job: str, batch: str, max_records_per_file: int = 0) -> str:
+        """Write a batch's events where no reader looks; returns the batch.
 
         Rebalancing gathers the rows of a queue and day into files of the
         advised size and splits those of a hot queue over several tasks.
         """
-        self._write(_stored(rows, batch).hint("rebalance", "queue", "date"), max_records_per_file)
+        return self._write(_stored(rows, batch).hint("rebalance", "queue", "date"), job, batch, max_records_per_file)
 
-    def append_sorted(self, rows: DataFrame, batch: str) -> None:
-        """Write rows gathered by queue and hour, for data that is read often.
+    def stage_sorted(self, rows: DataFrame, job: str, batch: str) -> str:
+        """As ``stage``, gathered by queue and hour.
 
-        An hour of a queue lies together and in order, so reads by position skip
-        the row groups of other hours. Unlike range partitioning this needs no
-        sampling pass over the rows.
+        Reads by position skip the files and row groups of other hours. Unlike range
+        partitioning this needs no sampling pass over the rows.
         """
         gathered = _stored(rows, batch).withColumn("_hour", F.substring("eid", 1, 15)).hint("rebalance", "queue", "_hour")
-        self._write(gathered.drop("_hour"))
+        return self._write(gathered.drop("_hour"), job, batch)
 
-    def drop_batch(self, batch: str) -> None:
-        """Delete the events of one batch; only folder names are read."""
-        for queue in folders.children(self.spark, self.events_path):
-            for day in folders.children(self.spark, f"{self.events_path}/{queue}") if queue.startswith("queue=") else ():
-                folders.delete(self.spark, f"{self.events_path}/{queue}/{day}/batch={partition_name(batch)}")
+    def staged(self, job: str, batch: str) -> DataFrame:
+        """The events of a staged batch."""
+        return self.spark.read.schema(STORED).parquet(self._staged(job, batch))
 
-    def _write(self, rows: DataFrame, max_records_per_file: int = 0) -> None:
+    def _write(self, rows: DataFrame, job: str, batch: str, max_records_per_file: int = 0) -> str:
+        path = self._staged(job, batch)
         (
             # In the order of the folders, which the writer would sort by otherwise.
             rows.sortWithinPartitions("queue", "date", "batch", "eid")
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
             .option("maxRecordsPerFile", max_records_per_file)
             .partitionBy("queue", "date", "batch")
-            .parquet(self.events_path)
+            .parquet(path)
+        )
+        # Only positions and sizes are read back: one row a file.
+        spans = self.staged(job, batch).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.min("eid").alias("first"), F.max("eid").alias("last"), F.count("*").alias("records"), F.sum("size").alias("size")
         )
+        for number, row in enumerate(spans.toLocalIterator()):
+            folder, _, _ = unquote(row["file"]).rpartition("/")
+            name = DataFile.name(row["first"], row["last"], row["records"], row["size"] or 0, number)
+            folders.move(self.spark, unquote(row["file"]), f"{folder}/{name}")
+        return batch
+
+    def publish(self, job: str, batch: str, replace: bool = False) -> None:
+        """Move a staged batch's folders to their queues, older days first; what was moved before stays."""
+        path = self._staged(job, batch)
+        for queue in folders.children(self.spark, path):
+            for day in folders.children(self.spark, f"{path}/{queue}") if queue.startswith("queue=") else ():
+                for part in folders.children(self.spark, f"{path}/{queue}/{day}"):
+                    target = f"{self.events_path}/{queue}/{day}/{part}"
+                    if replace:
+                        folders.delete(self.spark, target)
+                    folders.move(self.spark, f"{path}/{queue}/{day}/{part}", target)
+        folders.delete(self.spark, path)
+
+    def recover(self) -> None:
+        """Finish the moves of committed batches that a crash has cut off."""
+        for job in folders.children(self.spark, f"{self.root}/staged"):
+            if job == "-":
+                continue
+            waiting = folders.children(self.spark, f"{self.root}/staged/{job}")
+            head = self.job(unquote(job)).head() if waiting else None
+            if head and head.batch and partition_name(head.batch) in waiting:
+                self.publish(unquote(job), head.batch)
+
+    def drop_staged(self, job: str, batch: str) -> None:
+        folders.delete(self.spark, self._staged(job, batch))
 
 
 def _stored(rows: DataFrame, batch: str) -> DataFrame:
     """Rows with the columns of the store."""
-    dated = rows.withColumn("date", positions.day_of(F.col("eid"))).withColumn("batch", F.lit(batch))
-    return dated.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STORED])
+    given = {"date": positions.day_of(F.col("eid")), "batch": F.lit(batch), "size": event_bytes()}
+    empty = {"lane": F.lit(0), "archive_start": F.lit(None)}
+    given |= {name: value for name, value in empty.items() if name not in rows.columns}
+    return rows.withColumns(given).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STORED])
 
 
 def after(events: DataFrame, queue: str, start: str | None = None, until: str | None = None) -> DataFrame:
@@ -158,7 +312,7 @@ def capped(rows: DataFrame, size: int = READ_BYTES) -> DataFrame:
         return rows.limit(0)
     # The character after "/" closes the range of positions of that minute.
     near = sized.filter(F.col("eid") < last[:-1] + "0").withColumn("_all", F.lit(0))
-    near = near.withColumn("_batch", F.regexp_replace("eid", r"-\d+$", ""))
+    near = near.withColumn("_batch", F.regexp_replace("eid", positions.COUNTER_AND_LANE, ""))
     counted = with_running_total(near, ["_all"], ["_minute", "_batch"], ["eid"], F.col("_bytes"), "_through")
     return counted.filter((F.col("_through") <= size) | (F.col("eid") == first)).select(*rows.columns)
 

@@ -1,149 +1,136 @@
-"""State tables: whole snapshots in version folders and a pointer to the current one."""
+"""State of jobs: tables that change together, each version named by one commit file.
+
+A version's snapshots are complete before its commit file is made. The file is made
+whole, and by one writer only: whoever finds the number taken raises ``StaleVersion`` and
+has changed nothing. So there are no locks to hold, renew or take away.
+"""
 
 from __future__ import annotations
 
 import json
-import threading
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import folders
 
-
-# A claim that was not renewed for so long belongs to a writer that has died.
-LEASE_SECONDS = 900.0
+# Commit files that stay, so that a late writer finds its number taken.
+KEPT_COMMITS = 50
 
 
 class StaleVersion(RuntimeError):
-    """Another writer has replaced the table since it was read."""
+    """Another writer has replaced the state since it was read."""
 
 
-class StateTable:
-    """A small keyed table that is replaced as a whole.
+@dataclass(frozen=True)
+class Head:
+    """A version: the folders of its snapshots by table, and the batch of events that belongs to it."""
+
+    version: int
+    tables: dict[str, str] = field(default_factory=dict)
+    batch: str | None = None
+
+
+class JobState:
+    """The tables of one job. A commit replaces some or all of them at once."""
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
 
-    A snapshot is complete before the pointer names it, so a crash leaves the
-    old one current, and writing the same version again changes nothing.
-    """
+    def _commit_path(self, version: int) -> str:
+        return f"{self.path}/commits/{version:012d}.json"
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keep: int = 3):
-        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
-        self.tokens: dict[int, str] = {}
+    def versions(self) -> list[int]:
+        names = folders.children(self.spark, f"{self.path}/commits")
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
-    def _pointer(self) -> list[int]:
-        text = folders.read_text(self.spark, f"{self.path}/current.json")
-        return json.loads(text)["versions"] if text else []
+    def head(self, version: int | None = None) -> Head | None:
+        """The current version, or one that is kept; None before the first one."""
+        if version is None:
+            known = self.versions()
+            if not known:
+                return None
+            version = known[-1]
+        text = folders.read_text(self.spark, self._commit_path(version))
+        if text is None:
+            raise StaleVersion(f"{self.path}: version {version} is not kept")
+        return Head(version, **json.loads(text))
+
+    def load(self, table: str, schema: T.StructType, head: Head | None) -> DataFrame:
+        """A table as of a version; empty if the version has none."""
+        if head is None or table not in head.tables:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/{head.tables[table]}")
+
+    def stage(self, table: str, schema: T.StructType, snapshot: DataFrame, version: int) -> str:
+        """Write a snapshot that no commit names yet; returns the name of its folder."""
+        name = f"{version:012d}-{uuid.uuid4().hex[:12]}"
+        columns = [snapshot[f.name].cast(f.dataType).alias(f.name) for f in schema]
+        snapshot.select(*columns).write.parquet(f"{self.path}/{table}/{name}")
+        return name
+
+    def commit(self, version: int, tables: Mapping[str, str], base: Head | None, batch: str | None = None) -> Head:
+        """Make staged snapshots current, all at once; tables that are not named stay as in ``base``.
+
+        Raises ``StaleVersion`` if another writer has made this version or a later one.
+        """
+        head = Head(version, {**(base.tables if base else {}), **tables}, batch)
+        text = json.dumps({"tables": head.tables, "batch": batch})
+        known = self.versions()
+        if known and known[-1] >= version or not folders.create(self.spark, self._commit_path(version), text):
+            raise StaleVersion(f"{self.path}: version {version} comes too late")
+        self._clean(head)
+        return head
+
+    def _clean(self, head: Head) -> None:
+        """Delete what neither a kept version nor a writer of the next one needs."""
+        known = self.versions()
+        for old in known[:-KEPT_COMMITS]:
+            folders.delete(self.spark, self._commit_path(old))
+        heads = [head if v == head.version else self.head(v) for v in known[-self.keep :]]
+        for table in head.tables:
+            used = {h.tables.get(table) for h in heads}
+            for name in folders.children(self.spark, f"{self.path}/{table}"):
+                if name not in used and int(name.split("-")[0]) <= head.version:
+                    folders.delete(self.spark, f"{self.path}/{table}/{name}")
+
+
+class StateTable:
+    """One table of a job's state, replaced as a whole."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keep: int = 3, table: str = "rows"):
+        self.spark, self.schema, self.table = spark, schema, table
+        self.job = JobState(spark, path, keep)
 
     def version(self) -> int | None:
         """The current version; None before the first one."""
-        versions = self._pointer()
-        return versions[-1] if versions else None
+        known = self.job.versions()
+        return known[-1] if known else None
 
     def load(self, version: int | None = None) -> DataFrame:
         """The current snapshot, or one of the versions that are kept."""
-        version = self.version() if version is None else version
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self._read(version)
-
-    def _read(self, version: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version}")
-
-    def stage(self, snapshot: DataFrame, version: int) -> DataFrame:
-        """Write a snapshot without making it current; returns it read back."""
-        columns = [snapshot[f.name].cast(f.dataType).alias(f.name) for f in self.schema]
-        snapshot.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        return self._read(version)
-
-    def publish_claimed(self, version: int) -> None:
-        """Publish a claimed version, unless the claim was lost or the version is current already."""
-        self.check(version)
-        if self.version() == version:
-            raise StaleVersion(f"{self.path}: version {version} is current already")
-        self.publish(version)
-
-    def publish(self, version: int) -> None:
-        """Make a staged version current and drop versions no reader needs."""
-        known = self._pointer()
-        if known and known[-1] > version:
-            raise StaleVersion(f"{self.path}: version {known[-1]} is current, {version} comes too late")
-        versions = [v for v in known if v < version] + [version]
-        for old in versions[: -self.keep]:
-            folders.delete(self.spark, f"{self.path}/v{old}")
-        folders.replace_text(self.spark, f"{self.path}/current.json", json.dumps({"versions": versions[-self.keep :]}))
+        return self.job.load(self.table, self.schema, self.job.head(version))
 
     def commit(self, snapshot: DataFrame, version: int) -> None:
         """Replace the table by its only writer; the current version committed again is left alone."""
-        current = self.version()
-        if current == version:
-            return
-        if current is not None and current > version:
-            raise StaleVersion(f"{self.path}: version {current} is current, {version} comes too late")
-        self.stage(snapshot, version)
-        self.publish(version)
-
-    def claim(self, version: int) -> bool:
-        """Reserve a version for one writer. The claim of a writer that has died is taken away."""
-        path, token = f"{self.path}/claims/v{version}", uuid.uuid4().hex
-        if folders.create(self.spark, path, token):
-            self.tokens[version] = token
-            self._renew(version)
-            return True
-        holder = folders.read_text(self.spark, path)
-        renewed = f"{path}.{holder}"
-        if folders.age_seconds(self.spark, renewed if holder and folders.exists(self.spark, renewed) else path) > LEASE_SECONDS:
-            folders.delete(self.spark, path)
-        return False
-
-    def _renew(self, version: int) -> None:
-        # A file of this holder alone: renewing can never write over the claim of another one.
-        folders.replace_text(self.spark, f"{self.path}/claims/v{version}.{self.tokens[version]}", "")
-
-    @contextmanager
-    def renewed(self, version: int) -> Iterator[None]:
-        """Keeps a claim alive while its holder works, however long that takes."""
-        ended = threading.Event()
-
-        def renew() -> None:
-            while not ended.wait(max(LEASE_SECONDS / 4, 0.05)):
-                try:
-                    self._renew(version)
-                except Py4JError:
-                    # Tried again next time; a claim that is lost meanwhile is noticed by ``check``.
-                    continue
-
-        worker = threading.Thread(target=renew, daemon=True)
-        worker.start()
-        try:
-            yield
-        finally:
-            ended.set()
-            worker.join()
-
-    def check(self, version: int) -> None:
-        """Raises ``StaleVersion`` if the claim of a version is no longer this writer's."""
-        if folders.read_text(self.spark, f"{self.path}/claims/v{version}") != self.tokens.get(version, ""):
-            raise StaleVersion(f"{self.path}: the claim of version {version} was taken away")
-
-    def former(self, version: int) -> list[str]:
-        """Tokens of writers that held the claim of a version before and lost it."""
-        head = f"v{version}."
-        names = [n.removeprefix(head) for n in folders.children(self.spark, f"{self.path}/claims") if n.startswith(head)]
-        return [n for n in names if n != self.tokens.get(version) and not n.endswith(".new")]
+        head = self.job.head()
+        if head is not None and head.version >= version:
+            if head.version == version:
+                return
+            raise StaleVersion(f"{self.job.path}: version {head.version} is current, {version} comes too late")
+        self.job.commit(version, {self.table: self.job.stage(self.table, self.schema, snapshot, version)}, head)
 
     def swap(self, snapshot: DataFrame, expected: int | None) -> int:
         """Replace the snapshot that was read as version ``expected``; returns the new version.
 
         Raises ``StaleVersion`` if any other writer came first; nothing is changed then.
         """
+        head = self.job.head()
+        if (head.version if head else None) != expected:
+            raise StaleVersion(f"{self.job.path}: version {expected} is no longer current")
         version = 0 if expected is None else expected + 1
-        if self.version() != expected or not self.claim(version):
-            raise StaleVersion(f"{self.path}: version {expected} is no longer current")
-        with self.renewed(version):
-            self.stage(snapshot, version)
-            self.publish_claimed(version)
+        self.job.commit(version, {self.table: self.job.stage(self.table, self.schema, snapshot, version)}, head)
         return version

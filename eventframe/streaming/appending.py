@@ -1,17 +1,21 @@
-"""Numbering and storing one micro-batch, then its state.
+"""Numbering and storing one micro-batch together with its state.
 
-Order of effects: events, then queue and bot state, then the clock. The clock
-version is the mark of a finished batch, so a batch that runs again after a
-crash gets the same positions and replaces its own files.
+Events and the snapshots of clock, queues, bots and positions are staged, one commit
+makes them all current, then the events' folders are moved to their queues. A crash
+before the commit leaves nothing that anybody sees, one after it is repaired by
+whoever comes next.
 """
 
 from __future__ import annotations
 
-import time
+import uuid
+from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names, positions
 from ..functions.times import div
@@ -23,7 +27,7 @@ from ..schemas import BOT_STATE, CLOCK_STATE, POSITION_STATE, QUEUE_STATE
 from ..session import work_table
 from ..sources import folders
 from ..sources.queues import QueueStore
-from ..sources.state import StaleVersion
+from ..sources.state import Head, StaleVersion
 
 RANGE = "_range"
 
@@ -33,31 +37,25 @@ EVENT_COLUMNS = {
 }
 
 
+class Batch(NamedTuple):
+    """A stored batch: its name and the clocks of its shards."""
+
+    name: str
+    clocks: DataFrame
+
+
 class Appender:
     """Writes the micro-batches of one job; state tables belong to that job alone."""
 
     def __init__(
         self, store: QueueStore, job: str, ttl_seconds: int = TTL_SECONDS, max_records_per_file: int = 1_000_000
     ):
-        self.store, self.job = store, job
+        self.store, self.job, self.state = store, job, store.job(job)
         self.ttl_seconds, self.max_records_per_file = ttl_seconds, max_records_per_file
-        self.clock = store.state(f"{job}/clock", CLOCK_STATE)
-        self.queues = store.state(f"{job}/queues", QUEUE_STATE)
-        self.bots = store.state(f"{job}/bots", BOT_STATE)
-        self.positions = store.state(f"{job}/positions", POSITION_STATE)
 
     def done(self, version: int) -> bool:
-        current = self.clock.version()
-        return current is not None and current >= version
-
-    def next_version(self) -> int:
-        current = self.clock.version()
-        return 0 if current is None else current + 1
-
-    def batch(self, version: int) -> str:
-        """The name of a version's events, apart for every holder of a claim."""
-        token = self.clock.tokens.get(version)
-        return f"{self.job}-{version}-{token}" if token else f"{self.job}-{version}"
+        head = self.state.head()
+        return head is not None and head.version >= version
 
     def append(
         self,
@@ -68,58 +66,79 @@ class Appender:
         order: list[str],
         markers: DataFrame | None = None,
         read: DataFrame | None = None,
-        claimed: bool = False,
-    ) -> None:
-        """Store a batch.
+        more: Mapping[str, tuple[T.StructType, DataFrame]] | None = None,
+    ) -> Batch | None:
+        """Store a batch; None if the version was stored before.
 
         ``events``: shard, id, queue, payload, write_ms, source_ms and optional
         columns of ``EVENT_COLUMNS``; ``bucket + order`` is their order within a
         shard and queue. ``firsts``: shard, sequence, value of the first record.
         ``markers``: snapshot marks. ``read``: positions the job has read up to.
-        ``claimed``: the version was claimed on the clock; the batch has the claim's
-        token in its name, and state changes only while the claim is held.
+        ``more``: further tables of the job, replaced in the same commit.
+        Raises ``StaleVersion`` if another writer of the job's name made the version
+        meanwhile; nothing of this batch is stored then.
         """
-        if self.done(version):
-            return
+        self.store.recover()
+        head = self.state.head()
+        if head is not None and head.version >= version:
+            return None
         for name, kind in EVENT_COLUMNS.items():
             if name not in events.columns:
                 events = events.withColumn(name, F.lit(None).cast(kind))
+        batch = f"{self.job}-{version}-{uuid.uuid4().hex[:12]}"
         counts = events.groupBy("shard").agg(F.count("*").alias("_events"))
-        numbered = self._numbered(events, self._clocks(firsts, counts, version), bucket, order)
-        numbered = numbered.persist(StorageLevel.MEMORY_AND_DISK)
+        tables = {"clock": self._stage("clock", CLOCK_STATE, self._clocks(firsts, counts, head), version)}
+        clocks = self._staged(tables, "clock", CLOCK_STATE).filter(F.col("start").isNotNull()).select("shard", "start", "lane")
+        numbered = self._numbered(events, clocks, bucket, order).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.store.append(numbered, self.batch(version), self.max_records_per_file)
-            if claimed:
-                self.clock.check(version)
-            self._publish_queues(numbered, markers, version)
-            if claimed:
-                self.clock.check(version)
-            self._publish_bots(numbered, version)
+            self.store.stage(numbered, self.job, batch, self.max_records_per_file)
+            tables["queues"] = self._stage("queues", QUEUE_STATE, self._queue_state(numbered, markers, head), version)
+            tables["bots"] = self._stage("bots", BOT_STATE, self._bot_state(numbered, head), version)
             if read is not None:
-                current = self.positions.load()
-                self.positions.commit(merges.upsert(current, read, merges.CHECKPOINT_KEYS), version)
-            if claimed:
-                self.clock.publish_claimed(version)
-            else:
-                self.clock.publish(version)
+                current = self.state.load("positions", POSITION_STATE, head)
+                tables["positions"] = self._stage(
+                    "positions", POSITION_STATE, merges.upsert(current, read, merges.CHECKPOINT_KEYS), version
+                )
+            for name, (schema, rows) in (more or {}).items():
+                tables[name] = self._stage(name, schema, rows, version)
         finally:
             numbered.unpersist()
-
-    def _clocks(self, firsts: DataFrame, counts: DataFrame, version: int) -> DataFrame:
-        """Clock per shard, staged with the last millisecond the batch will use."""
-        previous = self.clock.load().select("shard", F.col("clock").alias("_old"), F.col("sequence").alias("_seq"))
-        rows = firsts.join(counts, "shard", "left").join(previous, "shard", "full_outer")
+        try:
+            self.state.commit(version, tables, head, batch)
+        except StaleVersion:
+            self.store.drop_staged(self.job, batch)
+            raise
+        self.store.publish(self.job, batch)
+        return Batch(batch, self._staged(tables, "clock", CLOCK_STATE))
+
+    def _stage(self, table: str, schema: T.StructType, rows: DataFrame, version: int) -> str:
+        return self.state.stage(table, schema, rows, version)
+
+    def _staged(self, tables: dict[str, str], table: str, schema: T.StructType) -> DataFrame:
+        return self.state.load(table, schema, Head(0, tables))
+
+    def _clocks(self, firsts: DataFrame, counts: DataFrame, head: Head | None) -> DataFrame:
+        """Clock per shard with the last millisecond the batch will use, and the shard's lane."""
+        spark = self.store.spark
+        before = self.state.load("clock", CLOCK_STATE, head)
+        # A row per shard of the job.
+        lanes = {r["shard"]: r["lane"] for r in before.select("shard", "lane").collect()}
+        for row in firsts.select("shard").collect():
+            if row["shard"] not in lanes:
+                lanes[row["shard"]] = self.store.lane(f"{self.job}/{row['shard']}")
+        known = spark.createDataFrame(list(lanes.items()), "shard string, lane int")
+        previous = before.select("shard", F.col("clock").alias("_old"), F.col("sequence").alias("_seq"))
+        rows = firsts.join(counts, "shard", "left").join(previous, "shard", "full_outer").join(known, "shard", "left")
         # One batch per shard: its first arrival, or one past the last clock.
         rows = rows.withColumn("start", F.when(F.col("value").isNotNull(), F.greatest("value", F.col("_old") + 1)))
         # Counters past seven digits move on to the next millisecond.
         extra = div(F.greatest(F.coalesce("_events", F.lit(1)) - 1, F.lit(0)), positions.COUNTER_SIZE)
-        state = rows.select(
+        return rows.select(
             "shard",
             F.coalesce(F.col("start") + extra, F.col("_old")).alias("clock"),
             F.coalesce("sequence", "_seq").alias("sequence"),
-            "start",
+            "start", "lane",
         )
-        return self.clock.stage(state, version).filter(F.col("start").isNotNull()).select("shard", "start")
 
     def _numbered(self, events: DataFrame, clocks: DataFrame, bucket: list[str], order: list[str]) -> DataFrame:
         rows = with_running_total(events, ["shard"], ["queue", *bucket], order, F.lit(1).cast("bigint"), "_n")
@@ -128,7 +147,7 @@ class Appender:
         rows = rows.withColumn("counter", F.col("_n") % positions.COUNTER_SIZE)
         archive, snapshot = names.is_archive(F.col("queue")), names.is_snapshot(F.col("queue"))
         bucket_ms = F.when(snapshot, F.coalesce("snapshot_ms", "batch_ms")).otherwise(F.col("batch_ms"))
-        own = positions.position(F.col("batch_ms"), F.col("counter"), bucket_ms)
+        own = positions.position(F.col("batch_ms"), F.col("counter"), bucket_ms, F.col("lane"))
         return (
             rows.withColumn("bucket_ms", bucket_ms)
             .withColumn("eid", F.when(archive, F.coalesce("archive_end", own)).otherwise(own))
@@ -137,8 +156,8 @@ class Appender:
             .drop("_n", "start")
         )
 
-    def _publish_queues(self, numbered: DataFrame, markers: DataFrame | None, version: int) -> None:
-        rank = positions.key(F.col("batch_ms"), F.col("counter"), F.col("bucket_ms"))
+    def _queue_state(self, numbered: DataFrame, markers: DataFrame | None, head: Head | None) -> DataFrame:
+        rank = positions.key(F.col("batch_ms"), F.col("counter"), F.col("bucket_ms"), F.col("lane"))
         archive = names.is_archive(F.col("queue"))
         marks = numbered.filter(~archive).groupBy("queue").agg(
             F.max(rank).alias("_key"), F.max("batch_ms").alias("timestamp")
@@ -148,16 +167,15 @@ class Appender:
         )
         changed = marks.unionByName(archived).withColumn("v", F.lit(ROW_VERSION))
         ends = archived.select(names.parent_of(F.col("queue")).alias("queue"), F.col("max_eid").alias("archive_end"))
-        state = merges.upsert(self.queues.load(), changed, ["queue"], highest=("max_eid", "timestamp"))
+        before = self.state.load("queues", QUEUE_STATE, head)
+        state = merges.upsert(before, changed, ["queue"], highest=("max_eid", "timestamp"))
         state = merges.upsert(state, ends, ["queue"], highest=("archive_end",))
-        if markers is not None:
-            state = merges.upsert(state, markers, ["queue"])
-        self.queues.commit(state, version)
+        return state if markers is None else merges.upsert(state, markers, ["queue"])
 
-    def _publish_bots(self, numbered: DataFrame, version: int) -> None:
+    def _bot_state(self, numbered: DataFrame, head: Head | None) -> DataFrame:
         produced = numbered.filter(F.col("id").isNotNull()).withColumn("arrival_ms", F.col("batch_ms"))
-        last = stats.last_write_checkpoints(stats.producer_stats(produced, ("shard",)))
-        self.bots.commit(merges.merge_write_checkpoints(self.bots.load(), last), version)
+        last = stats.last_write_checkpoints(stats.producer_stats(produced, ("shard", "lane")))
+        return merges.merge_write_checkpoints(self.state.load("bots", BOT_STATE, head), last)
 
 
 def queue_states(store: QueueStore) -> DataFrame:
@@ -166,9 +184,8 @@ def queue_states(store: QueueStore) -> DataFrame:
     Every job keeps its own table, so jobs never overwrite each other.
     """
     spark: SparkSession = store.spark
-    tables = [
-        store.state(f"{job}/queues", QUEUE_STATE).load() for job in folders.children(spark, f"{store.root}/state")
-    ]
+    heads = [(store.job(job), store.job(job).head()) for job in folders.children(spark, f"{store.root}/state")]
+    tables = [job.load("queues", QUEUE_STATE, head) for job, head in heads if head and "queues" in head.tables]
     if not tables:
         return spark.createDataFrame([], QUEUE_STATE)
     rows = tables[0]
@@ -210,24 +227,20 @@ def write_events(store: QueueStore, bot: str, queue: str, events: DataFrame, ord
     """Write events (payload, and ``order`` columns) to a queue; returns how many were written.
 
     The rows are cut into ranges of their order, so that they are numbered in many
-    tasks. Writers of one name take turns: each reserves the next version, and waits
-    while another one holds it. A writer that loses its version all the same (it stood
-    still for longer than the lease) raises ``StaleVersion`` and leaves no events.
+    tasks. If another writer of the name makes the next version first, the rows are
+    numbered again after its own.
     """
     appender = Appender(store, f"write-{bot}")
     rows = in_ranges(bot_rows(events, bot, queue, now_ms), order)
-    while not appender.clock.claim(version := appender.next_version()) or appender.done(version):
-        time.sleep(0.2)
-    with appender.clock.renewed(version):
-        # Events of a writer that died before its version was published.
-        for token in appender.clock.former(version):
-            store.drop_batch(f"{appender.job}-{version}-{token}")
+    while True:
+        head = appender.state.head()
+        version = 0 if head is None else head.version + 1
         try:
-            appender.append(rows, bot_clock(store.spark, bot, now_ms), version, [RANGE], order, claimed=True)
+            if appender.append(rows, bot_clock(store.spark, bot, now_ms), version, [RANGE], order):
+                return rows.count()
         except StaleVersion:
-            store.drop_batch(appender.batch(version))
-            raise
-    return store.queue(queue).filter(F.col("batch") == appender.batch(version)).count()
+            # The winner's version is complete: read it, and come behind it.
+            continue
 
 
 def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:

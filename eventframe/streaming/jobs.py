@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions import names
+from ..functions import names, positions
 from ..operators import archive, merges, monitor, normalize, triggers
 from ..operators.running import sequence_bucket
 from ..operators.stats import ROW_VERSION
@@ -178,7 +179,7 @@ def copy_queue(
         rows = change(rows) if change else rows
         events = bot_rows(rows, bot, destination, now).withColumn("from_eid", F.col("eid"))
         # One source batch may hold all its events in one second: ranges of its counters cut it.
-        counter = F.regexp_extract("from_eid", r"-(\d+)$", 1).try_cast("bigint")
+        counter = positions.counter_of(F.col("from_eid"))
         events = events.withColumns({
             "second": second_of(F.col("from_eid")), "source_ms_text": F.substring_index("from_eid", "-", 1),
             "span": F.coalesce(sequence_bucket(counter), F.lit(0)),
@@ -255,10 +256,10 @@ def roll_up(store: QueueStore, today: str, job: str = "archive") -> DataFrame:
     archive queue; then the archive ends move. The batches that were archived are
     remembered: what another writer later adds behind the end is archived next time.
     """
-    table = store.state(f"{job}/queues", QUEUE_STATE)
-    version = 0 if table.version() is None else table.version() + 1
-    states, memory = queue_states(store), store.state(f"{job}/batches", BATCH_STATE)
-    done = memory.load()
+    state = store.job(job)
+    states, head = queue_states(store), state.head()
+    version = 0 if head is None else head.version + 1
+    done = state.load("batches", BATCH_STATE, head)
     known = done.select("queue").distinct()
     side = names.is_archive(F.col("queue")) | names.is_snapshot(F.col("queue"))
     # Queue and batch are folders: no event is read to find the new batches.
@@ -269,17 +270,20 @@ def roll_up(store: QueueStore, today: str, job: str = "archive") -> DataFrame:
     chosen = archive.to_archive(store.events(), first).join(batches, ["queue", "batch"], "left_semi")
     late = store.events().filter(~side).join(hint_small(batches.join(again, "queue", "left_semi")), ["queue", "batch"], "left_semi")
     chosen = chosen.select(*store.events().columns).unionByName(late.select(*store.events().columns))
-    store.append_sorted(archive.as_archive_rows(chosen), f"{job}-{version}")
-    written = store.events().filter(F.col("batch") == f"{job}-{version}").withColumn(
-        "queue", names.parent_of(F.col("queue"))
-    )
-    manifest = archive.archive_chunks(written, "batch_ms")
+    batch = store.stage_sorted(archive.as_archive_rows(chosen), job, f"{job}-{version}-{uuid.uuid4().hex[:12]}")
+    written = store.staged(job, batch).withColumn("queue", names.parent_of(F.col("queue")))
+    manifest = work_table(archive.archive_chunks(written, "batch_ms"), "manifest")
     ends = manifest.groupBy("queue").agg(F.max("end").alias("max_eid"))
     parents = ends.select(names.parent_of(F.col("queue")).alias("queue"), F.col("max_eid").alias("archive_end"))
     rows = ends.withColumn("v", F.lit(ROW_VERSION)).unionByName(parents, allowMissingColumns=True)
-    table.commit(merges.upsert(table.load(), rows, ["queue"], highest=("max_eid", "archive_end")), version)
+    marks = merges.upsert(state.load("queues", QUEUE_STATE, head), rows, ["queue"], highest=("max_eid", "archive_end"))
     taken = batches.join(first.select("queue").union(again), "queue", "left_semi")
-    memory.commit(done.unionByName(taken), version)
+    tables = {
+        "queues": state.stage("queues", QUEUE_STATE, marks, version),
+        "batches": state.stage("batches", BATCH_STATE, done.unionByName(taken), version),
+    }
+    state.commit(version, tables, head, batch)
+    store.publish(job, batch)
     return manifest
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from ..functions.names import canonical_text
 from ..operators import merges
 from ..schemas import POSITION_STATE
-from ..sources import queues
 from ..sources.queues import READ_BYTES, QueueStore
 from ..sources.state import StaleVersion, StateTable
 from .ingest import now_ms
@@ -51,11 +50,7 @@ class Subscriber:
         self, queue: str, limit: int | None = None, size: int = READ_BYTES, start: str | None = None
     ) -> DataFrame:
         """The next events after the checkpoint, or after ``start``: at most ``limit`` of them and ``size`` bytes."""
-        begin = start or self.position(queue)
-        if limit is None:
-            return queues.capped(queues.after(self.store.queue(queue), queue, begin), size).orderBy("eid")
-        page = queues.read(self.store.queue(queue), queue, begin, limit)
-        return queues.capped(page, size).orderBy("eid")
+        return self.store.page(queue, start or self.position(queue), limit, size)
 
     def checkpoint(self, queue: str, now: int | None = None, **request) -> bool:
         """Move the position; false when an expected position was not the stored one.

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import random
-import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from eventframe.operators import numbering
-from eventframe.schemas import POSITION_STATE, QUEUE_STATE
+from eventframe.schemas import BOT_STATE, QUEUE_STATE
 from eventframe.session import work_dir
-from eventframe.sources import files, state
-from eventframe.sources.queues import QueueStore
-from eventframe.sources.state import StaleVersion, StateTable
+from eventframe.sources import files, folders
+from eventframe.sources.queues import DataFile, QueueStore
+from eventframe.sources.state import JobState, StaleVersion, StateTable
 from eventframe.streaming import appending, jobs
 from eventframe.streaming.appending import queue_states, write_events
 from eventframe.streaming.ingest import Ingest
 from eventframe.streaming.subscriber import Subscriber
 
-from tests.test_streaming import NOW, event, record, records
+from tests.test_streaming import NOW, crash_at, event, record, records
 
 
 @pytest.fixture
@@ -68,79 +69,116 @@ def test_a_checkpoint_between_comparison_and_commit_wins(store, monkeypatch):
     assert not first.checkpoint("q", eid="z/4", expected="z/0", force=False)
 
 
-def test_the_claim_of_a_dead_writer_is_taken_away(spark, monkeypatch):
-    table = StateTable(spark, work_dir(spark, "state"), POSITION_STATE)
-    assert table.claim(0) and not table.claim(0)
-    monkeypatch.setattr(state, "LEASE_SECONDS", -1.0)
-    assert not table.claim(0)
-    assert table.claim(0)
+def test_one_of_many_makes_a_version(spark):
+    """However many writers create a commit at once, one does."""
+    path = work_dir(spark, "commits")
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda n: folders.create(spark, f"{path}/v1", str(n)), range(16)))
+    assert made.count(True) == 1 and folders.read_text(spark, f"{path}/v1") == str(made.index(True))
+    assert folders.children(spark, path) == ["v1"]
+
+
+def test_stores_without_exclusive_creation_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(folders, "NOT_EXCLUSIVE", {"file"})
+    with pytest.raises(ValueError):
+        folders.create(spark, work_dir(spark, "refused"), "")
 
 
 def test_writers_of_one_name_take_turns(spark, store, monkeypatch):
-    """A second writer that read the same version before the first one finished."""
-    next_version, seen = appending.Appender.next_version, []
+    """Another writer commits the version first: the rows are numbered again, behind its own."""
+    commit, seen = JobState.commit, []
 
-    def late(self):
-        version = next_version(self)
+    def late(self, version, *rest):
         if not seen:
             seen.append(version)
             assert write_events(store, "bot", "q", numbers(spark, 4, 100), ["k"], NOW) == 4
-        return version
+        return commit(self, version, *rest)
 
-    monkeypatch.setattr(appending.Appender, "next_version", late)
+    monkeypatch.setattr(JobState, "commit", late)
     assert write_events(store, "bot", "q", numbers(spark, 6), ["k"], NOW) == 6
     assert held(store) == [0, 1, 2, 3, 4, 5, 100, 101, 102, 103]
     assert store.queue("q").select("eid").distinct().count() == 10
+    assert folders.files(spark, f"{store.root}/staged") == []
 
 
-def test_a_writer_that_lost_its_claim_stores_nothing(spark, store, monkeypatch):
-    """The lease runs out while a writer stands still, and another one of its name takes the version."""
-    append, taken = QueueStore.append, []
+def agreed(store):
+    """Marks and write checkpoints against the stored events."""
+    rows = store.events().groupBy("queue").agg(F.max("eid").alias("last")).collect()
+    marks = {r["queue"]: r["max_eid"] for r in queue_states(store).collect()}
+    assert marks == {r["queue"]: r["last"] for r in rows}
+    written = store.state("write-bot/bots", BOT_STATE).load().collect()
+    assert {r["queue"]: r["checkpoint"] for r in written} == marks
 
-    def slow(self, rows, batch, *rest):
-        if not taken:
-            taken.append(batch)
-            with monkeypatch.context() as patch:
-                patch.setattr(state, "LEASE_SECONDS", -1.0)
-                assert write_events(store, "bot", "q", numbers(spark, 4, 100), ["k"], NOW) == 4
-        append(self, rows, batch, *rest)
-
-    monkeypatch.setattr(QueueStore, "append", slow)
-    with pytest.raises(StaleVersion):
-        write_events(store, "bot", "q", numbers(spark, 6), ["k"], NOW)
-    assert held(store) == [100, 101, 102, 103]
-    assert write_events(store, "bot", "q", numbers(spark, 6), ["k"], NOW) == 6
-    assert held(store) == [0, 1, 2, 3, 4, 5, 100, 101, 102, 103]
-    assert store.queue("q").select("eid").distinct().count() == 10
 
+@pytest.mark.parametrize("step", ["stage clock", "stage queues", "stage bots", "commit", "publish"])
+def test_a_writer_of_other_rows_after_a_crash(spark, store, step, monkeypatch):
+    with monkeypatch.context() as patch:
+        crash_at(patch, step)
+        with pytest.raises(RuntimeError):
+            write_events(store, "bot", "q", numbers(spark, 6), ["k"], NOW)
+    assert write_events(store, "bot", "other", numbers(spark, 5, 100), ["k"], NOW) == 5
+    assert held(store) == ([0, 1, 2, 3, 4, 5] if step == "publish" else []) and held(store, "other") == [100, 101, 102, 103, 104]
+    agreed(store)
 
-def test_a_claim_is_kept_while_its_holder_works(spark, monkeypatch):
-    path = work_dir(spark, "state")
-    table, other = StateTable(spark, path, POSITION_STATE), StateTable(spark, path, POSITION_STATE)
-    monkeypatch.setattr(state, "LEASE_SECONDS", 2.0)
-    assert table.claim(0)
-    with table.renewed(0):
-        time.sleep(3)
-        assert not other.claim(0) and not other.claim(0)
-    table.check(0)
-    time.sleep(3)
-    assert not other.claim(0) and other.claim(0)
-    with pytest.raises(StaleVersion):
-        table.publish_claimed(0)
 
+def test_a_publication_that_was_cut_off_is_finished_by_a_reader(spark, store, monkeypatch):
+    move, moved = folders.move, []
 
-def test_events_of_a_dead_writer_are_dropped(spark, store, monkeypatch):
-    def dies(self, version):
-        raise RuntimeError("died")
+    def cut(session, source, target):
+        if "/events/" in target and moved:
+            raise RuntimeError("lost")
+        if "/events/" in target:
+            moved.append(target)
+        return move(session, source, target)
 
+    ingest = Ingest(store, clock=lambda: NOW)
     with monkeypatch.context() as patch:
-        patch.setattr(StateTable, "publish_claimed", dies)
+        patch.setattr(folders, "move", cut)
         with pytest.raises(RuntimeError):
-            write_events(store, "bot", "q", numbers(spark, 6), ["k"], NOW)
-    with monkeypatch.context() as patch:
-        patch.setattr(state, "LEASE_SECONDS", -1.0)
-        assert write_events(store, "bot", "other", numbers(spark, 4, 100), ["k"], NOW) == 4
-    assert held(store) == [] and held(store, "other") == [100, 101, 102, 103]
+            ingest.run_batch(records(spark, record("s", 1, NOW, event(1), event(2, "b"), event(3, "c"))), 0)
+    assert len(moved) == 1
+    assert held(store, "a") == [1] and held(store, "b") == [2] and held(store, "c") == [3]
+    assert folders.children(spark, f"{store.root}/staged/ingest") == []
+
+
+def test_producers_and_shards_of_one_millisecond_have_positions_of_their_own(spark, store):
+    for n, bot in enumerate(("one", "two")):
+        assert write_events(store, bot, "q", numbers(spark, 5, 10 * n), ["k"], NOW) == 5
+    batch = [record(s, 1, NOW, *[event(20 + 10 * n + i, "q") for i in range(3)]) for n, s in enumerate(("a", "b"))]
+    Ingest(store, clock=lambda: NOW).run_batch(records(spark, *batch), 0)
+    everything = [*range(5), *range(10, 15), *range(20, 23), *range(30, 33)]
+    assert held(store) == everything and store.queue("q").select("eid").distinct().count() == len(everything)
+    reader, seen = Subscriber(store, "reader"), []
+    while page := reader.read("q", limit=3).collect():
+        seen.extend(json.loads(r["payload"])["n"] for r in page)
+        assert reader.checkpoint("q", eid=page[-1]["eid"])
+    assert sorted(seen) == everything
+    # Order: time, counter, lane; lanes do not change when a producer writes again.
+    assert write_events(store, "one", "q", numbers(spark, 1, 99), ["k"], NOW) == 1
+    lanes = {r[0]: r[1] for r in store.queue("q").groupBy("id").agg(F.collect_set("lane")).collect()}
+    assert lanes["one"] == [0] and lanes["two"] == [1]
+    assert queue_states(store).first()["max_eid"] == store.queue("q").agg(F.max("eid")).first()[0]
+
+
+def test_a_page_names_its_own_files_only(spark, store):
+    for n in range(6):
+        write_events(store, "bot", "q", numbers(spark, 10, 10 * n), ["k"], NOW + n * 43_200_000)
+    page = store.page("q", limit=12)
+    assert [json.loads(r["payload"])["n"] for r in page.collect()] == list(range(12))
+    assert len(page.inputFiles()) == 2
+    last = page.collect()[-1]["eid"]
+    second = store.page("q", last, limit=5)
+    assert [json.loads(r["payload"])["n"] for r in second.collect()] == list(range(12, 17)) and len(second.inputFiles()) <= 2
+    one = len('{"n":30}')
+    sized = store.page("q", store.page("q", limit=30).collect()[-1]["eid"], size=3 * one)
+    assert [json.loads(r["payload"])["n"] for r in sized.collect()] == [30, 31, 32] and len(sized.inputFiles()) <= 2
+    assert store.page("q", "z/2030/").collect() == [] and store.page("none").collect() == []
+
+
+@pytest.mark.parametrize("eid", ["z/2024/01/02/y", "z/a_b~c+d.é %2F"])
+def test_file_names_tell_any_position(eid):
+    name = DataFile.name(eid, eid, 1, 2, 3)
+    assert DataFile.of(f"hdfs://x/{name}") == DataFile(f"hdfs://x/{name}", eid, eid, 1, 2)
 
 
 def test_a_large_write_is_numbered_in_many_tasks_and_in_order(spark, store):

@@ -13,9 +13,9 @@ from eventframe.session import work_dir
 from eventframe.sources import folders, queues
 from eventframe.sources import records as rec
 from eventframe.sources.queues import QueueStore
-from eventframe.sources.state import StateTable
+from eventframe.sources.state import JobState, StateTable
 from eventframe.streaming import jobs
-from eventframe.streaming.appending import Appender, queue_states, write_events
+from eventframe.streaming.appending import queue_states, write_events
 from eventframe.streaming.ingest import Ingest
 
 NOW = 1_706_745_600_000
@@ -68,22 +68,17 @@ def test_clock_moves_on_and_a_repeated_batch_changes_nothing(spark, store):
     assert stored(store) == before
 
 
-@pytest.mark.parametrize("table", ["queues", "bots", "clock"])
-def test_a_crash_before_the_end_of_a_batch_leaves_no_trace_in_the_end(spark, store, table, monkeypatch):
+@pytest.mark.parametrize("step", ["stage clock", "stage queues", "stage bots", "commit", "publish"])
+def test_a_crash_before_the_end_of_a_batch_leaves_no_trace_in_the_end(spark, store, step, monkeypatch):
     ingest = Ingest(store, clock=lambda: NOW)
     ingest.run_batch(records(spark, record("s", 1, NOW, event(1))), 0)
     batch = records(spark, record("s", 2, NOW, event(2), event(3, "b")))
-    publish = StateTable.publish
-
-    def crash(self, version):
-        if version == 1 and self.path.endswith(table):
-            raise RuntimeError("lost")
-        publish(self, version)
-
-    monkeypatch.setattr(StateTable, "publish", crash)
-    with pytest.raises(RuntimeError, match="lost"):
-        ingest.run_batch(batch, 1)
-    monkeypatch.setattr(StateTable, "publish", publish)
+    with monkeypatch.context() as patch:
+        crash_at(patch, step)
+        with pytest.raises(RuntimeError, match="lost"):
+            ingest.run_batch(batch, 1)
+    # What was committed is seen whole, what was not isn't seen at all.
+    assert sorted(stored(store).values()) == ([1, 2, 3] if step == "publish" else [1])
     ingest.run_batch(batch, 1)
     assert sorted(stored(store).values()) == [1, 2, 3]
     assert len(stored(store)) == 3
@@ -93,6 +88,19 @@ def test_a_crash_before_the_end_of_a_batch_leaves_no_trace_in_the_end(spark, sto
     assert {(r["id"], r["queue"], r["records"]) for r in bots.collect()} == {("bot-1", "a", 1), ("bot-0", "a", 1), ("bot-1", "b", 1)}
 
 
+def crash_at(patch, step):
+    """The first time a writer comes to a step, it dies."""
+    kind, _, table = step.partition(" ")
+    plain = getattr(QueueStore if kind == "publish" else JobState, kind)
+
+    def dies(self, *args, **named):
+        if not table or args[0] == table:
+            raise RuntimeError("lost")
+        return plain(self, *args, **named)
+
+    patch.setattr(QueueStore if kind == "publish" else JobState, kind, dies)
+
+
 def test_commands_archives_snapshots_and_bad_lines(spark, store):
     batch = records(
         spark,
@@ -102,11 +110,11 @@ def test_commands_archives_snapshots_and_bad_lines(spark, store):
         ("s", "000004", NOW, base64.b64encode(b'{"id":').decode()),
     )
     Ingest(store, skip_queues=["queue:skipped"], skip_bots=["mute"], clock=lambda: NOW).run_batch(batch, 0)
-    got = {(r["queue"], r["eid"], r["date"], r["ttl"]) for r in store.events().collect()}
+    got = {(r["queue"], r["archive_start"], r["eid"], r["date"], r["ttl"]) for r in store.events().collect()}
     # The archive queue is numbered first, so the snapshot event has counter one.
     assert got == {
-        ("a/_archive", "z/2024/01/02/y", "2024-01-02", None),
-        ("a/_snapshot", f"z/2024/01/05/10/30/{NOW}-0000001", "2024-01-05", NOW // 1000 + 604_800),
+        ("a/_archive", "z/2024/01/01/x", "z/2024/01/02/y", "2024-01-02", None),
+        ("a/_snapshot", None, f"z/2024/01/05/10/30/{NOW}-0000001", "2024-01-05", NOW // 1000 + 604_800),
     }
     marks = {r["queue"]: (r["archive_end"], r["snapshot_start"], r["snapshot_next"]) for r in queue_states(store).collect()}
     assert marks["a"] == ("z/2024/01/02/y", "_snapshot/z/2024/01/05/10/30/", "z/2024/02/01/00/00/")
@@ -217,11 +225,11 @@ def test_state_table_shows_whole_versions_only(spark):
     for version in range(4):
         rows = spark.createDataFrame([("q", f"z/{version}")], "queue string, max_eid string")
         full = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in QUEUE_STATE])
-        table.stage(full, version)
+        staged = table.job.stage("rows", QUEUE_STATE, full, version)
         assert (table.version() or 0) == max(version - 1, 0)
-        table.publish(version)
-    assert table.load().first()["max_eid"] == "z/3"
-    assert [n for n in folders.children(spark, table.path) if n.startswith("v")] == ["v2", "v3"]
+        table.job.commit(version, {"rows": staged}, table.job.head())
+    assert table.load().first()["max_eid"] == "z/3" and table.load(2).first()["max_eid"] == "z/2"
+    assert [n[:12] for n in folders.children(spark, f"{table.job.path}/rows")] == ["000000000002", "000000000003"]
 
 
 def test_counters_past_seven_digits_use_the_next_millisecond(spark, store, monkeypatch):
@@ -229,4 +237,4 @@ def test_counters_past_seven_digits_use_the_next_millisecond(spark, store, monke
     batch = records(spark, record("s", 1, NOW, *[event(n) for n in range(10)]))
     Ingest(store, clock=lambda: NOW).run_batch(batch, 0)
     assert [n for _, n in sorted(stored(store).items())] == list(range(10))
-    assert Appender(store, "ingest").clock.load().first()["clock"] == NOW + 2
+    assert store.state("ingest/clock", CLOCK_STATE).load().first()["clock"] == NOW + 2
