@@ -2,7 +2,8 @@
 
 Every producer and shard of a store has a lane. Positions of lane 0 have the form above, those
 of others end in ``-<6 digits of the lane>``: the order is time, counter, lane, and two
-producers never share a position.
+producers never share a position. An event of a chunk that a row points to has the row's
+position and ``.<9 digits>`` of its line.
 
 A position also has a numeric key with the same order. Aggregating the key
 keeps min/max in hash aggregates; min/max of strings would sort every row.
@@ -27,7 +28,9 @@ COUNTER_SIZE = 10**COUNTER_DIGITS
 LANE_DIGITS = 6
 LANES = 10**LANE_DIGITS
 # What follows the time in a position.
-COUNTER_AND_LANE = r"-(\d{7})(?:-\d{6})?$"
+COUNTER_AND_LANE = r"-(\d{7})(?:-\d{6})?(?:\.\d{9})?$"
+# What stands behind the position of a pointer for an event of its chunk.
+_INSIDE_DIGITS = 9
 
 _MS_SIZE = 10**13
 _COUNT_SIZE = 10 ** (COUNTER_DIGITS + LANE_DIGITS)
@@ -90,6 +93,16 @@ def counter_of(eid: Column) -> Column:
     return F.regexp_extract(eid, COUNTER_AND_LANE, 1).try_cast("bigint")
 
 
+def inside(eid: Column, line: Column) -> Column:
+    """Position of a line of the chunk that a row points to."""
+    return F.concat(eid, F.lit("."), F.lpad(line.cast("string"), _INSIDE_DIGITS, "0"))
+
+
+def pointer_text(eid: str | None) -> str | None:
+    """The row's position of a position inside a chunk; any other as it is."""
+    return eid and re.sub(rf"\.\d{{{_INSIDE_DIGITS}}}$", "", eid)
+
+
 def day_of(eid: Column) -> Column:
     """``yyyy-MM-dd`` partition of a position."""
     return F.replace(F.substring(eid, 3, 10), F.lit("/"), F.lit("-"))

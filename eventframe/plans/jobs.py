@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..functions.times import div
+from ..functions.times import DAY_MS, div
 from ..schemas import BOT_STATE, QUEUE_STATE, REQUEST_STATE
-from ..session import work_dir
+from ..session import work_dir, work_table
 from ..sources import changes as feed
+from ..sources import files
 from ..sources import records as rec
 from ..sources.queues import QueueStore, after
 from ..streaming import jobs
 from ..streaming.appending import queue_states, write_events
 from ..streaming.ingest import Ingest
+from ..streaming.subscriber import Subscriber
 from . import views
 from .changing import _FANOUT, _FEED, change_records, queue_change_records
 from .registry import query
@@ -255,3 +257,86 @@ def bounded_drain(spark, sf_dir):
     copied = after(store.events(), "drained").agg(F.count("*").alias("copied"))
     return copied.withColumn("finished", F.lit(finished))
 
+
+def halves(spark: SparkSession, sf_dir: str) -> QueueStore:
+    """A queue of all orders, written by two bots in one millisecond."""
+    store = QueueStore(spark, work_dir(spark, "halves"))
+    key = F.col("o_orderkey")
+    for half in range(2):
+        rows = table(spark, sf_dir, "orders").filter(key % 2 == half)
+        rows = rows.select(F.to_json(F.struct(key.alias("a"))).alias("payload"), div(key, 4096).alias("stretch"), key)
+        write_events(store, f"writer-{half}", "orders", rows, ["stretch", "o_orderkey"], NOW_MS)
+    return store
+
+
+def pages(store: QueueStore, bot: str, queue: str, **page) -> DataFrame:
+    """A queue read to its end in pages, each behind the bot's checkpoint; every page's rows, as they were read."""
+    reader, number = Subscriber(store, bot), 0
+    read = work_dir(store.spark, "pages")
+    while True:
+        rows = work_table(reader.read(queue, **page), "page")
+        last = rows.agg(F.max("eid")).first()[0]
+        if last is None:
+            return store.spark.read.parquet(read)
+        rows.withColumn("page", F.lit(number)).write.mode("append").parquet(read)
+        reader.checkpoint(queue, eid=last, now=NOW_MS)
+        number += 1
+
+
+@query("shared_millisecond", f"""
+    SELECT id, payload, {views.sql_position(str(NOW_MS), 'counter')} || CASE WHEN half = 1 THEN '-000001' ELSE '' END AS eid,
+           CAST((row_number() OVER (ORDER BY counter, half) - 1) // (SELECT ceil(count(*) / 3)::BIGINT FROM orders) AS INTEGER) AS page
+    FROM (SELECT 'writer-' || (o_orderkey % 2) AS id, o_orderkey % 2 AS half, '{{"a":' || o_orderkey || '}}' AS payload,
+                 row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) - 1 AS counter FROM orders)""")
+def shared_millisecond(spark, sf_dir):
+    """Events that two bots wrote in one millisecond, read in three pages that cut between equal times."""
+    store = halves(spark, sf_dir)
+    third = -(-table(spark, sf_dir, "orders").count() // 3)
+    return pages(store, "reader", "orders", limit=third, size=1 << 60).select("id", "payload", "eid", "page")
+
+
+@query("past_retention", """
+    SELECT o_orderkey AS a, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS copies, 1 AS pages FROM orders""")
+def past_retention(spark, sf_dir):
+    """Orders written on three days, archived, the first days dropped: pages and a copy still have each once."""
+    store = QueueStore(spark, work_dir(spark, "retention"))
+    key = F.col("o_orderkey")
+    for day in range(3):
+        rows = table(spark, sf_dir, "orders").filter(key % 3 == day).select(F.to_json(F.struct(key.alias("a"))).alias("payload"), key)
+        write_events(store, "writer", "orders", rows, ["o_orderkey"], NOW_MS + day * DAY_MS)
+    jobs.roll_up(store, "z/2024/03/01")
+    jobs.drop_expired_days(store, NOW_MS // 1000 + 604_800 + 2 * 86_400)
+    finish(jobs.copy_queue(store, "copier", "orders", "copy", _but_the_first_third, clock=lambda: NOW_MS + 9 * DAY_MS))
+    number = F.get_json_object("payload", "$.a").cast("bigint").alias("a")
+    read = pages(store, "reader", "orders", limit=(1 << 31) - 1, size=1 << 60).groupBy(number).agg(F.count("*").alias("pages"))
+    copied = store.queue("copy").groupBy(number).agg(F.count("*").alias("copies"))
+    return read.join(copied, "a", "left").select("a", F.coalesce("copies", F.lit(0)).cast("int").alias("copies"), F.col("pages").cast("int").alias("pages"))
+
+
+def _but_the_first_third(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.get_json_object("payload", "$.a").cast("bigint") % 3 != 0)
+
+
+@query("chunk_pages", """
+    SELECT 'page' AS reader, o_orderkey AS a, o_orderkey // 512 AS chunk, count(*) AS times FROM orders GROUP BY ALL
+    UNION ALL SELECT 'copy', o_orderkey, o_orderkey // 512, 1 FROM orders""")
+def chunk_pages(spark, sf_dir):
+    """Orders in chunk files with a pointer row each, read in pages that end inside chunks, and copied."""
+    store = QueueStore(spark, work_dir(spark, "chunked"))
+    key = F.col("o_orderkey")
+    lines = table(spark, sf_dir, "orders").select(
+        div(key, 512).alias("chunk"), key,
+        F.to_json(F.struct(F.lit("writer").alias("id"), F.lit("orders").alias("event"), F.struct(key.alias("a")).alias("payload"))).alias("line"),
+    )
+    lines = lines.repartition("chunk").sortWithinPartitions("chunk", "o_orderkey")
+    lines.select("chunk", "line").write.partitionBy("chunk").text(store.chunks)
+    found = files.listing(spark, store.chunks).filter(F.col("key").endswith(".txt"))
+    number = F.regexp_extract("key", "chunk=([0-9]+)/", 1).cast("bigint")
+    pointers = found.select(F.struct(F.lit("chunks").alias("bucket"), "key").alias("s3"), F.lit(None).cast("string").alias("payload"), number.alias("n"))
+    write_events(store, "writer", "orders", pointers, ["n"], NOW_MS)
+    finish(jobs.copy_queue(store, "copier", "orders", "copy", clock=lambda: NOW_MS + 1))
+    half = table(spark, sf_dir, "orders").count() // 2 + 1
+    a = F.get_json_object("payload", "$.a").cast("bigint").alias("a")
+    read = pages(store, "reader", "orders", limit=half, size=1 << 60).select(F.lit("page").alias("reader"), a)
+    copied = store.queue("copy").select(F.lit("copy").alias("reader"), a)
+    return read.unionByName(copied).groupBy("reader", "a", div(F.col("a"), 512).alias("chunk")).agg(F.count("*").alias("times"))

@@ -66,6 +66,23 @@ def read_bytes(spark, sf_dir):
     return queues.capped(rows, 4000).select("eid", "payload")
 
 
+@query("page_limit", f"""
+    SELECT eid, id, payload FROM stored WHERE queue = 'view' AND eid > '{_START}' ORDER BY eid LIMIT 250""", ("stored",))
+def page_limit(spark, sf_dir):
+    """A page of a stored queue; only the files that hold it are read."""
+    return store_of(spark, sf_dir).page("queue:view", _START, limit=250).select("eid", "id", "payload")
+
+
+@query("page_bytes", f"""
+    SELECT eid, payload FROM (
+      SELECT *, sum(octet_length(encode(payload))) OVER (ORDER BY eid ROWS UNBOUNDED PRECEDING) AS size
+      FROM stored WHERE queue = 'signup' AND eid > '{_START}')
+    WHERE size <= 4000""", ("stored",))
+def page_bytes(spark, sf_dir):
+    """As many events of a stored queue as fit a number of bytes."""
+    return store_of(spark, sf_dir).page("signup", _START, size=4000).select("eid", "payload")
+
+
 @query("replay_from_start", "SELECT eid, id, payload FROM stored WHERE queue = 'purchase'", ("stored",))
 def replay_from_start(spark, sf_dir):
     """A whole queue again, from the first position."""

@@ -36,22 +36,24 @@ def partition_name(value: str) -> str:
 
 @dataclass(frozen=True)
 class DataFile:
-    """A file of a queue and what its name tells: first and last position, events, payload bytes."""
+    """A file of a queue and what its name tells: first and last position, rows, payload bytes, pointers among the rows."""
 
     path: str
     first: str
     last: str
     records: int
     size: int
+    pointers: int
 
     @staticmethod
-    def name(first: str, last: str, records: int, size: int, number: int) -> str:
-        return f"{_coded(first)}~{_coded(last)}~{records}~{size}~{number}.parquet"
+    def name(first: str, last: str, records: int, size: int, pointers: int, number: int) -> str:
+        return f"{_coded(first)}~{_coded(last)}~{records}~{size}~{pointers}~{number}.parquet"
 
     @staticmethod
     def of(path: str) -> DataFile:
-        first, last, records, size, _ = path.rsplit("/", 1)[1].removesuffix(".parquet").split("~")
-        return DataFile(path, _decoded(first), _decoded(last), int(records), int(size))
+        first, last, *counts = path.rsplit("/", 1)[1].removesuffix(".parquet").split("~")
+        records, size, pointers, _ = map(int, counts)
+        return DataFile(path, _decoded(first), _decoded(last), records, size, pointers)
 
 
 def _coded(eid: str) -> str:
@@ -72,9 +74,11 @@ class QueueStore:
     the next reader or writer.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, chunks: str | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.events_path = f"{self.root}/events"
+        # Where chunks lie whose pointers name no folder.
+        self.chunks = chunks or f"{self.root}/chunks"
 
     def checkpoint_path(self, name: str) -> str:
         return f"{self.root}/checkpoints/{partition_name(name)}"
@@ -130,15 +134,38 @@ class QueueStore:
         return rows.withColumn("queue", F.lit(name))
 
     def days(self, queue: str, start: str | None = None) -> list[str]:
-        """Folders of a queue's days that can hold positions after ``start``, oldest first."""
-        first = f"date={positions.first_day(start) or ''}"
-        return [d for d in folders.children(self.spark, self._queue_path(queue)) if d.startswith("date=") and d >= first]
+        """A queue's days that can hold positions from ``start`` on, oldest first."""
+        first = positions.first_day(start) or ""
+        found = folders.children(self.spark, self._queue_path(queue))
+        return [d.removeprefix("date=") for d in found if d.startswith("date=") and d.removeprefix("date=") >= first]
 
-    def files(self, queue: str, start: str | None = None) -> Iterator[list[DataFile]]:
-        """A queue's files with positions after ``start``, day by day; only folders are listed."""
-        for day in self.days(queue, start):
-            found = map(DataFile.of, folders.files(self.spark, f"{self._queue_path(queue)}/{day}"))
-            yield [f for f in found if start is None or f.last > start]
+    def retained_from(self, queue: str) -> str:
+        """The first day that no retention has dropped from a queue; empty if none was dropped."""
+        return max(folders.children(self.spark, f"{self.root}/retained/{partition_name(names.canonical_text(queue))}"), default="")
+
+    def drop_days(self, queue: str, before: str) -> list[str]:
+        """Delete a queue's days before one day. Readers that are behind take them from the archive from now on."""
+        name = names.canonical_text(queue)
+        dropped = [d for d in self.days(name) if d < before]
+        if dropped:
+            folders.create(self.spark, f"{self.root}/retained/{partition_name(name)}/{before}")
+        for day in dropped:
+            folders.delete(self.spark, f"{self._queue_path(name)}/date={day}")
+        return dropped
+
+    def history(self, queue: str, start: str | None = None) -> Iterator[list[DataFile]]:
+        """Files of a queue that can hold positions from ``start`` on, day by day; only folders are listed.
+
+        Days that retention has dropped come from the queue's archive, together with what was
+        written to them since; all others from the live queue.
+        """
+        name = names.canonical_text(queue)
+        archived, kept = f"{name}{names.ARCHIVE_SUFFIX}", self.retained_from(name)
+        old = {d for d in self.days(archived, start) if d < kept} if kept else set()
+        for day in sorted({*self.days(name, start), *old}):
+            places = [name, archived] if day in old else [name]
+            paths = [p for q in places for p in folders.files(self.spark, f"{self._queue_path(q)}/date={day}")]
+            yield [f for f in map(DataFile.of, paths) if start is None or f.last >= start]
 
     def page_files(self, queue: str, start: str | None = None, limit: int | None = None, size: int | None = None) -> list[DataFile]:
         """The files that hold the next ``limit`` events, or ``size`` bytes and an event, after ``start``.
@@ -146,8 +173,10 @@ class QueueStore:
         Files that lie wholly after ``start`` count with all their events. Once those that end
         by some position are enough, the page ends there, and later days are not listed.
         """
+        # The pointer row of a position inside a chunk comes before it.
+        begin = positions.pointer_text(start)
         seen: list[DataFile] = []
-        for files in self.files(queue, start):
+        for files in self.history(queue, begin):
             seen.extend(files)
             records = total = 0
             for file in sorted(seen, key=lambda f: f.last):
@@ -158,19 +187,30 @@ class QueueStore:
         return seen
 
     def read_files(self, queue: str, files: list[DataFile]) -> DataFrame:
+        """The rows of files of a queue and its archive; a row that lies in both comes once."""
+        name = names.canonical_text(queue)
         if not files:
             return self.spark.createDataFrame([], STORED)
-        path = self._queue_path(queue)
-        rows = self.spark.read.schema(_FOLDER).option("basePath", path).parquet(*sorted(f.path for f in files))
-        return rows.withColumn("queue", F.lit(names.canonical_text(queue)))
+        rows = self.spark.read.schema(STORED).option("basePath", self.events_path).parquet(*sorted(f.path for f in files))
+        archive = f"{self._queue_path(f'{name}{names.ARCHIVE_SUFFIX}')}/"
+        if any(archive.removeprefix("file:") in f.path for f in files):
+            rows = rows.dropDuplicates(["eid"])
+        return rows.withColumn("queue", F.lit(name))
 
     def page(self, queue: str, start: str | None = None, limit: int | None = None, size: int | None = None) -> DataFrame:
         """The next events of a queue after ``start``, at most ``limit`` and ``size`` bytes of them, in order.
 
-        The plan names the files of the page and no others.
+        The plan names the files of the page and no others. Days that were dropped come from
+        the archive. Events of chunks that rows point to have positions inside the row's own,
+        so a page may end within a chunk.
         """
         self.recover()
-        rows = after(self.read_files(queue, self.page_files(queue, start, limit, size)), queue, start)
+        files = self.page_files(queue, start, limit, size)
+        rows = after(self.read_files(queue, files), queue, positions.pointer_text(start), inclusive=True)
+        if any(f.pointers for f in files):
+            rows = expand_chunks(self.spark, rows, self.chunks)
+        if start:
+            rows = rows.filter(F.col("eid") > start)
         if limit is not None:
             rows = rows.orderBy("eid").limit(limit)
         return (rows if size is None else capped(rows, size)).orderBy("eid")
@@ -220,11 +260,12 @@ class QueueStore:
         )
         # Only positions and sizes are read back: one row a file.
         spans = self.staged(job, batch).groupBy(F.col("_metadata.file_path").alias("file")).agg(
-            F.min("eid").alias("first"), F.max("eid").alias("last"), F.count("*").alias("records"), F.sum("size").alias("size")
+            F.min("eid").alias("first"), F.max("eid").alias("last"), F.count("*").alias("records"), F.sum("size").alias("size"),
+            F.count("s3.key").alias("pointers"),
         )
         for number, row in enumerate(spans.toLocalIterator()):
             folder, _, _ = unquote(row["file"]).rpartition("/")
-            name = DataFile.name(row["first"], row["last"], row["records"], row["size"] or 0, number)
+            name = DataFile.name(row["first"], row["last"], row["records"], row["size"] or 0, row["pointers"], number)
             folders.move(self.spark, unquote(row["file"]), f"{folder}/{name}")
         return batch
 
@@ -262,8 +303,10 @@ def _stored(rows: DataFrame, batch: str) -> DataFrame:
     return rows.withColumns(given).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STORED])
 
 
-def after(events: DataFrame, queue: str, start: str | None = None, until: str | None = None) -> DataFrame:
-    """Events of one queue after ``start`` (exclusive), up to ``until`` (inclusive).
+def after(
+    events: DataFrame, queue: str, start: str | None = None, until: str | None = None, inclusive: bool = False
+) -> DataFrame:
+    """Events of one queue after ``start`` (or from it on, if ``inclusive``), up to ``until`` (inclusive).
 
     The queue and the first day are partition filters; the position range
     reaches the Parquet statistics.
@@ -275,7 +318,7 @@ def after(events: DataFrame, queue: str, start: str | None = None, until: str |
         if until and (last := positions.first_day(until)) and len(last) == len("yyyy-MM-dd"):
             rows = rows.filter(F.col("date") <= last)
     if start:
-        rows = rows.filter(F.col("eid") > start)
+        rows = rows.filter(F.col("eid") >= start if inclusive else F.col("eid") > start)
     return rows.filter(F.col("eid") <= until) if until else rows
 
 
@@ -401,3 +444,25 @@ def expand_pointers(spark: SparkSession, rows: DataFrame, root: str) -> DataFram
     lines = lines_of(spark, pointers, root).select("queue", "text")
     chunk = envelopes(parsed_lines(lines)).withColumn("source_ms", F.col("source_ms").try_cast("bigint"))
     return inline.unionByName(chunk.select(*columns))
+
+
+def expand_chunks(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
+    """Stored rows with every pointer replaced by the events of its chunk.
+
+    The n-th line's event has the pointer's position with ``.n`` behind it. Lines that are no
+    event count as lines. All other columns are the pointer's, but for payload, size, producer and times.
+    """
+    pointers = rows.filter(F.col("s3").isNotNull()).withColumnRenamed("id", "_producer")
+    named = pointers.drop("payload", "size").withColumns({"bucket": F.col("s3.bucket"), "key": F.col("s3.key")})
+    lines = lines_of(spark, named, root)
+    in_order = Window.partitionBy("eid").orderBy("block", "row")
+    lines = lines.withColumn("_line", F.row_number().over(in_order) - 1)
+    taken = {"eid": "_at", "write_ms": "_write", "source_ms": "_source", "creator": "_creator", "queue": "_queue"}
+    events = envelopes(parsed_lines(lines.withColumnsRenamed(taken).drop("block", "row", "bucket", "key", "s3")))
+    events = events.withColumns({
+        "eid": positions.inside(F.col("_at"), F.col("_line")), "queue": F.col("_queue"), "size": event_bytes(),
+        "id": F.coalesce("id", "_producer"), "write_ms": F.coalesce("write_ms", "_write"),
+        "source_ms": F.coalesce(F.col("source_ms").try_cast("bigint"), F.col("write_ms"), "_source"),
+        "creator": F.coalesce("creator", "_creator"), "s3": F.lit(None).cast("struct<bucket:string,key:string>"),
+    })
+    return rows.filter(F.col("s3").isNull()).unionByName(events.select(*rows.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
+from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +17,14 @@ from ..functions import names, positions
 from ..operators import archive, merges, monitor, normalize, triggers
 from ..operators.running import sequence_bucket
 from ..operators.stats import ROW_VERSION
-from ..schemas import BOT_IMAGE, POSITION_STATE, QUEUE_IMAGE, QUEUE_STATE, REQUEST_STATE
+from ..schemas import BOT_IMAGE, CLOCK_STATE, POSITION_STATE, QUEUE_IMAGE, QUEUE_STATE, REQUEST_STATE, STORED
 from ..session import hint_small, work_table
 from ..sources import changes as feed
 from ..sources import files, folders
 from ..sources import records as rec
 from ..sources.files import PAGE, plain_path
-from ..sources.queues import QueueStore, archive_then_live, partition_name, second_of
-from .appending import Appender, bot_clock, bot_rows, queue_states, write_events
+from ..sources.queues import QueueStore, archive_then_live, expand_chunks, second_of
+from .appending import Appender, Batch, bot_clock, bot_rows, queue_states, write_events
 from .ingest import now_ms
 
 BATCH_STATE = T.StructType([T.StructField("queue", T.StringType()), T.StructField("batch", T.StringType())])
@@ -169,27 +170,65 @@ def copy_queue(
     keeps ``eid``, the source position. ``target`` may be another store.
     """
     into = target or store
+    earliest = copy_archived(store, bot, source, destination, change, into, clock)
 
     def work(batch: DataFrame, version: int) -> None:
-        appender = Appender(into, bot)
-        if appender.done(version):
-            return
-        now = clock()
-        rows = batch.select("eid", "payload", "source_ms", "s3")
-        rows = change(rows) if change else rows
-        events = bot_rows(rows, bot, destination, now).withColumn("from_eid", F.col("eid"))
-        # One source batch may hold all its events in one second: ranges of its counters cut it.
-        counter = positions.counter_of(F.col("from_eid"))
-        events = events.withColumns({
-            "second": second_of(F.col("from_eid")), "source_ms_text": F.substring_index("from_eid", "-", 1),
-            "span": F.coalesce(sequence_bucket(counter), F.lit(0)),
-        }).drop("eid")
-        read = read_position(batch, bot, source, now)
-        appender.append(events, bot_clock(store.spark, bot, now), version, ["second", "source_ms_text", "span"], ["from_eid"], read=read)
+        if not Appender(into, bot).done(version):
+            copy_rows(store, batch, Appender(into, bot), version, source, destination, change, max(clock(), earliest))
 
     return start_batches(into, store.stream(source, max_files), bot, work, **trigger)
 
 
+def copy_rows(
+    store: QueueStore, batch: DataFrame, appender: Appender, version: int, source: str, destination: str,
+    change: Callable[[DataFrame], DataFrame] | None, now: int, bot: str | None = None,
+) -> Batch | None:
+    """Store one batch of another queue's rows, the events of chunks in place of pointers to them."""
+    bot = bot or appender.job
+    rows = batch.select(*[f.name for f in STORED])
+    if not rows.filter(F.col("s3").isNotNull()).isEmpty():
+        rows = expand_chunks(store.spark, rows, store.chunks)
+    rows = rows.select("eid", "payload", "source_ms")
+    read = read_position(rows, bot, source, now)
+    rows = change(rows) if change else rows
+    events = bot_rows(rows, bot, destination, now).withColumn("from_eid", F.col("eid"))
+    # One source batch may hold all its events in one second: ranges of its counters cut it.
+    counter = positions.counter_of(F.col("from_eid"))
+    events = events.withColumns({
+        "second": second_of(F.col("from_eid")), "source_ms_text": F.substring_index("from_eid", "-", 1),
+        "span": F.coalesce(sequence_bucket(counter), F.lit(0)),
+    }).drop("eid")
+    return appender.append(
+        events, bot_clock(store.spark, bot, now), version, ["second", "source_ms_text", "span"], ["from_eid"], read=read
+    )
+
+
+def copy_archived(
+    store: QueueStore, bot: str, source: str, destination: str, change: Callable[[DataFrame], DataFrame] | None,
+    into: QueueStore, clock: Callable[[], int],
+) -> int:
+    """Copy the days that retention dropped before the bot read them; returns the first millisecond after the copy.
+
+    They come from the archive, a day at a time, under a state of their own beside the stream's.
+    """
+    name, job = names.canonical_text(source), f"{bot}.archived"
+    appender = Appender(into, job)
+    kept = store.retained_from(name)
+    read = [r["eid"] for j in (bot, job) for r in into.state(f"{j}/positions", POSITION_STATE).load().filter(F.col("queue") == name).collect()]
+    start = max(read, default=None)
+    archived = f"{name}{names.ARCHIVE_SUFFIX}"
+    live = store.queue(name).select("eid", "date")
+    for day in [d for d in store.days(archived, start) if d < kept]:
+        # What was written to the day after it was dropped is there for the stream.
+        rows = store.queue(archived).filter(F.col("date") == day).join(live.filter(F.col("date") == day), "eid", "left_anti")
+        rows = (rows if start is None else rows.filter(F.col("eid") > start)).withColumn("queue", F.lit(name))
+        if not rows.isEmpty():
+            head = appender.state.head()
+            copy_rows(store, rows, appender, 0 if head is None else head.version + 1, source, destination, change, clock(), bot)
+    clocks = into.state(f"{job}/clock", CLOCK_STATE).load().agg(F.max("clock")).first()[0]
+    return 0 if clocks is None else clocks + 1
+
+
 def read_position(batch: DataFrame, bot: str, queue: str, now: int) -> DataFrame:
     """Checkpoint row of a bot that has read a batch; no row for an empty batch."""
     last = batch.agg(
@@ -299,15 +338,11 @@ def drop_expired_days(store: QueueStore, now_s: int, ttl_seconds: int = normaliz
     are not the days of their expiry.
     """
     end = datetime.fromtimestamp(now_s - ttl_seconds, UTC).strftime("%Y-%m-%d")
-    kept = (partition_name(names.ARCHIVE_SUFFIX), partition_name(names.SNAPSHOT_SUFFIX))
     dropped = []
-    for queue in folders.children(store.spark, store.events_path):
-        if not queue.startswith("queue=") or queue.endswith(kept):
-            continue
-        for day in folders.children(store.spark, f"{store.events_path}/{queue}"):
-            if day.startswith("date=") and day.removeprefix("date=") < end:
-                folders.delete(store.spark, f"{store.events_path}/{queue}/{day}")
-                dropped.append(f"{queue}/{day}")
+    for folder in folders.children(store.spark, store.events_path):
+        queue = unquote(folder.removeprefix("queue="))
+        if folder.startswith("queue=") and not queue.endswith((names.ARCHIVE_SUFFIX, names.SNAPSHOT_SUFFIX)):
+            dropped += [f"{folder}/date={day}" for day in store.drop_days(queue, end)]
     return dropped
 
 

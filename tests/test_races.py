@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from eventframe.operators import numbering
 from eventframe.schemas import BOT_STATE, QUEUE_STATE
 from eventframe.session import work_dir
-from eventframe.sources import files, folders
+from eventframe.sources import files, folders, queues
 from eventframe.sources.queues import DataFile, QueueStore
 from eventframe.sources.state import JobState, StaleVersion, StateTable
 from eventframe.streaming import appending, jobs
@@ -177,8 +177,8 @@ def test_a_page_names_its_own_files_only(spark, store):
 
 @pytest.mark.parametrize("eid", ["z/2024/01/02/y", "z/a_b~c+d.é %2F"])
 def test_file_names_tell_any_position(eid):
-    name = DataFile.name(eid, eid, 1, 2, 3)
-    assert DataFile.of(f"hdfs://x/{name}") == DataFile(f"hdfs://x/{name}", eid, eid, 1, 2)
+    name = DataFile.name(eid, eid, 1, 2, 3, 4)
+    assert DataFile.of(f"hdfs://x/{name}") == DataFile(f"hdfs://x/{name}", eid, eid, 1, 2, 3)
 
 
 def test_a_large_write_is_numbered_in_many_tasks_and_in_order(spark, store):
@@ -273,3 +273,59 @@ def test_snapshot_marks_stay_in_pairs(spark, store):
         store.state(f"job-{n}/queues", QUEUE_STATE).commit(rows, 0)
     found = queue_states(store).first()
     assert (found["snapshot_start"], found["snapshot_next"]) == pairs[0] and found["skip_archive"] is False
+
+
+def by_number(rows):
+    return [json.loads(r["payload"])["n"] for r in rows]
+
+
+def through(store, bot="slow", **page):
+    """A whole queue, page by page."""
+    reader, seen = Subscriber(store, bot), []
+    while page_rows := reader.read("q", **page).collect():
+        seen += by_number(page_rows)
+        assert reader.checkpoint("q", eid=page_rows[-1]["eid"])
+    return seen
+
+
+def test_readers_behind_the_retention_go_on_in_the_archive(spark, store):
+    day = 86_400_000
+    for n in range(4):
+        write_events(store, "bot", "q", numbers(spark, 5, 10 * n), ["k"], NOW + n * day)
+    jobs.roll_up(store, "z/2024/03/01")
+    write_events(store, "bot", "q", numbers(spark, 5, 40), ["k"], NOW + 4 * day)
+    reader = Subscriber(store, "half")
+    assert reader.checkpoint("q", eid=reader.read("q", limit=7).collect()[-1]["eid"])
+    assert len(jobs.drop_expired_days(store, NOW // 1000 + 604_800 + 2 * 86_400)) == 2
+    # Something is written to a day that is gone, by a producer whose clock is late.
+    write_events(store, "late", "q", numbers(spark, 2, 90), ["k"], NOW + 3_600_000)
+    everything = [0, 1, 2, 3, 4, 90, 91, *range(10, 15), *range(20, 25), *range(30, 35), *range(40, 45)]
+    assert through(store, limit=4) == everything
+    assert through(store, "half", limit=4) == everything[everything.index(12):]
+    jobs.roll_up(store, "z/2024/03/01")
+    assert through(store, "again", size=20) == everything
+    assert jobs.drain(jobs.copy_queue(store, "copier", "q", "copy", clock=lambda: NOW + 9 * day), 300)
+    # Archived days first, then what the live queue holds.
+    assert by_number(queues.read(store.queue("copy"), "copy").collect()) == [n for n in everything if n not in (90, 91, *range(20, 45))] + [
+        90, 91, *range(20, 25), *range(30, 35), *range(40, 45)]
+    assert jobs.drain(jobs.copy_queue(store, "copier", "q", "copy", clock=lambda: NOW + 9 * day), 300)
+    assert store.queue("copy").count() == len(everything)
+
+
+def test_pages_and_copies_read_the_chunks_that_rows_point_to(spark, store):
+    chunk = f"{store.chunks}/c1"
+    lines = [json.dumps(event(n, "q", timestamp=n + 1)) for n in range(100, 106)] + ["no event", json.dumps(event(106, "q"))]
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(chunk)
+    key = next(n for n in folders.children(spark, chunk) if n.endswith(".txt"))
+    pointer = {"id": "bot", "event": "q", "s3": {"bucket": "chunks", "key": f"c1/{key}"}}
+    batch = [record("s", 1, NOW, event(1, "q")), record("s", 2, NOW, pointer), record("s", 3, NOW, event(2, "q"))]
+    Ingest(store, clock=lambda: NOW).run_batch(records(spark, *batch), 0)
+    everything = [1, *range(100, 107), 2]
+    for n in (1, 2, 3, 20):
+        assert through(store, f"reader-{n}", limit=n) == everything
+    assert through(store, "bytes", size=25) == everything
+    inner = store.page("q", limit=3).collect()[1:]
+    assert [r["eid"].rsplit("-", 1)[1] for r in inner] == ["0000001.000000000", "0000001.000000001"]
+    assert [(r["write_ms"], r["size"], r["id"]) for r in inner] == [(101, 9, "bot-0"), (102, 9, "bot-1")]
+    assert jobs.drain(jobs.copy_queue(store, "copier", "q", "copy", clock=lambda: NOW + 5), 300)
+    assert by_number(queues.read(store.queue("copy"), "copy").collect()) == everything
