@@ -37,7 +37,7 @@ STRIDE = 4
 MOST_TABLES = 64
 # Simulated copies of each length class, fewer of long items.
 COPIES = 400
-# Items of fewer words are looked up as they are, without edits.
+# Items of fewer words are too short to walk and are found by seeds.
 LEAST_WORDS = 8
 # Bound of what is broadcast at a time; more items go over the documents in several passes.
 BLOCK_WORDS = 1_000_000
@@ -134,7 +134,8 @@ class Items:
             words = words_of(text)
             if words:
                 row = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int32)
-                if len(row) < LEAST_WORDS:
+                if not self._edits_of(len(row)):
+                    # Too short for any edit: looked up as they are.
                     self.short.setdefault(int(row[0]), []).append((len(self.ids), row))
                 self.ids.append(item_id)
                 self.items.append(row)
@@ -145,6 +146,9 @@ class Items:
         long = [n for n, row in enumerate(self.items) if len(row) >= LEAST_WORDS]
         if long:
             self._build(long, recall, np.random.default_rng(seed))
+        middle = [n for n, row in enumerate(self.items) if len(row) < LEAST_WORDS and self.allowed(n)]
+        self.tables += self._seeds(middle)
+        self.recalls |= {_length_class(len(self.items[n])): 1.0 for n in middle}
 
     def _build(self, long: list[int], recall: float, rng: np.random.Generator) -> None:
         """Draws tables until the recall is reached on average, then looks up by seeds the lengths that are below it."""
@@ -208,8 +212,10 @@ class Items:
 
     def allowed(self, number: int) -> int:
         """Edits that the threshold allows an item."""
-        row = self.items[number]
-        return int((1 - self.similarity) * len(row) + 1e-9) if len(row) >= LEAST_WORDS else 0
+        return self._edits_of(len(self.items[number]))
+
+    def _edits_of(self, words: int) -> int:
+        return int((1 - self.similarity) * words + 1e-9)
 
     def _found(self, table: Table, copies: list[tuple[int, np.ndarray]]) -> np.ndarray:
         """Whether the table finds each copy, all of them walked in one row of words."""

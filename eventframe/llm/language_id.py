@@ -18,16 +18,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventframe.llm.letters import code_points, slabs
-from eventframe.llm.texts import keyed, map_texts
+from eventframe.llm.texts import keyed, map_texts, work_table
 
 SIZES = (2, 3, 4)
 BUCKETS = 1 << 16
 WIDTH = 16
-# Bounds of the training sample: labels, rows of each label, characters of each row.
-MAX_LABELS = 200
+# Bounds of the training sample: rows of each label, rows of all (but one of each label at least), characters of each row.
 ROWS_PER_LABEL = 1200
+MAX_ROWS = 240_000
 PIECE_CHARS = 400
 UNKNOWN = "und"
+# A table of so many labels is broadcast.
+SMALL_LABELS = 10_000
 
 
 def subwords(points: np.ndarray, is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,23 +165,32 @@ def calibrate(model: Model, examples: list[tuple[int, np.ndarray]], lost: float
 
 
 def training_rows(
-    docs: DataFrame, usable: Column, max_labels: int = MAX_LABELS, rows_per_label: int = ROWS_PER_LABEL,
+    docs: DataFrame, usable: Column, max_rows: int = MAX_ROWS, rows_per_label: int = ROWS_PER_LABEL,
     piece_chars: int = PIECE_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
 ) -> list[tuple[str, str]]:
-    """The bounded sample: of the most frequent labels, a hash-ordered choice of rows, of each a
-    run of characters at a place that the id's hash decides."""
+    """The bounded sample: of every label a hash-ordered choice of rows, of each a run of
+    characters at a place that the hash of its id and text decides.
+
+    The more labels, the fewer rows of each, but one at least. Rows without a text or label are
+    left out; rows that repeat an id and its text count once, a null id is an id like others,
+    and an empty table gives an empty sample.
+    """
+    text, row_hash = F.col("text"), F.xxhash64(F.lit(5), "id", "text")
     rows = docs.where(usable).select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")
     ).where("text is not null and label is not null")
-    common = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels)
-    # only the lower end of the draw goes on to be ranked, so no label fills a task
-    draw = F.xxhash64(F.lit(5), "id").bitwiseAND((1 << 53) - 1) / float(1 << 53)
-    kept = rows.join(F.broadcast(common), "label").where(draw * F.col("n") <= 4 * rows_per_label)
-    begin = F.pmod(F.xxhash64(F.lit(6), "id"), F.greatest(F.length("text") - piece_chars, F.lit(0)) + 1).cast("int") + 1
-    piece = F.substr(F.col("text"), begin, F.lit(piece_chars))
-    ranked = kept.select("label", draw.alias("draw"), piece.alias("piece"))
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("draw", "piece")))
-    found = ranked.where(F.col("place") <= rows_per_label).select("label", "piece").collect()
+    draw = row_hash.bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    counted = work_table(rows.groupBy("label").agg(F.approx_count_distinct(draw).alias("n")), "language-labels")
+    labels = counted.count()
+    if not labels:
+        return []
+    each = min(rows_per_label, max(1, max_rows // labels))
+    # only the lower end of the draw goes on to be ranked, so no label fills a task; one row at least of a rare label
+    kept = rows.join(F.broadcast(counted) if labels <= SMALL_LABELS else counted, "label").where(draw * F.col("n") <= 4 * each + 16)
+    begin = F.pmod(F.xxhash64(F.lit(6), "id", "text"), F.greatest(F.length(text) - piece_chars, F.lit(0)) + 1).cast("int") + 1
+    pieces = kept.select("label", draw.alias("draw"), F.substr(text, begin, F.lit(piece_chars)).alias("piece")).distinct()
+    ranked = pieces.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("draw", "piece")))
+    found = ranked.where(F.col("place") <= each).select("label", "piece").collect()
     return sorted((r.label, r.piece) for r in found)
 
 

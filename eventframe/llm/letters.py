@@ -6,8 +6,10 @@ from collections.abc import Iterator, Sequence
 from functools import cache, lru_cache
 
 import numpy as np
+import regex
 
 SLAB_CHARS = 1 << 19
+BETWEEN_WORDS = regex.compile(r"\W")
 
 
 @cache
@@ -19,8 +21,8 @@ def letter_table() -> np.ndarray:
 def slabs(texts: Sequence[str | None], chars: int = SLAB_CHARS) -> Iterator[tuple[list[int], list[str]]]:
     """Texts in groups of about ``chars`` characters, with the number of each one's text.
 
-    A longer text is cut at spaces into pieces with the same number, or after twice that
-    many characters if there is no space. Null counts as empty and is left out.
+    A longer text is cut into pieces with the same number, before a character that is in no
+    word; one word is never cut, however long. Null counts as empty and is left out.
     """
     owners, pieces, total = [], [], 0
     for n, text in enumerate(texts):
@@ -28,8 +30,8 @@ def slabs(texts: Sequence[str | None], chars: int = SLAB_CHARS) -> Iterator[tupl
         while at < len(text):
             end = len(text)
             if end - at > chars:
-                found = text.find(" ", at + chars, at + 2 * chars)
-                end = found if found >= 0 else min(end, at + 2 * chars)
+                found = BETWEEN_WORDS.search(text, at + chars)
+                end = found.start() if found else end
             owners.append(n)
             pieces.append(text[at:end])
             total += end - at

@@ -70,7 +70,7 @@ class Hashing:
     def block(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) >> np.uint64(11)).astype(np.int64) % self.blocks
 
-    def probes(self, place: np.ndarray) -> np.ndarray:
+    def probes(self, place: np.ndarray) -> np.ndarray | None:
         """Buckets of one table, as cell numbers, from the likeliest on to hold a near vector.
 
         A near vector's projection is normal around the query's. Buckets come from a heap of
@@ -98,7 +98,8 @@ class Hashing:
                     now, then = choices[n][picks[n]][0], choices[n][picks[n] + 1][0]
                     if then > 0:
                         heapq.heappush(heap, (chance / now * then, n, (*picks[:n], picks[n] + 1, *picks[n + 1 :])))
-        return np.array(out)
+        # Stopped before the target: None, and the query is compared with all vectors instead.
+        return np.array(out) if not heap or reached >= wanted else None
 
 
 def _vectors(column: pa.Array, kind: np.dtype) -> np.ndarray:
@@ -128,7 +129,10 @@ def _index(entries: DataFrame, hashing: Hashing, kind: np.dtype) -> DataFrame:
 
 
 def _visits(asked: DataFrame, hashing: Hashing, kind: np.dtype) -> DataFrame:
-    """``number, block, buckets``: for each query and block the buckets that it visits there."""
+    """``number, block, buckets``: for each query and block the buckets that it visits there.
+
+    A query that would visit more than ``MOST_PROBES`` buckets of a table gets no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,13 +141,17 @@ def _visits(asked: DataFrame, hashing: Hashing, kind: np.dtype) -> DataFrame:
             places = hashing.cells(_unit(_vectors(batch.column("vector"), kind)))
             rows = []
             for row, (query, vector) in enumerate(zip(batch.column("query").to_pylist(), batch.column("vector").to_pylist())):
-                for number in range(hashing.tables):
-                    keys = hashing.keys(hashing.probes(places[row, number]))
+                visited = [hashing.probes(places[row, number]) for number in range(hashing.tables)]
+                if any(cells is None for cells in visited):
+                    continue
+                for number, cells in enumerate(visited):
+                    keys = hashing.keys(cells)
                     blocks = hashing.block(keys)
                     for block in np.unique(blocks).tolist():
                         rows.append((number, block, keys[blocks == block], query, vector))
             kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["number", "block", "buckets", "query", "vector"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["number", "block", "buckets", "query", "vector"])
 
     return asked.mapInArrow(run, "number int, block long, buckets array<long>, query long, vector binary")
 
@@ -205,7 +213,8 @@ def search(
 
     Candidates are all rows but those of the query's own id. ``score`` is the cosine of the
     vectors as given, in double precision; nearest first, ties to the smaller id. A query
-    that finds fewer than ``count`` in its buckets is compared with all rows. Vectors that
+    that finds fewer than ``count`` in its buckets, or would have to visit more than
+    ``MOST_PROBES`` of them to reach the target, is compared with all rows. Vectors that
     are null, zero or hold null or non-finite components, rows with a null id, and vectors
     of another length than most take no part. Rows that repeat an id and its vector count
     once; one id with several vectors asks for each and answers with its nearest. Other
@@ -250,7 +259,7 @@ def search(
     found = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(_ranked(kind, keep), "query long, score double, ids array<long>")
     found = work_table(_first(found, keep), "vector-found")
 
-    # Queries whose buckets held too few, against all entries in blocks.
+    # Queries whose buckets held too few or were too many, against all entries in blocks.
     held = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= keep)
     short = work_table(asked.join(held, "query", "left_anti"), "vector-short")
     if short.limit(1).count():

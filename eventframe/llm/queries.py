@@ -44,12 +44,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = f"""
 WITH lines AS (
-    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+    SELECT doc_id, source, md5(text) AS whole, unnest(string_split(text, chr(10))) AS line,
            generate_subscripts(string_split(text, chr(10)), 1) AS place
     FROM documents
 ), boilerplate AS (
     SELECT trim(line, ' ') AS kept FROM lines WHERE length(trim(line, ' ')) >= {line_dedup.MIN_CHARS}
-    GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
+    GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES} AND count(DISTINCT whole) >= {line_dedup.MIN_SITES}
 ), marked AS (
     SELECT doc_id, line, place, trim(line, ' ') IN (SELECT kept FROM boilerplate) AS bad FROM lines
 ), cleaned AS (
@@ -57,10 +57,8 @@ WITH lines AS (
            coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT bad), '') AS clean
     FROM marked GROUP BY doc_id
 )
-SELECT d.doc_id, d.source,
-       CASE WHEN n_bad > 0 AND length(clean) >= {1 - line_dedup.MAX_SHARE} * length(text) THEN clean ELSE text END AS text,
-       CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines,
-       CAST(CASE WHEN n_bad > 0 AND length(clean) >= {1 - line_dedup.MAX_SHARE} * length(text) THEN n_bad ELSE 0 END AS INTEGER) AS n_removed
+SELECT d.doc_id, d.source, CASE WHEN n_bad > 0 THEN clean ELSE text END AS text,
+       CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_bad, 0) AS INTEGER) AS n_removed
 FROM documents d LEFT JOIN cleaned USING (doc_id)
 """
 

@@ -117,18 +117,21 @@ def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.nd
 def sample(docs: DataFrame, labels: DataFrame, rows_per_kind: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """``id, text, toxic`` of a hash-ordered choice of labelled rows of each kind.
 
-    Several labels of one id count as the strongest; the chosen ids are at most twice
-    ``rows_per_kind`` and are broadcast.
+    Several labels of one id count as the strongest. Rows of an id with different texts are rows
+    of their own, rows that repeat an id and its text count once, and null ids and null
+    texts are left out: at most twice ``rows_per_kind`` rows, whose keys are broadcast.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
     marked = marked.groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
+    texts = keyed(docs, id_col, text_col).where("id is not null and text is not null").withColumn("row", F.xxhash64("text"))
+    rows = work_table(texts.select("id", "row").distinct().join(marked, "id"), "toxicity-rows")
     # only the lower end of the draw goes on to be ranked, so no kind fills a task
-    draw = F.xxhash64(F.lit(3), "id").bitwiseAND((1 << 53) - 1) / float(1 << 53)
-    drawn = marked.join(F.broadcast(marked.groupBy("toxic").agg(F.count("*").alias("n"))), "toxic")
-    drawn = drawn.select("id", "toxic", draw.alias("draw")).where(draw * F.col("n") <= 4 * rows_per_kind)
-    ranked = drawn.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "id")))
-    chosen = ranked.where(F.col("place") <= rows_per_kind).select("id", "toxic")
-    return keyed(docs, id_col, text_col).where("text is not null").join(F.broadcast(chosen), "id")
+    draw = F.xxhash64(F.lit(3), "id", "row").bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    drawn = rows.join(F.broadcast(rows.groupBy("toxic").agg(F.count("*").alias("n"))), "toxic")
+    drawn = drawn.select("id", "row", "toxic", draw.alias("draw")).where(draw * F.col("n") <= 4 * rows_per_kind)
+    ranked = drawn.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "id", "row")))
+    chosen = ranked.where(F.col("place") <= rows_per_kind).select("id", "row", "toxic")
+    return texts.join(F.broadcast(chosen), ["id", "row"]).dropDuplicates(["id", "row"]).drop("row")
 
 
 def train(

@@ -65,7 +65,7 @@ def test_recall_on_edited_copies():
             found += number in held
             if number in held:
                 assert least_edits(words, doc) <= held[number] <= items.allowed(number)
-    assert found >= 0.93 * total
+    assert found >= 0.95 * total
 
 
 def test_nothing_beyond_the_threshold():
@@ -136,3 +136,15 @@ def test_query_finds_all_unchanged_items(spark, sf_dir):
     for r in table(spark, sf_dir, "documents").collect():
         text = f" {' '.join(words_of(r.text))} "
         assert {(r.doc_id, i) for i, words in items if f" {words} " in text} <= got
+
+
+def test_items_of_five_to_seven_words_may_have_an_edit():
+    rnd = random.Random(9)
+    rows = [(n, " ".join(prose(rnd, 4 + n % 4))) for n in range(40)]
+    items = Items(rows)
+    assert {items.allowed(n) for n in range(40) if n % 4} == {1} and {items.allowed(n) for n in range(0, 40, 4)} == {0}
+    for number, (_, text) in enumerate(rows):
+        for _ in range(10):
+            doc = prose(rnd, 9) + edited(rnd, words_of(text), items.allowed(number)) + prose(rnd, 9)
+            held = best_of(items, [" ".join(doc)])[0]
+            assert held.get(number) == least_edits(words_of(text), doc) if number % 4 else number in held

@@ -74,28 +74,35 @@ def test_lines(spark):
              (24, f"{common}\n\nbody of a page that is of another site, kept", "s0"), (24, f"{common}\n\nbody of a page that is of another site, kept", "s0"), (None, "a\n", None)]
     docs = docs_of(spark, rows)
     got = sorted((r.doc_id is None, r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.without_boilerplate(docs, min_sites=5).collect())
-    sites = defaultdict(set)
+    sites, pages = defaultdict(set), defaultdict(set)
     for _, t, s in rows:
         for line in (t or "").split("\n"):
             if len(line.strip(" ")) >= 12 and s is not None:
                 sites[line.strip(" ")].add(s)
-    bad = {x for x, s in sites.items() if len(s) >= 5}
+                pages[line.strip(" ")].add(t)
+    bad = {x for x, s in sites.items() if len(s) >= 5 and len(pages[x]) >= 5}
     assert bad == {common}
     wanted = []
     for i, t, _ in rows:
         lines = [] if t is None else t.split("\n")
         stays = [x for x in lines if x.strip(" ") not in bad]
-        if t is None or len("\n".join(stays)) < 0.5 * len(t):
-            stays = lines
         wanted.append((i is None, i, None if t is None else "\n".join(stays), len(lines), len(lines) - len(stays)))
     assert got == sorted(wanted)
     assert line_dedup.without_boilerplate(docs_of(spark, [])).count() == 0
 
 
+def test_short_pages_lose_boilerplate_and_copies_keep_their_text(spark):
+    rows = [(n, f"page {n}\nsubscribe to our newsletter", f"s{n}") for n in range(12)] + [(20, "subscribe to our newsletter\nhi", "s1")]
+    rows += [(30 + n, "a whole text\nthat many sites have copied", f"s{n}") for n in range(15)]
+    docs = docs_of(spark, rows).withColumns({n: F.lit("clash") for n in ("__text", "__drop", "line_hash", "sites")})
+    got = {r.doc_id: r.text for r in line_dedup.without_boilerplate(docs).collect()}
+    assert got == {n: f"page {n}" for n in range(12)} | {20: "hi"} | {30 + n: rows[13][1] for n in range(15)}
+
+
 @pytest.mark.parametrize("min_sites", [3, 20, 60])
 def test_line_spread_is_exact(spark, min_sites):
     rnd = random.Random(4)
-    rows = [(n, f"line number {k} of the test", f"site {s}") for n, (k, s) in enumerate((k, s) for k in range(70) for s in rnd.sample(range(500), k) * 2)]
+    rows = [(n, f"line number {k} of the test\n{n}", f"site {s}") for n, (k, s) in enumerate((k, s) for k in range(70) for s in rnd.sample(range(500), k) * 2)]
     got = {r.line_hash for r in line_dedup.boilerplate(docs_of(spark, rows), min_sites, precision=8).collect()}
     texts = spark.createDataFrame([(f"line number {k} of the test",) for k in range(min_sites, 70)], "t string").select(F.xxhash64("t"))
     assert got == {r[0] for r in texts.collect()}

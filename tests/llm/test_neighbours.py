@@ -69,6 +69,15 @@ def test_recall_on_the_table(spark, sf_dir):
     assert len(got) == len(wanted) and len(got & wanted) >= 0.9 * len(wanted)
 
 
+def test_queries_with_too_many_buckets_are_compared_with_all(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(n, [float(x) for x in v]) for n, v in enumerate(rng.standard_normal((600, 24)))]
+    monkeypatch.setattr(neighbours, "MOST_PROBES", 64)
+    assert Hashing(24, projections=8, width=1.0).probes(np.zeros(8)) is None
+    got = {tuple(r) for r in neighbours.search(frame(spark, rows, "double"), projections=8, width=1.0).collect()}
+    assert got == brute(rows)
+
+
 def test_odd_rows(spark):
     rnd = random.Random(6)
     nan, inf = float("nan"), float("inf")

@@ -46,16 +46,17 @@ def test_toxic_documents_go(spark, sf_dir, stages):
 
 def test_lines(stages):
     given, kept, *_ = stages["line_dedup"]
-    sites = defaultdict(set)
+    sites, pages = defaultdict(set), defaultdict(set)
     for r in given:
         for line in r.text.split("\n"):
             if len(line.strip(" ")) >= 12:
                 sites[line.strip(" ")].add(r.source)
+                pages[line.strip(" ")].add(r.text)
+    boilerplate = {x for x in sites if len(sites[x]) >= 10 and len(pages[x]) >= 10}
     after = {r.doc_id: r for r in kept}
     assert len(after) == len(given)
     for r in given:
-        stays = "\n".join(x for x in r.text.split("\n") if len(sites.get(x.strip(" "), ())) < 10)
-        wanted = stays if len(stays) >= 0.5 * len(r.text) else r.text
+        wanted = "\n".join(x for x in r.text.split("\n") if x.strip(" ") not in boilerplate)
         assert after[r.doc_id].text == wanted and after[r.doc_id].n_chars == len(wanted)
 
 
