@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names
-from ..functions.typed import image_json, parsed_image, plain_image, typed_list, typed_map
+from ..functions.typed import image_json, parsed_image, plain_image, typed_json, typed_list, typed_map
 from ..operators import normalize, numbering, stats
 from ..sources import records as rec
 from . import views
@@ -170,6 +170,23 @@ def infer_list_types(spark, sf_dir):
     return rows.select("event_id", "pos", "v.kind", "v.number")
 
 
+@query("infer_nested", """
+    SELECT doc_id, '{"facts":[' || n_chars || ',"-' || n_chars || '",{"long":' || (n_chars > 500) || '}],'
+           || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '"gap":{"of":null},' END
+           || '"id":' || doc_id || ',"lang":"' || lang || '"}' AS typed
+    FROM documents""")
+def infer_nested(spark, sf_dir):
+    """Documents' facts as nested texts, typed at every depth; absent values leave their object."""
+    doc, chars = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
+    facts = F.to_json(F.struct(F.struct(F.when(F.col("n_chars") > 500, "TRUE").otherwise("False").alias("long")).alias("x")))
+    nested = F.concat(
+        F.lit('{"id":"00'), doc, F.lit('.","facts":["'), chars, F.lit('","-'), chars, F.lit('",'), F.get_json_object(facts, "$.x"),
+        F.lit('],"gap":'), F.when(F.col("doc_id") % 3 == 0, '"undefined"').otherwise('{"of":"null"}'),
+        F.lit(',"none":"undefined","lang":"'), F.col("lang"), F.lit('"}'),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", typed_json(nested).alias("typed"))
+
+
 @query("record_source", """
     SELECT 'shardId-' || shard AS shard, right('000000000000' || seq, 12) AS sequence, ms AS arrival_ms,
            4 * ((CAST(octet_length(encode(json)) AS BIGINT) + 2) // 3) AS chars

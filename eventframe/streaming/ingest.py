@@ -12,19 +12,26 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.times import div, parse_ms
-from ..operators import normalize, stats
+from ..operators import intervals, normalize, stats
+from ..session import work_dir
 from ..sources import folders
 from ..sources import records as rec
 from ..sources.queues import QueueStore
 from .appending import Appender
 
 
+# Numbers of a shard that were delivered; see ``operators.intervals``.
 DELIVERY = T.StructType([
     T.StructField("shard", T.StringType()),
-    T.StructField("sequence", T.StringType()),
-    T.StructField("arrival_ms", T.LongType()),
+    T.StructField("head", T.StringType()),
+    T.StructField("low", T.LongType()),
+    T.StructField("high", T.LongType()),
+    T.StructField("first_ms", T.LongType()),
+    T.StructField("last_ms", T.LongType()),
     T.StructField("batch", T.LongType()),
 ])
+# After so many batches their deliveries become one table.
+MERGED_BATCHES = 50
 
 
 def now_ms() -> int:
@@ -57,7 +64,7 @@ class Ingest:
         parsed = rec.parsed_lines(rec.decoded_texts(records)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             keys = records.select("shard", "sequence", "arrival_ms")
-            keys.write.mode("overwrite").parquet(f"{self._deliveries()}/batch={version}")
+            intervals.of_records(keys).write.mode("overwrite").parquet(f"{self._deliveries()}/batch={version}")
             rec.bad_lines(parsed).write.mode("overwrite").parquet(
                 f"{self.store.root}/quarantine/{self.job}/batch={version}"
             )
@@ -83,6 +90,7 @@ class Ingest:
             appender.append(
                 events, firsts, version, ["second"], ["arrival_ms", "digits", "sequence", "line"], markers=markers
             )
+            self._merge_deliveries(version)
         finally:
             parsed.unpersist()
             records.unpersist()
@@ -100,9 +108,30 @@ class Ingest:
         if not folders.exists(self.store.spark, self._deliveries()):
             return fresh
         first, last = records.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
-        known = self.store.spark.read.schema(DELIVERY).parquet(self._deliveries())
-        known = known.filter((F.col("batch") < version) & F.col("arrival_ms").between(first, last))
-        return fresh.join(known.select("shard", "sequence"), ["shard", "sequence"], "left_anti").select(*records.columns)
+        known = self._delivered().filter(
+            (F.col("batch") < version) & (F.col("first_ms") <= last) & (F.col("last_ms") >= first)
+        )
+        return fresh.join(intervals.unknown(fresh, known), ["shard", "sequence"], "left_semi").select(*records.columns)
+
+    def _delivered(self) -> DataFrame:
+        return self.store.spark.read.schema(DELIVERY).parquet(self._deliveries())
+
+    def _merge_deliveries(self, version: int) -> None:
+        """Put the deliveries of earlier batches together. A crash in between leaves some of them twice, which changes nothing."""
+        spark, kept = self.store.spark, folders.children(self.store.spark, self._deliveries())
+        if len(kept) <= MERGED_BATCHES:
+            return
+        # The last of them stays as it is: a batch that runs again replaces its own.
+        old = sorted((n for n in kept if n.startswith("batch=")), key=lambda n: int(n.removeprefix("batch=")))[:-1]
+        newest = int(old[-1].removeprefix("batch="))
+        rows = intervals.intervals(self._delivered().filter(F.col("batch") <= newest).drop("batch"))
+        path = work_dir(spark, "deliveries")
+        rows.write.parquet(path)
+        # Beside the newest of them, before the others go.
+        for file in folders.files(spark, path):
+            folders.move(spark, file, f"{self._deliveries()}/{old[-1]}/{file.rsplit('/', 1)[1]}")
+        for name in old[:-1]:
+            folders.delete(spark, f"{self._deliveries()}/{name}")
 
     def _choose_file_size(self, appender: Appender, records: DataFrame) -> None:
         """A late or large batch is cut into files of bounded size."""

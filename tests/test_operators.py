@@ -6,6 +6,7 @@ import base64
 import gzip
 import json
 import random
+import re
 import zlib
 
 import pytest
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from eventframe.functions import names, positions, times
-from eventframe.functions.typed import typed_value
+from eventframe.functions.typed import typed_json, typed_value
 from eventframe.operators import archive, merges, monitor, normalize, numbering, routing, runlog, running, stats
 from eventframe.operators import triggers, validate
 from eventframe.plans.changing import CUSTOMER_DEFINITIONS, CUSTOMER_SCHEMA
@@ -415,3 +416,40 @@ def test_query_session_zone_does_not_matter(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == want
+
+
+def typed_by_rule(node):
+    """A value of ``absent`` leaves its object; elsewhere it is None."""
+    if isinstance(node, list):
+        return [None if (v := typed_by_rule(x)) is ... else v for x in node]
+    if isinstance(node, dict):
+        return {k: v for k, x in node.items() if (v := typed_by_rule(x)) is not ...}
+    if isinstance(node, str):
+        if re.fullmatch(r"[0-9]+(?:\.[0-9]*)?", node):
+            return float(node)
+        if node.lower() in ("true", "false"):
+            return node.lower() == "true"
+        return {"null": None, "undefined": ...}.get(node, node)
+    return node
+
+
+def test_texts_of_any_depth_are_typed(spark):
+    rnd = random.Random(5)
+    texts = ["1", "007", "0", "00.50", "5.", "1e3", "-1", "true", "FALSE", "True ", "null", "undefined", "", "a,", "x\"1\",", ',"k":"undefined"',
+             '","1","', "\\", '\\"', "{", "[\"1\"]", "null,", "line\nbreak \"2\"", "é中😀", ":", '":"', "1\n"]
+
+    def node(depth):
+        kind = rnd.randrange(5) if depth else 0
+        if kind == 1:
+            return [node(depth - 1) for _ in range(rnd.randrange(4))]
+        if kind in (2, 3):
+            return {rnd.choice([*texts, "k", "l", "m"]): node(depth - 1) for _ in range(rnd.randrange(5))}
+        return rnd.choice([*texts, *texts, 3, 2.5, None, True])
+
+    nodes = [node(5) for _ in range(600)] + [{"a": "undefined", "b": "undefined", "c": {"d": "undefined"}}, ["undefined"], "12", {"x": "\\n" * 20_000 + "1"}]
+    rows = spark.createDataFrame([(i, json.dumps(n)) for i, n in enumerate(nodes)] + [(-1, "no json"), (-2, None)], "i int, t string")
+    got = {r[0]: r[1] for r in rows.select("i", typed_json(F.col("t"))).collect()}
+    assert got[-1] is None and got[-2] is None
+    for i, n in enumerate(nodes):
+        wanted = typed_by_rule(n)
+        assert json.loads(got[i]) == (None if wanted is ... else wanted), n

@@ -10,7 +10,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from eventframe.operators import numbering
+from eventframe.operators import intervals, numbering
 from eventframe.schemas import BOT_STATE, QUEUE_STATE
 from eventframe.session import work_dir
 from eventframe.sources import files, folders, queues
@@ -196,7 +196,9 @@ def test_a_copied_batch_of_one_millisecond_keeps_its_order(spark, store):
     assert [r["n"] for r in rows] == list(range(3000))
 
 
-def test_a_lagging_shard_is_stored_and_a_repeated_record_is_not(spark, store):
+@pytest.mark.parametrize("merged", [50, 1])
+def test_a_lagging_shard_is_stored_and_a_repeated_record_is_not(spark, store, monkeypatch, merged):
+    monkeypatch.setattr("eventframe.streaming.ingest.MERGED_BATCHES", merged)
     ingest, hour = Ingest(store, clock=lambda: NOW), 3_600_000
     batches = [
         [record("a", 1, NOW, event(0))],
@@ -208,6 +210,8 @@ def test_a_lagging_shard_is_stored_and_a_repeated_record_is_not(spark, store):
         ingest.run_batch(records(spark, *batch), version)
         ingest.run_batch(records(spark, *batch), version)
     assert held(store, "a") == [0, 1, 2, 3]
+    kept = len([n for n in folders.children(spark, f"{store.root}/deliveries/ingest") if n.startswith("batch=")])
+    assert kept == (4 if merged == 50 else 2)
 
 
 def test_an_event_larger_than_a_page_is_read(spark, store):
@@ -329,3 +333,37 @@ def test_pages_and_copies_read_the_chunks_that_rows_point_to(spark, store):
     assert [(r["write_ms"], r["size"], r["id"]) for r in inner] == [(101, 9, "bot-0"), (102, 9, "bot-1")]
     assert jobs.drain(jobs.copy_queue(store, "copier", "q", "copy", clock=lambda: NOW + 5), 300)
     assert by_number(queues.read(store.queue("copy"), "copy").collect()) == everything
+
+
+def sequences(spark, rows):
+    return spark.createDataFrame([(s, str(q), NOW + i) for i, (s, q) in enumerate(rows)], "shard string, sequence string, arrival_ms long")
+
+
+def test_intervals_hold_what_was_delivered_and_close_their_gaps(spark):
+    rnd = random.Random(11)
+    big = 49_590_338_271_490_256_608_559_692_538_361_571_095_921_575_989_136_588_898
+    dense = [("a", n) for n in range(999_900, 1_000_100)] + [("b", big + n) for n in range(300)]
+    sparse = [("c", rnd.randrange(10**30)) for _ in range(50)] + [("d", f"shard-{n}") for n in range(5)] + [("e", 0), ("e", "007")]
+    rnd.shuffle(dense)
+    everything = dense + sparse
+    memory = intervals.of_records(sequences(spark, everything[::2]))
+    fresh = {tuple(r) for r in intervals.unknown(sequences(spark, everything + [("z", 5)]), memory).collect()}
+    delivered = {(s, str(q)) for s, q in everything[::2]}
+    assert fresh == {(s, str(q)) for s, q in everything} - delivered | {("z", "5")}
+    whole = intervals.intervals(memory.unionByName(intervals.of_records(sequences(spark, everything))))
+    counts = {r["shard"]: r["count"] for r in whole.groupBy("shard").count().collect()}
+    # One for each million that the numbers touch.
+    assert counts["a"] == 2 and counts["b"] <= 2 and counts["c"] == 50 and counts["d"] == 5 and counts["e"] == 2
+    assert intervals.unknown(sequences(spark, everything), whole).count() == 0
+
+
+def test_the_memory_of_many_batches_stays_small(spark):
+    """A thousand batches of two shards, each with its own disorder; some numbers never come."""
+    rnd = random.Random(12)
+    rows = [(s, n) for s in ("a", "b") for n in range(20_000) if n % 4_000 != 7]
+    rnd.shuffle(rows)
+    memory = None
+    for part in range(4):
+        own = intervals.of_records(sequences(spark, rows[part::4]))
+        memory = own if memory is None else intervals.intervals(memory.unionByName(own))
+    assert memory.count() == 12
