@@ -84,6 +84,37 @@ def stream_ingest_bots(spark, sf_dir):
     return bots.filter(F.col("checkpoint").isNotNull()).select("id", "queue")
 
 
+@query("ingest_manifest", f"""
+    SELECT queue, count(*) AS records, CAST(sum(octet_length(encode(replace(payload, ' ', '')))) AS BIGINT) AS size, TRUE AS spans
+    FROM ({_INGESTED}) GROUP BY queue""", ("base",))
+def ingest_manifest(spark, sf_dir):
+    """The chunks that a streamed ingest wrote, from their names: events, bytes, and whether the spans hold the queue's ends."""
+    store = ingested(spark, sf_dir)
+    held = store.events().groupBy("queue").agg(F.min("eid").alias("first"), F.max("eid").alias("last"))
+    chunks = None
+    for queue in [r["queue"] for r in held.select("queue").collect()]:
+        rows = store.manifest(queue)
+        chunks = rows if chunks is None else chunks.unionByName(rows)
+    summed = chunks.groupBy("queue").agg(
+        F.sum("records").alias("records"), F.sum("size").alias("size"), F.min("start").alias("start"), F.max("end").alias("end")
+    )
+    spans = (F.col("start") == F.col("first")) & (F.col("end") == F.col("last"))
+    return summed.join(held, "queue").select("queue", "records", "size", spans.alias("spans"))
+
+
+@query("ingest_runs", f"""
+    SELECT (SELECT count(*) FROM ({_INGESTED})) AS units, TRUE AS sized""", ("base",))
+def ingest_runs(spark, sf_dir):
+    """Run lines of a streamed ingest: their units are the stored events; and every record's size is counted."""
+    store = ingested(spark, sf_dir)
+    lines = spark.read.text(f"{store.root}/runs/ingest").select(F.split("value", ":").alias("cells"))
+    arrived = spark.read.parquet(f"{store.root}/arrivals-of/ingest").agg(F.sum("records").alias("records"), F.sum("chars").alias("chars"))
+    given = spark.read.json(f"{store.root}/arrivals").agg(F.count("*").alias("given"), F.sum(F.length("data")).alias("length"))
+    read, known = arrived.first(), given.first()
+    units = lines.agg(F.sum(F.col("cells")[5].cast("bigint")).alias("units"))
+    return units.withColumn("sized", F.lit(tuple(read) == tuple(known)))
+
+
 @query("file_backfill", f"""
     SELECT regexp_replace(event, '^queue:', '') AS queue, 'firehose' AS creator, count(*) AS records,
            CAST(sum(coalesce(write_ms, {NOW_MS})) AS BIGINT) AS write_sum, count(payload) AS payloads

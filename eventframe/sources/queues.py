@@ -186,6 +186,21 @@ class QueueStore:
                     return [f for f in seen if f.first <= file.last]
         return seen
 
+    def manifest(self, queue: str) -> DataFrame:
+        """The chunks of a queue: where each begins and ends, its events, bytes and batch. No file is opened."""
+        self.recover()
+        name = names.canonical_text(queue)
+        rows = [
+            (name, f.first, f.last, f.records, f.size, unquote(re.search(r"/batch=([^/]*)/", f.path)[1]))
+            for files in self.files(name) for f in files
+        ]
+        return self.spark.createDataFrame(rows, "queue string, start string, end string, records bigint, size bigint, batch string")
+
+    def files(self, queue: str) -> Iterator[list[DataFile]]:
+        """A live queue's files day by day."""
+        for day in self.days(queue):
+            yield [DataFile.of(p) for p in folders.files(self.spark, f"{self._queue_path(queue)}/date={day}")]
+
     def read_files(self, queue: str, files: list[DataFile]) -> DataFrame:
         """The rows of files of a queue and its archive; a row that lies in both comes once."""
         name = names.canonical_text(queue)
@@ -217,25 +232,27 @@ class QueueStore:
 
     def append(self, rows: DataFrame, batch: str, max_records_per_file: int = 0) -> None:
         """Write events of one batch that belongs to no job; the same batch written again replaces itself."""
-        self.publish("", self.stage(rows, "", batch, max_records_per_file), replace=True)
+        self.stage(rows, "", batch, max_records_per_file)
+        self.publish("", batch, replace=True)
 
     def append_sorted(self, rows: DataFrame, batch: str) -> None:
         """As ``append``, for data that is read often: an hour of a queue lies together and in order."""
-        self.publish("", self.stage_sorted(rows, "", batch), replace=True)
+        self.stage_sorted(rows, "", batch)
+        self.publish("", batch, replace=True)
 
     def _staged(self, job: str, batch: str) -> str:
         # A name for events without a job that no job has.
         return f"{self.root}/staged/{partition_name(job) or '-'}/{partition_name(batch)}"
 
-    def stage(self, rows: DataFrame, job: str, batch: str, max_records_per_file: int = 0) -> str:
-        """Write a batch's events where no reader looks; returns the batch.
+    def stage(self, rows: DataFrame, job: str, batch: str, max_records_per_file: int = 0) -> list[DataFile]:
+        """Write a batch's events where no reader looks; returns its files.
 
         Rebalancing gathers the rows of a queue and day into files of the
         advised size and splits those of a hot queue over several tasks.
         """
         return self._write(_stored(rows, batch).hint("rebalance", "queue", "date"), job, batch, max_records_per_file)
 
-    def stage_sorted(self, rows: DataFrame, job: str, batch: str) -> str:
+    def stage_sorted(self, rows: DataFrame, job: str, batch: str) -> list[DataFile]:
         """As ``stage``, gathered by queue and hour.
 
         Reads by position skip the files and row groups of other hours. Unlike range
@@ -248,7 +265,7 @@ class QueueStore:
         """The events of a staged batch."""
         return self.spark.read.schema(STORED).parquet(self._staged(job, batch))
 
-    def _write(self, rows: DataFrame, job: str, batch: str, max_records_per_file: int = 0) -> str:
+    def _write(self, rows: DataFrame, job: str, batch: str, max_records_per_file: int = 0) -> list[DataFile]:
         path = self._staged(job, batch)
         (
             # In the order of the folders, which the writer would sort by otherwise.
@@ -263,11 +280,13 @@ class QueueStore:
             F.min("eid").alias("first"), F.max("eid").alias("last"), F.count("*").alias("records"), F.sum("size").alias("size"),
             F.count("s3.key").alias("pointers"),
         )
+        written: list[DataFile] = []
         for number, row in enumerate(spans.toLocalIterator()):
             folder, _, _ = unquote(row["file"]).rpartition("/")
             name = DataFile.name(row["first"], row["last"], row["records"], row["size"] or 0, row["pointers"], number)
             folders.move(self.spark, unquote(row["file"]), f"{folder}/{name}")
-        return batch
+            written.append(DataFile.of(f"{folder}/{name}"))
+        return written
 
     def publish(self, job: str, batch: str, replace: bool = False) -> None:
         """Move a staged batch's folders to their queues, older days first; what was moved before stays."""

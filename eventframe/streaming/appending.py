@@ -26,7 +26,7 @@ from ..operators.running import with_running_total
 from ..schemas import BOT_STATE, CLOCK_STATE, POSITION_STATE, QUEUE_STATE
 from ..session import work_table
 from ..sources import folders
-from ..sources.queues import QueueStore
+from ..sources.queues import DataFile, QueueStore
 from ..sources.state import Head, StaleVersion
 
 RANGE = "_range"
@@ -38,10 +38,14 @@ EVENT_COLUMNS = {
 
 
 class Batch(NamedTuple):
-    """A stored batch: its name and the clocks of its shards."""
+    """A stored batch: its name and files."""
 
     name: str
-    clocks: DataFrame
+    files: list[DataFile]
+
+    @property
+    def records(self) -> int:
+        return sum(f.records for f in self.files)
 
 
 class Appender:
@@ -91,7 +95,7 @@ class Appender:
         clocks = self._staged(tables, "clock", CLOCK_STATE).filter(F.col("start").isNotNull()).select("shard", "start", "lane")
         numbered = self._numbered(events, clocks, bucket, order).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.store.stage(numbered, self.job, batch, self.max_records_per_file)
+            files = self.store.stage(numbered, self.job, batch, self.max_records_per_file)
             tables["queues"] = self._stage("queues", QUEUE_STATE, self._queue_state(numbered, markers, head), version)
             tables["bots"] = self._stage("bots", BOT_STATE, self._bot_state(numbered, head), version)
             if read is not None:
@@ -109,7 +113,7 @@ class Appender:
             self.store.drop_staged(self.job, batch)
             raise
         self.store.publish(self.job, batch)
-        return Batch(batch, self._staged(tables, "clock", CLOCK_STATE))
+        return Batch(batch, files)
 
     def _stage(self, table: str, schema: T.StructType, rows: DataFrame, version: int) -> str:
         return self.state.stage(table, schema, rows, version)
@@ -236,8 +240,8 @@ def write_events(store: QueueStore, bot: str, queue: str, events: DataFrame, ord
         head = appender.state.head()
         version = 0 if head is None else head.version + 1
         try:
-            if appender.append(rows, bot_clock(store.spark, bot, now_ms), version, [RANGE], order):
-                return rows.count()
+            if batch := appender.append(rows, bot_clock(store.spark, bot, now_ms), version, [RANGE], order):
+                return batch.records
         except StaleVersion:
             # The winner's version is complete: read it, and come behind it.
             continue

@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.times import div, parse_ms
-from ..operators import intervals, normalize, stats
-from ..session import work_dir
+from ..operators import intervals, normalize, runlog, stats
+from ..session import work_dir, work_table
 from ..sources import folders
 from ..sources import records as rec
 from ..sources.queues import QueueStore
-from .appending import Appender
+from .appending import Appender, Batch
 
 
 # Numbers of a shard that were delivered; see ``operators.intervals``.
@@ -60,6 +60,7 @@ class Ingest:
         appender = Appender(self.store, self.job)
         if appender.done(version):
             return
+        began = self.clock()
         records = self._first_deliveries(records, version).persist(StorageLevel.MEMORY_AND_DISK)
         parsed = rec.parsed_lines(rec.decoded_texts(records)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -85,16 +86,35 @@ class Ingest:
             )
             firsts = records.groupBy("shard").agg(
                 F.min_by("sequence", F.struct("arrival_ms", F.length("sequence"), "sequence")).alias("sequence"),
-                F.min("arrival_ms").alias("value"),
+                F.min("arrival_ms").alias("value"), F.count("*").alias("records"), F.sum(F.length("data")).alias("chars"),
             )
-            appender.append(
-                events, firsts, version, ["second"], ["arrival_ms", "digits", "sequence", "line"], markers=markers
+            # One row a shard: what arrived, as it came.
+            arrived = work_table(firsts, "arrivals")
+            arrived.select("shard", "records", "chars").write.mode("overwrite").parquet(
+                f"{self.store.root}/arrivals-of/{self.job}/batch={version}"
             )
+            stored = appender.append(
+                events, arrived, version, ["second"], ["arrival_ms", "digits", "sequence", "line"], markers=markers
+            )
+            self._log_run(stored, version, began)
             self._merge_deliveries(version)
         finally:
             parsed.unpersist()
             records.unpersist()
 
+    def _log_run(self, stored: Batch | None, version: int, began: int) -> None:
+        """One line about the batch: its times, and its events as units."""
+        took = max(self.clock() - began, 0)
+        run = {
+            "identifier": self.job, "id": self.job, "options": None, "runs": 1, "start": began, "end": began + took,
+            "units": stored.records if stored else 0, "duration": float(took), "min_duration": float(took), "max_duration": float(took),
+            "consumption": 0, "errors": 0, "completions": 1,
+        }
+        kinds = ", ".join(f"{k} {'string' if k in ('identifier', 'id', 'options') else 'double' if 'duration' in k else 'bigint'}" for k in run)
+        rows = self.store.spark.createDataFrame([tuple(run.values())], kinds)
+        lines = runlog.run_lines(rows).select("line")
+        lines.write.mode("overwrite").text(f"{self.store.root}/runs/{self.job}/batch={version}")
+
     def _deliveries(self) -> str:
         return f"{self.store.root}/deliveries/{self.job}"
 

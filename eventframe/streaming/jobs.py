@@ -309,7 +309,8 @@ def roll_up(store: QueueStore, today: str, job: str = "archive") -> DataFrame:
     chosen = archive.to_archive(store.events(), first).join(batches, ["queue", "batch"], "left_semi")
     late = store.events().filter(~side).join(hint_small(batches.join(again, "queue", "left_semi")), ["queue", "batch"], "left_semi")
     chosen = chosen.select(*store.events().columns).unionByName(late.select(*store.events().columns))
-    batch = store.stage_sorted(archive.as_archive_rows(chosen), job, f"{job}-{version}-{uuid.uuid4().hex[:12]}")
+    batch = f"{job}-{version}-{uuid.uuid4().hex[:12]}"
+    store.stage_sorted(archive.as_archive_rows(chosen), job, batch)
     written = store.staged(job, batch).withColumn("queue", names.parent_of(F.col("queue")))
     manifest = work_table(archive.archive_chunks(written, "batch_ms"), "manifest")
     ends = manifest.groupBy("queue").agg(F.max("end").alias("max_eid"))
