@@ -142,14 +142,13 @@ def command_backfill(spark, sf_dir):
     inbox = f"{store.root}/inbox"
     lines = views.encoded(spark, sf_dir, foreign=False).select((F.col("pair") % 120).alias("part"), "data")
     lines.repartition(4, "part").write.partitionBy("part").text(f"{inbox}/firehose")
-    found = 0
     while jobs.discover_files(store, inbox, clock=clock):
-        found += 1
+        continue
     finish(jobs.run_load_commands(store, inbox, "loader", clock=clock))
     loaded = store.events().filter(F.col("creator") == jobs.BACKFILL_CREATOR)
     return loaded.groupBy("queue").agg(
         F.count("*").alias("records"), F.sum("write_ms").alias("write_sum")
-    ).withColumn("commands", F.lit(found).cast("bigint"))
+    ).withColumn("commands", F.lit(store.queue(files.COMMAND_QUEUE).count()).cast("bigint"))
 
 
 def ordered(spark: SparkSession, sf_dir: str) -> QueueStore:

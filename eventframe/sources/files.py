@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.times import div
+from ..operators.running import with_running_total
 from ..schemas import LOAD_COMMAND
+from . import folders
 
 # Where files land, files per command, queue of the commands.
 PREFIX = "firehose/"
 PAGE = 100
+# Characters behind the prefix by which keys are cut into runs: a day's folder of a dated layout.
+BEGIN_CHARS = 10
 COMMAND = "load"
 COMMAND_QUEUE = "commands.s3_bus_load"
 
@@ -18,12 +25,27 @@ COMMAND_QUEUE = "commands.s3_bus_load"
 MAX_PATHS = 10_000
 
 
-def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """Keys and sizes below a folder; contents are not read."""
+def listing(spark: SparkSession, folder: str, after: str = "") -> DataFrame:
+    """Keys and sizes below a folder; contents are not read, and folders whose keys all come before ``after`` are not listed."""
     root = folder.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    places = _open_places(spark, root, "", after) if after else [folder]
+    if not places:
+        return spark.createDataFrame([], "key string, bytes bigint")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(places)
     path = plain_path(F.col("path"))
-    return files.select(F.substr(path, F.lit(len(root) + 1)).alias("key"), F.col("length").alias("bytes"))
+    return files.select(F.substr(path, F.lit(len(plain_text(root)) + 1)).alias("key"), F.col("length").alias("bytes"))
+
+
+def _open_places(spark: SparkSession, root: str, below: str, after: str) -> list[str]:
+    """Files and folders that can hold keys behind ``after``; only folders on its own path are looked into."""
+    found = []
+    for name, is_folder in folders.entries(spark, f"{root}{below}"):
+        key = f"{below}{name}/" if is_folder else f"{below}{name}"
+        if is_folder and after.startswith(key):
+            found += _open_places(spark, root, key, after)
+        elif key > after and not name.startswith(("_", ".")):
+            found.append(f"{root}{below}{name}")
+    return found
 
 
 def next_files(files: DataFrame, cursor: str, prefix: str = PREFIX, limit: int = PAGE) -> DataFrame:
@@ -44,6 +66,18 @@ def load_command(page: DataFrame, bucket: str) -> DataFrame:
     return listed.select(payload.alias("payload"), F.element_at("keys", -1).alias("cursor"))
 
 
+def load_commands(files: DataFrame, bucket: str, cursor: str = "", prefix: str = PREFIX, limit: int = PAGE) -> DataFrame:
+    """All load commands for the files after the cursor: ``page, payload, cursor, files`` per page of ``limit`` files, in key order."""
+    rows = files.filter(F.col("key").startswith(prefix) & (F.col("key") > cursor)).select("key", F.lit(0).alias("_all"))
+    # Beginnings of keys order as the keys do.
+    rows = rows.withColumn("_begin", F.substring("key", 1, len(prefix) + BEGIN_CHARS))
+    numbered = with_running_total(rows, ["_all"], ["_begin"], ["key"], F.lit(1).cast("bigint"), "_n")
+    pages = numbered.groupBy(div(F.col("_n") - 1, limit).alias("page")).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    named = F.transform("keys", lambda k: F.struct(F.lit(bucket).alias("bucket"), k.alias("key")))
+    payload = F.to_json(F.struct(F.lit(COMMAND).alias("command"), named.alias("files")))
+    return pages.select("page", payload.alias("payload"), F.element_at("keys", -1).alias("cursor"), F.size("keys").cast("bigint").alias("files"))
+
+
 def command_files(commands: DataFrame) -> DataFrame:
     """One row per file of each load command, in list order."""
     columns = [c for c in commands.columns if c != "payload"]
@@ -53,6 +87,10 @@ def command_files(commands: DataFrame) -> DataFrame:
     )
 
 
+def plain_text(path: str) -> str:
+    return re.sub("^file:/+", "/", path)
+
+
 def plain_path(uri: Column) -> Column:
     return F.regexp_replace(uri, "^file:/+", "/")
 
@@ -80,12 +118,12 @@ def lines_of(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     if len(named) <= MAX_PATHS:
         texts = reader.text(sorted(named))
     else:
-        folders = [r[0] for r in wanted.select("_base").distinct().collect()]
-        listed = reader.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+        bases = [r[0] for r in wanted.select("_base").distinct().collect()]
+        listed = reader.format("binaryFile").option("recursiveFileLookup", "true").load(bases)
         missing = wanted.join(listed.select(plain_path(F.col("path")).alias("_path")), "_path", "left_anti").first()
         if missing is not None:
             raise FileNotFoundError(missing["_path"])
-        texts = reader.option("recursiveFileLookup", "true").text(folders)
+        texts = reader.option("recursiveFileLookup", "true").text(bases)
     texts = texts.select(
         F.col("value").alias("text"),
         F.col("_metadata.file_block_start").alias("block"),

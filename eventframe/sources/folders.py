@@ -31,6 +31,14 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p))
 
 
+def entries(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """Names directly below a folder, and whether each is a folder."""
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted((s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(p))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _path(spark, path)
     fs.delete(p, True)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import names, positions
 from ..operators.running import rows_to_here, with_running_total
 from ..schemas import STORED
-from ..session import hint_small
+from ..session import hint_small, work_table
 from . import folders
 from .files import lines_of
 from .records import envelopes, parsed_lines
@@ -379,38 +379,56 @@ def capped(rows: DataFrame, size: int = READ_BYTES) -> DataFrame:
     return counted.filter((F.col("_through") <= size) | (F.col("eid") == first)).select(*rows.columns)
 
 
+# Characters of a position that name its day, hour and second.
+_LEVELS = {"_day": 12, "_hour": 15, "_second": 29}
+
+
 def unread(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     """How many events each subscriber has yet to read.
 
-    Positions of subscribers are laid between those of events, and one running
-    count serves them all; no event is paired with a subscriber. Events are
-    counted per second, and only the seconds that hold a checkpoint are looked
-    at row by row. ``subscribers``: id, queue, checkpoint (null: has read nothing).
+    No event is paired with a subscriber. Events are counted by second, those by hour and
+    day; what lies before a checkpoint is the days before its own, the hours before its own
+    in that day, and so on. Each level is opened only where a checkpoint lies, down to the
+    events of its second. ``subscribers``: id, queue, checkpoint (null: has read nothing).
     """
-    marks = subscribers.select(
-        "queue", F.coalesce("checkpoint", F.lit(positions.START)).alias("eid"), F.col("id").alias("_bot"),
-        F.lit(0).cast("bigint").alias("_event"),
-    )
-    rows = events.select("queue", "eid", F.lit(None).cast("string").alias("_bot"), F.lit(1).cast("bigint").alias("_event"))
-    marks = marks.withColumn("_second", second_of(F.col("eid")))
-    both = rows.withColumn("_second", second_of(F.col("eid"))).unionByName(marks)
-    # An event at the very position of a checkpoint has been read.
-    both = both.withColumn("_after", F.col("_bot").isNotNull())
-    counted = with_running_total(
-        both, ["queue"], ["_second"], ["eid", "_after", "_bot"], F.col("_event"), "_read",
-        only=marks.select("queue", "_second").distinct(),
-    )
-    totals = events.groupBy("queue").agg(F.count("*").alias("_all"))
-    return (
-        counted.filter(F.col("_bot").isNotNull())
-        .join(totals, "queue", "left")
-        .select(
-            F.col("_bot").alias("id"), "queue", F.col("eid").alias("position"),
-            (F.coalesce("_all", F.lit(0)) - F.col("_read")).alias("unread"),
-        )
+    marks = subscribers.select("id", "queue", F.coalesce("checkpoint", F.lit(positions.START)).alias("eid"))
+    parts = {name: F.substring("eid", 1, size) for name, size in _LEVELS.items()}
+    marks = work_table(marks.withColumns(parts), "checkpoints")
+    seconds = events.withColumns(parts).groupBy("queue", *_LEVELS).agg(F.count("*").alias("_n"))
+    seconds = work_table(seconds, "seconds")
+    found, parent = marks, ["queue"]
+    for level in _LEVELS:
+        found = found.join(_before(seconds, marks, parent, level), [*parent, level], "left")
+        parent = [*parent, level]
+    # Within a second the events themselves; one at the very position of a checkpoint has been read.
+    open_seconds = marks.select(*parent).distinct()
+    rows = events.withColumns(parts).join(hint_small(open_seconds), parent, "left_semi").select(*parent, "eid")
+    rows = rows.withColumns({"id": F.lit(None).cast("string"), "_n": F.lit(1).cast("bigint"), "_mark": F.lit(False)})
+    laid = rows.unionByName(marks.select(*parent, "eid", "id").withColumns({"_n": F.lit(0).cast("bigint"), "_mark": F.lit(True)}))
+    in_order = Window.partitionBy(*parent).orderBy("eid", "_mark").rowsBetween(*rows_to_here())
+    inner = laid.withColumn("_here", F.sum("_n").over(in_order)).filter("_mark").select(*parent, "eid", "id", "_here").distinct()
+    counted = found.join(inner, [*parent, "eid", "id"])
+    totals = seconds.groupBy("queue").agg(F.sum("_n").alias("_all"))
+    read = F.col("_here")
+    for level in _LEVELS:
+        read = read + F.coalesce(f"_before{level}", F.lit(0))
+    return counted.join(totals, "queue", "left").select(
+        "id", "queue", F.col("eid").alias("position"), (F.coalesce("_all", F.lit(0)) - read).alias("unread")
     )
 
 
+def _before(seconds: DataFrame, marks: DataFrame, parent: list[str], level: str) -> DataFrame:
+    """Per distinct checkpoint key of a level: the events of its parent before it."""
+    keys = marks.select(*parent, level).distinct()
+    inside = seconds if parent == ["queue"] else seconds.join(hint_small(marks.select(*parent).distinct()), parent, "left_semi")
+    sums = inside.groupBy(*parent, level).agg(F.sum("_n").alias("_n")).withColumn("_mark", F.lit(False))
+    laid = sums.unionByName(keys.withColumns({"_n": F.lit(0).cast("bigint"), "_mark": F.lit(True)}))
+    laid = laid.groupBy(*parent, level).agg(F.sum("_n").alias("_n"), F.bool_or("_mark").alias("_mark"))
+    in_order = Window.partitionBy(*parent).orderBy(level).rowsBetween(*rows_to_here())
+    before = laid.withColumn(f"_before{level}", F.sum("_n").over(in_order) - F.col("_n"))
+    return before.filter("_mark").select(*parent, level, f"_before{level}")
+
+
 def archive_then_live(events: DataFrame, queues: DataFrame, archived: DataFrame | None = None) -> DataFrame:
     """Every queue from its beginning: archived events up to the archive end, then live ones.
 

@@ -106,25 +106,23 @@ def load_lines(
 
 
 def discover_files(store: QueueStore, folder: str, bot: str = "file-finder", clock: Callable[[], int] = now_ms) -> int:
-    """Write one load command for the next page of files below a folder; returns how many it names.
+    """Write the load commands for all new files below a folder, from one listing; returns how many files they name.
 
-    The cursor moves after the command is written, so a crash between the two
-    repeats a command and loses none.
+    The cursor moves after the commands are written, so a crash between the two
+    repeats commands and loses none.
     """
     table = store.state(f"{bot}/positions", POSITION_STATE)
     saved = table.load().select("eid").first()
     cursor = saved["eid"] if saved else ""
-    page = files.next_files(files.listing(store.spark, folder), cursor)
-    done = files.cursor_after(page, cursor)
-    named = done.first()["files"]
+    commands = work_table(files.load_commands(files.listing(store.spark, folder, cursor), folder, cursor), "commands")
+    done = commands.agg(F.max("cursor").alias("eid"), F.sum("files").alias("units"))
+    named = done.first()["units"]
     if named:
         now = clock()
-        command = files.load_command(page, folder).withColumn("part", F.lit(0))
-        write_events(store, bot, files.COMMAND_QUEUE, command.select("payload", "part"), ["part"], now)
+        write_events(store, bot, files.COMMAND_QUEUE, commands.select("payload", "page"), ["page"], now)
         version = 0 if table.version() is None else table.version() + 1
-        after = done.select(F.col("cursor").alias("eid"), F.col("files").alias("units"))
-        table.commit(position_row(after, bot, folder, now), version)
-    return named
+        table.commit(position_row(done, bot, folder, now), version)
+    return named or 0
 
 
 def run_load_commands(
