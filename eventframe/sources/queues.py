@@ -65,6 +65,19 @@ def _decoded(name: str) -> str:
     return re.sub(r"\+([0-9a-f]{6})", lambda m: chr(int(m[1], 16)), name.replace("_", "/"))
 
 
+# What a job calls its batches: its name, the version, and a token of the attempt.
+_BATCH = r"^(.*)-(\d+)-[0-9a-f]{12}$"
+
+
+def batch_job(batch: Column) -> Column:
+    """The job of a batch; a batch without one is its own."""
+    return F.when(batch.rlike(_BATCH), F.regexp_extract(batch, _BATCH, 1)).otherwise(batch)
+
+
+def batch_version(batch: Column) -> Column:
+    return F.when(batch.rlike(_BATCH), F.regexp_extract(batch, _BATCH, 2).try_cast("bigint")).otherwise(F.lit(0)).cast("bigint")
+
+
 class QueueStore:
     """A folder holding events, state tables and stream checkpoints.
 
@@ -186,6 +199,17 @@ class QueueStore:
                     return [f for f in seen if f.first <= file.last]
         return seen
 
+    def batches(self) -> list[tuple[str, str]]:
+        """Live queues and their batches, from the names of folders."""
+        found = set()
+        for folder in folders.children(self.spark, self.events_path):
+            queue = unquote(folder.removeprefix("queue="))
+            if folder.startswith("queue=") and not queue.endswith((names.ARCHIVE_SUFFIX, names.SNAPSHOT_SUFFIX)):
+                for day in self.days(queue):
+                    parts = folders.children(self.spark, f"{self.events_path}/{folder}/date={day}")
+                    found |= {(queue, unquote(p.removeprefix("batch="))) for p in parts if p.startswith("batch=")}
+        return sorted(found)
+
     def manifest(self, queue: str) -> DataFrame:
         """The chunks of a queue: where each begins and ends, its events, bytes and batch. No file is opened."""
         self.recover()
@@ -432,20 +456,22 @@ def _before(seconds: DataFrame, marks: DataFrame, parent: list[str], level: str)
 def archive_then_live(events: DataFrame, queues: DataFrame, archived: DataFrame | None = None) -> DataFrame:
     """Every queue from its beginning: archived events up to the archive end, then live ones.
 
-    ``archived`` (queue, batch) names the batches that are in the archive. Queues that it
-    knows keep the live events of all other batches, also those that were written behind the
-    archive end; of other queues the live events past the end are kept.
+    ``archived`` (queue, job, version) tells up to which version each job's batches of a queue
+    are in the archive. Queues that it knows keep the live events of all other batches, also
+    those that were written behind the archive end; of other queues the live events past the
+    end are kept.
     """
     ends = hint_small(queues.select("queue", F.coalesce("archive_end", F.lit(positions.START)).alias("_end")))
     live = events.filter(~names.is_archive(F.col("queue")) & ~names.is_snapshot(F.col("queue")))
     live = live.join(ends, "queue", "left")
     keep = F.col("_end").isNull() | (F.col("eid") > F.col("_end"))
     if archived is not None:
-        done = archived.select("queue", "batch").distinct()
-        known = done.select("queue").distinct().withColumn("_known", F.lit(True))
+        known = archived.select("queue").distinct().withColumn("_known", F.lit(True))
+        live = live.withColumns({"_job": batch_job(F.col("batch")), "_version": batch_version(F.col("batch"))})
         live = live.join(hint_small(known), "queue", "left")
-        live = live.join(hint_small(done.withColumn("_done", F.lit(True))), ["queue", "batch"], "left")
-        keep = F.when(F.col("_known"), F.col("_done").isNull()).otherwise(keep)
+        upto = archived.select("queue", F.col("job").alias("_job"), F.col("version").alias("_upto"))
+        live = live.join(hint_small(upto), ["queue", "_job"], "left")
+        keep = F.when(F.col("_known"), F.coalesce(F.col("_version") > F.col("_upto"), F.lit(True))).otherwise(keep)
     live = live.filter(keep).select(*events.columns, "_end")
     old = events.filter(names.is_archive(F.col("queue"))).withColumn("queue", names.parent_of(F.col("queue")))
     old = old.join(ends, "queue").filter(F.col("eid") <= F.col("_end"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -23,11 +24,14 @@ from ..sources import changes as feed
 from ..sources import files, folders
 from ..sources import records as rec
 from ..sources.files import PAGE, plain_path
-from ..sources.queues import QueueStore, archive_then_live, expand_chunks, second_of
+from ..sources.queues import QueueStore, archive_then_live, batch_job, batch_version, expand_chunks, second_of
 from .appending import Appender, Batch, bot_clock, bot_rows, queue_states, write_events
 from .ingest import now_ms
 
-BATCH_STATE = T.StructType([T.StructField("queue", T.StringType()), T.StructField("batch", T.StringType())])
+# Up to which version of each job a queue's batches are archived.
+BATCH_STATE = T.StructType([
+    T.StructField("queue", T.StringType()), T.StructField("job", T.StringType()), T.StructField("version", T.LongType()),
+])
 
 # Who marks backfilled events, and the queue of monitoring facts.
 BACKFILL_CREATOR = "firehose"
@@ -286,39 +290,60 @@ def trigger_bots(
     return start_batches(store, change_rows, job, work, **trigger)
 
 
-def roll_up(store: QueueStore, today: str, job: str = "archive") -> DataFrame:
-    """Archive all candidate queues at once; returns the manifest of what was archived.
+def roll_up(store: QueueStore, today: str, job: str = "archive", seconds: float | None = None, queues: int = 100) -> DataFrame:
+    """Archive the candidate queues; returns the manifest of what was archived.
 
-    Events past each queue's archive end are written, range-sorted, to its
-    archive queue; then the archive ends move. The batches that were archived are
-    remembered: what another writer later adds behind the end is archived next time.
+    Events past each queue's archive end are written, in order, to its archive queue; archive
+    ends and what was archived change in the same commit. What another writer later adds
+    behind the end is archived next time. With ``seconds`` the stalest ``queues`` queues are
+    taken at a time, each time in a commit of its own, and no more once half of the time is
+    over: a run that stops, or dies, goes on with the rest next time.
     """
-    state = store.job(job)
-    states, head = queue_states(store), state.head()
+    if seconds is None:
+        return _roll_up(store, today, job, None)
+    began, manifest = time.monotonic(), _roll_up(store, today, job, queues)
+    while time.monotonic() - began < seconds / 2:
+        more = _roll_up(store, today, job, queues)
+        if more.isEmpty():
+            break
+        manifest = manifest.unionByName(more)
+    return manifest
+
+
+def _roll_up(store: QueueStore, today: str, job: str, most: int | None) -> DataFrame:
+    store.recover()
+    spark, state, head = store.spark, store.job(job), store.job(job).head()
     version = 0 if head is None else head.version + 1
     done = state.load("batches", BATCH_STATE, head)
+    # Queue and batch are names of folders: no file is opened to find the new batches.
+    found = spark.createDataFrame(store.batches(), "queue string, batch string")
+    fresh = found.withColumns({"job": batch_job(F.col("batch")), "version": batch_version(F.col("batch"))})
+    upto = done.select("queue", "job", F.col("version").alias("_upto"))
+    fresh = fresh.join(upto, ["queue", "job"], "left").filter(F.col("_upto").isNull() | (F.col("version") > F.col("_upto")))
+    fresh = work_table(fresh.drop("_upto"), "batches")
     known = done.select("queue").distinct()
-    side = names.is_archive(F.col("queue")) | names.is_snapshot(F.col("queue"))
-    # Queue and batch are folders: no event is read to find the new batches.
-    batches = store.events().filter(~side).select("queue", "batch").distinct().join(done, ["queue", "batch"], "left_anti")
-    batches = work_table(batches, "batches")
-    first = archive.archive_candidates(states, today).join(known, "queue", "left_anti")
-    again = archive.open_queues(states, today).select("queue").join(known, "queue", "left_semi")
-    chosen = archive.to_archive(store.events(), first).join(batches, ["queue", "batch"], "left_semi")
-    late = store.events().filter(~side).join(hint_small(batches.join(again, "queue", "left_semi")), ["queue", "batch"], "left_semi")
-    chosen = chosen.select(*store.events().columns).unionByName(late.select(*store.events().columns))
+    states = queue_states(store)
+    first = archive.archive_candidates(states, today).join(known, "queue", "left_anti").select("queue", "archive_end", "max_eid")
+    again = archive.open_queues(states, today).join(known, "queue", "left_semi").join(fresh, "queue", "left_semi")
+    taken = first.withColumn("late", F.lit(False)).unionByName(again.select(*first.columns).withColumn("late", F.lit(True)))
+    taken = work_table(taken if most is None else taken.orderBy("archive_end", "queue").limit(most), "archived-queues")
+    batches = fresh.join(taken.select("queue"), "queue", "left_semi")
+    events, columns = store.events(), [f.name for f in STORED]
+    new = archive.to_archive(events, taken.filter(~F.col("late")).drop("late")).join(hint_small(batches.select("queue", "batch")), ["queue", "batch"], "left_semi")
+    late = events.join(hint_small(batches.join(taken.filter("late"), "queue", "left_semi").select("queue", "batch")), ["queue", "batch"], "left_semi")
     batch = f"{job}-{version}-{uuid.uuid4().hex[:12]}"
-    store.stage_sorted(archive.as_archive_rows(chosen), job, batch)
+    store.stage_sorted(archive.as_archive_rows(new.select(*columns).unionByName(late.select(*columns))), job, batch)
     written = store.staged(job, batch).withColumn("queue", names.parent_of(F.col("queue")))
     manifest = work_table(archive.archive_chunks(written, "batch_ms"), "manifest")
     ends = manifest.groupBy("queue").agg(F.max("end").alias("max_eid"))
     parents = ends.select(names.parent_of(F.col("queue")).alias("queue"), F.col("max_eid").alias("archive_end"))
     rows = ends.withColumn("v", F.lit(ROW_VERSION)).unionByName(parents, allowMissingColumns=True)
     marks = merges.upsert(state.load("queues", QUEUE_STATE, head), rows, ["queue"], highest=("max_eid", "archive_end"))
-    taken = batches.join(first.select("queue").union(again), "queue", "left_semi")
+    # A row per queue and job: versions of a job become visible in order.
+    memory = done.unionByName(batches.select("queue", "job", "version")).groupBy("queue", "job").agg(F.max("version").alias("version"))
     tables = {
         "queues": state.stage("queues", QUEUE_STATE, marks, version),
-        "batches": state.stage("batches", BATCH_STATE, done.unionByName(taken), version),
+        "batches": state.stage("batches", BATCH_STATE, memory, version),
     }
     state.commit(version, tables, head, batch)
     store.publish(job, batch)

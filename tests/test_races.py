@@ -367,3 +367,31 @@ def test_the_memory_of_many_batches_stays_small(spark):
         own = intervals.of_records(sequences(spark, rows[part::4]))
         memory = own if memory is None else intervals.intervals(memory.unionByName(own))
     assert memory.count() == 12
+
+
+def test_an_archive_that_stops_at_its_time_goes_on_next_time(spark, store):
+    for queue in "abcde":
+        write_events(store, "bot", queue, numbers(spark, 3, ord(queue)), ["k"], NOW)
+    done = [{r["queue"] for r in jobs.roll_up(store, "z/2024/03/01", seconds=0, queues=2).collect()} for _ in range(4)]
+    assert [len(x) for x in done] == [2, 2, 1, 0] and done[0] == {"a/_archive", "b/_archive"}
+    write_events(store, "late", "b", numbers(spark, 2, 500), ["k"], NOW - 60_000)
+    assert {r["queue"] for r in jobs.roll_up(store, "z/2024/03/01", seconds=300).collect()} == {"b/_archive"}
+    rows = jobs.whole_history(store).groupBy("part", "queue").count().collect()
+    assert {(r["part"], r["queue"], r["count"]) for r in rows} == {("archive", q, 5 if q == "b" else 3) for q in "abcde"}
+    # Two rows for the queue with two writers, however many batches there were.
+    write_events(store, "late", "b", numbers(spark, 2, 600), ["k"], NOW - 50_000)
+    jobs.roll_up(store, "z/2024/03/01")
+    assert store.state("archive/batches", jobs.BATCH_STATE).load().count() == 6
+
+
+def test_folders_before_the_cursor_are_not_listed(spark, monkeypatch):
+    root = work_dir(spark, "listed")
+    for day in ("01", "02", "03"):
+        spark.createDataFrame([(day,)], "t string").coalesce(1).write.text(f"{root}/firehose/2024/{day}")
+    every = sorted(r["key"] for r in files.listing(spark, root).collect())
+    looked, entries = [], folders.entries
+    monkeypatch.setattr(folders, "entries", lambda session, path: looked.append(path) or entries(session, path))
+    cursor = next(k for k in every if "/02/" in k and k.endswith(".txt"))
+    assert sorted(r["key"] for r in files.listing(spark, root, cursor).collect()) == [k for k in every if k > cursor]
+    assert not any("/01" in p or "/03" in p for p in looked)
+    assert files.listing(spark, root, "z").count() == 0
