@@ -24,6 +24,8 @@ from .views import NOW_MS, table
 
 # Time given to the drain that is bounded; all other runs wait for their end.
 DRAIN_SECONDS = 86_400.0
+# Rows of one file of a job's input.
+FILE_ROWS = 500_000
 
 
 def clock() -> int:
@@ -34,12 +36,17 @@ def finish(stream) -> None:
     stream.awaitTermination()
 
 
+def file_count(spark: SparkSession, sf_dir: str, name: str, least: int) -> int:
+    """Input files for a table's rows: ``least`` of them, and more once they would be large."""
+    return max(least, table(spark, sf_dir, name).count() // FILE_ROWS)
+
+
 def ingested(spark: SparkSession, sf_dir: str) -> QueueStore:
     """All events as encoded records, ingested as a stream in several micro-batches."""
     store = QueueStore(spark, work_dir(spark, "ingest"))
     arrivals = f"{store.root}/arrivals"
     records = views.encoded(spark, sf_dir, foreign=False).drop("pair")
-    records.repartitionByRange(6, "arrival_ms").write.json(arrivals)
+    records.repartitionByRange(file_count(spark, sf_dir, "events", 6), "arrival_ms").write.json(arrivals)
     finish(Ingest(store, clock=clock).start(rec.stream_records(spark, arrivals, max_files=3)))
     return store
 
@@ -124,7 +131,7 @@ def file_backfill(spark, sf_dir):
     store = QueueStore(spark, work_dir(spark, "backfill"))
     folder = f"{store.root}/firehose"
     lines = views.encoded(spark, sf_dir).select(div(F.col("pair"), 20_000).alias("part"), "data")
-    lines.repartition(4).write.partitionBy("part").text(folder)
+    lines.repartition(file_count(spark, sf_dir, "events", 4)).write.partitionBy("part").text(folder)
     finish(jobs.backfill(store, jobs.stream_file_lines(spark, folder), "loader", clock=clock))
     return store.events().groupBy("queue", "creator").agg(
         F.count("*").alias("records"), F.sum("write_ms").alias("write_sum"), F.count("payload").alias("payloads")
@@ -141,7 +148,7 @@ def command_backfill(spark, sf_dir):
     store = QueueStore(spark, work_dir(spark, "commands"))
     inbox = f"{store.root}/inbox"
     lines = views.encoded(spark, sf_dir, foreign=False).select((F.col("pair") % 120).alias("part"), "data")
-    lines.repartition(4, "part").write.partitionBy("part").text(f"{inbox}/firehose")
+    lines.repartition(file_count(spark, sf_dir, "events", 4), "part").write.partitionBy("part").text(f"{inbox}/firehose")
     while jobs.discover_files(store, inbox, clock=clock):
         continue
     finish(jobs.run_load_commands(store, inbox, "loader", clock=clock))
@@ -206,7 +213,7 @@ def monitor_job(spark, sf_dir):
     """Change records streamed into the monitor queue."""
     store = QueueStore(spark, work_dir(spark, "monitor"))
     arrivals = f"{store.root}/changes"
-    change_records(spark, sf_dir).repartition(4).write.json(arrivals)
+    change_records(spark, sf_dir).repartition(file_count(spark, sf_dir, "events", 4)).write.json(arrivals)
     finish(jobs.watch_bots(store, feed.stream_changes(spark, arrivals, max_files=2), "bot-7", clock=clock))
     kind = (
         "id string, type string, ts bigint, start bigint, is_error boolean, `from` string, `to` string, "
@@ -223,7 +230,7 @@ def trigger_job(spark, sf_dir):
     store = QueueStore(spark, work_dir(spark, "triggers"))
     arrivals = f"{store.root}/changes"
     records = queue_change_records(spark, sf_dir)
-    records.repartitionByRange(2, "dynamodb.SequenceNumber").sortWithinPartitions("dynamodb.SequenceNumber").write.json(arrivals)
+    records.repartitionByRange(file_count(spark, sf_dir, "events", 2), "dynamodb.SequenceNumber").sortWithinPartitions("dynamodb.SequenceNumber").write.json(arrivals)
     stream = feed.stream_changes(spark, arrivals, max_files=100)
     finish(jobs.trigger_bots(store, stream, lambda: views.bots(spark, sf_dir), clock=clock))
     requests = store.state("triggers/requests", REQUEST_STATE).load()
