@@ -8,9 +8,9 @@ Two machines, both run over numpy arrays:
   state), the maps compose in a parallel prefix scan, and a last pass with the
   then known entry states writes the marks.
 * ``Transducer``: the merge list as a deterministic transducer over bytes whose
-  transitions emit tokens. Its states are determinised when first met, and the
-  tables are dropped and begun anew beyond a bound, so memory does not grow
-  with the text.
+  transitions emit tokens. Its states are determinised when first met. Beyond a
+  bound those that several slices of text have met are kept and the others
+  dropped, so memory does not grow with the text.
 
 The transducer rests on two properties of a merge list in which a rule comes
 after the rules that make its two parts (checked when it is compiled):
@@ -185,8 +185,11 @@ class Transducer:
         self.out_ids: dict[tuple[int, ...], int] = {(): 0}
         self.out_list: list[tuple[int, ...]] = [()]
         self.rest = np.zeros(1024, np.int32)
+        # whether the slice at hand has met a state, and how many slices have
+        self.met = np.zeros(1024, bool)
+        self.visits = np.zeros(1024, np.int32)
         self.cells = Cells()
-        self._outs_changed = True
+        self._counts, self.flat = np.empty(0, np.int64), np.empty(0, np.int32)
         self._state(-1, ((0, ()),))
 
     def _out(self, tokens: tuple[int, ...]) -> int:
@@ -194,29 +197,26 @@ class Transducer:
         if known is None:
             known = self.out_ids[tokens] = len(self.out_ids)
             self.out_list.append(tokens)
-            self._outs_changed = True
         return known
 
     def _state(self, before: int, starts: Sequence[tuple[int, tuple[int, ...]]]) -> int:
-        packed = array("i", [before])
+        packed = [before]
         for node, tokens in starts:
-            packed.append(node)
-            packed.append(len(tokens))
-            packed.extend(tokens)
-        config = packed.tobytes()
+            packed += (node, len(tokens), *tokens)
+        config = array("i", packed).tobytes()
         known = self.states.get(config)
         if known is None:
             known = self.states[config] = len(self.configs)
             self.configs.append(config)
             if known == len(self.rest):
-                self.rest = np.concatenate([self.rest, np.zeros(known, np.int32)])
+                self.rest, self.met, self.visits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rest, self.met, self.visits))
             self.rest[known] = self._out(starts[-1][1])
         return known
 
     def _starts(self, state: int) -> tuple[int, list[tuple[int, tuple[int, ...]]]]:
-        packed = array("i", self.configs[state])
-        starts, at = [], 1
-        while at < len(packed):
+        packed = array("i", self.configs[state]).tolist()
+        starts, at, size = [], 1, len(packed)
+        while at < size:
             end = at + 2 + packed[at + 1]
             starts.append((packed[at], tuple(packed[at + 2 : end])))
             at = end
@@ -265,22 +265,46 @@ class Transducer:
         return self.out_list[self.rest[state]]
 
     def fresh(self, state: int) -> int:
-        """The same state, after the tables have been dropped if they are over the bound."""
+        """The same state, after the rare ones have been dropped if the tables are over the bound."""
         if len(self.configs) <= self.bound:
             return state
         config = self._starts(state)
+        self._drop()
+        return self._state(*config)
+
+    def _drop(self) -> None:
+        """Keep the states that at least two slices have met, at most three quarters of the bound, and what lies between them."""
         self.drops += 1
+        many = len(self.configs)
+        visits, configs, outs, cells, rest = self.visits[:many], self.configs, self.out_list, self.cells, self.rest[:many]
+        order = np.argsort(-visits, kind="stable")[: self.bound * 3 // 4]
+        keep = np.zeros(many, bool)
+        keep[order[visits[order] > 1]] = True
+        keep[self.START] = True
+        kept = np.flatnonzero(keep)
+        number = np.cumsum(keep) - 1
+        used = np.flatnonzero(cells.keys >= 0)
+        used = used[keep[cells.keys[used] >> 8] & keep[cells.target[used]]]
+        keys, target, out = cells.keys[used], cells.target[used], cells.out[used]
+        told = np.unique(np.concatenate([[0], out, rest[kept]]))
         self._begin()
-        return self._state(*config)
+        self.configs = [configs[n] for n in kept.tolist()]
+        self.states = {config: n for n, config in enumerate(self.configs)}
+        self.out_list = [outs[n] for n in told.tolist()]
+        self.out_ids = {tokens: n for n, tokens in enumerate(self.out_list)}
+        size = max(1024, 2 * len(kept))
+        self.rest, self.met, self.visits = np.zeros(size, np.int32), np.zeros(size, bool), np.zeros(size, np.int32)
+        self.rest[: len(kept)] = np.searchsorted(told, rest[kept])
+        self.visits[: len(kept)] = visits[kept] // 2  # what is no longer met goes in time
+        self.cells.fill(number[keys >> 8] << 8 | keys & 255, number[target], np.searchsorted(told, out))
 
     def outputs(self) -> tuple[np.ndarray, np.ndarray]:
         """Token counts of all outputs, and where each one's tokens begin in ``flat``."""
-        if self._outs_changed:
-            outs = self.out_list
-            self._counts = np.array([len(x) for x in outs], np.int64)
+        new = self.out_list[len(self._counts) :]
+        if new:
+            self._counts = np.concatenate([self._counts, np.array([len(x) for x in new], np.int64)])
             self._begins = np.cumsum(self._counts) - self._counts
-            self.flat = np.array([t for x in outs for t in x], np.int32)
-            self._outs_changed = False
+            self.flat = np.concatenate([self.flat, np.array([t for x in new for t in x], np.int32)])
         return self._counts, self._begins
 
     def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -290,8 +314,7 @@ class Transducer:
         are met for the first time are compiled between two steps.
         """
         if len(self.configs) > self.bound:
-            self.drops += 1
-            self._begin()
+            self._drop()
         longest = int(lengths.max())
         order = np.argsort((longest - lengths).astype(np.uint16 if longest < 1 << 16 else np.int64), kind="stable")
         at, left = starts[order], lengths[order]
@@ -314,6 +337,9 @@ class Transducer:
                 cell = self.cells.find(key)  # all, as the table may have grown
             written[to[:k] + j] = self.cells.out[cell]
             state[:k] = self.cells.target[cell]
+            self.met[state[:k]] = True
+        self.visits += self.met
+        self.met[:] = False
         written[to + left] = self.rest[state]
         return written
 
@@ -348,19 +374,27 @@ class Cells:
     def add(self, key: int, target: int, out: int) -> None:
         if 2 * self.count >= len(self.keys):
             used = np.flatnonzero(self.keys >= 0)
-            known = self.keys[used].tolist(), self.target[used].tolist(), self.out[used].tolist()
-            self._make(self.bits + 1)
-            for move in zip(*known):
-                self._put(*move)
-        self._put(key, target, out)
-
-    def _put(self, key: int, target: int, out: int) -> None:
+            self.fill(self.keys[used], self.target[used], self.out[used])
         at, last = self._home(key), len(self.keys) - 1
         while self.keys[at] >= 0:
             at = at + 1 & last
         self.keys[at], self.target[at], self.out[at] = key, target, out
         self.count += 1
 
+    def fill(self, keys: np.ndarray, target: np.ndarray, out: np.ndarray) -> None:
+        """Hold these different transitions only, at most a quarter full."""
+        self._make(max(16, int(4 * len(keys)).bit_length()))
+        self.count = len(keys)
+        at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(keys))
+        while left.size:
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]  # of several at one place one stays
+            won = free[self.keys[at[free]] == keys[free]]
+            self.target[at[won]], self.out[at[won]] = target[won], out[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            at[left] = at[left] + 1 & len(self.keys) - 1
+
     def get(self, key: int) -> tuple[int, int] | None:
         """Target and output of one transition."""
         at, last = self._home(key), len(self.keys) - 1
