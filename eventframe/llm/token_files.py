@@ -144,19 +144,24 @@ def _written(folder: str, size: int, length: int, records: int, kind: str, fille
         first, count = shard * records, min(records, size - shard * records)
         body = np.full((count, length), filler, kind)
         unpack = zstandard.ZstdDecompressor()
-        places = [np.frombuffer(slots, np.int64) - first for slots in pieces.column("slots").to_pylist()]
-        for at, tokens in zip(places, pieces.column("tokens").to_pylist()):
-            body[at] = np.frombuffer(unpack.decompress(tokens), kind).reshape(-1, length)
+        places, parts, held = [], [], []
+        for many, packed in zip(pieces.column("many").to_pylist(), pieces.column("packed").to_pylist()):
+            data = unpack.decompress(packed)
+            steps, part, n_tokens = np.frombuffer(data, np.int32, 3 * many).reshape(3, many)
+            places.append(np.cumsum(steps))
+            parts.append(part)
+            held.append(n_tokens)
+            body[places[-1]] = np.frombuffer(data, kind, offset=12 * many).reshape(-1, length)
         system, root = fs.FileSystem.from_uri(folder)
         # a repeated attempt writes the same bytes; only whole files get the final name
         part = f"{root}/.{name_of(shard)}.{TaskContext.get().taskAttemptId()}"
         with system.open_output_stream(part) as file:
             file.write(body.tobytes())
         system.move(part, f"{root}/{name_of(shard)}")
-        order = pa.array(np.argsort(np.concatenate(places)))
-        flat = [pa.chunked_array([pieces.column(n).combine_chunks().flatten()]).take(order) for n in ("ids", "parts", "held")]
-        at = np.arange(count)
-        return pa.table([pa.array(first + at), pa.array(np.full(count, shard)), pa.array(at * body.strides[0]), *flat], names)
+        order = np.argsort(np.concatenate(places))
+        ids = pa.chunked_array([pieces.column("ids").combine_chunks().flatten()]).take(pa.array(order))
+        parts, held = (pa.array(np.concatenate(x)[order]) for x in (parts, held))
+        return pa.table([pa.array(first + np.arange(count)), ids, parts, held], names)
 
     return of
 
@@ -216,25 +221,27 @@ def materialise(
             shards, begins = np.unique(slots[order] // records, return_index=True)
             groups = np.split(order, begins[1:])
             ends = pa.array([0, *np.cumsum([len(g) for g in groups]).tolist()], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, values.take(pa.array(order))) for values in (
-                batch.column("id").take(pa.array(row)), pa.array(part.astype(np.int32)), pa.array(held))]
+            ids = pa.ListArray.from_arrays(ends, batch.column("id").take(pa.array(row[order])))
+            # places as steps, parts, tokens held and the records: columns that compress well, packed together
+            packed = [
+                pack.compress(np.stack([np.diff(slots[g] - s * records, prepend=0), part[g], held[g]]).astype(np.int32).tobytes() + body[g].tobytes())
+                for s, g in zip(shards.tolist(), groups)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shards, pa.int64()), pa.array([slots[g].tobytes() for g in groups], pa.binary()),
-                 pa.array([pack.compress(body[g].tobytes()) for g in groups], pa.binary()), *lists],
-                ["shard", "slots", "tokens", "ids", "parts", "held"],
+                [pa.array(shards, pa.int64()), pa.array([len(g) for g in groups], pa.int64()), pa.array(packed, pa.binary()), ids], piece_schema.names
             )
 
     id_type = rows.schema["id"].dataType
-    piece_schema = StructType([*StructType.fromDDL("shard long, slots binary, tokens binary").fields, StructField("ids", ArrayType(id_type)),
-                               *StructType.fromDDL("parts array<int>, held array<int>").fields])
-    row_schema = StructType([*StructType.fromDDL("slot long, shard long, offset long").fields, StructField(id_col, id_type),
-                             *StructType.fromDDL("part int, n_tokens int").fields])
+    piece_schema = StructType([*StructType.fromDDL("shard long, many long, packed binary").fields, StructField("ids", ArrayType(id_type))])
+    row_schema = StructType([*StructType.fromDDL("slot long").fields, StructField(id_col, id_type), *StructType.fromDDL("part int, n_tokens int").fields])
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
     dealt = rows.select("task", "first", "id", "count", "tokens").mapInArrow(pieces, piece_schema)
     write = _written(folder, size, length, records, kind, filler, row_schema.names)
-    written = work_table(dealt.groupBy("shard").applyInArrow(write, row_schema), "token-sequences")
+    written = work_table(dealt.groupBy("shard").applyInArrow(write, row_schema), "token-sequences", compression="zstd")
+    shard, stride = F.expr(f"slot div {records}"), length * np.dtype(kind).itemsize
+    written = written.select("slot", shard.alias("shard"), (F.col("slot") % records * stride).alias("offset"), id_col, "part", "n_tokens")
     shards = written.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("records"))
     return Output(folder, size, length, records, kind, shards, written)
 
