@@ -60,9 +60,11 @@ def test_overfull_ranges_are_subdivided(spark):
     rows = [(i, "hot", "s") for i in range(4000)] + [(i, f"cold {i}", "s") for i in range(400)]
     records = sharding._records(docs_of(spark, rows), "doc_id", "text").withColumn("bytes", F.col("size") * F.col("n"))
     total = records.agg(F.sum("bytes")).first()[0]
-    bounds, found = sharding.splitters(records, total, 64, draws=2)
-    assert bounds == sorted(set(bounds)) and sum(r.rows for r in found) == len(rows)
-    assert max(r.bytes for r in found) <= 2 * total / 64
+    numbered, ranges = sharding.ranged(records, total, 64, draws=2)
+    found = ranges.orderBy("group", "range").collect()
+    assert all(a.high < b.low for a, b in zip(found, found[1:])) and sum(r.rows for r in found) == len(rows)
+    assert max(r.bytes for r in found) <= 2 * total / 64 and len({r.group for r in found}) > 4
+    assert numbered.groupBy("group", "range").count().count() == len(found)
 
 
 def test_lines(spark):
