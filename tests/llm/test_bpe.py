@@ -59,6 +59,20 @@ def test_small_tables_and_stream_give_the_same(texts, library):
     assert [[n for block in encoder.stream(t) for n in block] for t in some] == wanted
 
 
+def test_states_of_frequent_words_outlive_a_drop(monkeypatch, library):
+    encoder = bpe_machine.Encoder(PATH)
+    machine, rnd, common = encoder.machine, random.Random(5), "some words of every text"
+    machine.bound = 400
+    for n in range(120):
+        text = f"{common} {''.join(rnd.choices('abcdefghij', k=9))}"
+        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert machine.drops > 1
+    machine._drop()
+    assert len(machine.configs) <= 300 and machine.cells.count <= len(machine.configs) * 4
+    monkeypatch.setattr(machine, "_compile", None)  # nothing is left to compile
+    assert encoder.encode([common])[0].tolist() == library.encode(common, add_special_tokens=False).ids
+
+
 def test_unstable_bytes_stay_within_the_lookahead(texts):
     encoder = bpe_machine.Encoder(PATH)
     encoder.encode(texts)
