@@ -21,7 +21,7 @@ BEGIN_CHARS = 10
 COMMAND = "load"
 COMMAND_QUEUE = "commands.s3_bus_load"
 
-# Paths handed to a reader by name; beyond it the folder is read and joined.
+# Paths handed to a reader by name; beyond it the folders that hold the files are read and joined.
 MAX_PATHS = 10_000
 
 
@@ -95,6 +95,19 @@ def plain_path(uri: Column) -> Column:
     return F.regexp_replace(uri, "^file:/+", "/")
 
 
+def _holding(wanted: DataFrame) -> list[str]:
+    """Folders below which all wanted files lie, none inside another: their own ones, or the bases where those are too many."""
+    parent = F.regexp_replace("_path", "/[^/]*$", "")
+    found = [r[0] for r in wanted.select(parent.alias("place")).distinct().limit(MAX_PATHS + 1).collect()]
+    if len(found) > MAX_PATHS:
+        found = [r[0] for r in wanted.select("_base").distinct().collect()]
+    places: list[str] = []
+    for place in sorted(found, key=lambda p: f"{p}/"):
+        if not places or not place.startswith(f"{places[-1]}/"):
+            places.append(place)
+    return places
+
+
 def lines_of(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     """Text lines of the files in ``files`` (column ``key`` below ``root``), with its columns.
 
@@ -102,8 +115,8 @@ def lines_of(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
 
     A file whose ``bucket`` is a path or address lies below it instead. Files that are
     not there raise an error, however many are named: up to ``MAX_PATHS`` names go to the
-    reader, so it opens nothing else; more names stay in the cluster, where their folders
-    are listed, compared and read by join.
+    reader, so it opens nothing else; more names stay in the cluster, where the folders that
+    hold them are listed, compared and read by join.
     """
     base = F.lit(root.rstrip("/"))
     if "bucket" in files.columns:
@@ -118,12 +131,12 @@ def lines_of(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     if len(named) <= MAX_PATHS:
         texts = reader.text(sorted(named))
     else:
-        bases = [r[0] for r in wanted.select("_base").distinct().collect()]
-        listed = reader.format("binaryFile").option("recursiveFileLookup", "true").load(bases)
+        places = _holding(wanted)
+        listed = reader.format("binaryFile").option("recursiveFileLookup", "true").load(places)
         missing = wanted.join(listed.select(plain_path(F.col("path")).alias("_path")), "_path", "left_anti").first()
         if missing is not None:
             raise FileNotFoundError(missing["_path"])
-        texts = reader.option("recursiveFileLookup", "true").text(bases)
+        texts = reader.option("recursiveFileLookup", "true").text(places)
     texts = texts.select(
         F.col("value").alias("text"),
         F.col("_metadata.file_block_start").alias("block"),

@@ -252,6 +252,23 @@ def test_a_missing_file_is_an_error_and_buckets_count(spark, monkeypatch, bound)
         files.lines_of(spark, gone, here).collect()
 
 
+@pytest.mark.parametrize("bound", [10_000, 4, 1])
+def test_only_folders_of_named_files_are_read(spark, monkeypatch, bound):
+    monkeypatch.setattr(files, "MAX_PATHS", bound)
+    root, days = work_dir(spark, "inbox"), ["d1", "d1/h1", "d1-x", "d2", "d3/h1"]
+    for day in days:
+        for x in "ab":
+            spark.createDataFrame([(f"{day} {x}",)], "t string").coalesce(1).write.mode("append").text(f"{root}/{day}")
+    keys = files.listing(spark, root).filter("key like '%.txt'").filter("key like 'd1%' or key like 'd3%'").select("key")
+    read = []
+    holding = files._holding
+    monkeypatch.setattr(files, "_holding", lambda wanted: read.extend(holding(wanted)) or read)
+    lines = files.lines_of(spark, keys, root).collect()
+    assert sorted(r["text"] for r in lines) == sorted(f"{d} {x}" for d in days if d != "d2" for x in "ab")
+    # eight names in four folders, one of them inside another
+    assert read == {10_000: [], 4: [f"{root}/{d}" for d in ("d1-x", "d1", "d3/h1")], 1: [root]}[bound]
+
+
 def test_events_behind_the_archive_end_stay_in_the_history(spark, store):
     write_events(store, "bot", "q", numbers(spark, 3), ["k"], NOW)
     jobs.roll_up(store, "z/2024/03/01")
