@@ -357,8 +357,8 @@ def leaks(
     """``id_col, item_col, edits, similarity``: the items that each document holds.
 
     An item is held if some part of the document's words is within ``1 - similarity`` of its
-    words in edits (similarity is 1 - edits / words); items of fewer than eight words only
-    unchanged. Words are runs of letters, digits and underscores in lower case. A document
+    words in edits (similarity is 1 - edits / words); items that this allows no edit, at 0.8
+    those of fewer than five words, only unchanged. Words are runs of letters, digits and underscores in lower case. A document
     and item give one row, with the least edits seen, for each row of the document. Null,
     empty and wordless texts and items hold nothing and are held by nothing; repeated rows,
     ids and items give a row each; null ids stay null; other columns are not read.
