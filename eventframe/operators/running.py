@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import div
-from ..session import hint_small
+from ..session import hint_small, work_table
 
 BUCKET_ROWS = 1 << 20
+RANGE = "_range"
 
 
 def rows_before() -> tuple:
@@ -89,3 +90,14 @@ def with_previous(df: DataFrame, group: list[str], bucket: list[str], order: lis
         .withColumn(name, F.when(F.col("_row") == 1, F.col(f"_entering.{value}")).otherwise(F.lag(value).over(inside)))
         .drop("_row", "_entering")
     )
+
+
+def in_ranges(rows: DataFrame, order: list[str], count: int = 0) -> DataFrame:
+    """Rows with the number of the range of ``order`` they lie in, written once so that it stays.
+
+    Rows that are equal in ``order`` share a range, and ranges follow each other. Where the
+    ``count`` of the rows is known, ranges hold a quarter of a bucket at most, as far as the
+    sample tells.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * 4 // BUCKET_ROWS)
+    return work_table(rows.repartitionByRange(parts, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")

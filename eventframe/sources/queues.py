@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names, positions
-from ..operators.running import rows_to_here, with_running_total
+from ..operators.running import RANGE, in_ranges, rows_to_here
 from ..schemas import STORED
 from ..session import hint_small, work_table
 from . import folders
@@ -23,6 +23,9 @@ from .state import JobState, StateTable
 # Fixed value: bytes of one read unless the caller says otherwise.
 READ_BYTES = 1024 * 1024
 
+# Up to so many events one task finds the first ones; more are cut by ranges.
+SMALL_PAGE = 10_000
+
 # Columns of the files below one queue's folder.
 _FOLDER = T.StructType([f for f in STORED if f.name != "queue"])
 
@@ -250,9 +253,11 @@ class QueueStore:
             rows = expand_chunks(self.spark, rows, self.chunks)
         if start:
             rows = rows.filter(F.col("eid") > start)
-        if limit is not None:
-            rows = rows.orderBy("eid").limit(limit)
-        return (rows if size is None else capped(rows, size)).orderBy("eid")
+        if limit is not None and limit <= SMALL_PAGE:
+            rows, limit = rows.orderBy("eid").limit(limit), None
+        if limit is not None or size is not None:
+            rows = first_rows(work_table(rows, "page-rows"), limit, size)
+        return rows.orderBy("eid")
 
     def append(self, rows: DataFrame, batch: str, max_records_per_file: int = 0) -> None:
         """Write events of one batch that belongs to no job; the same batch written again replaces itself."""
@@ -385,22 +390,53 @@ def capped(rows: DataFrame, size: int = READ_BYTES) -> DataFrame:
 
     The first event is always among them, so that one larger than ``size`` stops no reader.
     Minutes are totalled first, which tells the minute that crosses the limit.
-    It bounds the positions to read, and only rows up to it are numbered.
+    It bounds the positions to read, and only rows up to it are put in ranges.
     """
-    sized = rows.withColumn("_minute", F.substring("eid", 1, 19)).withColumn("_bytes", event_bytes())
+    sized = rows.select(F.substring("eid", 1, 19).alias("_minute"), event_bytes().alias("_bytes"))
     # One row per minute of the queue's life: a few million in ten years.
     in_order = Window.partitionBy(F.lit(0)).orderBy("_minute").rowsBetween(*rows_to_here())
-    minutes = sized.groupBy("_minute").agg(F.sum("_bytes").alias("_sum"), F.min("eid").alias("_first"))
+    minutes = sized.groupBy("_minute").agg(F.sum("_bytes").alias("_sum"))
     minutes = minutes.withColumn("_before", F.sum("_sum").over(in_order) - F.col("_sum"))
     reached = minutes.filter((F.col("_before") < size) | (F.col("_before") == 0))
-    last, first = reached.agg(F.max("_minute"), F.min("_first")).first()
+    last = reached.agg(F.max("_minute")).first()[0]
     if last is None:
         return rows.limit(0)
     # The character after "/" closes the range of positions of that minute.
-    near = sized.filter(F.col("eid") < last[:-1] + "0").withColumn("_all", F.lit(0))
-    near = near.withColumn("_batch", F.regexp_replace("eid", positions.COUNTER_AND_LANE, ""))
-    counted = with_running_total(near, ["_all"], ["_minute", "_batch"], ["eid"], F.col("_bytes"), "_through")
-    return counted.filter((F.col("_through") <= size) | (F.col("eid") == first)).select(*rows.columns)
+    return first_rows(rows.filter(F.col("eid") < last[:-1] + "0"), size=size)
+
+
+def first_rows(rows: DataFrame, limit: int | None = None, size: int | None = None) -> DataFrame:
+    """The first rows in position order: at most ``limit`` of them, and the first one or ``size`` bytes of payloads.
+
+    Positions are cut into ranges, whose totals tell the range in which the limit lies. Only
+    there are rows counted one by one, so no task holds more than a range. Rows past the
+    last position that belongs to the page are left out by a filter.
+    """
+    ranges = in_ranges(rows.select("eid", event_bytes().alias("_bytes")), ["eid"])
+    totals = ranges.groupBy(RANGE).agg(F.count("*").alias("records"), F.sum("_bytes").alias("total")).orderBy(RANGE).collect()
+    records = total = 0
+    for cut in totals:
+        if (limit is not None and records + cut["records"] > limit) or (size is not None and total + cut["total"] > size):
+            break
+        records, total = records + cut["records"], total + cut["total"]
+    else:
+        return rows
+    keep, in_order = F.lit(True), Window.partitionBy(RANGE).orderBy("eid").rowsBetween(*rows_to_here())
+    if limit is not None:
+        keep = keep & (F.count("*").over(in_order) + records <= limit)
+    if size is not None:
+        first = ranges.agg(F.min("eid")).first()[0]
+        keep = keep & ((F.sum("_bytes").over(in_order) + total <= size) | (F.col("eid") == first))
+    inside = ranges.filter(F.col(RANGE) == cut[RANGE]).select("eid", keep.alias("_keep"))
+    end = inside.filter(~F.col("_keep")).agg(F.min("eid")).first()[0]
+    if end is None:
+        # The range holds nothing but the first event, which is larger than ``size``.
+        end = ranges.filter(F.col(RANGE) > cut[RANGE]).agg(F.min("eid")).first()[0]
+        return rows if end is None else rows.filter(F.col("eid") < end)
+    before = rows.filter(F.col("eid") < end)
+    # Rows of one position that the limit divides.
+    shared = inside.filter(F.col("_keep") & (F.col("eid") == end)).count()
+    return before.unionByName(rows.filter(F.col("eid") == end).limit(shared)) if shared else before
 
 
 # Characters of a position that name its day, hour and second.

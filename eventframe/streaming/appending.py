@@ -22,15 +22,12 @@ from ..functions.times import div
 from ..operators import merges, stats
 from ..operators.normalize import TTL_SECONDS, expiry
 from ..operators.numbering import ROW_VERSION
-from ..operators.running import with_running_total
+from ..operators.running import RANGE, in_ranges, with_running_total
 from ..schemas import BOT_STATE, CLOCK_STATE, POSITION_STATE, QUEUE_STATE
-from ..session import work_table
 from ..sources import folders
 from ..sources.queues import DataFile, QueueStore
 from ..sources.state import Head, StaleVersion
 
-RANGE = "_range"
-
 EVENT_COLUMNS = {
     "s3": "struct<bucket:string,key:string>", "snapshot_ms": "bigint", "archive_start": "string",
     "archive_end": "string", "creator": "string",
@@ -245,12 +242,3 @@ def write_events(store: QueueStore, bot: str, queue: str, events: DataFrame, ord
         except StaleVersion:
             # The winner's version is complete: read it, and come behind it.
             continue
-
-
-def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with the number of the range of ``order`` they lie in, written once so that it stays.
-
-    Rows that are equal in ``order`` share a range, and ranges follow each other.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return work_table(rows.repartitionByRange(parts, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")

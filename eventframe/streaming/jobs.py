@@ -16,7 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import names, positions
 from ..operators import archive, merges, monitor, normalize, triggers
-from ..operators.running import sequence_bucket
+from ..operators.running import RANGE, in_ranges, sequence_bucket
 from ..operators.stats import ROW_VERSION
 from ..schemas import BOT_IMAGE, CLOCK_STATE, POSITION_STATE, QUEUE_IMAGE, QUEUE_STATE, REQUEST_STATE, STORED
 from ..session import hint_small, work_table
@@ -188,12 +188,17 @@ def copy_rows(
     """Store one batch of another queue's rows, the events of chunks in place of pointers to them."""
     bot = bot or appender.job
     rows = batch.select(*[f.name for f in STORED])
-    if not rows.filter(F.col("s3").isNotNull()).isEmpty():
-        rows = expand_chunks(store.spark, rows, store.chunks)
+    chunked = not rows.filter(F.col("s3").isNotNull()).isEmpty()
+    if chunked:
+        rows = work_table(expand_chunks(store.spark, rows, store.chunks).select("eid", "payload", "source_ms"), "chunk-events")
     rows = rows.select("eid", "payload", "source_ms")
     read = read_position(rows, bot, source, now)
-    rows = change(rows) if change else rows
-    events = bot_rows(rows, bot, destination, now).withColumn("from_eid", F.col("eid"))
+    changed = change(rows) if change else rows
+    events = bot_rows(changed, bot, destination, now).withColumn("from_eid", F.col("eid"))
+    if chunked:
+        # A counter has all events of its chunk: ranges of positions cut them.
+        events = in_ranges(events.drop("eid"), ["from_eid"], rows.count())
+        return appender.append(events, bot_clock(store.spark, bot, now), version, [RANGE], ["from_eid"], read=read)
     # One source batch may hold all its events in one second: ranges of its counters cut it.
     counter = positions.counter_of(F.col("from_eid"))
     events = events.withColumns({

@@ -352,6 +352,46 @@ def test_pages_and_copies_read_the_chunks_that_rows_point_to(spark, store):
     assert by_number(queues.read(store.queue("copy"), "copy").collect()) == everything
 
 
+@pytest.mark.parametrize("limit, size", [(700, None), (1400, 1 << 60), (None, 3000), (900, 5000), (None, 1), (5000, 1 << 60)])
+def test_a_page_of_one_millisecond_is_cut_by_ranges(spark, store, monkeypatch, limit, size):
+    monkeypatch.setattr(queues, "SMALL_PAGE", 0)
+    write_events(store, "bot", "q", numbers(spark, 2000), ["k"], NOW)
+    page = store.page("q", limit=limit, size=size)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Limit", "TakeOrdered", "Window"))  # each of them puts all rows into one task
+    want, total = [], 0
+    for n in range(2000):
+        total += len(f'{{"n":{n}}}')
+        if (limit is not None and n >= limit) or (size is not None and total > size and n):
+            break
+        want.append(n)
+    assert [json.loads(r["payload"])["n"] for r in page.collect()] == want
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 4, 5])
+def test_a_limit_between_rows_of_one_position(spark, limit):
+    rows = spark.createDataFrame([("z/1", "a"), ("z/2", "b"), ("z/2", "c"), ("z/2", "d"), ("z/3", "e")], "eid string, payload string")
+    found = sorted(r["eid"] for r in queues.first_rows(rows, limit=limit).collect())
+    assert found == ["z/1", "z/2", "z/2", "z/2", "z/3"][:limit]
+
+
+def test_events_of_chunks_are_copied_in_many_ranges(spark, store, monkeypatch):
+    spark.range(2000).select(F.to_json(F.struct(F.lit("bot").alias("id"), F.lit("q").alias("event"), F.struct(F.col("id").alias("n")).alias("payload")))).coalesce(1).write.text(f"{store.chunks}/c1")
+    key = next(n for n in folders.children(spark, f"{store.chunks}/c1") if n.endswith(".txt"))
+    pointer = spark.sql(f"SELECT struct('chunks' AS bucket, 'c1/{key}' AS key) AS s3, CAST(NULL AS STRING) AS payload, 0 AS k")
+    write_events(store, "bot", "q", pointer, ["k"], NOW)
+    number, largest = appending.with_running_total, []
+
+    def counted(df, group, bucket, *rest):
+        largest.append(df.groupBy(*group, *bucket).count().agg(F.max("count")).first()[0])
+        return number(df, group, bucket, *rest)
+
+    monkeypatch.setattr(appending, "with_running_total", counted)
+    assert jobs.drain(jobs.copy_queue(store, "copier", "q", "copy", clock=lambda: NOW + 5), 300)
+    assert by_number(queues.read(store.queue("copy"), "copy").collect()) == list(range(2000))
+    assert max(largest) < 1000  # rows that one task numbers
+
+
 def sequences(spark, rows):
     return spark.createDataFrame([(s, str(q), NOW + i) for i, (s, q) in enumerate(rows)], "shard string, sequence string, arrival_ms long")
 
