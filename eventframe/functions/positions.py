@@ -61,11 +61,16 @@ def batch_prefix(batch_ms: Column, bucket_ms: Column | None = None) -> Column:
 
 
 def position(batch_ms: Column, counter: Column, bucket_ms: Column | None = None, lane: Column | None = None) -> Column:
-    own = F.concat(batch_prefix(batch_ms, bucket_ms), F.lit("-"), padded(counter))
+    return behind(batch_prefix(batch_ms, bucket_ms), counter, lane)
+
+
+def behind(prefix: Column, counter: Column, lane: Column | None = None) -> Column:
+    """The position of a counter, and a lane, of a batch whose :func:`batch_prefix` is known."""
+    own = F.concat(prefix, F.lit("-"), padded(counter))
     if lane is None:
         return own
-    behind = F.concat(F.lit("-"), F.lpad(lane.cast("string"), LANE_DIGITS, "0"))
-    return F.concat(own, F.when(lane > 0, behind).otherwise(F.lit("")))
+    other = F.concat(F.lit("-"), F.lpad(lane.cast("string"), LANE_DIGITS, "0"))
+    return F.concat(own, F.when(lane > 0, other).otherwise(F.lit("")))
 
 
 def key(batch_ms: Column, counter: Column, bucket_ms: Column | None = None, lane: Column | None = None) -> Column:

@@ -23,6 +23,9 @@ from .state import JobState, StateTable
 # Fixed value: bytes of one read unless the caller says otherwise.
 READ_BYTES = 1024 * 1024
 
+# Characters of a position that leave the last three digits of its counter open.
+_THOUSAND = 37
+
 # Up to so many events one task finds the first ones; more are cut by ranges.
 SMALL_PAGE = 10_000
 
@@ -304,11 +307,7 @@ class QueueStore:
             .partitionBy("queue", "date", "batch")
             .parquet(path)
         )
-        # Only positions and sizes are read back: one row a file.
-        spans = self.staged(job, batch).groupBy(F.col("_metadata.file_path").alias("file")).agg(
-            F.min("eid").alias("first"), F.max("eid").alias("last"), F.count("*").alias("records"), F.sum("size").alias("size"),
-            F.count("s3.key").alias("pointers"),
-        )
+        spans = _spans(self.staged(job, batch))
         written: list[DataFile] = []
         for number, row in enumerate(spans.toLocalIterator()):
             folder, _, _ = unquote(row["file"]).rpartition("/")
@@ -343,6 +342,24 @@ class QueueStore:
         folders.delete(self.spark, self._staged(job, batch))
 
 
+def _spans(rows: DataFrame) -> DataFrame:
+    """One row per file: first and last position, rows, bytes, pointers. Only positions and sizes are read.
+
+    The least and greatest text of a group come out of a sort of its rows. So beginnings of
+    positions are counted first, by hash, and only the outermost of a file are looked into.
+    """
+    rows = rows.select(
+        F.col("_metadata.file_path").alias("file"), F.substring("eid", 1, _THOUSAND).alias("begin"), "eid", "size", F.col("s3.key").alias("key")
+    )
+    parts = rows.groupBy("file", "begin").agg(F.count("*").alias("records"), F.sum("size").alias("size"), F.count("key").alias("pointers"))
+    files = parts.groupBy("file").agg(
+        F.min("begin").alias("low"), F.max("begin").alias("high"),
+        F.sum("records").alias("records"), F.sum("size").alias("size"), F.sum("pointers").alias("pointers"),
+    )
+    outer = rows.select("file", "begin", "eid").join(F.broadcast(files), "file").filter(F.col("begin").isin(F.col("low"), F.col("high")))
+    return outer.groupBy("file", "records", "size", "pointers").agg(F.min("eid").alias("first"), F.max("eid").alias("last"))
+
+
 def _stored(rows: DataFrame, batch: str) -> DataFrame:
     """Rows with the columns of the store."""
     given = {"date": positions.day_of(F.col("eid")), "batch": F.lit(batch), "size": event_bytes()}

@@ -89,17 +89,44 @@ def good_lines(parsed: DataFrame) -> DataFrame:
 
 def bad_lines(parsed: DataFrame) -> DataFrame:
     """Lines that are not a JSON object, and texts that could not be decoded."""
-    bad = F.col("_e").isNull() | F.col(f"_e.{CORRUPT}").isNotNull()
-    problem = F.when(F.col("json").isNull(), "not decoded").otherwise("not json")
-    return parsed.filter(bad).withColumn("problem", problem).drop("_e")
+    return parsed.filter(_is_bad()).withColumn("problem", _problem()).drop("_e")
+
+
+def _is_bad() -> Column:
+    return F.col("_e").isNull() | F.col(f"_e.{CORRUPT}").isNotNull()
+
+
+def _problem() -> Column:
+    return F.when(F.col("json").isNull(), "not decoded").otherwise("not json")
+
+
+def flat_lines(parsed: DataFrame) -> DataFrame:
+    """All lines: with the columns of :func:`envelopes`, and ``json`` and ``problem`` of the bad ones.
+
+    Rows of plain columns can be kept and read several times: no reader takes events apart
+    or writes payloads as text again.
+    """
+    carried = [c for c in parsed.columns if c not in ("_e", "json")]
+    kept = F.when(_is_bad(), F.col("json")).alias("json")
+    return parsed.select(*carried, kept, F.when(_is_bad(), _problem()).alias("problem"), *_envelope_columns())
+
+
+def good_and_bad(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What :func:`envelopes` and :func:`bad_lines` give, from flat lines."""
+    carried = flat.columns[: flat.columns.index("json")]
+    bad = flat.filter(F.col("problem").isNotNull()).select(*carried, "json", "problem")
+    return flat.filter(F.col("problem").isNull()).drop("json", "problem"), bad
 
 
 def envelopes(parsed: DataFrame) -> DataFrame:
     """Event rows: producer, queue as written, payload text, times, markers."""
     carried = [c for c in parsed.columns if c not in ("_e", "json")]
+    return good_lines(parsed).select(*carried, *_envelope_columns())
+
+
+def _envelope_columns() -> list[Column]:
     e = F.col("_e")
-    return good_lines(parsed).select(
-        *carried,
+    return [
         e["id"].alias("id"),
         e["event"].alias("event"),
         F.to_json(e["payload"]).alias("payload"),
@@ -115,7 +142,7 @@ def envelopes(parsed: DataFrame) -> DataFrame:
         parse_ms(e["snapshot"]).alias("snapshot_ms"),
         e["creator"].alias("creator"),
         e["eid"].alias("eid"),
-    )
+    ]
 
 
 def event_json(df: DataFrame) -> Column:

@@ -143,18 +143,22 @@ class Appender:
 
     def _numbered(self, events: DataFrame, clocks: DataFrame, bucket: list[str], order: list[str]) -> DataFrame:
         rows = with_running_total(events, ["shard"], ["queue", *bucket], order, F.lit(1).cast("bigint"), "_n")
+        # Nearly all events have the first millisecond of their batch: its text is made once a shard.
+        clocks = clocks.withColumn("_prefix", positions.batch_prefix(F.col("start")))
         rows = rows.join(clocks, "shard").withColumn("_n", F.col("_n") - 1)
         rows = rows.withColumn("batch_ms", F.col("start") + div(F.col("_n"), positions.COUNTER_SIZE))
         rows = rows.withColumn("counter", F.col("_n") % positions.COUNTER_SIZE)
         archive, snapshot = names.is_archive(F.col("queue")), names.is_snapshot(F.col("queue"))
         bucket_ms = F.when(snapshot, F.coalesce("snapshot_ms", "batch_ms")).otherwise(F.col("batch_ms"))
-        own = positions.position(F.col("batch_ms"), F.col("counter"), bucket_ms, F.col("lane"))
+        first = (F.col("batch_ms") == F.col("start")) & (bucket_ms == F.col("start"))
+        prefix = F.when(first, F.col("_prefix")).otherwise(positions.batch_prefix(F.col("batch_ms"), bucket_ms))
+        own = positions.behind(prefix, F.col("counter"), F.col("lane"))
         return (
             rows.withColumn("bucket_ms", bucket_ms)
             .withColumn("eid", F.when(archive, F.coalesce("archive_end", own)).otherwise(own))
             .withColumn("ttl", F.when(~archive, expiry(F.col("batch_ms"), self.ttl_seconds)))
             .withColumn("v", F.lit(ROW_VERSION))
-            .drop("_n", "start")
+            .drop("_n", "start", "_prefix")
         )
 
     def _queue_state(self, numbered: DataFrame, markers: DataFrame | None, head: Head | None) -> DataFrame:

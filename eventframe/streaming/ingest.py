@@ -62,15 +62,13 @@ class Ingest:
             return
         began = self.clock()
         records = self._first_deliveries(records, version).persist(StorageLevel.MEMORY_AND_DISK)
-        parsed = rec.parsed_lines(rec.decoded_texts(records)).persist(StorageLevel.MEMORY_AND_DISK)
+        lines = rec.flat_lines(rec.parsed_lines(rec.decoded_texts(records))).persist(StorageLevel.MEMORY_AND_DISK)
+        rows, bad = rec.good_and_bad(lines)
         try:
             keys = records.select("shard", "sequence", "arrival_ms")
             intervals.of_records(keys).write.mode("overwrite").parquet(f"{self._deliveries()}/batch={version}")
-            rec.bad_lines(parsed).write.mode("overwrite").parquet(
-                f"{self.store.root}/quarantine/{self.job}/batch={version}"
-            )
+            bad.write.mode("overwrite").parquet(f"{self.store.root}/quarantine/{self.job}/batch={version}")
             self._choose_file_size(appender, keys)
-            rows = rec.envelopes(parsed)
             markers = self._markers(rows)
             valid = normalize.valid_bus_events(normalize.data_rows(rows))
             valid = normalize.without_listed(valid, self.skip_queues, self.skip_bots)
@@ -99,7 +97,7 @@ class Ingest:
             self._log_run(stored, version, began)
             self._merge_deliveries(version)
         finally:
-            parsed.unpersist()
+            lines.unpersist()
             records.unpersist()
 
     def _log_run(self, stored: Batch | None, version: int, began: int) -> None:

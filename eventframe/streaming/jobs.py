@@ -37,6 +37,9 @@ BATCH_STATE = T.StructType([
 BACKFILL_CREATOR = "firehose"
 MONITOR_QUEUE = "monitor"
 
+# Counters that a copy numbers in one window. Many more of them than tasks spread evenly.
+COPY_SPAN = 1 << 16
+
 
 def start_batches(store: QueueStore, rows: DataFrame, job: str, work: Callable, **trigger) -> StreamingQuery:
     """Run ``work(batch, version)`` over a stream under the job's own checkpoint."""
@@ -94,11 +97,12 @@ def load_lines(
 ) -> None:
     """Decode, check and store lines of event files (``data`` and the columns of ``bucket``, ``row``)."""
     store, bot = appender.store, appender.job
-    parsed = rec.parsed_lines(rec.decoded_texts(lines, raw=True)).persist(StorageLevel.MEMORY_AND_DISK)
+    flat = rec.flat_lines(rec.parsed_lines(rec.decoded_texts(lines, raw=True))).persist(StorageLevel.MEMORY_AND_DISK)
+    good, bad = rec.good_and_bad(flat)
     try:
-        rows = normalize.valid_file_events(rec.envelopes(parsed))
+        rows = normalize.valid_file_events(good)
         nameless = rows.filter(~normalize.has_text(F.col("event"))).select("file", "id", "payload")
-        rec.bad_lines(parsed).select("file", "json", "problem").unionByName(
+        bad.select("file", "json", "problem").unionByName(
             nameless.withColumn("problem", F.lit("no queue")), allowMissingColumns=True
         ).write.mode("overwrite").parquet(f"{store.root}/quarantine/{bot}/batch={version}")
         events = rows.filter(normalize.has_text(F.col("event"))).withColumn("queue", names.canonical(F.col("event")))
@@ -106,7 +110,7 @@ def load_lines(
         events = events.withColumn("shard", F.lit(bot)).drop("start", "end", "eid")
         appender.append(events, bot_clock(store.spark, bot, now), version, bucket, ["row", "line"], read=read)
     finally:
-        parsed.unpersist()
+        flat.unpersist()
 
 
 def discover_files(store: QueueStore, folder: str, bot: str = "file-finder", clock: Callable[[], int] = now_ms) -> int:
@@ -203,7 +207,7 @@ def copy_rows(
     counter = positions.counter_of(F.col("from_eid"))
     events = events.withColumns({
         "second": second_of(F.col("from_eid")), "source_ms_text": F.substring_index("from_eid", "-", 1),
-        "span": F.coalesce(sequence_bucket(counter), F.lit(0)),
+        "span": F.coalesce(sequence_bucket(counter, COPY_SPAN), F.lit(0)),
     }).drop("eid")
     return appender.append(
         events, bot_clock(store.spark, bot, now), version, ["second", "source_ms_text", "span"], ["from_eid"], read=read

@@ -14,6 +14,7 @@ from eventframe.operators import intervals, numbering
 from eventframe.schemas import BOT_STATE, QUEUE_STATE
 from eventframe.session import work_dir
 from eventframe.sources import files, folders, queues
+from eventframe.sources import records as rec
 from eventframe.sources.queues import DataFile, QueueStore
 from eventframe.sources.state import JobState, StaleVersion, StateTable
 from eventframe.streaming import appending, jobs
@@ -392,6 +393,45 @@ def test_events_of_chunks_are_copied_in_many_ranges(spark, store, monkeypatch):
     assert max(largest) < 1000  # rows that one task numbers
 
 
+def test_spans_of_files_need_no_sort(spark, store):
+    rows = [("z/2024/02/01/00/00/1706745600000-" + f"{n:07d}" + lane, 2) for n in range(0, 2500, 7) for lane in ("", "-000001", "-000001.000000003")]
+    path = f"{store.root}/some"
+    texts = rows + [("z", 1), ("z/2024/02/01/00/00/1706745600001-0000000", 3)]
+    spark.createDataFrame(texts, "eid string, size long").withColumn("s3", F.when(F.col("size") == 3, F.struct(F.lit("b").alias("bucket"), F.lit("k").alias("key")))).repartition(3).write.parquet(path)
+    read = spark.read.parquet(path)
+    want = read.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("eid").alias("first"), F.max("eid").alias("last"), F.count("*").alias("records"), F.sum("size").alias("size"), F.count("s3.key").alias("pointers"))
+    spans = queues._spans(read).select(*want.columns)
+    assert sorted(spans.collect()) == sorted(want.collect()) and want.count() == 3
+    # Every row goes through a hash aggregate; what is sorted are the counted beginnings and the outermost rows.
+    assert "HashAggregate(keys=[file" in spans._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_flat_lines_are_the_envelopes_and_the_bad_lines(spark):
+    texts = ['{"id":"b","event":"q","payload":{"n":1},"timestamp":5}\nno event\n\n{"id":"b","event":"q","payload":null}', None, "[1]", '{"id":"b"']
+    parsed = rec.parsed_lines(spark.createDataFrame(list(enumerate(texts)), "n long, text string"))
+    good, bad = rec.good_and_bad(rec.flat_lines(parsed))
+    for got, want in ((good, rec.envelopes(parsed)), (bad, rec.bad_lines(parsed))):
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count()
+
+
+def test_input_files_of_a_backfill_grow_with_the_rows(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(100)
+    copies = events.crossJoin(spark.range(0, 4).withColumnRenamed("id", "_c")).withColumn("event_id", F.col("event_id") % 10_000 + F.col("_c") * 40_000).drop("_c")
+    copies.write.parquet(str(tmp_path / "events.parquet"))
+    store, made = [], jobs.stream_file_lines
+
+    def seen(spark, folder, *rest):
+        store.append(len(folders.files(spark, folder)))
+        return made(spark, folder, *rest)
+
+    from eventframe.plans import jobs as plans
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(plans.jobs, "stream_file_lines", seen)
+        plans.file_backfill(spark, str(tmp_path))
+    assert store == [4]  # one a part, not one a part and task
+
+
 def sequences(spark, rows):
     return spark.createDataFrame([(s, str(q), NOW + i) for i, (s, q) in enumerate(rows)], "shard string, sequence string, arrival_ms long")
 
