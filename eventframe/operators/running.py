@@ -15,6 +15,7 @@ from ..session import hint_small, work_table
 
 BUCKET_ROWS = 1 << 20
 RANGE = "_range"
+PLACE = "_place"
 
 
 def rows_before() -> tuple:
@@ -99,5 +100,38 @@ def in_ranges(rows: DataFrame, order: list[str], count: int = 0) -> DataFrame:
     ``count`` of the rows is known, ranges hold a quarter of a bucket at most, as far as the
     sample tells.
     """
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * 4 // BUCKET_ROWS)
+    parts = max(_partitions(rows), count * 4 // BUCKET_ROWS)
     return work_table(rows.repartitionByRange(parts, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")
+
+
+def in_places(rows: DataFrame, order: list[str], kept: list[str], path: str) -> DataFrame:
+    """The ``kept`` columns of rows cut into ranges of ``order`` and sorted there, with range and place, written to ``path``.
+
+    The rows of a range that are equal in the first columns of ``order`` have places without gaps.
+    """
+    cut = rows.repartitionByRange(_partitions(rows), *order).sortWithinPartitions(*order)
+    cut = cut.withColumns({RANGE: F.spark_partition_id(), PLACE: F.monotonically_increasing_id()}).select(*kept, RANGE, PLACE)
+    return _written(cut, path)
+
+
+def with_number(placed: DataFrame, group: list[str], name: str, facts: DataFrame, path: str) -> DataFrame:
+    """Add the number from one of every row of its ``group``, the first columns of the order of :func:`in_places`.
+
+    Columns of ``facts``, a row a group, come with it. Only the rows of ranges and groups are counted,
+    which ``path`` keeps: one for each range, and one more for each group. No row is moved or sorted for its number.
+    """
+    ranges = placed.groupBy(*group, RANGE).agg(F.count("*").alias("_rows"), F.min(PLACE).alias("_first"))
+    across = Window.partitionBy(*group).orderBy(RANGE).rowsBetween(*rows_before())
+    before = F.coalesce(F.sum("_rows").over(across), F.lit(0))
+    shifts = ranges.select(*group, RANGE, (before - F.col("_first") + 1).alias("_shift"))
+    numbered = placed.join(_written(shifts.join(facts, group), path), [*group, RANGE])
+    return numbered.withColumn(name, F.col(PLACE) + F.col("_shift")).drop(RANGE, PLACE, "_shift")
+
+
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _partitions(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

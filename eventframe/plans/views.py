@@ -183,16 +183,20 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON lines."""
     rows = base_events(spark, sf_dir)
     span = div(F.col("ms"), SPAN_MS) * SPAN_MS
+    # The texts of archive rows share their beginning: generated code that grows too long is not compiled.
     rows = rows.withColumns({
         "snapshot_ms": F.when(F.col("snapshot"), span),
+        "_begin": F.when(F.col("archive"), positions.batch_prefix(span)),
+    })
+    rows = rows.withColumns({
         "start": F.when(
             F.col("cmd").isNotNull() | F.col("archive"),
-            F.when(F.col("archive"), positions.position(span, F.lit(0))).otherwise(F.col("ms").cast("string")),
+            F.when(F.col("archive"), positions.behind(F.col("_begin"), F.lit(0))).otherwise(F.col("ms").cast("string")),
         ),
         "next": F.when(F.col("cmd").isNotNull(), (F.col("ms") + 3_600_000).cast("string")),
-        "end": F.when(F.col("archive"), positions.position(span, F.col("seq") % 1000)),
+        "end": F.when(F.col("archive"), positions.behind(F.col("_begin"), F.col("seq") % 1000)),
         "archive": F.when(F.col("archive"), F.lit(True)),
-    })
+    }).drop("_begin")
     return rows.withColumn("json", event_json(rows))
 
 

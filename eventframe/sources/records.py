@@ -160,7 +160,9 @@ def event_json(df: DataFrame) -> Column:
             continue
         value = F.col(column).cast("string")
         if quoted:
-            text = F.to_json(F.array(value))
-            value = F.when(value.isNotNull(), F.substring(text, F.lit(2), F.length(text) - 2))
-        parts.append(F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), value)))
+            # One field's object without its braces, written once: a generated method that grows too long is not compiled.
+            text = F.btrim(F.to_json(F.struct(value.alias(name))), F.lit("{}"))
+            parts.append(F.when(value.isNotNull(), text))
+        else:
+            parts.append(F.concat(F.lit(f'"{name}":'), value))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))

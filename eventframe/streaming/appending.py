@@ -22,8 +22,9 @@ from ..functions.times import div
 from ..operators import merges, stats
 from ..operators.normalize import TTL_SECONDS, expiry
 from ..operators.numbering import ROW_VERSION
-from ..operators.running import RANGE, in_ranges, with_running_total
+from ..operators.running import RANGE, in_places, in_ranges, with_number, with_running_total  # noqa: F401 (in_ranges: for callers that cut rows themselves)
 from ..schemas import BOT_STATE, CLOCK_STATE, POSITION_STATE, QUEUE_STATE
+from ..session import work_dir
 from ..sources import folders
 from ..sources.queues import DataFile, QueueStore
 from ..sources.state import Head, StaleVersion
@@ -90,7 +91,8 @@ class Appender:
         counts = events.groupBy("shard").agg(F.count("*").alias("_events"))
         tables = {"clock": self._stage("clock", CLOCK_STATE, self._clocks(firsts, counts, head), version)}
         clocks = self._staged(tables, "clock", CLOCK_STATE).filter(F.col("start").isNotNull()).select("shard", "start", "lane")
-        numbered = self._numbered(events, clocks, bucket, order).persist(StorageLevel.MEMORY_AND_DISK)
+        places = work_dir(self.store.spark, "places")
+        numbered = self._numbered(events, clocks, bucket, order, places)
         try:
             files = self.store.stage(numbered, self.job, batch, self.max_records_per_file)
             tables["queues"] = self._stage("queues", QUEUE_STATE, self._queue_state(numbered, markers, head), version)
@@ -104,6 +106,7 @@ class Appender:
                 tables[name] = self._stage(name, schema, rows, version)
         finally:
             numbered.unpersist()
+            folders.delete(self.store.spark, places)
         try:
             self.state.commit(version, tables, head, batch)
         except StaleVersion:
@@ -141,11 +144,21 @@ class Appender:
             "start", "lane",
         )
 
-    def _numbered(self, events: DataFrame, clocks: DataFrame, bucket: list[str], order: list[str]) -> DataFrame:
-        rows = with_running_total(events, ["shard"], ["queue", *bucket], order, F.lit(1).cast("bigint"), "_n")
+    def _numbered(self, events: DataFrame, clocks: DataFrame, bucket: list[str], order: list[str], places: str) -> DataFrame:
+        """Events with their positions. ``places`` is a folder that keeps what they are numbered by."""
         # Nearly all events have the first millisecond of their batch: its text is made once a shard.
         clocks = clocks.withColumn("_prefix", positions.batch_prefix(F.col("start")))
-        rows = rows.join(clocks, "shard").withColumn("_n", F.col("_n") - 1)
+        if RANGE in bucket:
+            rows = with_running_total(events, ["shard"], ["queue", *bucket], order, F.lit(1).cast("bigint"), "_n")
+            return self._positioned(rows.join(clocks, "shard")).persist(StorageLevel.MEMORY_AND_DISK)
+        # Buckets may be nearly as many as the rows (seconds of a long time) or as few as one: ranges are neither.
+        known = events.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in ("shard", "queue", *bucket)))
+        kept = ["shard", "id", "queue", "payload", "write_ms", "source_ms", *EVENT_COLUMNS]
+        placed = in_places(known, ["shard", "queue", *bucket, *order], kept, f"{places}/rows")
+        return self._positioned(with_number(placed, ["shard"], "_n", clocks, f"{places}/numbers"))
+
+    def _positioned(self, rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_n", F.col("_n") - 1)
         rows = rows.withColumn("batch_ms", F.col("start") + div(F.col("_n"), positions.COUNTER_SIZE))
         rows = rows.withColumn("counter", F.col("_n") % positions.COUNTER_SIZE)
         archive, snapshot = names.is_archive(F.col("queue")), names.is_snapshot(F.col("queue"))
@@ -164,7 +177,9 @@ class Appender:
     def _queue_state(self, numbered: DataFrame, markers: DataFrame | None, head: Head | None) -> DataFrame:
         rank = positions.key(F.col("batch_ms"), F.col("counter"), F.col("bucket_ms"), F.col("lane"))
         archive = names.is_archive(F.col("queue"))
-        marks = numbered.filter(~archive).groupBy("queue").agg(
+        # Few times and many counters: a key is made of the highest counter of each, not of every row.
+        highest = numbered.filter(~archive).groupBy("queue", "batch_ms", "bucket_ms", "lane").agg(F.max("counter").alias("counter"))
+        marks = highest.groupBy("queue").agg(
             F.max(rank).alias("_key"), F.max("batch_ms").alias("timestamp")
         ).select("queue", positions.from_key(F.col("_key")).alias("max_eid"), "timestamp")
         archived = numbered.filter(archive).groupBy("queue").agg(
@@ -231,17 +246,16 @@ def bot_clock(spark: SparkSession, bot: str, now_ms: int) -> DataFrame:
 def write_events(store: QueueStore, bot: str, queue: str, events: DataFrame, order: list[str], now_ms: int) -> int:
     """Write events (payload, and ``order`` columns) to a queue; returns how many were written.
 
-    The rows are cut into ranges of their order, so that they are numbered in many
-    tasks. If another writer of the name makes the next version first, the rows are
+    If another writer of the name makes the next version first, the rows are
     numbered again after its own.
     """
     appender = Appender(store, f"write-{bot}")
-    rows = in_ranges(bot_rows(events, bot, queue, now_ms), order)
+    rows = bot_rows(events, bot, queue, now_ms)
     while True:
         head = appender.state.head()
         version = 0 if head is None else head.version + 1
         try:
-            if batch := appender.append(rows, bot_clock(store.spark, bot, now_ms), version, [RANGE], order):
+            if batch := appender.append(rows, bot_clock(store.spark, bot, now_ms), version, [], order):
                 return batch.records
         except StaleVersion:
             # The winner's version is complete: read it, and come behind it.
