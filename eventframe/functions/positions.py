@@ -27,8 +27,6 @@ COUNTER_SIZE = 10**COUNTER_DIGITS
 
 LANE_DIGITS = 6
 LANES = 10**LANE_DIGITS
-# What follows the time in a position.
-COUNTER_AND_LANE = r"-(\d{7})(?:-\d{6})?(?:\.\d{9})?$"
 # What stands behind the position of a pointer for an event of its chunk.
 _INSIDE_DIGITS = 9
 
@@ -93,11 +91,6 @@ def from_key(k: Column) -> Column:
     return position(batch_ms, div(last, LANES), minute * _MINUTE_MS, last % LANES)
 
 
-def counter_of(eid: Column) -> Column:
-    """The counter of a position; null for other texts."""
-    return F.regexp_extract(eid, COUNTER_AND_LANE, 1).try_cast("bigint")
-
-
 def inside(eid: Column, line: Column) -> Column:
     """Position of a line of the chunk that a row points to."""
     return F.concat(eid, F.lit("."), F.lpad(line.cast("string"), _INSIDE_DIGITS, "0"))

@@ -100,16 +100,26 @@ def in_ranges(rows: DataFrame, order: list[str], count: int = 0) -> DataFrame:
     ``count`` of the rows is known, ranges hold a quarter of a bucket at most, as far as the
     sample tells.
     """
-    parts = max(_partitions(rows), count * 4 // BUCKET_ROWS)
-    return work_table(rows.repartitionByRange(parts, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")
+    return work_table(rows.repartitionByRange(range_count(rows, count), *order).withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
-def in_places(rows: DataFrame, order: list[str], kept: list[str], path: str) -> DataFrame:
+def range_count(rows: DataFrame, count: int = 0) -> int:
+    """Ranges that ``count`` rows are cut into: as many as shuffles have partitions, or more so that none gets too large."""
+    return max(_partitions(rows), count * 4 // BUCKET_ROWS)
+
+
+def gathered(rows: DataFrame, part: str, parts: int, count: int) -> DataFrame:
+    """``count`` rows moved to few tasks by their range, the column ``part`` of ``parts``: a quarter of a bucket each, neighbours together."""
+    tasks = min(parts, max(1, count * 4 // BUCKET_ROWS))
+    return rows.repartitionById(tasks, div(F.col(part) * tasks, parts).cast("int"))
+
+
+def in_places(rows: DataFrame, order: list[str], kept: list[str], path: str, count: int = 0) -> DataFrame:
     """The ``kept`` columns of rows cut into ranges of ``order`` and sorted there, with range and place, written to ``path``.
 
     The rows of a range that are equal in the first columns of ``order`` have places without gaps.
     """
-    cut = rows.repartitionByRange(_partitions(rows), *order).sortWithinPartitions(*order)
+    cut = rows.repartitionByRange(range_count(rows, count), *order).sortWithinPartitions(*order)
     cut = cut.withColumns({RANGE: F.spark_partition_id(), PLACE: F.monotonically_increasing_id()}).select(*kept, RANGE, PLACE)
     return _written(cut, path)
 

@@ -276,13 +276,15 @@ class QueueStore:
         # A name for events without a job that no job has.
         return f"{self.root}/staged/{partition_name(job) or '-'}/{partition_name(batch)}"
 
-    def stage(self, rows: DataFrame, job: str, batch: str, max_records_per_file: int = 0) -> list[DataFile]:
+    def stage(self, rows: DataFrame, job: str, batch: str, max_records_per_file: int = 0, placed: bool = False) -> list[DataFile]:
         """Write a batch's events where no reader looks; returns its files.
 
         Rebalancing gathers the rows of a queue and day into files of the
-        advised size and splits those of a hot queue over several tasks.
+        advised size and splits those of a hot queue over several tasks. Rows that
+        are ``placed`` lie together by queue and order: their tasks write them as they are.
         """
-        return self._write(_stored(rows, batch).hint("rebalance", "queue", "date"), job, batch, max_records_per_file)
+        stored = _stored(rows, batch)
+        return self._write(stored if placed else stored.hint("rebalance", "queue", "date"), job, batch, max_records_per_file)
 
     def stage_sorted(self, rows: DataFrame, job: str, batch: str) -> list[DataFile]:
         """As ``stage``, gathered by queue and hour.
@@ -393,11 +395,6 @@ def read(events: DataFrame, queue: str, start: str | None = None, limit: int | N
     return rows if limit is None else rows.limit(limit)
 
 
-def second_of(eid: Column) -> Column:
-    """The part of a position that names its second: the bucket and ten digits of the time."""
-    return F.substring(eid, 1, 29)
-
-
 def event_bytes() -> Column:
     return F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint")
 

@@ -22,7 +22,9 @@ from ..functions.times import div
 from ..operators import merges, stats
 from ..operators.normalize import TTL_SECONDS, expiry
 from ..operators.numbering import ROW_VERSION
-from ..operators.running import RANGE, in_places, in_ranges, with_number, with_running_total  # noqa: F401 (in_ranges: for callers that cut rows themselves)
+from ..operators.running import (  # noqa: F401 (in_ranges: for callers that cut rows themselves)
+    RANGE, gathered, in_places, in_ranges, range_count, with_number, with_running_total,
+)
 from ..schemas import BOT_STATE, CLOCK_STATE, POSITION_STATE, QUEUE_STATE
 from ..session import work_dir
 from ..sources import folders
@@ -34,6 +36,9 @@ EVENT_COLUMNS = {
     "archive_end": "string", "creator": "string",
 }
 
+# The range of a row that has its number from one.
+PART = "_part"
+
 
 class Batch(NamedTuple):
     """A stored batch: its name and files."""
@@ -88,13 +93,19 @@ class Appender:
             if name not in events.columns:
                 events = events.withColumn(name, F.lit(None).cast(kind))
         batch = f"{self.job}-{version}-{uuid.uuid4().hex[:12]}"
-        counts = events.groupBy("shard").agg(F.count("*").alias("_events"))
+        # A row per shard of the job.
+        counted = events.groupBy("shard").agg(F.count("*").alias("_events"))
+        found = counted.collect()
+        counts, count = self.store.spark.createDataFrame(found, counted.schema), sum(r["_events"] for r in found)
         tables = {"clock": self._stage("clock", CLOCK_STATE, self._clocks(firsts, counts, head), version)}
         clocks = self._staged(tables, "clock", CLOCK_STATE).filter(F.col("start").isNotNull()).select("shard", "start", "lane")
         places = work_dir(self.store.spark, "places")
-        numbered = self._numbered(events, clocks, bucket, order, places)
+        numbered = self._numbered(events, clocks, bucket, order, places, count)
         try:
-            files = self.store.stage(numbered, self.job, batch, self.max_records_per_file)
+            # Rows of places go to their files range by range: gathered by queue and day, few tasks would have them all.
+            placed = PART in numbered.columns
+            rows = gathered(numbered, PART, range_count(events, count), count) if placed else numbered
+            files = self.store.stage(rows, self.job, batch, self.max_records_per_file, placed)
             tables["queues"] = self._stage("queues", QUEUE_STATE, self._queue_state(numbered, markers, head), version)
             tables["bots"] = self._stage("bots", BOT_STATE, self._bot_state(numbered, head), version)
             if read is not None:
@@ -144,8 +155,10 @@ class Appender:
             "start", "lane",
         )
 
-    def _numbered(self, events: DataFrame, clocks: DataFrame, bucket: list[str], order: list[str], places: str) -> DataFrame:
-        """Events with their positions. ``places`` is a folder that keeps what they are numbered by."""
+    def _numbered(
+        self, events: DataFrame, clocks: DataFrame, bucket: list[str], order: list[str], places: str, count: int
+    ) -> DataFrame:
+        """``count`` events with their positions. ``places`` is a folder that keeps what they are numbered by."""
         # Nearly all events have the first millisecond of their batch: its text is made once a shard.
         clocks = clocks.withColumn("_prefix", positions.batch_prefix(F.col("start")))
         if RANGE in bucket:
@@ -154,7 +167,7 @@ class Appender:
         # Buckets may be nearly as many as the rows (seconds of a long time) or as few as one: ranges are neither.
         known = events.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in ("shard", "queue", *bucket)))
         kept = ["shard", "id", "queue", "payload", "write_ms", "source_ms", *EVENT_COLUMNS]
-        placed = in_places(known, ["shard", "queue", *bucket, *order], kept, f"{places}/rows")
+        placed = in_places(known, ["shard", "queue", *bucket, *order], kept, f"{places}/rows", count).withColumn(PART, F.col(RANGE))
         return self._positioned(with_number(placed, ["shard"], "_n", clocks, f"{places}/numbers"))
 
     def _positioned(self, rows: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import names, positions
 from ..operators import archive, merges, monitor, normalize, triggers
-from ..operators.running import RANGE, in_ranges, sequence_bucket
+from ..operators.running import RANGE, in_ranges
 from ..operators.stats import ROW_VERSION
 from ..schemas import BOT_IMAGE, CLOCK_STATE, POSITION_STATE, QUEUE_IMAGE, QUEUE_STATE, REQUEST_STATE, STORED
 from ..session import hint_small, work_table
@@ -24,7 +24,7 @@ from ..sources import changes as feed
 from ..sources import files, folders
 from ..sources import records as rec
 from ..sources.files import PAGE, plain_path
-from ..sources.queues import QueueStore, archive_then_live, batch_job, batch_version, expand_chunks, second_of
+from ..sources.queues import DataFile, QueueStore, archive_then_live, batch_job, batch_version, expand_chunks
 from .appending import Appender, Batch, bot_clock, bot_rows, queue_states, write_events
 from .ingest import now_ms
 
@@ -37,9 +37,6 @@ BATCH_STATE = T.StructType([
 BACKFILL_CREATOR = "firehose"
 MONITOR_QUEUE = "monitor"
 
-# Counters that a copy numbers in one window. Many more of them than tasks spread evenly.
-COPY_SPAN = 1 << 16
-
 
 def start_batches(store: QueueStore, rows: DataFrame, job: str, work: Callable, **trigger) -> StreamingQuery:
     """Run ``work(batch, version)`` over a stream under the job's own checkpoint."""
@@ -180,9 +177,14 @@ def copy_queue(
 
     def work(batch: DataFrame, version: int) -> None:
         if not Appender(into, bot).done(version):
-            copy_rows(store, batch, Appender(into, bot), version, source, destination, change, max(clock(), earliest))
+            # A micro-batch comes with every column that its stream has, however few are asked for. So
+            # it has the names of its files alone, at most ``max_files``, and what is needed is read from them.
+            found = [DataFile.of(unquote(r["file"])) for r in batch.distinct().collect()]
+            rows = store.read_files(source, found)
+            copy_rows(store, rows, Appender(into, bot), version, source, destination, change, max(clock(), earliest))
 
-    return start_batches(into, store.stream(source, max_files), bot, work, **trigger)
+    names_only = store.stream(source, max_files).select(F.col("_metadata.file_path").alias("file"))
+    return start_batches(into, names_only, bot, work, **trigger)
 
 
 def copy_rows(
@@ -203,15 +205,7 @@ def copy_rows(
         # A counter has all events of its chunk: ranges of positions cut them.
         events = in_ranges(events.drop("eid"), ["from_eid"], rows.count())
         return appender.append(events, bot_clock(store.spark, bot, now), version, [RANGE], ["from_eid"], read=read)
-    # One source batch may hold all its events in one second: ranges of its counters cut it.
-    counter = positions.counter_of(F.col("from_eid"))
-    events = events.withColumns({
-        "second": second_of(F.col("from_eid")), "source_ms_text": F.substring_index("from_eid", "-", 1),
-        "span": F.coalesce(sequence_bucket(counter, COPY_SPAN), F.lit(0)),
-    }).drop("eid")
-    return appender.append(
-        events, bot_clock(store.spark, bot, now), version, ["second", "source_ms_text", "span"], ["from_eid"], read=read
-    )
+    return appender.append(events.drop("eid"), bot_clock(store.spark, bot, now), version, ["from_eid"], [], read=read)
 
 
 def copy_archived(

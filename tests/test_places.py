@@ -10,7 +10,7 @@ from eventframe.plans import views
 from eventframe.session import work_dir
 from eventframe.sources import records as rec
 from eventframe.sources.queues import QueueStore
-from eventframe.streaming import appending
+from eventframe.streaming import appending, jobs
 from eventframe.streaming.ingest import Ingest
 
 NOW = 1_706_745_600_000
@@ -48,6 +48,47 @@ def test_an_ingest_over_many_seconds_is_numbered_without_a_bucket_a_second(spark
     assert [r["counter"] for r in rows] == list(range(200)) and not buckets
 
 
+def numbers(spark, count):
+    return spark.range(count).select(F.to_json(F.struct(F.col("id").alias("n"))).alias("payload"), F.col("id").alias("k"))
+
+
+def in_order(store, queue):
+    return [json.loads(r["payload"])["n"] for r in store.queue(queue).orderBy("eid").select("payload").collect()]
+
+
+def test_a_large_batch_is_written_range_by_range(spark, tmp_path, monkeypatch):
+    store = QueueStore(spark, str(tmp_path / "store"))
+    assert appending.write_events(store, "bot", "small", numbers(spark, 900).repartition(8), ["k"], NOW) == 900
+    assert [len(files) for files in store.files("small")] == [1]
+    monkeypatch.setattr(running, "BUCKET_ROWS", 4000)
+    assert appending.write_events(store, "bot", "large", numbers(spark, 20_000).repartition(8), ["k"], NOW) == 20_000
+    assert jobs.drain(jobs.copy_queue(store, "copier", "large", "copy", clock=lambda: NOW + 5), 300)
+    for queue in ("large", "copy"):
+        files = sorted((f for found in store.files(queue) for f in found), key=lambda f: f.first)
+        assert sum(f.records for f in files) == 20_000 and max(f.records for f in files) < 5000  # rows of one task
+        assert all(a.last < b.first for a, b in zip(files, files[1:], strict=False))
+        assert in_order(store, queue) == list(range(20_000))
+
+
+def test_a_copy_reads_no_other_columns_of_its_files(spark, tmp_path, monkeypatch):
+    store = QueueStore(spark, str(tmp_path / "store"))
+    appending.write_events(store, "bot", "queue:a b/ü", numbers(spark, 300), ["k"], NOW)
+    plans, copy = [], jobs.copy_rows
+
+    def planned(store, rows, *rest):
+        plans.append(rows.select("eid")._jdf.queryExecution().executedPlan().toString())
+        return copy(store, rows, *rest)
+
+    monkeypatch.setattr(jobs, "copy_rows", planned)
+    for first in (0, 1000):
+        if first:
+            more = numbers(spark, 1300).filter(F.col("k") >= first)
+            appending.write_events(store, "bot", "queue:a b/ü", more, ["k"], NOW + first)
+        assert jobs.drain(jobs.copy_queue(store, "copier", "queue:a b/ü", "copy", clock=lambda: NOW + 5), 300)
+    assert len(plans) == 2 and all("ReadSchema: struct<eid:string>" in p for p in plans)
+    assert in_order(store, "copy") == [*range(300), *range(1000, 1300)]
+
+
 def test_fields_of_a_line_come_back_whatever_they_hold(spark):
     texts = [None, "", "a", "{x}", "}", "[z]", ']"', 'a"b', "back\\slash", "\n\t\x01", "ü€", " "]
     rows = spark.createDataFrame([(t, u) for t in texts for u in texts], "id string, event string")
